@@ -128,13 +128,14 @@ def _nfkc_casefold(s: pd.Series) -> pd.Series:
 _NON_WORD = rf"[^\p{{L}}\p{{N}}_{PY_WHITESPACE}]"
 
 
-def normalize_query(col: str | Column, ascii_only: bool = False) -> Column:
+def normalize_query(col: str | Column, unicode_fold: bool = True) -> Column:
     """NFKC, casefold, non-word characters to space, squeeze, strip.
 
-    ``ascii_only=True`` skips the Python step (exact for ASCII text, where
-    NFKC is the identity and casefold equals lower).
+    ``unicode_fold=False`` replaces the Python NFKC + casefold step by the
+    built-in ``lower`` (all JVM-side; exact for text where NFKC is the
+    identity and casefold equals lower, e.g. ASCII).
     """
-    base = F.lower(_c(col)) if ascii_only else _nfkc_casefold(_c(col))
+    base = _nfkc_casefold(_c(col)) if unicode_fold else F.lower(_c(col))
     spaced = F.regexp_replace(base, _NON_WORD, " ")
     squeezed = F.regexp_replace(spaced, SPLIT_RE, " ")
     return py_strip(squeezed)

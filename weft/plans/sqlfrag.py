@@ -31,7 +31,7 @@ def hash_split(idexpr: str) -> str:
 
 def words(expr: str) -> str:
     return (f"CAST(len(list_filter(regexp_split_to_array({expr}, '{SPLIT_SQL}'), "
-            f"x -> x <> '')) AS BIGINT)")
+            f"lambda x: x <> '')) AS BIGINT)")
 
 
 def order_key(seed, *cols: str) -> str:
