@@ -165,36 +165,39 @@ def oversample(df: DataFrame, k: int) -> DataFrame:
 
 
 def weighted_interleave(df: DataFrame, source_col: str, order: Sequence[str],
-                        probs: DataFrame, stopping: str = "all_exhausted") -> DataFrame:
-    """mix sources with probabilities (``probs``: source, p).
+                        weights: DataFrame, stopping: str = "all_exhausted") -> DataFrame:
+    """mix sources with probabilities p_i = w_i / sum(w) (``weights``:
+    source, weight as integers).
 
     all_exhausted: N = max(n_i / p_i); source i supplies ceil(N * p_i) rows,
-    cycling through its rows; first_exhausted: N = min(n_i / p_i). Rows are
-    merged by (j + 1) / p_i, then source. Deterministic; the share of each
-    source equals the reference's expected share. Exact decimal arithmetic.
+    cycling through its rows; first_exhausted uses min. Rows are merged by
+    ``mix_key`` = (draw + 1) / p_i, then source. Deterministic, with the
+    reference's expected shares; exact integer arithmetic for the counts:
+    with j the bounding source, ceil(N p_i) = ceil(n_j w_i / w_j).
     """
     counts = df.groupBy(source_col).agg(F.count(F.lit(1)).alias("_n"))
-    p = probs.select(F.col(source_col), F.col("p").cast("decimal(20,10)").alias("_p"))
-    cp = counts.join(p, source_col)
-    ratio = (F.col("_n").cast("decimal(38,10)") / F.col("_p"))
-    agg = F.max if stopping == "all_exhausted" else F.min
-    bound = cp.agg(agg(ratio).alias("_N"))
+    cp = counts.join(weights.select(source_col, F.col("weight").cast("bigint").alias("_w")),
+                     source_col)
+    ratio = F.col("_n").cast("double") / F.col("_w")
+    pick = F.max_by if stopping == "all_exhausted" else F.min_by
+    bound = cp.agg(pick(F.struct(F.col("_n").alias("bn"), F.col("_w").alias("bw")), ratio).alias("_b"),
+                   F.sum("_w").alias("_wsum"))
     plan = (cp.crossJoin(F.broadcast(bound))  # one-row table
-            .withColumn("_m", F.ceil(F.col("_N") * F.col("_p")).cast("bigint")))
-    # Position of each row inside its source, with source offsets from the
-    # small per-source count table (no per-source window).
-    plan = plan.withColumn("_start", F.coalesce(F.sum("_n").over(
-        Window.orderBy(source_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_m", F.expr("(_b.bn * _w + _b.bw - 1) div _b.bw"))
+            .withColumn("_start", F.coalesce(F.sum("_n").over(
+                Window.orderBy(source_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    # Position inside the source = global position - rows of earlier sources
+    # (offsets from the small per-source table, no per-source window).
     idx = global_index(df, [F.col(source_col), *_ord(order)], "_g")
-    rows = (idx.join(F.broadcast(plan.select(source_col, "_n", "_m", "_start", "_p")), source_col)
+    rows = (idx.join(F.broadcast(plan.select(source_col, "_n", "_m", "_start", "_w", "_wsum")),
+                     source_col)
             .withColumn("_k", F.col("_g") - F.col("_start"))
             .filter(F.col("_k") < F.col("_m")))
     reps = F.sequence(F.lit(0), F.floor((F.col("_m") - 1 - F.col("_k")) / F.col("_n")).cast("bigint"))
-    out = (rows.withColumn("_r", F.explode(reps))
-           .withColumn("draw", (F.col("_k") + F.col("_r") * F.col("_n")).cast("bigint"))
-           .withColumn("mix_key", ((F.col("draw") + 1).cast("decimal(38,10)") / F.col("_p"))
-                       .cast("decimal(38,10)")))
-    return out.drop("_g", "_n", "_m", "_start", "_p", "_k", "_r")
+    return (rows.withColumn("_r", F.explode(reps))
+            .withColumn("draw", (F.col("_k") + F.col("_r") * F.col("_n")).cast("bigint"))
+            .withColumn("mix_key", F.round((F.col("draw") + 1) * F.col("_wsum") / F.col("_w"), 6))
+            .drop("_g", "_n", "_m", "_start", "_w", "_wsum", "_k", "_r"))
 
 
 def char_budget(df: DataFrame, order: Sequence[str], chars: str | Column, batch_size: int,

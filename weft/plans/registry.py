@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "audit")
+MODULES = ("corpus", "audit", "ordering", "relational")
 
 
 def _load():
