@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "audit", "ordering", "relational")
+MODULES = ("corpus", "audit", "ordering", "relational", "vectors")
 
 
 def _load():
