@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "audit", "ordering", "relational", "vectors", "text")
+MODULES = ("corpus", "audit", "ordering", "relational", "vectors", "text", "sources")
 
 
 def _load():
