@@ -22,6 +22,10 @@ PY_WHITESPACE = (
     r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# The same whitespace set as literal characters, for trim().
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                       "\u2028\u2029\u202f\u205f\u3000")
 SENTINELS = ("[deleted]", "[removed]", "deleted", "removed")
 SENTINELS_CASE_SENSITIVE = ("[deleted]", "[removed]")
 TEXT_FIELDS = ("title", "selftext", "body", "text", "content")
@@ -37,8 +41,12 @@ def _c(col: str | Column) -> Column:
 
 
 def py_strip(col: str | Column) -> Column:
-    """Python ``str.strip()``: every Unicode whitespace character (trap T1)."""
-    return F.regexp_replace(_c(col), STRIP_RE, "")
+    """Python ``str.strip()``: every Unicode whitespace character (trap T1).
+
+    ``trim`` with an explicit character set only looks at the two ends, so
+    it costs nothing on long texts (a regex would scan them whole).
+    """
+    return F.trim(_c(col), F.lit(PY_WHITESPACE_CHARS))
 
 
 def clean_text(col: str | Column, sentinels: Sequence[str] = SENTINELS,
@@ -46,8 +54,11 @@ def clean_text(col: str | Column, sentinels: Sequence[str] = SENTINELS,
     """B1: strip; sentinel texts and NULL become ''."""
     stripped = py_strip(col)
     key = F.lower(stripped) if casefold else stripped
+    longest = max((len(x) for x in sentinels), default=0)
+    # the length test short-circuits, so long texts are never lower-cased
+    is_sentinel = (F.length(stripped) <= longest) & key.isin(*sentinels) if sentinels else F.lit(False)
     return (F.when(_c(col).isNull(), F.lit(""))
-            .when(key.isin(*sentinels), F.lit(""))
+            .when(is_sentinel, F.lit(""))
             .otherwise(stripped))
 
 
