@@ -9,8 +9,12 @@ most ``block_len`` tokens.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.text import _c
 
@@ -20,12 +24,16 @@ UNK, BOS, EOS, PAD, MASK = range(5)
 BYTE_BASE = len(SPECIALS)
 FIRST_PIECE_ID = BYTE_BASE + 256
 METASPACE = "▁"
-PIECE_RE = rf"\r\n|\r|\n|{METASPACE}?[^{METASPACE}\r\n]+|{METASPACE}"
+# A piece: an optional metaspace and a run of other non-newline characters;
+# else CRLF, a lone CR / LF, or a lone metaspace (possessive: no backtracking).
+PIECE_RE = rf"{METASPACE}?+[^{METASPACE}\r\n]++|\r\n|[\r\n{METASPACE}]"
+PY_PIECE_RE = rf"{METASPACE}?[^{METASPACE}\r\n]+|\r\n|[\r\n{METASPACE}]"
+MAX_VOCAB_BROADCAST = 5_000_000
 
 
 def pieces(text: str | Column) -> Column:
     """K1: spaces -> metaspace; newlines isolated; a metaspace starts a piece."""
-    return F.regexp_extract_all(F.regexp_replace(_c(text), " ", METASPACE), F.lit(PIECE_RE), 0)
+    return F.regexp_extract_all(F.replace(_c(text), F.lit(" "), F.lit(METASPACE)), F.lit(PIECE_RE), 0)
 
 
 def pretoken_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -54,7 +62,45 @@ def byte_ids(piece: Column) -> Column:
 def encode_ids(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
                max_len: int = 4096, add_bos: bool = True) -> DataFrame:
     """K3 (word level): text -> ids; unknown pieces -> byte tokens; <bos>
-    first; cut at ``max_len``. Output (key, input_ids)."""
+    first; cut at ``max_len``. Output (key, input_ids).
+
+    The vocabulary (bounded by the vocabulary size, checked) is broadcast and
+    an Arrow-batched pandas UDF maps pieces to ids, so pieces are never
+    exploded into rows and no shuffle is needed. ``encode_ids_sql`` is the
+    same operator in built-in SQL.
+    """
+    n = vocab.count()
+    if n > MAX_VOCAB_BROADCAST:
+        raise ValueError(f"vocabulary of {n} pieces is too large to broadcast")
+    table = {r["piece"]: int(r["token_id"]) for r in vocab.collect()}
+    bc = df.sparkSession.sparkContext.broadcast(table)
+    rx = re.compile(PY_PIECE_RE)
+    start = [BOS] if add_bos else []
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def enc(texts: pd.Series) -> pd.Series:
+        v = bc.value
+        out = []
+        for t in texts:
+            ids = list(start)
+            for p in rx.findall(t.replace(" ", METASPACE)):
+                i = v.get(p)
+                if i is None:
+                    ids.extend(b + BYTE_BASE for b in p.encode("utf-8"))
+                else:
+                    ids.append(i)
+                if len(ids) >= max_len:
+                    break
+            out.append(ids[:max_len])
+        return pd.Series(out)
+
+    return df.select(key, enc(F.coalesce(F.col(text_col), F.lit(""))).alias("input_ids"))
+
+
+def encode_ids_sql(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
+                   max_len: int = 4096, add_bos: bool = True) -> DataFrame:
+    """K3 in built-in SQL: pieces exploded, broadcast join to the
+    vocabulary, ids gathered back per document in piece order."""
     ex = df.select(key, F.posexplode(pieces(text_col)).alias("pos", "piece"))
     joined = ex.join(F.broadcast(vocab), "piece", "left")
     ids = F.when(F.col("token_id").isNotNull(), F.array(F.col("token_id"))).otherwise(byte_ids(F.col("piece")))
@@ -129,3 +175,48 @@ def previous_token_predictions(ids: str | Column) -> Column:
     previous input token (<bos> first)."""
     c = _c(ids)
     return F.concat(F.array(F.lit(BOS)), F.slice(c, 1, F.size(c) - 1))
+
+
+# ------------------------------------------------------------------ BPE (K2)
+
+_SEP = "\u0001"
+
+
+def _lit_re(s: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in s)
+
+
+def bpe_merges(counts: DataFrame, num_merges: int, min_frequency: int = 2,
+               checkpoint_every: int = 5) -> DataFrame:
+    """K2: byte-pair merges learned from a (piece, n) count table.
+
+    Each round counts adjacent symbol pairs weighted by piece counts (one
+    aggregate over the distinct pieces, not the text), takes the most
+    frequent pair (ties by the pair's symbols) and merges it left to right
+    without overlaps. At most ``num_merges`` rounds; stops early when no pair
+    reaches ``min_frequency``. Output (rank, left, right, count).
+    """
+    from weft.session import cut_lineage
+    spark = counts.sparkSession
+    chars = F.regexp_extract_all(F.col("piece"), F.lit("(?s)."), 0)
+    words = counts.select(F.concat(F.lit(_SEP), F.array_join(chars, _SEP), F.lit(_SEP)).alias("w"), "n")
+    words = cut_lineage(words)  # the compact (piece, count) table, not the text, is iterated
+    merges = []
+    for r in range(num_merges):
+        sym = F.split(F.expr(f"substring(w, 2, length(w) - 2)"), _SEP)
+        pairs = (words.select("n", sym.alias("s"))
+                 .select("n", F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"),
+                                                      F.slice("s", 2, F.size("s") - 1).alias("b"))).alias("p"))
+                 .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c")))
+        best = (pairs.filter(F.col("c") >= min_frequency)
+                .orderBy(F.desc("c"), F.asc("a"), F.asc("b")).limit(1).collect())
+        if not best:
+            break
+        a, b, c = best[0]["a"], best[0]["b"], int(best[0]["c"])
+        merges.append((r + 1, a, b, c))
+        pat = f"{_SEP}{_lit_re(a)}{_SEP}{_lit_re(b)}(?={_SEP})"
+        rep = (_SEP + a + b).replace("\\", "\\\\").replace("$", "\\$")
+        words = words.withColumn("w", F.regexp_replace("w", pat, rep))
+        if checkpoint_every and (r + 1) % checkpoint_every == 0:
+            words = cut_lineage(words)
+    return spark.createDataFrame(merges, "rank int, left string, right string, count long")

@@ -161,3 +161,67 @@ SELECT source, doc_id, CAST(round AS BIGINT) AS round FROM r
 ORDER BY round, source
 LIMIT (SELECT CAST(floor(count(*) * 0.4) AS BIGINT) FROM documents)
 """
+
+
+def counts_by_source_split(spark, sf):
+    """Rows per (source, split) of the whole de-duplicated corpus."""
+    from weft.functions.hashing import hash_split
+    rows = C.prepare_corpus_rows(table(spark, sf, "documents"))
+    return C.counts_by_source_split(rows.withColumn("split", hash_split("id")))
+
+
+QUERIES["counts_by_source_split"] = counts_by_source_split
+ORACLE["counts_by_source_split"] = f"""
+WITH {S.CORPUS_ROWS} SELECT source, {S.hash_split('id')} AS split, count(*) AS n FROM corpus_rows GROUP BY 1, 2
+"""
+
+
+def hash_split(spark, sf):
+    """2 % validation by the first 64 bits of each conversation turn's id."""
+    c = table(spark, sf, "conversations")
+    rid = H.stable_row_id(F.col("role"), F.coalesce("text", F.lit("")))
+    return c.select("conv_id", "turn", H.hash_split(rid).alias("split"))
+
+
+QUERIES["hash_split"] = hash_split
+ORACLE["hash_split"] = f"""
+SELECT conv_id, turn, {S.hash_split(S.row_id('role', "coalesce(text, '')"))} AS split FROM conversations
+"""
+
+
+def cache_key(spark, sf):
+    """Translation-cache keys of benchmark items and page urls."""
+    b = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("dataset"), F.col("item_id").alias("id"),
+                                             H.cache_key(F.lit("benchmark"), "text").alias("cache_key"))
+    p = table(spark, sf, "pages").select(F.lit("pages").alias("dataset"), F.col("page_id").alias("id"),
+                                         H.cache_key(F.lit("pages"), "url").alias("cache_key"))
+    return b.unionByName(p)
+
+
+QUERIES["cache_key"] = cache_key
+ORACLE["cache_key"] = f"""
+SELECT 'benchmark' AS dataset, item_id AS id, {S.row_id("'benchmark'", 'text')} AS cache_key FROM benchmark
+UNION ALL SELECT 'pages', page_id, {S.row_id("'pages'", 'url')} FROM pages
+"""
+
+
+def text_hash_split(spark, sf):
+    """B7 (default): 2 % hold-out by SHA-256 of the conversation text alone."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", H.text_hash_split(F.coalesce("text", F.lit(""))).alias("split"))
+
+
+QUERIES["text_hash_split"] = text_hash_split
+ORACLE["text_hash_split"] = f"""
+SELECT conv_id, turn, CASE WHEN {S.hex_mod100("sha256(coalesce(text, ''))")} < 2 THEN 'eval' ELSE 'train' END AS split
+FROM conversations
+"""
+
+
+def text_hash_split_exact(spark, sf):
+    """B7 (exact): BLAKE2b-64 of the text, as the reference computes it (Arrow UDF)."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", H.text_hash_split(F.coalesce("text", F.lit("")), exact=True).alias("split"))
+
+
+QUERIES["text_hash_split_exact"] = text_hash_split_exact  # no BLAKE2b in DuckDB: rows-only; tests use hashlib

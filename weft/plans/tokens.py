@@ -159,3 +159,12 @@ WITH p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS d
 i AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM p)
 SELECT 'q' || i AS qid, 'd' || i AS did, sha256(q) AS query, sha256(d) AS document FROM i
 """
+
+
+def bpe_vocab(spark, sf):
+    """K2: 20 byte-pair merges learned from the pre-token counts of all documents."""
+    d = table(spark, sf, "documents").select(clean_text("text").alias("text"))
+    return K.bpe_merges(K.pretoken_counts(d, "text"), 20)
+
+
+QUERIES["bpe_vocab"] = bpe_vocab  # iterative: rows-only; tests compare with a Python loop

@@ -569,3 +569,24 @@ def select_metrics(spark, sf):
 QUERIES["select_metrics"] = select_metrics
 ORACLE["select_metrics"] = (f"WITH {_MODEL_PAIRS}, {ir_sql('mpairs', 'model')} SELECT * FROM ir "
                             f"WHERE metric IN {MAIN_METRICS}")
+
+
+def embed_text(spark, sf):
+    """H1: documents with the 'passage: ' prompt -> 64-d signed feature-hashing vectors."""
+    from weft.operators.embed import hashed_embedding
+    return hashed_embedding(table(spark, sf, "documents"), "doc_id", "text", 64, prompt="passage: ")
+
+
+QUERIES["embed_text"] = embed_text
+_WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ORACLE["embed_text"] = f"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower('passage: ' || coalesce(text, '')), '{_WS}'),
+                                             lambda x: x <> '')) AS w FROM documents),
+h AS (SELECT doc_id, sha256(w) AS h FROM w),
+s AS (SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::UBIGINT % 64 AS INTEGER) AS b,
+             CAST(sum(CASE WHEN ('0x' || substr(h, 9, 1))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v
+      FROM h GROUP BY doc_id, b),
+p AS (SELECT doc_id, list(struct_pack(b := b, v := v)) AS pairs FROM s GROUP BY doc_id)
+SELECT d.doc_id, list_transform(range(0, 64), lambda i: coalesce(list_filter(p.pairs, lambda q: q.b = i)[1].v, 0.0)) AS embedding
+FROM documents d LEFT JOIN p USING (doc_id)
+"""
