@@ -77,17 +77,17 @@ def test_parse_response_reasons(spark):
     assert [t["translation"] for t in out[0]["r"]["translations"]] == ["A", "B"]
 
 
-class Flaky:
-    """Fails the first call for every batch, then answers."""
-    def __init__(self):
-        self.seen = set()
+def make_flaky():
+    """A client that fails the first call for every batch, then answers."""
+    seen = set()
 
-    def __call__(self, texts):
+    def flaky(texts):
         key = tuple(texts)
-        if key not in self.seen:
-            self.seen.add(key)
+        if key not in seen:
+            seen.add(key)
             raise RuntimeError("transient")
         return [t.upper() for t in texts]
+    return flaky
 
 
 def test_apply_batches_retry_halving_and_fallback(spark):
@@ -105,7 +105,7 @@ def test_apply_batches_retry_halving_and_fallback(spark):
     out = {r["cache_key"]: r for r in L.apply_batches(df, [picky, never], retries=0).collect()}
     assert out["k0"]["translated_text"] == "t0!" and out["k4"]["translated_text"] == "t4!"
     assert out["k5"]["translated_text"] is None and "down" in out["k5"]["error"]
-    flaky = {r["cache_key"]: r for r in L.apply_batches(df, [Flaky()], retries=1, backoff=0.0).collect()}
+    flaky = {r["cache_key"]: r for r in L.apply_batches(df, [make_flaky()], retries=1, backoff=0.0).collect()}
     assert all(r["translated_text"] == r["cache_key"].replace("k", "T") for r in flaky.values())
 
 

@@ -222,10 +222,80 @@ def _reduce_partials(parts: DataFrame) -> DataFrame:
     return parts.groupBy("_cat", "restart", "cluster").applyInPandas(red, _PART_SCHEMA)
 
 
+_M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finalizer on uint64 arrays (wrapping arithmetic)."""
+    with np.errstate(over="ignore"):
+        z = x + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+_SEED_SCHEMA = T.StructType([
+    T.StructField("_cat", T.StringType()), T.StructField("restart", T.IntegerType()),
+    T.StructField("score", T.DoubleType()), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+
+
+def _seed_round(chosen: dict, restarts: int, rnd: int, seed: int):
+    """One k-means++ draw per (category, restart): weighted reservoir key
+    log(u) / D^2 (D = distance to the nearest chosen centroid, 1 when none),
+    best key per partition; a later max picks the global draw."""
+    def run(it):
+        for pdf in it:
+            rows = []
+            for c, g in pdf.groupby("_cat", sort=False):
+                x = np.stack(g["_v"].to_numpy())
+                h0 = g["_kh"].to_numpy().astype(np.uint64)
+                for r in range(restarts):
+                    u = (_mix64(h0 ^ _mix64(np.full(len(h0), seed * 1_000_003 + r * 1009 + rnd, np.uint64)))
+                         >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+                    u = np.clip(u, 1e-300, 1.0)
+                    cc = chosen.get((c, r))
+                    d2 = np.ones(len(x)) if cc is None else ((x[:, None, :] - cc[None]) ** 2).sum(axis=2).min(axis=1)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(d2 > 0, np.log(u) / d2, -np.inf)
+                    i = int(np.argmax(key))
+                    if np.isfinite(key[i]):
+                        rows.append((c, r, float(key[i]), x[i].tolist()))
+            yield pd.DataFrame(rows, columns=["_cat", "restart", "score", "_v"])
+    return run
+
+
+def _kmeanspp_seed(d: DataFrame, k: int, restarts: int, seed: int) -> dict:
+    """k-means++ seeding for every (category, restart) at once: k passes,
+    each keeping one candidate per partition and group (bounded)."""
+    spark = d.sparkSession
+    dk = d.withColumn("_kh", F.xxhash64(F.col("_key").cast("string")))
+    chosen: dict = {}
+    for rnd in range(k):
+        bc = spark.sparkContext.broadcast(chosen)
+        cand = dk.mapInPandas(_seed_round(bc.value, restarts, rnd, seed), _SEED_SCHEMA)
+        best = cand.groupBy("_cat", "restart").agg(F.max_by("_v", "score").alias("_v")).collect()
+        bc.unpersist()
+        if best:
+            dim = len(best[0]["_v"])
+            n_cats = len({r["_cat"] for r in best})
+            if n_cats * restarts * k * dim > MAX_CENTROID_FLOATS:
+                raise ValueError("centroid table too large to broadcast; use fewer categories or restarts")
+        for r in best:
+            v = np.asarray(r["_v"])[None, :]
+            key = (r["_cat"], r["restart"])
+            chosen[key] = v if key not in chosen else np.vstack([chosen[key], v])
+    cents: dict = {}
+    for (c, r), v in chosen.items():
+        arr = cents.setdefault(c, np.zeros((restarts, k, v.shape[1])))
+        arr[r, :len(v)] = v
+        arr[r, len(v):] = v[-1]  # fewer distinct points than k: repeat the last
+    return cents
+
+
 def grouped_kmeans(df: DataFrame, cat: str, key: str, vec: str, k: int = 5, restarts: int = 20,
                    iters: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """K-means inside every category at once, ``restarts`` seeded
-    starts, a fixed number of Lloyd rounds; the restart with the lowest
+    """K-means inside every category at once, ``restarts`` k-means++
+    seeded starts, a fixed number of Lloyd rounds; the restart with the lowest
     inertia wins per category. Returns (rows with ``cluster``, per
     (category, restart) inertia).
 
@@ -236,18 +306,7 @@ def grouped_kmeans(df: DataFrame, cat: str, key: str, vec: str, k: int = 5, rest
     spark = df.sparkSession
     d = df.select(F.col(cat).cast("string").alias("_cat"), F.col(key).alias("_key"),
                   as_double(vec).alias("_v"))
-    starts = d.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    starts = starts.withColumn("_h", _hash_unit(F.lit(str(seed)), F.col("restart").cast("string"),
-                                                F.col("_key").cast("string")))
-    init = first_n_per_group(starts, ["_cat", "restart"], ["_h", "_key"], k, rank_col="_rk")
-    rows = init.select("_cat", "restart", (F.col("_rk") - 1).alias("cluster"), "_v").collect()
-    dim = len(rows[0]["_v"]) if rows else 0
-    n_cats = len({r["_cat"] for r in rows})
-    if n_cats * restarts * k * dim > MAX_CENTROID_FLOATS:
-        raise ValueError("centroid table too large to broadcast; use fewer categories or restarts")
-    cents: dict = {}
-    for r in rows:
-        cents.setdefault(r["_cat"], np.zeros((restarts, k, dim)))[r["restart"], r["cluster"]] = r["_v"]
+    cents = _kmeanspp_seed(d, k, restarts, seed)
     inertia = None
     for _ in range(iters):
         bc = spark.sparkContext.broadcast(cents)

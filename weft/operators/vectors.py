@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 
 BLOCK_Q = 1024
 BLOCK_D = 4096
+# Scores recomputed in another block layout may differ in the last bits;
+# "strictly above" means above by more than this.
+TIE_EPS = 1e-12
 
 
 def _c(col: str | Column) -> Column:
@@ -107,7 +110,7 @@ def _split_sides(pdf: pd.DataFrame):
 
 
 def _block_fn(mode: str, k: int, exclude_self: bool, keys: Sequence[str]):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q, d, qv, dv = _split_sides(pdf)
         if len(q) == 0 or len(d) == 0:
             return pd.DataFrame({c: [] for c in out_cols})
@@ -140,7 +143,7 @@ def _block_fn(mode: str, k: int, exclude_self: bool, keys: Sequence[str]):
             out = pd.DataFrame({"qid": qid[ok], "value": best[ok]})
         else:  # count_above
             thr = q["_thr"].to_numpy()[:, None]
-            out = pd.DataFrame({"qid": qid, "value": (s > thr).sum(axis=1).astype("float64")})
+            out = pd.DataFrame({"qid": qid, "value": (s > thr + TIE_EPS).sum(axis=1).astype("float64")})
         for c in keys:
             out[c] = kv[c]
         return out[out_cols]

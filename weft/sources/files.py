@@ -43,10 +43,12 @@ def scan_ndjson(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
 
 
 def scan_ndjson_audit(spark: SparkSession, paths: str | Sequence[str],
-                      schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+                      schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """A2: parse line by line; return (good rows, bad lines with file and raw
     text). Reading lines as text and parsing with ``from_json`` keeps the
     raw line and its file for every failure."""
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     lines = (spark.read.text(paths)
              .select(F.col("value"), F.col("_metadata.file_path").alias("file"))
