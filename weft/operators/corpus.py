@@ -145,7 +145,9 @@ def round_robin_quota(rows: DataFrame, group: str, order: Sequence[str], total:
     Row r of group g is picked in round r, so the pick order is (r, group
     index) and only the first ``total`` rows of that order survive. A row
     with r > total can never be picked, so each group contributes at most
-    ``total`` candidates (bounded two-stage limit), then one ordered take.
+    ``total`` candidates (bounded two-stage limit). Rows per round (a table
+    of at most ``total`` rows) give how many each round may still add;
+    inside a round rows are ranked by group index (one row per group).
     """
     idx = group_index or group
     ranked = first_n_per_group(rows, group, list(order), total, rank_col="round")

@@ -48,11 +48,8 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence[str]) -> Da
 
 
 def stack_fields(df: DataFrame, fields: Sequence[str], id_col: str | None = None) -> DataFrame:
-    """Unpivot text fields to (field, text)."""
-    ids = [id_col] if id_col else []
-    return df.unpivot(ids or None, list(fields), "field", "text") if ids else \
-        df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"))
-                                      for f in fields])).alias("_s")).select("_s.*")
+    """Unpivot text fields to ([id], field, text)."""
+    return df.unpivot([id_col] if id_col else [], list(fields), "field", "text")
 
 
 def length_summary(lengths: DataFrame, decimals: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ method equals the reference's while the drawn numbers differ.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -84,21 +85,30 @@ def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], tar
     hash order form the candidate; score = |rows - target| / total + sum
     over dims of TV(candidate, all rows); best by (score, |rows - target|,
     seed). ``share`` = target / rows, a share of groups as in a group
-    shuffle split. Work is (seed x group) and (seed x dim x value) rows."""
-    n_rows = df.count()
-    gcounts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_rows"))
+    shuffle split.
+
+    The rows are aggregated once into (group, dimension values) cells and
+    checkpointed; every later step reads the cells, never the rows. Work is
+    (seed x group) and (seed x dimension value).
+    """
+    from weft.session import cut_lineage
+    cells = cut_lineage(df.groupBy(group_col, *dims).agg(F.count(F.lit(1)).alias("_n")))
+    n_rows = cells.agg(F.sum("_n")).first()[0]
+    gcounts = cells.groupBy(group_col).agg(F.sum("_n").alias("_rows"))
     n_groups = gcounts.count()
     n_valid = math.ceil((target_rows / n_rows) * n_groups)
     seeded = gcounts.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     seeded = seeded.withColumn("_h", _hash_unit(F.col("seed").cast("string"), F.col(group_col).cast("string")))
-    chosen = first_n_per_group(seeded, "seed", ["_h"], n_valid).select("seed", group_col, "_rows")
+    # (seed, group) picks: read by two branches, so materialized once
+    chosen = cut_lineage(first_n_per_group(seeded, "seed", ["_h"], n_valid).select("seed", group_col, "_rows"))
     size = chosen.groupBy("seed").agg(F.sum("_rows").alias("valid_rows"))
-    whole = marginals(df, dims)
     gdv = None
     for d in dims:
-        part = df.groupBy(group_col, F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) \
-            .agg(F.count(F.lit(1)).alias("_n"))
+        part = cells.groupBy(group_col, F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) \
+            .agg(F.sum("_n").alias("_n"))
         gdv = part if gdv is None else gdv.unionByName(part)
+    whole = gdv.groupBy("dimension", "value").agg(F.sum("_n").alias("_n"))
+    whole = whole.withColumn("p", F.col("_n") / F.sum("_n").over(Window.partitionBy("dimension"))).drop("_n")
     cand = (chosen.join(gdv, group_col).groupBy("seed", "dimension", "value").agg(F.sum("_n").alias("_n"))
             .join(size, "seed").withColumn("p", F.col("_n") / F.col("valid_rows")).drop("_n", "valid_rows"))
     grid = whole.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
@@ -147,32 +157,74 @@ def split_invariants(df: DataFrame, split_col: str, dims: Sequence[str], expecte
     return bad_counts.unionByName(missing).unionByName(bad_test)
 
 
+def _perm_partials(n_perm: int):
+    """Per partition and category: sums of the held-out rows, of all rows,
+    and of each permutation's selected rows (each row lists the
+    permutations that select it)."""
+    def run(it):
+        acc: dict = {}
+        for pdf in it:
+            for c, g in pdf.groupby("_cat", sort=False):
+                x = np.stack(g["_v"].to_numpy())
+                m = acc.get(c)
+                if m is None:
+                    m = acc[c] = np.zeros((n_perm + 2, x.shape[1]))
+                held = g["_held"].to_numpy().astype(bool)
+                m[0] += x[held].sum(axis=0)
+                m[1] += x.sum(axis=0)
+                lists = g["perms"].to_numpy()
+                rows = np.concatenate([np.full(len(p), i) for i, p in enumerate(lists) if p is not None and len(p)]
+                                      or [np.zeros(0, int)]).astype(int)
+                perms = np.concatenate([np.asarray(p, dtype=int) for p in lists if p is not None and len(p)]
+                                       or [np.zeros(0, int)])
+                np.add.at(m, perms + 2, x[rows])
+        out = [(c, i - 2, m[i].tolist()) for c, m in acc.items() for i in range(m.shape[0])]
+        yield pd.DataFrame(out, columns=["_cat", "perm", "s"])
+    return run
+
+
+_PERM_SCHEMA = T.StructType([T.StructField("_cat", T.StringType()), T.StructField("perm", T.IntegerType()),
+                             T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+
 def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_perm: int,
                      seed: int = 0) -> DataFrame:
     """observed = mean over categories of the cosine distance between
     the mean vectors of held-out and other rows; each permutation picks, per
     category, as many rows as are held out (smallest seeded hashes).
-    Mean vectors only matter up to scale, so sums are compared: selected sum
-    against category sum minus selected sum. Returns one row."""
-    d = df.select(cat, key, as_double(vec).alias("_v"), F.col(held).cast("boolean").alias("_held"))
-    ex = d.select(cat, key, "_held", F.posexplode("_v").alias("_pos", "_x"))
-    tot = ex.groupBy(cat, "_pos").agg(F.sum("_x").alias("_t"))
-    sizes = d.groupBy(cat).agg(F.count_if("_held").alias("_m"))
+
+    Draws use key hashes alone (two-stage per-group limit); each row then
+    carries the list of permutations that drew it, and every partition adds
+    its vectors into per-(category, permutation) sums, emitting only those
+    partial sums. Means matter only up to scale, so sums are compared:
+    selected against total minus selected.
+    """
+    from weft.session import cut_lineage
+    # read by three passes (sizes, thresholds, sums): materialized once
+    d = cut_lineage(df.select(F.col(cat).cast("string").alias("_cat"), F.col(key).cast("string").alias("_k"),
+                              as_double(vec).alias("_v"), F.col(held).cast("boolean").alias("_held")))
+    sizes = d.groupBy("_cat").agg(F.count_if("_held").alias("_m"))
     max_m = sizes.agg(F.max("_m")).first()[0] or 0  # one scalar
+    perm = d.select("_cat", "_k").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    perm = perm.withColumn("_h", _hash_unit(F.lit(str(seed)), F.col("perm").cast("string"), F.col("_k"))) \
+        .join(F.broadcast(sizes), "_cat")
+    chosen = first_n_per_group(perm, ["perm", "_cat"], ["_h"], F.col("_m"), max_n=max(int(max_m), 1))
+    # per row, the permutations that select it (at most n_perm values)
+    picks = chosen.groupBy("_cat", "_k").agg(F.collect_list("perm").alias("perms"))
+    rows = d.join(picks, ["_cat", "_k"], "left")
 
-    def dist(sel: DataFrame, keys: Sequence[str]) -> DataFrame:
-        s = sel.groupBy(*keys, cat, "_pos").agg(F.sum("_x").alias("_s")).join(tot, [cat, "_pos"])
-        return s.groupBy(*keys, cat).agg(
-            (1 - F.sum(F.col("_s") * (F.col("_t") - F.col("_s")))
-             / (F.sqrt(F.sum(F.col("_s") ** 2)) * F.sqrt(F.sum((F.col("_t") - F.col("_s")) ** 2)))).alias("_d"))
-
-    obs = dist(ex.filter("_held"), []).agg(F.avg("_d").alias("observed_shift"))
-    perm = d.select(cat, key).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    perm = perm.withColumn("_h", _hash_unit(F.lit(str(seed)), F.col("perm").cast("string"),
-                                            F.col(key).cast("string"))).join(F.broadcast(sizes), cat)
-    chosen = first_n_per_group(perm, ["perm", cat], ["_h"], F.col("_m"), max_n=max(int(max_m), 1))
-    sel = chosen.select("perm", cat, key).join(ex, [cat, key])
-    per = dist(sel, ["perm"]).groupBy("perm").agg(F.avg("_d").alias("_shift"))
+    def red(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["_cat"].iloc[0], int(pdf["perm"].iloc[0]),
+                              np.stack(pdf["s"].to_numpy()).sum(axis=0).tolist())], columns=list(pdf.columns))
+
+    sums = (rows.mapInPandas(_perm_partials(n_perm), _PERM_SCHEMA)
+            .groupBy("_cat", "perm").applyInPandas(red, _PERM_SCHEMA))
+    tot = sums.filter(F.col("perm") == -1).select("_cat", F.col("s").alias("_t"))
+    sel = sums.filter(F.col("perm") != -1).join(tot, "_cat")
+    rest = F.zip_with("_t", "s", lambda t, x: t - x)
+    dist = sel.select("_cat", "perm", (1 - cosine(F.col("s"), rest)).alias("_d"))
+    obs = dist.filter(F.col("perm") == -2).agg(F.avg("_d").alias("observed_shift"))
+    per = dist.filter(F.col("perm") >= 0).groupBy("perm").agg(F.avg("_d").alias("_shift"))
     return (per.crossJoin(obs)  # one-row observed table
             .agg(F.first("observed_shift").alias("observed_shift"),
                  F.avg("_shift").alias("random_mean"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.text import _c
+from weft.session import spread
 
 # Special tokens in id order, then 256 byte tokens <0x00>..<0xFF>.
 SPECIALS = ("<unk>", "<bos>", "<eos>", "<pad>", "<mask>")
@@ -38,7 +39,7 @@ def pieces(text: str | Column) -> Column:
 
 def pretoken_counts(df: DataFrame, text_col: str) -> DataFrame:
     """K1: count of every piece (partial aggregate per piece)."""
-    return (df.select(F.explode(pieces(text_col)).alias("piece"))
+    return (spread(df.select(text_col)).select(F.explode(pieces(text_col)).alias("piece"))
             .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -94,7 +95,8 @@ def encode_ids(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
             out.append(ids[:max_len])
         return pd.Series(out)
 
-    return df.select(key, enc(F.coalesce(F.col(text_col), F.lit(""))).alias("input_ids"))
+    return spread(df.select(key, text_col)).select(
+        key, enc(F.coalesce(F.col(text_col), F.lit(""))).alias("input_ids"))
 
 
 def encode_ids_sql(df: DataFrame, key: str, text_col: str, vocab: DataFrame,

@@ -8,8 +8,6 @@ normalized first line as the group and (lang, source) as dimensions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import hex64_mod
@@ -250,4 +248,3 @@ def grouped_kmeans(spark, sf):
 
 QUERIES["grouped_kmeans"] = grouped_kmeans  # iterative: rows-only; tests check the invariants
 
-del math

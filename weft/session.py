@@ -66,6 +66,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame over the cluster's cores when it has fewer
+    partitions than cores (e.g. one large file with a single row group)
+    before CPU-heavy per-row work. A no-op on inputs that are already split
+    wider than the cluster, so it adds no shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
