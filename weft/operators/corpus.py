@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.hashing import hash_split, stable_row_id
 from weft.functions.text import clean_text
+from weft.session import cut_lineage
 
 # Salt buckets for per-group limits: a hot group is spread over this many
 # tasks in the first stage, then at most n rows per bucket meet in stage two.
@@ -150,7 +151,8 @@ def round_robin_quota(rows: DataFrame, group: str, order: Sequence[str], total:
     inside a round rows are ranked by group index (one row per group).
     """
     idx = group_index or group
-    ranked = first_n_per_group(rows, group, list(order), total, rank_col="round")
+    # at most total x groups rows, read by two branches: materialized once
+    ranked = cut_lineage(first_n_per_group(rows, group, list(order), total, rank_col="round"))
     # Rows per round (<= total rows): how many each round may still give.
     per_round = ranked.groupBy("round").agg(F.count(F.lit(1)).alias("_k"))
     before = F.sum("_k").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
@@ -177,7 +179,8 @@ def prepare_corpus_rows(docs: DataFrame, text_col: str = "text", source_col: str
 def build_corpus(docs: DataFrame, share: float = 0.6, max_quota: int = 1_000_000) -> DataFrame:
     """Entry slice: documents -> clean -> id -> dedup -> quota per source
     (largest remainder of share*rows by source size) -> hash split."""
-    rows = prepare_corpus_rows(docs)
+    # read twice (sizes, then the take): written once instead of de-duplicating twice
+    rows = cut_lineage(prepare_corpus_rows(docs))
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     total = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(share))
     quotas = quota_largest_remainder(sizes, total, "n", "source")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import hashing as H
 from weft.operators import corpus as C
 from weft.plans import sqlfrag as S
-from weft.session import table
+from weft.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -124,7 +124,7 @@ UNION ALL SELECT source, CAST(quota AS BIGINT) AS quota FROM sh3
 
 def take_quota(spark, sf):
     """first 30 % of every source's unique rows (largest remainder), by doc_id."""
-    rows = C.prepare_corpus_rows(table(spark, sf, "documents"))
+    rows = cut_lineage(C.prepare_corpus_rows(table(spark, sf, "documents")))  # read twice
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     quotas = sizes.withColumn("quota", F.floor(F.col("n") * 0.3).cast("bigint"))
     picked = C.take_quota(rows, quotas, "source", ["doc_id"], max_quota=1_000_000)
