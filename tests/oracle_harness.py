@@ -60,6 +60,32 @@ def _rows(cols, rows):
     return sorted(out, key=repr)
 
 
+_SPARK_KIND = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8", "double": "float64",
+               "float": "float32", "string": "string", "boolean": "bool"}
+_DUCK_KIND = {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+              "FLOAT": "float32", "VARCHAR": "string", "BOOLEAN": "bool", "HUGEINT": "int128", "UBIGINT": "uint64"}
+
+
+def _kind(t: str, table: dict) -> str:
+    t = str(t)
+    for k, v in table.items():
+        if t == k:
+            return v
+    if t.startswith("array<") or t.endswith("[]"):
+        inner = t[6:-1] if t.startswith("array<") else t[:-2]
+        return "list<" + _kind(inner, table) + ">"
+    if t.startswith("decimal") or t.startswith("DECIMAL"):
+        return "decimal"
+    return t
+
+
+def type_diffs(sdf, cur) -> list:
+    """Columns whose Spark and DuckDB types differ (after name sorting)."""
+    st = {f.name: _kind(f.dataType.simpleString(), _SPARK_KIND) for f in sdf.schema.fields}
+    dt = {d[0]: _kind(d[1], _DUCK_KIND) for d in cur.description}
+    return [(c, st[c], dt.get(c)) for c in sorted(st) if st[c] != dt.get(c)]
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -72,6 +98,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return res
     cur = con.execute(sql)
     dcols = [d[0] for d in cur.description]
+    res["type_diffs"] = type_diffs(sdf, cur)
     drows = cur.fetchall()
     res["duck_rows"] = len(drows)
     if sorted(scols) != sorted(dcols):

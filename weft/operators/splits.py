@@ -32,6 +32,12 @@ def _hash_unit(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
+def _hash_prefix(h: str) -> Column:
+    """First 60 bits of a hex digest as a non-negative bigint: sorts like the
+    digest string, but as a long (the digest itself breaks the rare ties)."""
+    return F.conv(F.substring(F.col(h), 1, 15), 16, 10).cast("bigint")
+
+
 def cluster_summary(df: DataFrame, cat: str, cluster: str, vec: str) -> DataFrame:
     """Rows, share of the category, and isolation (1 - max cosine to
     another centroid of the same category) per (category, cluster)."""
@@ -99,8 +105,13 @@ def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], tar
     n_valid = math.ceil((target_rows / n_rows) * n_groups)
     seeded = gcounts.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     seeded = seeded.withColumn("_h", _hash_unit(F.col("seed").cast("string"), F.col(group_col).cast("string")))
+    seeded = seeded.withColumn("_hk", _hash_prefix("_h"))
+    # Every seed ranks each group exactly once: balanced windows of n_groups
+    # rows (use hash buckets of groups as the unit when groups are very many).
+    w = Window.partitionBy("seed").orderBy("_hk", "_h")
+    ranked = seeded.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_valid)
     # (seed, group) picks: read by two branches, so materialized once
-    chosen = cut_lineage(first_n_per_group(seeded, "seed", ["_h"], n_valid).select("seed", group_col, "_rows"))
+    chosen = cut_lineage(ranked.select("seed", group_col, "_rows"))
     size = chosen.groupBy("seed").agg(F.sum("_rows").alias("valid_rows"))
     gdv = None
     for d in dims:
@@ -207,8 +218,8 @@ def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_p
     max_m = sizes.agg(F.max("_m")).first()[0] or 0  # one scalar
     perm = d.select("_cat", "_k").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     perm = perm.withColumn("_h", _hash_unit(F.lit(str(seed)), F.col("perm").cast("string"), F.col("_k"))) \
-        .join(F.broadcast(sizes), "_cat")
-    chosen = first_n_per_group(perm, ["perm", "_cat"], ["_h"], F.col("_m"), max_n=max(int(max_m), 1))
+        .withColumn("_hk", _hash_prefix("_h")).join(F.broadcast(sizes), "_cat")
+    chosen = first_n_per_group(perm, ["perm", "_cat"], ["_hk", "_h"], F.col("_m"), max_n=max(int(max_m), 1))
     # per row, the permutations that select it (at most n_perm values)
     picks = chosen.groupBy("_cat", "_k").agg(F.collect_list("perm").alias("perms"))
     rows = d.join(picks, ["_cat", "_k"], "left")

@@ -77,10 +77,10 @@ def null_empty_counts(spark, sf):
 
 QUERIES["null_empty_counts"] = null_empty_counts
 ORACLE["null_empty_counts"] = """
-SELECT 'conv_id' AS "column", count_if(conv_id IS NULL) AS nulls, CAST(0 AS BIGINT) AS empty FROM conversations
-UNION ALL SELECT 'turn', count_if(turn IS NULL), 0 FROM conversations
-UNION ALL SELECT 'role', count_if(role IS NULL), count_if(role = '') FROM conversations
-UNION ALL SELECT 'text', count_if(text IS NULL), count_if(text = '') FROM conversations
+SELECT 'conv_id' AS "column", CAST(count_if(conv_id IS NULL) AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS empty FROM conversations
+UNION ALL SELECT 'turn', CAST(count_if(turn IS NULL) AS BIGINT), 0 FROM conversations
+UNION ALL SELECT 'role', CAST(count_if(role IS NULL) AS BIGINT), CAST(count_if(role = '') AS BIGINT) FROM conversations
+UNION ALL SELECT 'text', CAST(count_if(text IS NULL) AS BIGINT), CAST(count_if(text = '') AS BIGINT) FROM conversations
 """
 
 
@@ -116,7 +116,7 @@ def label_collision(spark, sf):
 QUERIES["label_collision"] = label_collision
 ORACLE["label_collision"] = f"""
 WITH {QA_ROWS_SQL}
-SELECT category, count_if(document IN (negative1, negative2, negative3)) AS collisions,
+SELECT category, CAST(count_if(document IN (negative1, negative2, negative3)) AS BIGINT) AS collisions,
        count(*) AS rows FROM qa_rows GROUP BY 1
 """
 
@@ -181,9 +181,9 @@ def integrity_report(spark, sf):
 QUERIES["integrity_report"] = integrity_report
 ORACLE["integrity_report"] = f"""
 WITH {QA_ROWS_SQL},
-r AS (SELECT count(*) AS rows, count_if(query IS NULL OR query = '') AS empty_queries,
-             count_if(document IN (negative1, negative2, negative3)) AS positive_in_negatives,
-             count_if(len(list_distinct([document, negative1, negative2, negative3])) < 4) AS repeated_candidates,
+r AS (SELECT count(*) AS rows, CAST(count_if(query IS NULL OR query = '') AS BIGINT) AS empty_queries,
+             CAST(count_if(document IN (negative1, negative2, negative3)) AS BIGINT) AS positive_in_negatives,
+             CAST(count_if(len(list_distinct([document, negative1, negative2, negative3])) < 4) AS BIGINT) AS repeated_candidates,
              count(*) - count(DISTINCT query) AS duplicate_query_rows,
              count(*) - count(DISTINCT row_id) AS duplicate_row_ids FROM qa_rows)
 SELECT 'rows' AS "check", CAST(rows AS BIGINT) AS count FROM r
@@ -252,9 +252,9 @@ ORACLE["pivot_counts"] = f"""
 WITH {QA_ROWS_SQL},
 st AS (SELECT 'query' AS field, query AS text FROM qa_rows UNION ALL SELECT 'document', document FROM qa_rows),
 c AS (SELECT field, {_SCRIPT_SQL} AS script FROM st)
-SELECT field, count_if(script = 'Devanagari + Latin') AS Devanagari_Latin,
-       count_if(script = 'Devanagari only') AS Devanagari_only,
-       count_if(script = 'Latin only') AS Latin_only, count_if(script = 'Other') AS Other
+SELECT field, CAST(count_if(script = 'Devanagari + Latin') AS BIGINT) AS Devanagari_Latin,
+       CAST(count_if(script = 'Devanagari only') AS BIGINT) AS Devanagari_only,
+       CAST(count_if(script = 'Latin only') AS BIGINT) AS Latin_only, CAST(count_if(script = 'Other') AS BIGINT) AS Other
 FROM c GROUP BY field
 """
 
@@ -268,7 +268,7 @@ def crosstab(spark, sf):
 
 QUERIES["crosstab"] = crosstab
 ORACLE["crosstab"] = "SELECT event_type, " + ", ".join(
-    f"count_if(dayofweek(ts) + 1 = {i}) AS d{i}" for i in range(1, 8)) + " FROM events GROUP BY 1"
+    f"CAST(count_if(dayofweek(ts) + 1 = {i}) AS BIGINT) AS d{i}" for i in range(1, 8)) + " FROM events GROUP BY 1"
 
 
 def _lengths(spark, sf):

@@ -58,7 +58,7 @@ def scan_ndjson_audit(spark, sf):
 QUERIES["scan_ndjson_audit"] = scan_ndjson_audit
 _BUCKET_SQL = S.hex_mod100("sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))")
 ORACLE["scan_ndjson_audit"] = f"""
-SELECT count_if({_BUCKET_SQL} >= 5) AS good_rows, count_if({_BUCKET_SQL} < 5) AS bad_lines FROM conversations
+SELECT CAST(count_if({_BUCKET_SQL} >= 5) AS BIGINT) AS good_rows, CAST(count_if({_BUCKET_SQL} < 5) AS BIGINT) AS bad_lines FROM conversations
 """
 
 
@@ -126,7 +126,7 @@ def corpus_manifest(spark, sf):
     return m.select("format_version", "row_count",
                     F.col("split_counts")["train"].alias("train"),
                     F.coalesce(F.col("split_counts")["validation"], F.lit(0)).cast("bigint").alias("validation"),
-                    F.size("source_counts").alias("sources"), "fingerprint", "id_algorithm")
+                    F.size("source_counts").cast("bigint").alias("sources"), "fingerprint", "id_algorithm")
 
 
 QUERIES["corpus_manifest"] = corpus_manifest

@@ -31,7 +31,7 @@ def _emb(spark, sf):
 
 
 _EMB_SQL = """emb AS (SELECT vec_id, label, embedding,
-                      ('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 16))::UBIGINT % 4 AS cat FROM embeddings)"""
+                      CAST(('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 16))::UBIGINT % 4 AS BIGINT) AS cat FROM embeddings)"""
 _CENT_SQL = _EMB_SQL + """,
 ex AS (SELECT cat, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM emb),
 cm AS (SELECT cat, label, pos, avg(x) AS m FROM ex GROUP BY ALL),
@@ -132,7 +132,8 @@ def grouped_split_search(spark, sf):
     n = d.count()
     target = round(0.10 * n)
     best = J.grouped_split_search(d, "grp", ["lang", "source"], target, n, seeds=200)
-    return best.select("seed", "valid_rows", "size_error", F.round("score", 6).alias("score"))
+    return best.select(F.col("seed").cast("bigint").alias("seed"), "valid_rows", "size_error",
+                       F.round("score", 6).alias("score"))
 
 
 QUERIES["grouped_split_search"] = grouped_split_search
@@ -219,7 +220,7 @@ t AS (SELECT e.vec_id, e.cat, CAST(e.embedding AS DOUBLE[]) AS v, h.label IS NOT
       FROM emb e LEFT JOIN holdout h USING (cat, label)),
 tx AS (SELECT vec_id, cat, held, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM t),
 tot AS (SELECT cat, pos, sum(x) AS tt FROM tx GROUP BY ALL),
-m AS (SELECT cat, count_if(held) AS m FROM t GROUP BY cat),
+m AS (SELECT cat, CAST(count_if(held) AS BIGINT) AS m FROM t GROUP BY cat),
 obs_s AS (SELECT cat, pos, sum(x) AS s FROM tx WHERE held GROUP BY ALL),
 obs AS (SELECT avg(d) AS observed FROM (
     SELECT o.cat, 1 - sum(s * (tt - s)) / (sqrt(sum(s * s)) * sqrt(sum((tt - s) * (tt - s)))) AS d
@@ -234,7 +235,7 @@ pd AS (SELECT perm, ps.cat, 1 - sum(s * (tt - s)) / (sqrt(sum(s * s)) * sqrt(sum
 per AS (SELECT perm, avg(d) AS shift FROM pd GROUP BY perm)
 SELECT round(any_value(observed), 6) AS observed_shift, round(avg(shift), 6) AS random_mean,
        round(any_value(observed) / avg(shift), 6) AS effect_ratio,
-       round((count_if(shift >= observed) + 1) / (count(*) + 1), 6) AS p_value, count(*) AS permutations
+       round((CAST(count_if(shift >= observed) AS BIGINT) + 1) / (count(*) + 1), 6) AS p_value, count(*) AS permutations
 FROM per, obs
 """
 

@@ -132,9 +132,9 @@ _DEV = "regexp_matches({c}, '[\\x{{0900}}-\\x{{097F}}]')"
 _LAT = "regexp_matches({c}, '[A-Za-z]')"
 ORACLE["contains_script"] = f"""
 WITH {QA_ROWS_SQL}
-SELECT count_if({_DEV.format(c='document')}) AS positive_devanagari,
+SELECT CAST(count_if({_DEV.format(c='document')}) AS BIGINT) AS positive_devanagari,
        CAST(sum({' + '.join(_DEV.format(c=c) + '::INT' for c in ('negative1', 'negative2', 'negative3'))}) AS BIGINT) AS negative_devanagari,
-       count_if({_LAT.format(c='document')}) AS positive_latin,
+       CAST(count_if({_LAT.format(c='document')}) AS BIGINT) AS positive_latin,
        CAST(sum({' + '.join(_LAT.format(c=c) + '::INT' for c in ('negative1', 'negative2', 'negative3'))}) AS BIGINT) AS negative_latin
 FROM qa_rows
 """

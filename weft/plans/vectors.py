@@ -186,7 +186,7 @@ def _global_ranks(spark, sf):
 
 GR_SQL = PAIRS_SQL + """,
 best AS (SELECT qid, max(score) AS b FROM pairs WHERE rel = 1 GROUP BY qid),
-gr AS (SELECT p.qid, 1 + count_if(p.score > best.b) AS rank FROM pairs p JOIN best USING (qid) GROUP BY p.qid)"""
+gr AS (SELECT p.qid, 1 + CAST(count_if(p.score > best.b) AS BIGINT) AS rank FROM pairs p JOIN best USING (qid) GROUP BY p.qid)"""
 
 
 def global_rank(spark, sf):
@@ -231,8 +231,8 @@ def check_vectors(spark, sf):
 
 QUERIES["check_vectors"] = check_vectors
 ORACLE["check_vectors"] = """
-SELECT count(*) AS rows, count_if(embedding IS NULL) AS null_vectors, count_if(len(embedding) <> 64) AS wrong_dim,
-       count(DISTINCT len(embedding)) AS distinct_dims, count_if(len(embedding) <= 0) AS empty_vectors FROM embeddings
+SELECT count(*) AS rows, CAST(count_if(embedding IS NULL) AS BIGINT) AS null_vectors, CAST(count_if(len(embedding) <> 64) AS BIGINT) AS wrong_dim,
+       count(DISTINCT len(embedding)) AS distinct_dims, CAST(count_if(len(embedding) <= 0) AS BIGINT) AS empty_vectors FROM embeddings
 """
 
 
@@ -386,8 +386,8 @@ r AS (SELECT 1 + (s1 > sp)::INT + (s2 > sp)::INT + (s3 > sp)::INT AS rank, sp -
 SELECT count(*) AS rows, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS accuracy,
        round(avg(1.0 / rank), 6) AS mrr, round(avg(margin), 6) AS mean_margin,
        round(avg(CASE WHEN margin <= 0 THEN 1.0 ELSE 0 END), 6) AS share_margin_le_0,
-       count_if(rank = 1) AS rank1, count_if(rank = 2) AS rank2, count_if(rank = 3) AS rank3,
-       count_if(rank = 4) AS rank4 FROM r
+       CAST(count_if(rank = 1) AS BIGINT) AS rank1, CAST(count_if(rank = 2) AS BIGINT) AS rank2, CAST(count_if(rank = 3) AS BIGINT) AS rank3,
+       CAST(count_if(rank = 4) AS BIGINT) AS rank4 FROM r
 """
 
 
