@@ -37,6 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -77,7 +78,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``weft`` importable in Python workers (pandas UDFs, mapInPandas,
+    applyInPandas) wherever the driver was started: zip the package once per
+    SparkContext and distribute it with ``addPyFile``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weft_package", None):
+        return
+    import zipfile
+
+    import weft
+    root = os.path.dirname(os.path.abspath(weft.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="weft-pkg-"), "weft.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._weft_package = path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
