@@ -147,3 +147,54 @@ def test_pack_blocks_matches_loop(spark):
         for j in range(0, usable, 8):
             exp[(b, j // 8)] = toks[j:j + 8]
     assert got == exp
+
+
+def py_bpe(counts, num_merges, min_freq=2):
+    from collections import Counter
+    words = {tuple(p): n for p, n in counts.items()}
+    merges = []
+    for r in range(num_merges):
+        pairs = Counter()
+        for w, n in words.items():
+            for a, b in zip(w, w[1:]):
+                pairs[(a, b)] += n
+        cands = [(c, a, b) for (a, b), c in pairs.items() if c >= min_freq]
+        if not cands:
+            break
+        c, a, b = min(cands, key=lambda x: (-x[0], x[1], x[2]))
+        merges.append((r + 1, a, b, c))
+        new = {}
+        for w, n in words.items():
+            out, i = [], 0
+            while i < len(w):
+                if i + 1 < len(w) and w[i] == a and w[i + 1] == b:
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(w[i])
+                    i += 1
+            new[tuple(out)] = new.get(tuple(out), 0) + n
+        words = new
+    return merges
+
+
+def test_bpe_merges_match_python(spark):
+    counts = {"▁low": 5, "▁lower": 2, "▁newest": 6, "▁widest": 3, "aaaa": 4, "ab$c\\d": 2, "किताब": 3}
+    df = spark.createDataFrame(list(counts.items()), "piece string, n long")
+    got = [tuple(r) for r in K.bpe_merges(df, 12, checkpoint_every=4).orderBy("rank").collect()]
+    assert got == py_bpe(counts, 12)
+
+
+def test_encoder_embedding_path(spark):
+    import numpy as np
+    from weft.operators.embed import encoder_embedding, hashed_embedding
+
+    def factory():
+        def encode(texts):
+            return np.array([[len(t), t.count(" "), 1.0] for t in texts])
+        return encode
+    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "k long, t string")
+    got = {r["k"]: list(r["embedding"]) for r in encoder_embedding(df, "k", "t", factory, 3, prompt="q: ").collect()}
+    assert got == {1: [6.0, 2.0, 1.0], 2: [3.0, 1.0, 1.0], 3: [3.0, 1.0, 1.0]}
+    h = {r["k"]: r["embedding"] for r in hashed_embedding(df, "k", "t", 8).collect()}
+    assert sum(abs(x) for x in h[1]) <= 2 and h[3] == [0.0] * 8

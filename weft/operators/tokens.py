@@ -70,10 +70,10 @@ def encode_ids(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
     exploded into rows and no shuffle is needed. ``encode_ids_sql`` is the
     same operator in built-in SQL.
     """
-    n = vocab.count()
-    if n > MAX_VOCAB_BROADCAST:
-        raise ValueError(f"vocabulary of {n} pieces is too large to broadcast")
-    table = {r["piece"]: int(r["token_id"]) for r in vocab.collect()}
+    rows = vocab.limit(MAX_VOCAB_BROADCAST + 1).collect()  # one job, bounded
+    if len(rows) > MAX_VOCAB_BROADCAST:
+        raise ValueError(f"vocabulary of more than {MAX_VOCAB_BROADCAST} pieces is too large to broadcast")
+    table = {r["piece"]: int(r["token_id"]) for r in rows}
     bc = df.sparkSession.sparkContext.broadcast(table)
     rx = re.compile(PY_PIECE_RE)
     start = [BOS] if add_bos else []
