@@ -35,3 +35,14 @@ def test_oracle(spark, name):
     con = duck(SF_SMALL)
     r = compare(spark, con, name, entry_mod.queries()[name], entry_mod.oracle_sql().get(name), SF_SMALL)
     assert r["status"] in ("ok", "rows-only"), r
+
+
+def test_contract_imports_without_a_session():
+    """oracle_sql() / queries() must not need an active SparkContext."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "print(len(E.queries()), len(E.oracle_sql()))" % root)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/", timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]

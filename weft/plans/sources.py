@@ -37,8 +37,10 @@ def scan_ndjson(spark, sf):
 QUERIES["scan_ndjson"] = scan_ndjson
 ORACLE["scan_ndjson"] = "SELECT conv_id, turn, role, text FROM conversations"
 
-_BUCKET = hex64_mod(F.sha2(F.concat(F.col("conv_id").cast("string"), F.lit(":"),
-                                    F.col("turn").cast("string")), 256), 100)
+def _bucket():
+    """Hash bucket 0..99 of (conv_id, turn)."""
+    return hex64_mod(F.sha2(F.concat(F.col("conv_id").cast("string"), F.lit(":"),
+                                     F.col("turn").cast("string")), 256), 100)
 
 
 def scan_ndjson_audit(spark, sf):
@@ -47,7 +49,7 @@ def scan_ndjson_audit(spark, sf):
     c = table(spark, sf, "conversations")
     line = F.to_json(F.struct(*[F.col(f.name) for f in CONV_SCHEMA.fields]))
     broken = F.when(F.col("_b") < 5, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    c.select(line.alias("value"), _BUCKET.alias("_b")).select(
+    c.select(line.alias("value"), _bucket().alias("_b")).select(
         broken.alias("value")).write.text(path)
     good, bad = IO.scan_ndjson_audit(spark, path, CONV_SCHEMA)
     g = good.agg(F.count(F.lit(1)).alias("good_rows"))
