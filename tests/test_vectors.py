@@ -148,3 +148,13 @@ def test_grouped_kmeans_on_planted_clusters(spark):
         pairs = {(r["truth"], r["cluster"]) for r in got if r["cat"] == cat}
         assert len(pairs) == 4  # clusters recovered one to one
     assert inert.count() == 9
+
+
+def test_split_invariants_report_violations(spark):
+    df = spark.createDataFrame([(1, "a", "train"), (2, "b", "train"), (3, "a", "test"), (4, "c", "valid")],
+                               "k long, d string, split string")
+    exp = spark.createDataFrame([("train", 2), ("test", 2), ("valid", 1)], "split string, expected bigint")
+    got = {tuple(r) for r in J.split_invariants(df, "split", ["d"], exp, F.col("k") != 3).collect()}
+    assert got == {("missing_d", "test=b"), ("missing_d", "test=c"), ("missing_d", "train=c"),
+                   ("missing_d", "valid=a"), ("missing_d", "valid=b"), ("split_count", "test"),
+                   ("test_outside_holdout", "row")}
