@@ -58,9 +58,29 @@ def running_total(df: DataFrame, order: Sequence[str | Column], value: str | Col
 
 def global_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "idx",
                  num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
-    """0-based position of every row in ``order`` (a total order)."""
-    out = running_total(df, order, F.lit(1), "_pos", num_partitions, materialize)
-    return out.withColumn(index_col, F.col("_pos") - 1).drop("_pos")
+    """0-based position of every row in ``order`` (a total order).
+
+    Rows are range-partitioned and sorted inside each partition; a row's
+    position inside its partition is the low 33 bits of
+    ``monotonically_increasing_id`` (fixed by the checkpoint), so no window
+    and no second shuffle of the rows is needed; only the one-row-per-
+    partition counts are aggregated and broadcast back as offsets.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    oc = _ord(order)
+    ranged = (df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    if materialize:
+        ranged = cut_lineage(ranged)
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.withColumn(
+        "_off", F.coalesce(F.sum("_c").over(Window.orderBy("_pid").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)))
+    return (ranged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+            .withColumn(index_col, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_local", "_off"))
 
 
 def shards(df: DataFrame, index_col: str, shard_size: int) -> Column:
