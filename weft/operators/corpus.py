@@ -20,6 +20,8 @@ from weft.session import cut_lineage
 # Salt buckets for per-group limits: a hot group is spread over this many
 # tasks in the first stage, then at most n rows per bucket meet in stage two.
 SALT_BUCKETS = 64
+# A group known to hold at most this many rows is ranked in one task.
+SINGLE_STAGE_MAX_ROWS = 1_000_000
 
 
 def _cols(cols: str | Sequence[str]) -> list[str]:
@@ -43,7 +45,8 @@ def dedup_first(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
 
 def first_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[Column | str],
                       n: int | Column, max_n: int | None = None,
-                      rank_col: str | None = None, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                      rank_col: str | None = None, salt_buckets: int = SALT_BUCKETS,
+                      max_group_rows: int | None = None) -> DataFrame:
     """Rows whose rank by ``order`` inside their group is <= n.
 
     ``n`` may be a literal or a column (per-group quota); ``max_n`` is a
@@ -51,10 +54,18 @@ def first_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence
     (group, salt) and keeps ``max_n`` rows, which Spark turns into a map-side
     group limit; stage 2 ranks the survivors (at most max_n * salt_buckets
     per group). The result is exact: a row among the first n of its group is
-    among the first n of its salt bucket.
+    among the first n of its salt bucket. When the caller knows every group
+    holds at most ``max_group_rows`` <= SINGLE_STAGE_MAX_ROWS rows, one
+    window suffices and the salted stage is skipped.
     """
     groups = _cols(group)
     order_exprs = [F.col(o) if isinstance(o, str) else o for o in order]
+    name = rank_col or "_rn"
+    lim = F.lit(n) if isinstance(n, int) else n
+    if max_group_rows is not None and max_group_rows <= SINGLE_STAGE_MAX_ROWS:
+        w = Window.partitionBy(*groups).orderBy(*order_exprs)
+        out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= lim)
+        return out if rank_col else out.drop(name)
     bound = n if isinstance(n, int) else max_n
     if bound is None:
         raise ValueError("max_n is required when n is a column")
@@ -63,8 +74,6 @@ def first_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence
     stage1 = (df.withColumn("_rn1", F.row_number().over(w1))
                 .filter(F.col("_rn1") <= F.lit(bound)).drop("_rn1"))
     w2 = Window.partitionBy(*groups).orderBy(*order_exprs)
-    name = rank_col or "_rn"
-    lim = F.lit(n) if isinstance(n, int) else n
     out = stage1.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= lim)
     return out if rank_col else out.drop(name)
 

@@ -214,12 +214,15 @@ def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_p
     # read by three passes (sizes, thresholds, sums): materialized once
     d = cut_lineage(df.select(F.col(cat).cast("string").alias("_cat"), F.col(key).cast("string").alias("_k"),
                               as_double(vec).alias("_v"), F.col(held).cast("boolean").alias("_held")))
-    sizes = d.groupBy("_cat").agg(F.count_if("_held").alias("_m"))
-    max_m = sizes.agg(F.max("_m")).first()[0] or 0  # one scalar
+    sizes = d.groupBy("_cat").agg(F.count_if("_held").alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    lim = sizes.agg(F.max("_m").alias("m"), F.max("_rows").alias("rows")).first()  # two scalars
+    max_m, max_rows = lim["m"] or 0, lim["rows"] or 0
     perm = d.select("_cat", "_k").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     perm = perm.withColumn("_h", _hash_unit(F.lit(str(seed)), F.col("perm").cast("string"), F.col("_k"))) \
-        .withColumn("_hk", _hash_prefix("_h")).join(F.broadcast(sizes), "_cat")
-    chosen = first_n_per_group(perm, ["perm", "_cat"], ["_hk", "_h"], F.col("_m"), max_n=max(int(max_m), 1))
+        .withColumn("_hk", _hash_prefix("_h")).join(F.broadcast(sizes.select("_cat", "_m")), "_cat")
+    # a (permutation, category) group holds exactly the category's rows
+    chosen = first_n_per_group(perm, ["perm", "_cat"], ["_hk", "_h"], F.col("_m"), max_n=max(int(max_m), 1),
+                               max_group_rows=int(max_rows))
     # per row, the permutations that select it (at most n_perm values)
     picks = chosen.groupBy("_cat", "_k").agg(F.collect_list("perm").alias("perms"))
     rows = d.join(picks, ["_cat", "_k"], "left")
