@@ -66,23 +66,25 @@ def documents_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 class Block:
     """Consecutive documents of one task."""
 
-    __slots__ = ("number", "ids", "texts")
+    __slots__ = ("number", "ids", "texts", "flags")
 
     def __init__(self, number: int):
-        self.number, self.ids, self.texts = number, [], []
+        self.number, self.ids, self.texts, self.flags = number, [], [], []
 
 
 def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = BLOCK_BYTES,
            max_docs: int = BLOCK_DOCS) -> Iterator[Block]:
-    """Blocks of (id, text) rows of this task, numbered across the job."""
+    """Blocks of (id, text[, flag]) rows of this task, numbered across the job."""
     from pyspark import TaskContext
     ctx = TaskContext.get()
     number = (ctx.partitionId() if ctx else 0) << 32
     block, size = Block(number), 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        flags = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for i, t, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), flags, strict=True):
             block.ids.append(i)
             block.texts.append(t)
+            block.flags.append(f)
             size += len(t)
             if size >= max_bytes or len(block.ids) >= max_docs:
                 yield block

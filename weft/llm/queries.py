@@ -4,10 +4,14 @@ operator over its whole table, with production parameters."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm.common import prepare
 from weft.session import table
 
+#: n-grams of the registered language model
+NGRAM_ORDER = 3
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -27,6 +31,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+@register
+def op1_ngram_trie(spark, sf_dir):
+    from weft.llm.ngram_trie import ngram_scores
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
+    return ngram_scores(docs, remainder != 0, order=NGRAM_ORDER)
+
+
 @register
 def op3_token_counts(spark, sf_dir):
     from weft.llm.token_counts import library_counter, token_counts
