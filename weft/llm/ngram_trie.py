@@ -41,9 +41,9 @@ from weft.llm.common import Hashes, Ids, blocks, kept, pack, shards_for, starts,
 END = np.uint64(0x9E3779B97F4A7C15)    # the end of a text, as a word
 START = np.uint64(0xD1B54A32D192ED03)  # the padding before a text
 _ROUTED = "shard int, payload binary"
-_PARTIAL = ("block long, slot int, id long, is_null boolean, train boolean, n_tokens long, n_known long, "
-            "base double, score double")
-_FIELDS = ("block", "slot", "id", "is_null", "train", "n_tokens", "n_known", "base", "score")
+_PARTIAL = "block long, sums binary"
+_SUMS = (np.uint16, np.uint32, np.uint32, np.float64, np.float64, np.int64, np.uint8, np.uint8)
+_SCORED = "id long, train boolean, n_tokens long, n_known long, base double, score double, vocabulary long"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -239,33 +239,41 @@ def _score(order: int, n_train: int, strength: float, discount: float):
         base = np.log10(counts[0] + 0.1)[leaf_word]
         is_known = has[0][leaf_word]
 
-        out = {f: [] for f in _FIELDS}
-
-        def add(*cols):
-            for f, c in zip(_FIELDS, cols, strict=True):
-                out[f].append(c)
-
-        lo = 0
+        out, lo = [], 0
         for g, f in zip(got, flags, strict=True):
             hi = lo + len(g[4])
             doc, per = g[5], g[4]
             n = np.bincount(doc)
             slot = np.flatnonzero(n)
-            sums = [np.bincount(doc, np.repeat(x[lo:hi], per)) for x in (is_known, base, part)]
-            z = np.zeros(len(slot), np.int64)
-            add(np.full(len(slot), g[0][0]), slot, z, z > 0, z > 0, n[slot], sums[0][slot].astype(np.int64),
-                sums[1][slot], sums[2][slot])
-            z = np.zeros(len(g[6]), np.int64)
-            if len(z):
-                add(np.full(len(z), g[0][0]), np.arange(len(z)), g[6], g[7] > 0, f, z, z, z * 0.0, z * 0.0)
+            known, bases, parts = (np.bincount(doc, np.repeat(x[lo:hi], per)) for x in (is_known, base, part))
+            home = f.astype(np.uint8) if len(g[6]) else np.zeros(0, np.uint8)
+            out.append((int(g[0][0]), pack(slot.astype(np.uint16), n[slot].astype(np.uint32),
+                                           known[slot].astype(np.uint32), bases[slot], parts[slot], g[6], g[7], home)))
             lo = hi
-        one = np.zeros(1, np.int64)  # one more row: the shard's distinct training words
-        add(one - 1, one, one, one > 0, one > 0, np.array([has[0].sum()]), one, one * 0.0, one * 0.0)
-        return pd.DataFrame({f: np.concatenate(v) for f, v in out.items()})
+        # one more row: the shard's distinct training words
+        out.append((-1, np.array([has[0].sum()], np.int64).tobytes()))
+        return pd.DataFrame(out, columns=["block", "sums"])
 
     return run
 
 
+def _gather(rows: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one block, from what each shard found in them; block -1 adds up the vocabulary."""
+    if rows["block"].iloc[0] < 0:
+        v = sum(int(np.frombuffer(p, np.int64)[0]) for p in rows["sums"])
+        return pd.DataFrame({"id": pd.array([None], "Int64"), "train": [False], "n_tokens": [0], "n_known": [0],
+                             "base": [0.0], "score": [0.0], "vocabulary": pd.array([v], "Int64")})
+    got = [unpack(p, *_SUMS) for p in rows["sums"]]
+    ids, null, train = next((g[5:] for g in got if len(g[5])), got[0][5:])
+    sums = [np.zeros(len(ids), k) for k in (np.int64, np.int64, np.float64, np.float64)]
+    for slot, *values, _i, _n, _t in got:
+        for total, v in zip(sums, values, strict=True):
+            total[slot] += v
+    return pd.DataFrame({"id": pd.array([None if x else i for i, x in zip(ids.tolist(), null, strict=True)], "Int64"),
+                         "train": train > 0, "n_tokens": sums[0], "n_known": sums[1], "base": sums[2],
+                         "score": sums[3], "vocabulary": pd.array([None] * len(ids), "Int64")})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = docs = 0
     for b in batches:
@@ -298,17 +306,14 @@ def ngram_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     shards = n_shards or shards_for(view)
     partial = view.mapInArrow(_route(shards, order), _ROUTED).groupBy("shard").applyInPandas(
         _score(order, n_train, strength, discount), _PARTIAL)
-    sums = partial.groupBy("block", "slot").agg(
-        *[F.sum(c).alias(c) for c in ("id", "n_tokens", "n_known", "base", "score")],
-        F.max("is_null").alias("is_null"), F.max("train").alias("train"))
-    sums = kept(sums, "ngram")
-    vocabulary = sums.where("block = -1").agg(F.sum("n_tokens")).first()[0] or 0
+    sums = kept(partial.groupBy("block").applyInPandas(_gather, _SCORED), "ngram")
+    vocabulary = sums.agg(F.sum("vocabulary")).first()[0] or 0
     base = float(np.log10(n_train + 0.1 * (vocabulary + 1)))
     opening = float(np.log10(n_docs + strength)) if order > 1 else 0.0
     unseen = float(np.log10(max(1, vocabulary)))
     n_unknown = F.col("n_tokens") - F.col("n_known")
-    return sums.where("block >= 0").select(
-        F.when(~F.col("is_null"), F.col("id")).alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens",
+    return sums.where("vocabulary IS NULL").select(
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens",
         "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * base).alias("base_score"),
         (F.col("score") + n_unknown * unseen - opening).alias("score"))

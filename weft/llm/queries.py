@@ -46,6 +46,12 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(docs, library_counter(_tokenizer("byte_bpe_50k.json")), limit=512)
 
 
+@register
+def op5_vector_links(spark, sf_dir):
+    from weft.llm.vector_links import vector_links
+    return vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @register
 def op9_packed_ids(spark, sf_dir):
     from weft.llm.packed_ids import LibraryEncoder, packed_ids
