@@ -46,6 +46,12 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(docs, library_counter(_tokenizer("byte_bpe_50k.json")), limit=512)
 
 
+@register
+def op4_importance(spark, sf_dir):
+    from weft.llm.importance import importance_sample
+    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @register
 def op5_vector_links(spark, sf_dir):
     from weft.llm.vector_links import vector_links
