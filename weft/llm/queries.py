@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm import contamination
 from weft.llm.common import prepare
 from weft.session import table
 
@@ -58,6 +59,15 @@ def op5_vector_links(spark, sf_dir):
     return vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+@register
+def op8_contamination(spark, sf_dir):
+    found = contamination.containment(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+ORACLE["op8_contamination"] = contamination.ORACLE_SQL
+
+
 @register
 def op9_packed_ids(spark, sf_dir):
     from weft.llm.packed_ids import LibraryEncoder, packed_ids
