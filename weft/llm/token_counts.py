@@ -6,7 +6,8 @@ tokenizer always starts a new pre-token there, whatever stands on either side,
 so the pieces of the parts add up to the pieces of the text, special strings
 included (they hold no space). Each block of documents sends a shard its
 distinct parts with the documents that hold them (``common``); the shard has the
-library count every distinct part once and returns sums per document.
+library count every distinct part once and returns, for each block, the sums of
+the documents that hold any of its parts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import Ids, blocks, documents_view, pack, shards_for, starts, unpack
 
 _ROUTED = "shard int, payload binary"
-_PARTIAL = "block long, slot int, id long, is_null boolean, n_bytes long, n_tokens long"
+_PARTIAL = "block long, sums binary"
 #: a space that another white space precedes or follows, or that ends the text
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
@@ -123,26 +124,27 @@ def _count(count: Callable[[list[str]], list[int]]):
         pieces = np.empty(len(parts), np.int64)
         for i in range(0, len(parts), 20000):
             pieces[i:i + 20000] = count([p.decode("utf-8", "surrogatepass") for p in parts[i:i + 20000]])
-        out = {k: [] for k in ("block", "slot", "id", "is_null", "n_bytes", "n_tokens")}
-
-        def add(block, slot, id_, null, n_bytes, n_tokens):
-            for k, v in zip(out, (np.full(len(slot), block, np.int64), slot, id_, null, n_bytes, n_tokens),
-                            strict=True):
-                out[k].append(v)
-
+        out = []
         for (number, _s, _r, holders, doc, times, meta, null, n_bytes), mine in zip(blocks_in, index, strict=True):
-            worth = np.repeat(pieces[mine], holders) * times.astype(np.int64)
-            n_tokens = np.bincount(doc, worth, minlength=0).astype(np.int64)
-            slot = np.flatnonzero(np.bincount(doc, minlength=0))
-            zero = np.zeros(len(slot), np.int64)
-            add(number[0], slot, zero, zero > 0, zero, n_tokens[slot])
-            zero = np.zeros(len(meta), np.int64)
-            add(number[0], np.arange(len(meta)), meta, null > 0, n_bytes, zero)
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
+            worth = np.bincount(doc, np.repeat(pieces[mine], holders) * times.astype(np.int64))
+            slot = np.unique(doc)
+            out.append((int(number[0]), pack(slot, worth[slot].astype(np.uint32), meta, null, n_bytes)))
+        return pd.DataFrame(out, columns=["block", "sums"])
 
     return run
 
 
+def _gather(rows: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one block, from what each shard found in them."""
+    got = [unpack(p, np.uint16, np.uint32, np.int64, np.uint8, np.int64) for p in rows["sums"]]
+    ids, null, n_bytes = next((g[2:] for g in got if len(g[2])), got[0][2:])
+    total = np.zeros(len(ids), np.int64)
+    for slot, n, *_ in got:
+        total[slot] += n
+    return pd.DataFrame({"id": pd.array([None if x else i for i, x in zip(ids.tolist(), null, strict=True)], "Int64"),
+                         "n_bytes": n_bytes, "n_tokens": total})
+
+
 def token_counts(docs: DataFrame, count: Callable[[list[str]], list[int]], id_col: str = "doc_id",
                  text_col: str = "text", limit: int = 512, n_shards: int | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
@@ -156,8 +158,6 @@ def token_counts(docs: DataFrame, count: Callable[[list[str]], list[int]], id_co
     n = n_shards or shards_for(view)
     routed = view.mapInArrow(_route(n), _ROUTED)
     partial = routed.groupBy("shard").applyInPandas(_count(count), _PARTIAL)
-    total = partial.groupBy("block", "slot").agg(
-        F.sum("id").alias("id"), F.max("is_null").alias("is_null"), F.sum("n_bytes").alias("n_bytes"),
-        F.sum("n_tokens").alias("n_tokens"))
-    return total.select(F.when(~F.col("is_null"), F.col("id")).alias(id_col), "n_bytes", "n_tokens",
+    total = partial.groupBy("block").applyInPandas(_gather, "id long, n_bytes long, n_tokens long")
+    return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                         (F.col("n_tokens") > limit).alias("over_limit"))
