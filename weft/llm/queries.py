@@ -13,6 +13,9 @@ from weft.session import table
 #: n-grams of the registered language model
 NGRAM_ORDER = 3
 
+#: key of the registered query; a caller gives a secret one
+SURROGATE_KEY = "example"
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -59,6 +62,13 @@ def op5_vector_links(spark, sf_dir):
     return vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+@register
+def op6_surrogates(spark, sf_dir):
+    from weft.llm.surrogates import replace_entities
+    made = replace_entities(_table(spark, sf_dir, "documents"), key=SURROGATE_KEY)
+    return made.select("doc_id", "text", "n_entities")
+
+
 @register
 def op8_contamination(spark, sf_dir):
     found = contamination.containment(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
