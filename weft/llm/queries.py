@@ -69,6 +69,14 @@ def op6_surrogates(spark, sf_dir):
     return made.select("doc_id", "text", "n_entities")
 
 
+@register
+def op7_piece_scan(spark, sf_dir):
+    from weft.llm import piece_scan
+    model = _tokenizer("piece_bpe_32k.model")
+    encoded = piece_scan.encode_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return piece_scan.digest(piece_scan.decode_ids(encoded, model))
+
+
 @register
 def op8_contamination(spark, sf_dir):
     found = contamination.containment(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
