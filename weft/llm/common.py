@@ -122,13 +122,12 @@ class Hashes(dict):
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), elementwise on uint64."""
-    x = x.copy()
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> np.uint64(33))
+        x = x * np.uint64(0xFF51AFD7ED558CCD)
+        x = x ^ (x >> np.uint64(33))
+        x = x * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
 
 
 def starts(sizes) -> np.ndarray:

@@ -92,3 +92,9 @@ def op9_packed_ids(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     rows = packed_ids(docs, LibraryEncoder(_tokenizer("word_bpe_49k.json")), vocab_size=49408, end_id=1)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register
+def op10_chosen_path(spark, sf_dir):
+    from weft.llm.chosen_path import ngram_join
+    return ngram_join(_table(spark, sf_dir, "documents")).drop("row")
