@@ -43,6 +43,12 @@ def op1_ngram_trie(spark, sf_dir):
     return ngram_scores(docs, remainder != 0, order=NGRAM_ORDER)
 
 
+@register
+def op2_repeated_spans(spark, sf_dir):
+    from weft.llm.repeated_spans import digest, remove_repeated
+    return digest(remove_repeated(_table(spark, sf_dir, "documents"), length=35))
+
+
 @register
 def op3_token_counts(spark, sf_dir):
     from weft.llm.token_counts import library_counter, token_counts
