@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Hashes, kept, mix
+from weft.llm.common import Hashes, kept, mix, text_hash, without
 from weft.llm.components import components
 from weft.llm.vector_links import spanning
 
@@ -222,13 +222,13 @@ def _text(text_col: str):
 
 
 def classes_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (row, id, key) of every document, and the classes of equal
+    """(members, classes): (row, id, th, key) of every document, and the classes of equal
     n-gram sets as (rep, id, th, key, copies, sig). ``rep`` is the least row number;
     (id, th) is that document's id and text hash, by which its text is found again."""
     view = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
-                                F.xxhash64(_text(text_col)).alias("th")).alias("who"), _text(text_col).alias("text"))
+                                text_hash(text_col).alias("th")).alias("who"), _text(text_col).alias("text"))
     keyed = kept(view.mapInArrow(_class_keys(n), "who struct<row:long,id:long,th:long>, key binary, sig binary"), "keys")
-    members = keyed.select("who.row", "who.id", "key")
+    members = keyed.select("who.row", "who.id", "who.th", "key")
     first = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("who").alias("who"), F.count("*").alias("copies"))
     first = first.select("key", "copies", F.col("who.row").alias("rep"), "who.id", "who.th")
     sigs = keyed.where("key IS NOT NULL").select(F.col("who.row").alias("rep"), "sig")
@@ -278,7 +278,8 @@ def candidates(classes: DataFrame, threshold: float, recall: float, branch: floa
 def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text",
                recall: float = 0.9999, branch: float = 1.6, depth: int = 3, limit: int = 256,
                slack: float = 0.2) -> DataFrame:
-    """(id, class_id, n_links, component_id, row) of every document.
+    """(id, class_id, n_links, component_id, row, group, text_hash) of every document;
+    ``group`` numbers the components, ``row`` and ``text_hash`` tell rows apart.
 
     Words are what white space parts, lower-cased in A-Z; a document's set are its
     runs of ``n`` words, or all its words if it has fewer. Two documents are linked
@@ -304,12 +305,30 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str
     of_class = classes.select("rep", "key", "copies").join(degree, "rep", "left").join(linked, "rep", "left").select(
         "key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component"))
-    placed = members.where("key IS NOT NULL").join(of_class, "key").select("row", "id", "rep", "n_links", "component")
+    placed = members.where("key IS NOT NULL").join(of_class, "key").select("row", "id", "th", "rep", "n_links", "component")
     placed = kept(placed, "placed")
     class_id = placed.groupBy("rep").agg(F.min("id").alias("class_id"))
     component_id = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     out = placed.join(class_id, "rep").join(component_id, "component").select(
-        "id", "class_id", "n_links", "component_id", "row")
-    alone = members.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-                                                F.col("id").alias("component_id"), "row")
-    return out.unionByName(alone).withColumnRenamed("id", id_col)
+        "id", "class_id", "n_links", "component_id", "row", F.col("component").alias("group"), "th")
+    alone = members.where("key IS NULL").select(
+        "id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
+        "row", F.col("row").alias("group"), "th")
+    return out.unionByName(alone).withColumnRenamed("id", id_col).withColumnRenamed("th", "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns kept, with one document of each group of
+    linked ones: that with the least id (null ids last). Of rows that agree in id and
+    text, one stays. Empty texts are no copies of each other, unless their ids agree."""
+    rows = kept(ngram_join(docs, id_col=id_col, text_col=text_col, **options).select(
+        F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "group", "row"), "groups")
+    order = F.struct(F.col("_id").isNull(), "_id", "row", "_hash")
+    first = rows.groupBy("group").agg(F.min(order).alias("f")).select("f._id", "f._hash").distinct()
+    keys = rows.groupBy("_id", "_hash").agg(F.count("*").alias("n"))
+    stays = first.select(F.col("_id").alias("i"), F.col("_hash").alias("h"))
+    gone = keys.join(stays, keys["_id"].eqNullSafe(stays["i"]) & (keys["_hash"] == stays["h"]), "left_anti")
+    out = without(docs, gone, id_col, text_col)
+    if not keys.where("n > 1").isEmpty():
+        out = out.withColumn("_hash", text_hash(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
+    return out

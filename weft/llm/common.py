@@ -150,3 +150,22 @@ def unpack(data: bytes, *kinds) -> list[np.ndarray]:
         out.append(np.frombuffer(data, k, n // np.dtype(k).itemsize, at))
         at += n
     return out
+
+
+def text_hash(text_col: str):
+    """64-bit hash of a text; a null text hashes as an empty one. With the id it
+    names a row: rows that agree in both are copies of each other."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+
+
+#: (id, text hash) rows, some 24 bytes each, sent to every executor at most
+BROADCAST_KEYS = 1 << 20
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose (id, text hash) isn't in ``keys`` (columns ``_id`` and
+    ``_hash``). Few keys are broadcast; many are joined by a shuffle."""
+    keys = kept(keys.select("_id", "_hash").distinct(), "dropped")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return docs.join(side, text_hash(text_col).eqNullSafe(F.col("_hash"))
+                     & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")

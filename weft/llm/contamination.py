@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept
+from weft.llm.common import kept, text_hash, without
 
 WORD = r"[\p{L}\p{N}]+"
 #: sketch rows (one hash and a few numbers each, some 60 bytes) sent to every executor at most
@@ -95,7 +95,7 @@ def containment(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: in
     shingles = kept(item_shingles(items, item_col, item_text, n), "items")
     sketch = kept(sketches(shingles, threshold), "sketches")
     lengths = sorted(r[0] for r in sketch.select("len").distinct().collect())  # at most n numbers
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"),
+    base = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"),
                        F.col(text_col).alias("text"))
     with_words = base.withColumn("w", words(F.col("text")))
     if not lengths:
@@ -130,9 +130,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   **options) -> DataFrame:
     """Rows of ``docs``, all columns kept, that contain no item."""
     found = containment(docs, items, id_col=id_col, text_col=text_col, **options)
-    bad = found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).eqNullSafe(bad["_hash"])
-                     & docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+    bad = found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
+    return without(docs, bad, id_col, text_col)
 
 
 ORACLE_SQL = r"""

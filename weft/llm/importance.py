@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept, pack, unpack
+from weft.llm.common import kept, pack, unpack, without
 
 BUCKETS = 1 << 18
 N = 4
 CHUNK = 1 << 13     # buckets per row of a count vector
 FAN_IN = 32         # vectors added up by one task
 BINS = 1024
+#: target labels (an id and a flag, some 24 bytes) sent to every executor at most
+BROADCAST_ROWS = 1 << 20
 _ONE_DIGIT = bytes.maketrans(b"0123456789\r\n\t", b"0000000000   ")
 #: texts hashed together; a longer text is hashed alone
 _GROUP_BYTES = 1 << 21
@@ -138,12 +140,11 @@ def log_ratio(counts: np.ndarray, docs: np.ndarray, margin: float, prior: float
 
 def _weigh(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, *rest in _groups(batches):
+        for texts, ids, hashes in _groups(batches):
             doc, bucket = features(texts)
             w = np.bincount(doc, ratio[bucket], len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.bool_(), pa.bool_()), strict=True)]
-                + [pa.array(w)], ["id", "good", "holdout", "log_weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(w)],
+                                             ["id", "text_hash", "log_weight"])
 
     return run
 
@@ -196,7 +197,7 @@ def cut_of_top(rows: DataFrame, key: str, k: int) -> tuple[float, int]:
 def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id",
                       text_col: str = "text", margin: float = 2.0, temperature: float = 0.02, holdout: int = 5,
                       seed: int = 11) -> DataFrame:
-    """(id, log_weight, key, selected) for every row of ``docs``.
+    """(id, text_hash, log_weight, key, selected) for every row of ``docs``.
 
     ``labels`` (``id_col``, quality, toxic): rows with quality 1 and toxic not 1
     are target text. Every ``holdout``-th target row (by hash) stays out of the
@@ -214,13 +215,17 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     view = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
                        F.col(id_col).cast("long").alias("id"))
     tasks = view.rdd.getNumPartitions()
-    sided = kept(view.select("id").where("id IS NOT NULL").distinct().join(label, "id"), "labelled")
-    rows = view.join(sided, "id", "left")
-    target = F.coalesce(F.col("good") & ~F.col("holdout"), F.lit(False))
-    counts, n = fit(rows.select("text", target.alias("target")), max(tasks, 1))
-    weighed = rows.select("text", "id", "good", F.coalesce(F.col("holdout") | ~F.col("good"), F.lit(False))
-                          .alias("holdout")).mapInArrow(
-        _weigh(log_ratio(counts, n, margin)), "id long, good boolean, holdout boolean, log_weight double")
+    label = kept(label, "labels")
+    target = label.where("good AND NOT holdout").select("id", F.lit(True).alias("target"))
+    if target.count() <= BROADCAST_ROWS:
+        target = F.broadcast(target)
+    rows = view.join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    counts, n = fit(rows, max(tasks, 1))
+    weighed = view.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _weigh(log_ratio(counts, n, margin)), "id long, text_hash long, log_weight double")
+    checked = label.select("id", "good", (F.col("holdout") | ~F.col("good")).alias("holdout"))
+    weighed = weighed.join(checked, "id", "left").select(
+        "id", "text_hash", "good", F.coalesce("holdout", F.lit(False)).alias("holdout"), "log_weight")
     weighed = kept(weighed.withColumn("key", F.col("log_weight") / temperature + _noise(seed)), "weights")
     if k is None:
         k = weighed.where(F.col("log_weight") >= best_cut(weighed)).count()
@@ -239,4 +244,14 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
                 last.withColumn("selected", F.lit(True))).unionByName(rest.withColumn("selected", F.lit(False)))
         else:
             chosen = weighed.withColumn("selected", F.col("key") >= at)
-    return chosen.select(F.col("id").alias(id_col), "log_weight", "key", "selected")
+    return chosen.select(F.col("id").alias(id_col), "text_hash", "log_weight", "key", "selected")
+
+
+def select_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     **options) -> DataFrame:
+    """The drawn rows of ``docs``, all columns kept. Copies of a row (same id and
+    text) stay if one of them is drawn."""
+    drawn = importance_sample(docs, labels, id_col=id_col, text_col=text_col, **options)
+    keys = drawn.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "selected")
+    gone = keys.groupBy("_id", "_hash").agg(F.max("selected").alias("stays")).where("NOT stays")
+    return without(docs, gone, id_col, text_col)

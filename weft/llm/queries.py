@@ -59,7 +59,7 @@ def op3_token_counts(spark, sf_dir):
 @register
 def op4_importance(spark, sf_dir):
     from weft.llm.importance import importance_sample
-    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 @register
@@ -103,4 +103,4 @@ def op9_packed_ids(spark, sf_dir):
 @register
 def op10_chosen_path(spark, sf_dir):
     from weft.llm.chosen_path import ngram_join
-    return ngram_join(_table(spark, sf_dir, "documents")).drop("row")
+    return ngram_join(_table(spark, sf_dir, "documents")).drop("row", "group", "text_hash")
