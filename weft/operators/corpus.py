@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.hashing import hash_split, stable_row_id
 from weft.functions.text import clean_text
+from weft.operators.ordering import null_safe_join, positions_in_group
 from weft.session import cut_lineage
 
 # Salt buckets for per-group limits: a hot group is spread over this many
@@ -128,51 +129,83 @@ def corpus_quotas(sources: DataFrame, total: int | DataFrame, index_col: str = "
 
 
 def take_quota(rows: DataFrame, quotas: DataFrame, group: str, order: Sequence[str],
-               max_quota: int, quota_col: str = "quota") -> DataFrame:
-    """the first ``quota`` rows of every group (rows already deduplicated).
-
-    ``quotas`` is one row per group (bounded), broadcast to the rows.
+               quota_col: str = "quota", shortfall: str = "error") -> DataFrame:
+    """the first ``quota`` rows of every group by ``order`` (a total order inside
+    the group); exact for groups and quotas of any size.
+
+    Only (group, order) is indexed. The row at each group's last position gives
+    one threshold per group, and every row compares itself with its group's
+    threshold; no group meets in a task. A group without a quota gives no rows,
+    a null group is a group like others. A group with fewer rows than its quota
+    raises, or gives all its rows with ``shortfall="allow"``.
     """
-    joined = rows.join(F.broadcast(quotas.select(group, quota_col)), group)
-    out = first_n_per_group(joined, group, list(order), F.col(quota_col), max_n=max_quota)
-    return out.drop(quota_col)
-
-
-def quota_shortfall(selected: DataFrame, quotas: DataFrame, group: str,
-                    quota_col: str = "quota") -> DataFrame:
-    """Groups that yielded fewer rows than their quota (empty = ok)."""
-    got = selected.groupBy(group).agg(F.count(F.lit(1)).alias("taken"))
-    return (quotas.join(got, group, "left")
-            .select(group, quota_col, F.coalesce("taken", F.lit(0)).alias("taken"))
-            .filter(F.col("taken") < F.col(quota_col)))
+    keys = rows.select(group, *order)
+    pos = positions_in_group(keys, [group], order, "_pos")
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    plan = null_safe_join(quotas.select(group, quota_col), sizes, [group], "left")
+    plan = plan.withColumn("_n", F.coalesce("_n", F.lit(0)))
+    last = null_safe_join(pos, quotas.select(group, quota_col), [group]).filter(
+        F.col("_pos") == F.col(quota_col) - 1).select(group, F.struct(*order).alias("_cut"))
+    plan = cut_lineage(null_safe_join(plan, last, [group], "left"))  # one row per group
+    if shortfall == "error":
+        check_shortfall(plan.filter(F.col("_n") < F.col(quota_col)), group, quota_col)
+    joined = null_safe_join(rows, plan, [group])
+    keep = (F.col(quota_col) > 0) & (F.col("_cut").isNull() | (F.struct(*order) <= F.col("_cut")))
+    return joined.filter(keep).drop(quota_col, "_n", "_cut").select(*rows.columns)
+
+
+def check_shortfall(short: DataFrame, group: str, quota_col: str) -> None:
+    """Raise if ``short`` (group, quota, rows there are) has a row; names a few of them."""
+    some = short.select(group, quota_col, "_n").orderBy(group).limit(5).collect()
+    if some:
+        raise ValueError("fewer rows than the quota: " + ", ".join(f"{r[0]!r} has {r[2]} of {r[1]}" for r in some))
+
+
+def round_robin_quotas(sizes: DataFrame, group: str, total: int, index: str | None = None) -> DataFrame:
+    """how many rows each group gives when ``total`` rows are taken one per group
+    and round, in ``index`` order; groups without rows left drop out.
+
+    ``sizes`` (group, n) is one row per group. With the sizes in ascending order,
+    the rows taken when group i runs out are sum(n_1..n_i) + (G - i) * n_i; the
+    last such point that ``total`` reaches gives the number of full rounds. Fewer
+    than ``total`` rows in all raise.
+    """
+    idx = index or group
+    up = Window.orderBy("n", idx)
+    whole = Window.partitionBy()
+    s = sizes.withColumn("_i", F.row_number().over(up)).withColumn("_G", F.count(F.lit(1)).over(whole)).withColumn(
+        "_all", F.sum("n").over(whole))
+    s = s.withColumn("_at", F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0))
+                     + (F.col("_G") - F.col("_i")) * F.col("n"))
+    reached = F.when(F.col("_at") <= total, F.struct("_at", "_i", F.col("n").alias("_r")))
+    s = s.withColumn("_last", F.coalesce(F.max(reached).over(whole), F.struct(
+        F.lit(0).cast("bigint").alias("_at"), F.lit(0).alias("_i"), F.lit(0).cast("bigint").alias("_r"))))
+    open_ = F.col("_G") - F.col("_last._i")
+    left = F.lit(total) - F.col("_last._at")
+    full = F.col("_last._r") + F.when(open_ > 0, F.floor(left / open_)).otherwise(0)
+    s = s.withColumn("_full", full.cast("bigint")).withColumn(
+        "_more", F.when(open_ > 0, F.pmod(left, open_)).otherwise(0))
+    more = F.row_number().over(Window.partitionBy(F.col("n") > F.col("_full")).orderBy(idx)) <= F.col("_more")
+    quota = F.least("n", "_full") + F.when((F.col("n") > F.col("_full")) & more, 1).otherwise(0)
+    few = F.raise_error(F.concat(F.lit(f"{total} rows asked for, there are "), F.col("_all").cast("string")))
+    return s.select(group, F.when(F.col("_all") < total, few.cast("bigint")).otherwise(quota).cast("bigint").alias("quota"))
 
 
 def round_robin_quota(rows: DataFrame, group: str, order: Sequence[str], total: int,
                       group_index: str | None = None) -> DataFrame:
-    """a shared quota taken one row per group per round, in group order;
-    exhausted groups drop out and the rest continue.
-
-    Row r of group g is picked in round r, so the pick order is (r, group
-    index) and only the first ``total`` rows of that order survive. A row
-    with r > total can never be picked, so each group contributes at most
-    ``total`` candidates (bounded two-stage limit). Rows per round (a table
-    of at most ``total`` rows) give how many each round may still add;
-    inside a round rows are ranked by group index (one row per group).
+    """a shared quota taken one row per group per round (``round``, from 1), in
+    group order; exhausted groups drop out and the rest continue. Fewer than
+    ``total`` rows raise.
+
+    ``round_robin_quotas`` turns the rounds into one quota per group; each row's
+    round is its position inside its group.
     """
-    idx = group_index or group
-    # at most total x groups rows, read by two branches: materialized once
-    ranked = cut_lineage(first_n_per_group(rows, group, list(order), total, rank_col="round"))
-    # Rows per round (<= total rows): how many each round may still give.
-    per_round = ranked.groupBy("round").agg(F.count(F.lit(1)).alias("_k"))
-    before = F.sum("_k").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
-    allowed = (per_round.withColumn("_before", F.coalesce(before, F.lit(0)))
-               .filter(F.col("_before") < total)
-               .select("round", (F.lit(total) - F.col("_before")).alias("_allowed")))
-    # Within a round (at most one row per group) rank by the group index.
-    w = Window.partitionBy("round").orderBy(idx)
-    return (ranked.join(F.broadcast(allowed), "round")
-            .withColumn("_pos", F.row_number().over(w))
-            .filter(F.col("_pos") <= F.col("_allowed")).drop("_pos", "_allowed"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
+                                    *([F.min(group_index).alias(group_index)] if group_index else []))
+    quotas = cut_lineage(round_robin_quotas(sizes, group, total, group_index))
+    placed = null_safe_join(positions_in_group(rows, [group], list(order), "_pos"), quotas, [group])
+    return (placed.filter(F.col("_pos") < F.col("quota"))
+            .withColumn("round", F.col("_pos") + 1).drop("_pos", "quota"))
 
 
 def prepare_corpus_rows(docs: DataFrame, text_col: str = "text", source_col: str = "source",
@@ -181,11 +214,12 @@ def prepare_corpus_rows(docs: DataFrame, text_col: str = "text", source_col: str
     cleaned = (docs.select(order_col, source_col, clean_text(text_col).alias("text"),
                            *[c for c in ("lang",) if c in docs.columns])
                .filter(F.col("text") != ""))
-    with_id = cleaned.withColumn("id", stable_row_id(source_col, "text"))
+    # a null source is hashed as an empty one, so its rows keep distinct ids
+    with_id = cleaned.withColumn("id", stable_row_id(F.coalesce(F.col(source_col), F.lit("")), F.col("text")))
     return dedup_first(with_id, "id", order_col)
 
 
-def build_corpus(docs: DataFrame, share: float = 0.6, max_quota: int = 1_000_000) -> DataFrame:
+def build_corpus(docs: DataFrame, share: float = 0.6) -> DataFrame:
     """Entry slice: documents -> clean -> id -> dedup -> quota per source
     (largest remainder of share*rows by source size) -> hash split."""
     # read twice (sizes, then the take): written once instead of de-duplicating twice
@@ -193,7 +227,7 @@ def build_corpus(docs: DataFrame, share: float = 0.6, max_quota: int = 1_000_000
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     total = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(share))
     quotas = quota_largest_remainder(sizes, total, "n", "source")
-    picked = take_quota(rows, quotas, "source", ["doc_id"], max_quota)
+    picked = take_quota(rows, quotas, "source", ["doc_id"])
     return picked.withColumn("split", hash_split("id"))
 
 

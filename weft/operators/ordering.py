@@ -83,6 +83,26 @@ def global_index(df: DataFrame, order: Sequence[str | Column], index_col: str =
             .drop("_pid", "_local", "_off"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal key columns, null keys included; the key columns come from ``left``."""
+    side = right.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(side[f"_k_{c}"])
+    return left.join(side, cond, how).drop(*[f"_k_{c}" for c in on])
+
+
+def positions_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], out_col: str) -> DataFrame:
+    """0-based position of every row inside its group by ``order`` (a total order).
+
+    One global index over (group, order) minus the group's first position, so no
+    task holds a whole group; a null group is a group of its own.
+    """
+    idx = global_index(df, [*group, *order], "_gi")
+    first = idx.groupBy(*group).agg(F.min("_gi").alias("_g0"))
+    return null_safe_join(idx, first, group).withColumn(out_col, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
+
+
 def shards(df: DataFrame, index_col: str, shard_size: int) -> Column:
     """contiguous shard number [start, stop) of ``shard_size`` rows."""
     return F.floor(F.col(index_col) / F.lit(shard_size)).cast("bigint")
@@ -110,14 +130,14 @@ def first_by_hash(df: DataFrame, seed: int | str, key: Sequence[str], n: int) ->
 
 def split_three_way(df: DataFrame, seed: int | str, key: Sequence[str],
                     test_size: float = 0.2, inner_test_size: float = 0.2,
-                    exact: bool = True, names=("train", "valid", "test")) -> DataFrame:
+                    exact: bool = True, names=("train", "valid", "test"), copy_below: int = 0) -> DataFrame:
     """seeded 80/16/4 split (``test_size`` off train, then
     ``inner_test_size`` of that to test, the rest valid).
 
     Exact mode: rows ranked by the seeded hash; the first ceil(n*0.2) form the
-    held-out part, whose first ceil(m*0.2) are test. Fewer than 5 rows: every
-    split holds all rows (the reference's small-input rule). Cheap mode uses a
-    hash threshold and needs no positions.
+    held-out part, whose first ceil(m*0.2) are test. With fewer than ``copy_below``
+    rows every split holds all rows (callers of the 80/16/4 rule pass 5). Cheap
+    mode uses a hash threshold and needs no positions.
     """
     train, valid, test = names
     keyed = df.withColumn("_h", hash_shuffle_key(seed, *key))
@@ -127,7 +147,7 @@ def split_three_way(df: DataFrame, seed: int | str, key: Sequence[str],
                  .when(u < test_size, valid).otherwise(train))
         return keyed.withColumn("split", split).drop("_h")
     n = df.count()
-    if n < 5:
+    if n < copy_below:
         return (df.withColumn("split", F.explode(F.array(*[F.lit(x) for x in names]))))
     n_rest = math.ceil(test_size * n)
     n_test = math.ceil(inner_test_size * n_rest)
@@ -141,32 +161,36 @@ def ensure_splits(df: DataFrame, seed: int | str, key: Sequence[str],
                   split_col: str = "split") -> DataFrame:
     """F8: make train/test/valid from whatever splits exist.
 
-    ``validation`` is an alias of ``valid``; without ``train`` the first split
-    (by name) is split 80/16/4; with train only, the same; with train and test
-    but no valid, 10 % of train becomes valid (train of one row is copied);
-    without test, test is a copy of valid. Decided on the small set of
-    distinct split names.
+    ``validation`` is an alias of ``valid`` where there is no ``valid`` (else its
+    rows are left out); without ``train`` the first split (by name) is split
+    80/16/4; with train only, the same; with train and test but no valid, 10 % of
+    train becomes valid (train of one row is copied); without test, test is a copy
+    of valid. Decided on the small set of distinct split names.
     """
-    named = df.withColumn(split_col, F.when(F.col(split_col) == "validation", "valid")
-                          .otherwise(F.col(split_col)))
-    names = sorted(r[0] for r in named.select(split_col).distinct().collect())  # few names
+    raw = [r[0] for r in df.select(split_col).distinct().collect()]  # few names
+    if not raw:
+        return df
+    named = df
+    if "valid" not in raw and "validation" in raw:
+        named = df.withColumn(split_col, F.when(F.col(split_col) == "validation", "valid").otherwise(F.col(split_col)))
+    names = sorted("valid" if x == "validation" and "valid" not in raw else x for x in raw if x is not None)
+    only = None
     if "train" not in names:
-        first = names[0]
-        return split_three_way(named.filter(F.col(split_col) == first).drop(split_col),
-                               seed, key)
-    if "test" not in names and "valid" not in names:
-        return split_three_way(named.filter(F.col(split_col) == "train").drop(split_col),
-                               seed, key)
-    parts = {s: named.filter(F.col(split_col) == s) for s in ("train", "test", "valid")
-             if s in names}
+        only = names[0]
+    elif "test" not in names and "valid" not in names:
+        only = "train"
+    if only is not None:
+        return split_three_way(named.filter(F.col(split_col) == only).drop(split_col), seed, key, copy_below=5)
+    # decided from here on: train and one of test, valid; rows of other names are left out
+    named = named.filter(F.col(split_col).isin("train", "test", "valid"))
+    parts = {s: named.filter(F.col(split_col) == s) for s in ("train", "test", "valid") if s in names}
     if "valid" not in names:
-        train = parts["train"].drop(split_col)
+        train = cut_lineage(parts["train"].drop(split_col))
         if train.limit(2).count() < 2:
             parts["valid"] = train.withColumn(split_col, F.lit("valid"))
         else:
             tv = split_three_way(train, seed, key, test_size=0.1, inner_test_size=0.0)
-            tv = tv.withColumn(split_col, F.when(F.col(split_col) == "train", "train")
-                               .otherwise("valid"))
+            tv = tv.withColumn(split_col, F.when(F.col(split_col) == "train", "train").otherwise("valid"))
             parts["train"] = tv.filter(F.col(split_col) == "train")
             parts["valid"] = tv.filter(F.col(split_col) == "valid")
     if "test" not in names:
@@ -196,8 +220,10 @@ def weighted_interleave(df: DataFrame, source_col: str, order: Sequence[str],
     with j the bounding source, ceil(N p_i) = ceil(n_j w_i / w_j).
     """
     counts = df.groupBy(source_col).agg(F.count(F.lit(1)).alias("_n"))
-    cp = counts.join(weights.select(source_col, F.col("weight").cast("bigint").alias("_w")),
-                     source_col)
+    cp = null_safe_join(counts, weights.select(source_col, F.col("weight").cast("bigint").alias("_w")),
+                        [source_col], "left")
+    no_weight = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce(F.col(source_col), F.lit("NULL"))))
+    cp = cp.withColumn("_w", F.when(F.col("_w").isNull(), no_weight.cast("bigint")).otherwise(F.col("_w")))
     ratio = F.col("_n").cast("double") / F.col("_w")
     pick = F.max_by if stopping == "all_exhausted" else F.min_by
     bound = cp.agg(pick(F.struct(F.col("_n").alias("bn"), F.col("_w").alias("bw")), ratio).alias("_b"),

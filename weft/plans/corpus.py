@@ -127,7 +127,7 @@ def take_quota(spark, sf):
     rows = cut_lineage(C.prepare_corpus_rows(table(spark, sf, "documents")))  # read twice
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     quotas = sizes.withColumn("quota", F.floor(F.col("n") * 0.3).cast("bigint"))
-    picked = C.take_quota(rows, quotas, "source", ["doc_id"], max_quota=1_000_000)
+    picked = C.take_quota(rows, quotas, "source", ["doc_id"])
     return picked.select("source", "doc_id", "id")
 
 

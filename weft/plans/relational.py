@@ -165,7 +165,7 @@ UNION ALL SELECT NULL, NULL, sha256(text), NULL, NULL, item_id FROM benchmark
 def except_ids(spark, sf):
     """All documents - test - valid (bag-safe) = train."""
     d = table(spark, sf, "documents").select("doc_id")
-    s = split_three_way(d, 10, ["doc_id"])
+    s = split_three_way(d, 10, ["doc_id"], copy_below=5)
     test = s.filter(F.col("split") == "test").select("doc_id")
     valid = s.filter(F.col("split") == "valid").select("doc_id")
     return R.anti_join_ids(R.anti_join_ids(d, test, "doc_id"), valid, "doc_id")
