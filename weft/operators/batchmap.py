@@ -14,19 +14,20 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.hashing import cache_key
 from weft.functions.text import py_strip
-from weft.operators.ordering import global_index
+from weft.operators.ordering import global_index, positions_in_group
+from weft.session import cut_lineage
 
 Client = Callable[[list[str]], list[str]]
 
-# Rows per greedy-batching chunk: batching restarts at chunk edges, so one
-# task never holds more than this many rows of a (config, split).
+# Rows per greedy-batching chunk, which is what one task holds.
 CHUNK_ROWS = 100_000
 
 
@@ -42,38 +43,90 @@ def plan_pending(texts: DataFrame, text_col: str, cache: DataFrame, dataset: str
     return joined.withColumn("status", status)
 
 
-def greedy_batches(df: DataFrame, order: Sequence[str], text_col: str, batch_size: int,
-                   max_chars: int, group: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """consecutive rows, at most ``batch_size`` rows and ``max_chars``
-    characters per batch; an over-long row forms its own batch.
+def _next_start(lengths: np.ndarray, batch_size: int, max_chars: int) -> np.ndarray:
+    """For every row, the row that starts the next batch if a batch starts here."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    by_chars = np.searchsorted(total, total[:-1] + max_chars, side="right") - 1
+    at = np.arange(len(lengths))
+    return np.minimum(np.maximum(by_chars, at + 1), at + batch_size)
 
-    Positions come from ``global_index``; each chunk of ``chunk_rows``
-    consecutive rows is one ``applyInPandas`` group running the sequential
-    rule. Output adds ``batch`` = chunk * chunk_rows + batch-in-chunk.
-    """
-    g = list(group)
-    idx = global_index(df, [*g, *order], "_i")
-    if g:
-        first = idx.groupBy(*g).agg(F.min("_i").alias("_g0"))
-        idx = idx.join(first, g).withColumn("_i", F.col("_i") - F.col("_g0")).drop("_g0")
-    idx = idx.withColumn("_chunk", F.floor(F.col("_i") / chunk_rows)).withColumn(
-        "_len", F.length(text_col))
-    schema = T.StructType(idx.schema.fields + [T.StructField("batch", T.LongType())])
 
+def _chunk_map(batch_size: int, max_chars: int, chunk_rows: int):
+    """Where a chunk is left, and after how many batch starts, for each of the
+    ``batch_size`` places at which the first batch of the chunk can start."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
-        out, b, n, chars = [], 0, 0, 0
-        for ln in pdf["_len"].fillna(0).astype("int64"):
-            if n >= batch_size or (n and chars + ln > max_chars):
-                b, n, chars = b + 1, 0, 0
-            out.append(b)
-            n += 1
-            chars += ln
-        pdf["batch"] = pdf["_chunk"].astype("int64") * chunk_rows + pd.Series(out, index=pdf.index)
-        return pdf
+        own = int(pdf["_own"].sum())
+        nxt = _next_start(pdf["_len"].to_numpy(np.int64), batch_size, max_chars).tolist()
+        leave, n = [0] * own, [0] * own
+        for i in range(own - 1, -1, -1):
+            j = nxt[i]
+            leave[i], n[i] = (j - own, 1) if j >= own else (leave[j], n[j] + 1)
+        k = min(batch_size, own)
+        return pd.DataFrame({"_g": pdf["_g"].iloc[:1].to_list(), "_chunk": pdf["_chunk"].iloc[:1].to_list(),
+                             "leave": [leave[:k]], "n": [n[:k]]})
+
+    return run
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entry place and first batch number of every chunk of one group, in order."""
+    pdf = pdf.sort_values("_chunk")
+    entry, base, out = 0, 0, []
+    for g, c, leave, n in zip(pdf["_g"], pdf["_chunk"], pdf["leave"], pdf["n"]):
+        out.append((g, c, entry, base))
+        if entry < len(leave):
+            entry, base = int(leave[entry]), base + int(n[entry])
+        else:  # a last chunk that one batch covers to its end
+            entry -= len(leave)
+    return pd.DataFrame(out, columns=["_g", "_chunk", "entry", "base"])
+
+
+def _number(batch_size: int, max_chars: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        own = int(pdf["_own"].sum())
+        nxt = _next_start(pdf["_len"].to_numpy(np.int64), batch_size, max_chars)
+        batch = np.full(own, int(pdf["base"].iloc[0]) - 1, np.int64)
+        i = int(pdf["entry"].iloc[0])
+        while i < own:
+            batch[i:] += 1
+            i = int(nxt[i])
+        mine = pdf.iloc[:own]
+        return pd.DataFrame({"_g": mine["_g"], "_i": mine["_i"], "batch": batch})
 
-    out = idx.groupBy(*g, "_chunk").applyInPandas(run, schema)
-    return out.drop("_i", "_chunk", "_len")
+    return run
+
+
+def greedy_batches(df: DataFrame, order: Sequence[str], text_col: str, batch_size: int,
+                   max_chars: int, group: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """consecutive rows, at most ``batch_size`` rows and ``max_chars`` characters
+    per batch; an over-long row forms its own batch. Adds ``batch``, numbered from 0
+    in each group; the same for any ``chunk_rows``.
+
+    Rows are cut into chunks of consecutive positions. A batch that runs into a
+    chunk covers fewer than ``batch_size`` of its rows, so a chunk is described by
+    ``batch_size`` entry places and where each leaves it; these maps are composed
+    in order (one small row per chunk), and then every chunk is numbered alone.
+    Only positions and lengths enter Python.
+    """
+    g = list(group)
+    chunk = max(chunk_rows, batch_size)
+    idx = positions_in_group(df, g, list(order), "_i") if g else global_index(df, list(order), "_i")
+    idx = idx.withColumn("_g", F.to_json(F.struct(*g)) if g else F.lit(""))
+    narrow = idx.select("_g", "_i", F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("_len"))
+    at = F.floor(F.col("_i") / chunk)
+    # the first rows of a chunk are also seen by the chunk before, whose last batch they may end
+    ahead = (F.pmod(F.col("_i"), F.lit(chunk)) < batch_size) & (at > 0)
+    rows = narrow.withColumn("_c", F.explode(F.when(ahead, F.array(at, at - 1)).otherwise(F.array(at))))
+    rows = rows.select("_g", "_i", "_len", F.col("_c").alias("_chunk"), (F.col("_c") == at).alias("_own"))
+    rows = cut_lineage(rows)
+    maps = rows.groupBy("_g", "_chunk").applyInPandas(
+        _chunk_map(batch_size, max_chars, chunk), "_g string, _chunk long, leave array<int>, n array<long>")
+    entries = maps.groupBy("_g").applyInPandas(_compose, "_g string, _chunk long, entry long, base long")
+    numbered = rows.join(entries, ["_g", "_chunk"]).groupBy("_g", "_chunk").applyInPandas(
+        _number(batch_size, max_chars), "_g string, _i long, batch long")
+    return idx.join(numbered, ["_g", "_i"]).drop("_g", "_i")
 
 
 def _call_with_retry(client: Client, texts: list[str], retries: int, backoff: float) -> list[str]:
@@ -118,9 +171,10 @@ RESULT_SCHEMA = T.StructType([
 
 def apply_batches(batches: DataFrame, clients: Sequence[Client], batch_col: str = "batch",
                   key_col: str = "cache_key", text_col: str = "text", retries: int = 2,
-                  backoff: float = 0.05) -> DataFrame:
-    """L2: run every batch through the clients (fallback order); one group
-    per batch, so a batch is bounded by the batching limits."""
+                  backoff: float = 0.05, group: Sequence[str] = ()) -> DataFrame:
+    """L2: run every batch through the clients (fallback order); one task group
+    per (``group`` columns, batch), so a batch is bounded by the batching limits
+    and batches of different groups never meet."""
     clients = list(clients)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +182,7 @@ def apply_batches(batches: DataFrame, clients: Sequence[Client], batch_col: str
         rows = _translate(clients, pdf[key_col].tolist(), pdf[text_col].tolist(), retries, backoff)
         return pd.DataFrame(rows, columns=["cache_key", "translated_text", "client", "error"])
 
-    return batches.groupBy(batch_col).applyInPandas(run, RESULT_SCHEMA)
+    return batches.groupBy(*group, batch_col).applyInPandas(run, RESULT_SCHEMA)
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, key_col: str = "cache_key",
@@ -141,15 +195,24 @@ def cache_upsert(cache: DataFrame, new: DataFrame, key_col: str = "cache_key",
 
 
 def restore_rows(rows: DataFrame, text_col: str, results: DataFrame, dataset: str,
-                 out_col: str = "translated_text") -> DataFrame:
-    """L4: attach results to every row (all columns kept); blank texts give
-    ''. Rows still missing a result are reported by ``missing_results``."""
+                 out_col: str = "translated_text", only: Column | None = None,
+                 on_missing: str = "error") -> DataFrame:
+    """L4: attach results to every row (all columns kept); blank texts give ''.
+
+    Rows for which ``only`` is not true (other configurations) pass through with
+    their own text. A row without a result raises; ``on_missing="null"`` leaves it
+    NULL, for ``missing_results``."""
     keyed = rows.withColumn("_k", cache_key(F.lit(dataset), text_col))
     res = results.select(F.col("cache_key").alias("_k"), F.col("translated_text").alias("_t"))
     blank = py_strip(F.coalesce(F.col(text_col), F.lit(""))) == ""
-    return (keyed.join(res, "_k", "left")
-            .withColumn(out_col, F.when(blank, F.lit("")).otherwise(F.col("_t")))
-            .drop("_k", "_t"))
+    value = F.col("_t")
+    if on_missing == "error":
+        value = F.coalesce(value, F.raise_error(F.concat(F.lit("no result for key "), F.coalesce("_k", F.lit("NULL"))))
+                           .cast("string"))
+    value = F.when(blank, F.lit("")).otherwise(value)
+    if only is not None:
+        value = F.when(F.coalesce(only, F.lit(False)), value).otherwise(F.col(text_col))
+    return keyed.join(res, "_k", "left").withColumn(out_col, value).drop("_k", "_t")
 
 
 def missing_results(restored: DataFrame, out_col: str = "translated_text") -> DataFrame:

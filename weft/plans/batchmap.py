@@ -53,15 +53,15 @@ _CACHE_SQL = f"""cache AS (SELECT {S.row_id("'benchmark'", 'text')} AS cache_key
 
 def _texts(spark, sf):
     b = table(spark, sf, "benchmark").select("text")
-    d = table(spark, sf, "documents").select(F.substring_index("text", "\n", 1).alias("text"))
+    d = table(spark, sf, "documents").select("text")
     return b.unionByName(d)
 
 
-_TEXTS_SQL = "texts AS (SELECT text FROM benchmark UNION ALL SELECT split_part(text, chr(10), 1) FROM documents)"
+_TEXTS_SQL = "texts AS (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)"
 
 
 def plan_pending(spark, sf):
-    """L1: distinct texts of benchmark items and document first lines by status."""
+    """L1: distinct texts of benchmark items and documents by status."""
     p = L.plan_pending(_texts(spark, sf), "text", _cache(spark, sf), DATASET)
     return p.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -82,7 +82,17 @@ def greedy_batches(spark, sf):
     return L.greedy_batches(d, ["doc_id"], "text", 8, 20_000).select("doc_id", "batch")
 
 
-QUERIES["greedy_batches"] = greedy_batches  # order-dependent: rows-only; tests use a Python loop
+QUERIES["greedy_batches"] = greedy_batches
+ORACLE["greedy_batches"] = """
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, coalesce(length(text), 0) AS n FROM documents),
+b AS (SELECT doc_id, i, 1 AS held, n AS chars, CAST(0 AS BIGINT) AS batch FROM d WHERE i = 1
+      UNION ALL
+      SELECT d.doc_id, d.i, CASE WHEN held >= 8 OR chars + n > 20000 THEN 1 ELSE held + 1 END,
+             CASE WHEN held >= 8 OR chars + n > 20000 THEN n ELSE chars + n END,
+             CASE WHEN held >= 8 OR chars + n > 20000 THEN batch + 1 ELSE batch END
+      FROM b JOIN d ON d.i = b.i + 1)
+SELECT doc_id, batch FROM b
+"""
 
 
 def greedy_batches_rows(spark, sf):
