@@ -64,11 +64,11 @@ def test_parse_response_reasons(spark):
     cases = [
         (good, "ok"),
         ("```json\n" + good + "\n```", "ok"),
-        ('{"translations": [{"id": "1", "translation": "A"}]}', "wrong number of translations"),
-        ('{"translations": [{"id": "2", "translation": "A"}, {"id": "1", "translation": "B"}]}', "id mismatch"),
-        ('{"translations": [{"id": "1", "translation": "  "}, {"id": "2", "translation": "B"}]}', "missing translation"),
-        ("not json", "not an object with a translations array"),
-        ('{"other": 1}', "not an object with a translations array"),
+        ('{"translations": [{"id": "1", "translation": "A"}]}', "count"),
+        ('{"translations": [{"id": "2", "translation": "A"}, {"id": "1", "translation": "B"}]}', "ids"),
+        ('{"translations": [{"id": "1", "translation": "  "}, {"id": "2", "translation": "B"}]}', "blank"),
+        ("not json", "shape"),
+        ('{"other": 1}', "shape"),
     ]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content string")
     out = df.select("i", parse_response("content", F.array(F.lit("1"), F.lit("2"))).alias("r")).orderBy("i").collect()
