@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import _c, py_strip
 
+#: a whole reply that opens a fence; the closing fence may be absent
+FENCE = r"(?s)\A`{3}(?:json\b)?(.*?)(?:`{3})?\z"
 RESPONSE_SCHEMA = "struct<translations: array<struct<id: string, translation: string>>>"
 
 
@@ -24,12 +26,13 @@ def request_items(df: DataFrame, batch_cols, id_col: str, text_col: str) -> Data
 def strip_fence(content: str | Column) -> Column:
     """Remove a surrounding Markdown code fence (optionally tagged json)."""
     s = py_strip(content)
-    unfenced = F.regexp_replace(F.regexp_replace(s, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    return F.when(s.startswith("```"), unfenced).otherwise(s)
+    inner = F.regexp_extract(s, FENCE, 1)
+    return F.when(s.rlike(FENCE), py_strip(inner)).otherwise(s)
 
 
 def parse_response(content: str | Column, expected_ids: str | Column) -> Column:
-    """struct(status, reason, translations) for one response.
+    """struct(status, reason, translations) for one response; the reason is a
+    code: shape, count, ids or blank.
 
     Checks, in order: an object with a ``translations`` array; the same
     length as the expected ids; ids equal position by position; every
@@ -41,10 +44,10 @@ def parse_response(content: str | Column, expected_ids: str | Column) -> Column:
     id_bad = F.exists(F.zip_with(tr, exp, lambda t, e: F.coalesce(t["id"], F.lit("")) != e),
                       lambda x: x)
     blank = F.exists(tr, lambda t: t["translation"].isNull() | (py_strip(t["translation"]) == ""))
-    reason = (F.when(tr.isNull(), "not an object with a translations array")
-              .when(F.size(tr) != F.size(exp), F.lit("wrong number of translations"))
-              .when(id_bad, "id mismatch")
-              .when(blank, "missing translation")
+    reason = (F.when(tr.isNull(), "shape")
+              .when(F.size(tr) != F.size(exp), "count")
+              .when(id_bad, "ids")
+              .when(blank, "blank")
               .otherwise(F.lit(None)))
     clean = F.transform(tr, lambda t: F.struct(t["id"].alias("id"),
                                                py_strip(t["translation"]).alias("translation")))

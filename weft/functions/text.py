@@ -150,3 +150,11 @@ def normalize_query(col: str | Column, unicode_fold: bool = True) -> Column:
     spaced = F.regexp_replace(base, _NON_WORD, " ")
     squeezed = F.regexp_replace(spaced, SPLIT_RE, " ")
     return py_strip(squeezed)
+
+
+def pad_list(values: Column, n: int) -> Column:
+    """Exactly ``n`` elements: the last is repeated when there are fewer, the
+    rest cut when there are more. An empty or NULL list is a data error."""
+    empty = F.raise_error(F.lit("no value to pad a list with"))
+    made = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(values, F.least(i, F.size(values))))
+    return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, made).otherwise(F.array(empty.cast("string")))

@@ -42,9 +42,10 @@ def value_counts_multi(df: DataFrame, dims: Sequence[str], decimals: int = 2,
 
 
 def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
-    """Row x class counts; missing cells are 0. ``values`` are the
+    """Row x class counts; missing cells are 0; rows with a NULL key
+    are left out. ``values`` are the
     class labels (listed, so no extra distinct pass)."""
-    return df.groupBy(row).pivot(col, list(values)).count().na.fill(0)
+    return df.where(F.col(row).isNotNull()).groupBy(row).pivot(col, list(values)).count().na.fill(0)
 
 
 def stack_fields(df: DataFrame, fields: Sequence[str], id_col: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions.text import py_strip
+
 from weft.functions.text import _c
 
 # Ids closer than this share a gap-search bucket; a bucket holds at most this
@@ -61,12 +63,12 @@ def dup_members(df: DataFrame, key: str | Column, id_col: str) -> DataFrame:
 
 
 def null_empty_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """C4: per column, NULL count and blank-string count, in one pass."""
+    """C4: per column, NULL count and count of strings that are blank once stripped, in one pass."""
     aggs = []
     for c in cols:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"))
         if dict(df.dtypes)[c] == "string":
-            aggs.append(F.count_if(F.col(c) == "").alias(f"{c}__empty"))
+            aggs.append(F.count_if(py_strip(c) == "").alias(f"{c}__empty"))
         else:
             aggs.append(F.lit(0).cast("bigint").alias(f"{c}__empty"))
     wide = df.agg(*aggs)

@@ -68,13 +68,12 @@ def cluster_holdout(summary: DataFrame, cat: str, cluster: str, lo: float = 0.10
 
 
 def marginals(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Share of every value of every dimension (dimension, value, p)."""
-    parts = [df.groupBy(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
-             .agg(F.count(F.lit(1)).alias("_n")) for d in dims]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.withColumn("p", F.col("_n") / F.sum("_n").over(Window.partitionBy("dimension"))).drop("_n")
+    """Share of every value of every dimension (dimension, value, p), in one
+    scan. Shares are of all rows; NULL is no value, so it takes its share away."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])
+    u = df.select(F.explode(pairs).alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy("dimension"))
+    return u.withColumn("p", F.col("_n") / total).where(F.col("value").isNotNull()).drop("_n")
 
 
 def total_variation(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("dimension",)) -> DataFrame:

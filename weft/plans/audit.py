@@ -76,11 +76,11 @@ def null_empty_counts(spark, sf):
 
 
 QUERIES["null_empty_counts"] = null_empty_counts
-ORACLE["null_empty_counts"] = """
+ORACLE["null_empty_counts"] = f"""
 SELECT 'conv_id' AS "column", CAST(count_if(conv_id IS NULL) AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS empty FROM conversations
 UNION ALL SELECT 'turn', CAST(count_if(turn IS NULL) AS BIGINT), 0 FROM conversations
-UNION ALL SELECT 'role', CAST(count_if(role IS NULL) AS BIGINT), CAST(count_if(role = '') AS BIGINT) FROM conversations
-UNION ALL SELECT 'text', CAST(count_if(text IS NULL) AS BIGINT), CAST(count_if(text = '') AS BIGINT) FROM conversations
+UNION ALL SELECT 'role', CAST(count_if(role IS NULL) AS BIGINT), CAST(count_if({S.strip('role')} = '') AS BIGINT) FROM conversations
+UNION ALL SELECT 'text', CAST(count_if(text IS NULL) AS BIGINT), CAST(count_if({S.strip('text')} = '') AS BIGINT) FROM conversations
 """
 
 

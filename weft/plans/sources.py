@@ -257,5 +257,6 @@ def stream_hash_split(spark, sf):
 
 QUERIES["stream_hash_split"] = stream_hash_split
 ORACLE["stream_hash_split"] = f"""
-SELECT doc_id, CASE WHEN {S.hex_mod100('sha256(text)')} < 2 THEN 'eval' ELSE 'train' END AS split FROM documents
+SELECT doc_id, CASE WHEN {S.hex_mod100(f"sha256({S.clean('text')})")} < 2 THEN 'eval' ELSE 'train' END AS split
+FROM documents WHERE {S.clean('text')} <> ''
 """

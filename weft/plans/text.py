@@ -47,18 +47,20 @@ SELECT doc_id, {S.clean('t')} AS text FROM j
 
 
 def _posts(spark, sf):
-    """Conversation turns pivoted to post fields: title = turn 0, selftext =
-    turn 1, body = turn 2 (text and content absent)."""
-    c = table(spark, sf, "conversations").filter(F.col("turn") <= 2)
-    return (c.groupBy("conv_id").pivot("turn", [0, 1, 2]).agg(F.first("text"))
-            .select("conv_id", F.col("0").alias("title"), F.col("1").alias("selftext"),
-                    F.col("2").alias("body")))
+    """Conversations as posts: title = turn 0, selftext = turn 1, body = all later
+    turns in order, one a line (text and content absent)."""
+    c = table(spark, sf, "conversations")
+    later = F.array_sort(F.collect_list(F.when(F.col("turn") >= 2, F.struct("turn", "text"))))
+    body = F.array_join(F.transform(later, lambda x: x["text"]), "\n")
+    return c.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"),
+        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("selftext"), body.alias("body"))
 
 
 _POSTS_SQL = """posts AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS title,
                          max(CASE WHEN turn = 1 THEN text END) AS selftext,
-                         max(CASE WHEN turn = 2 THEN text END) AS body
-                  FROM conversations WHERE turn <= 2 GROUP BY conv_id)"""
+                         string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE turn >= 2) AS body
+                  FROM conversations GROUP BY conv_id)"""
 
 
 def merge_text_fields(spark, sf):
@@ -101,17 +103,17 @@ _SCRIPT_SQL = """CASE WHEN regexp_matches({t}, '[\\x{{0900}}-\\x{{097F}}]') AND
 
 
 def script_class(spark, sf):
-    """B9 per document and page title."""
+    """B9 per document and page."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     p = table(spark, sf, "pages").select((-F.col("page_id") - 1).alias("id"),
-                                         F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("text"))
+                                         F.col("html").alias("text"))
     return d.unionByName(p).select("id", X.script_class("text").alias("script"))
 
 
 QUERIES["script_class"] = script_class
 ORACLE["script_class"] = f"""
 WITH u AS (SELECT doc_id AS id, text FROM documents
-           UNION ALL SELECT -page_id - 1, coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), '') FROM pages)
+           UNION ALL SELECT -page_id - 1, html FROM pages)
 SELECT id, {_SCRIPT_SQL.format(t='text')} AS script FROM u
 """
 
@@ -242,7 +244,7 @@ def pad_negatives(spark, sf):
     (repeat the last when short, cut when long)."""
     d = table(spark, sf, "documents")
     negs = F.filter(F.split("text", "\n"), lambda x: x != "")
-    three = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.element_at(negs, F.least(i, F.size(negs))))
+    three = X.pad_list(negs, 3)
     return d.select("doc_id", *[F.sha2(three[i], 256).alias(f"negative_{i + 1}") for i in range(3)])
 
 

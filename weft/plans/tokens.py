@@ -16,7 +16,7 @@ ORACLE: dict = {}
 
 VOCAB_SIZE = 8000
 MAX_LEN = 4096
-BLOCK_LEN = 64
+BLOCK_LEN = 1024
 BATCH_DOCS = 1000
 MASK_SEED = 0
 
@@ -73,14 +73,15 @@ def _blocks(spark, sf):
 
 
 def pack_blocks(spark, sf):
-    """K4: documents joined by <eos> inside batches of 1000, cut into 64-token blocks."""
+    """K4: documents joined by <eos> inside batches of 1000, cut into 1024-token blocks."""
     return _blocks(spark, sf)
 
 
 QUERIES["pack_blocks"] = pack_blocks
 _PACK_SQL = f"""{_ENC_SQL},
-toks AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_DOCS} AS batch,
-                list_concat(input_ids, [{K.EOS}]) AS t FROM enc),
+places AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+toks AS (SELECT doc_id, i // {BATCH_DOCS} AS batch, list_concat(input_ids, [{K.EOS}]) AS t
+         FROM enc JOIN places USING (doc_id)),
 allt AS (SELECT batch, unnest(a) AS tok, unnest(range(0, len(a))) AS off, len(a) AS total
          FROM (SELECT batch, flatten(list(t ORDER BY doc_id)) AS a FROM toks GROUP BY batch)),
 blocks AS (SELECT CAST(batch AS BIGINT) AS batch, CAST(off // {BLOCK_LEN} AS BIGINT) AS block,
@@ -137,14 +138,15 @@ FROM z WHERE g <> -100
 
 def pairs_to_ir(spark, sf):
     """(user turn, next assistant turn) pairs -> queries q{i}, corpus
-    d{i} and qrels; blank pairs skipped; i in (conv_id, turn) order."""
+    d{i} and qrels; i counts all pairs in (conv_id, turn) order, blank pairs are
+    left out after that; texts are stripped."""
     c = table(spark, sf, "conversations")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                        F.col("text").alias("d"))
-    p = u.join(a, ["conv_id", "turn"]).filter(
-        (clean_text("q", sentinels=()) != "") & (clean_text("d", sentinels=()) != ""))
-    idx = global_index(p, ["conv_id", "turn"], "i")
+    p = u.join(a, ["conv_id", "turn"]).withColumns(
+        {k: clean_text(k, sentinels=()) for k in ("q", "d")})
+    idx = global_index(p, ["conv_id", "turn"], "i").filter((F.col("q") != "") & (F.col("d") != ""))
     return idx.select(F.concat(F.lit("q"), F.col("i").cast("string")).alias("qid"),
                       F.concat(F.lit("d"), F.col("i").cast("string")).alias("did"),
                       F.sha2("q", 256).alias("query"), F.sha2("d", 256).alias("document"))
@@ -152,12 +154,12 @@ def pairs_to_ir(spark, sf):
 
 QUERIES["pairs_to_ir"] = pairs_to_ir
 ORACLE["pairs_to_ir"] = f"""
-WITH p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS d
+WITH p AS (SELECT u.conv_id, u.turn, {S.strip("coalesce(u.text, '')")} AS q, {S.strip("coalesce(a.text, '')")} AS d
            FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-           WHERE u.role = 'user' AND a.role = 'assistant' AND u.text IS NOT NULL AND a.text IS NOT NULL
-             AND {S.strip('u.text')} <> '' AND {S.strip('a.text')} <> ''),
+           WHERE u.role = 'user' AND a.role = 'assistant'),
 i AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM p)
 SELECT 'q' || i AS qid, 'd' || i AS did, sha256(q) AS query, sha256(d) AS document FROM i
+WHERE q <> '' AND d <> ''
 """
 
 

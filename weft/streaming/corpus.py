@@ -26,8 +26,10 @@ def corpus_stream(stream: DataFrame, text_col: str = "text", source_col: str = "
 
 
 def split_stream(stream: DataFrame, text_col: str = "text", holdout_pct: int = 2) -> DataFrame:
-    """M2: stateless hash split of a stream (nothing materialized)."""
-    return stream.withColumn("split", text_hash_split(text_col, holdout_pct))
+    """M2: stateless hash split of a stream (nothing materialized): the text is
+    cleaned, blank rows are dropped, and the cleaned text is hashed."""
+    cleaned = stream.withColumn(text_col, clean_text(text_col)).filter(F.col(text_col) != "")
+    return cleaned.withColumn("split", text_hash_split(text_col, holdout_pct))
 
 
 def run_available(spark: SparkSession, source_dir: str, schema: T.StructType | str,
