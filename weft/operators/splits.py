@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.corpus import first_n_per_group
 from weft.operators.vectors import as_double, cosine, mean_vector
+from weft.session import cut_lineage
 
 # Centroid tables are collected and broadcast each k-means round; refuse
 # sizes beyond this many floats (categories x restarts x k x dim).
@@ -32,12 +32,6 @@ def _hash_unit(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
-def _hash_prefix(h: str) -> Column:
-    """First 60 bits of a hex digest as a non-negative bigint: sorts like the
-    digest string, but as a long (the digest itself breaks the rare ties)."""
-    return F.conv(F.substring(F.col(h), 1, 15), 16, 10).cast("bigint")
-
-
 def cluster_summary(df: DataFrame, cat: str, cluster: str, vec: str) -> DataFrame:
     """Rows, share of the category, and isolation (1 - max cosine to
     another centroid of the same category) per (category, cluster)."""
@@ -70,8 +64,13 @@ def cluster_holdout(summary: DataFrame, cat: str, cluster: str, lo: float = 0.10
 def marginals(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Share of every value of every dimension (dimension, value, p), in one
     scan. Shares are of all rows; NULL is no value, so it takes its share away."""
+    return marginals_of(df.withColumn("_n", F.lit(1)), dims)
+
+
+def marginals_of(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``marginals`` of rows that stand for ``_n`` rows each."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])
-    u = df.select(F.explode(pairs).alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("_n"))
+    u = df.select("_n", F.explode(pairs).alias("x")).groupBy("x.dimension", "x.value").agg(F.sum("_n").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy("dimension"))
     return u.withColumn("p", F.col("_n") / total).where(F.col("value").isNotNull()).drop("_n")
 
@@ -84,6 +83,41 @@ def total_variation(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("d
     return j.groupBy(*k).agg((0.5 * F.sum(F.abs(F.col("_p") - F.col("_q")))).alias("tv"))
 
 
+def draw_thresholds(keys: DataFrame, sizes: DataFrame, draws: int, seed: str | None = None) -> DataFrame:
+    """(_cat, limits): for every category and draw the hash of the ``_m``-th key in
+    the draw's hash order, so a key is drawn if its hash is not above the limit
+    (NULL: nothing is drawn). ``keys`` (_cat, _k), ``sizes`` (_cat, _m).
+
+    Keys are only counted per (category, draw, first byte of the hash); the byte
+    that holds the limit is ranked exactly, which is one key in 256. Neither keys
+    nor draws are sorted as a whole.
+    """
+    h = F.col("_h")
+    drawn = keys.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+        "_h", draw_hash(F.col("_d"), F.col("_k"), seed)).withColumn("_b", F.substring(h, 1, 2))
+    counts = drawn.groupBy("_cat", "_d", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_cat", "_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_c", F.sum("_n").over(upto)).join(sizes.select("_cat", "_m"), "_cat")
+    cross = counts.filter((F.col("_c") >= F.col("_m")) & (F.col("_c") - F.col("_n") < F.col("_m")))
+    cross = cut_lineage(cross.select("_cat", "_d", "_b", (F.col("_m") - F.col("_c") + F.col("_n")).alias("_r")))
+    few = cross.count() <= MAX_BROADCAST_DRAWS
+    near = drawn.join(F.broadcast(cross) if few else cross, ["_cat", "_d", "_b"])
+    w = Window.partitionBy("_cat", "_d").orderBy("_h")
+    limit = near.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") == F.col("_r")).select("_cat", "_d", "_h")
+    pairs = limit.groupBy("_cat").agg(F.map_from_entries(F.collect_list(F.struct("_d", "_h"))).alias("_map"))
+    return cut_lineage(pairs.select("_cat", F.transform(
+        F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.try_element_at("_map", d)).alias("limits")))
+
+
+#: (category, draw, byte, rank) rows, some 40 bytes each, sent to every executor at most
+MAX_BROADCAST_DRAWS = 1 << 20
+
+
+def draw_hash(draw: Column, key: Column, seed: str | None) -> Column:
+    parts = [] if seed is None else [F.lit(seed)]
+    return _hash_unit(*parts, draw.cast("string"), key)
+
+
 def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], target_rows: int,
                          total_rows: int, seeds: int = 200) -> DataFrame:
     """For every seed, the first ceil(share * groups) groups in seeded
@@ -93,34 +127,26 @@ def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], tar
     shuffle split.
 
     The rows are aggregated once into (group, dimension values) cells and
-    checkpointed; every later step reads the cells, never the rows. Work is
-    (seed x group) and (seed x dimension value).
+    checkpointed. One hash limit per seed (``draw_thresholds``) decides what a seed
+    draws, and one pass over the cells adds counts per (seed, dimension, value).
     """
-    from weft.session import cut_lineage
     cells = cut_lineage(df.groupBy(group_col, *dims).agg(F.count(F.lit(1)).alias("_n")))
     n_rows = cells.agg(F.sum("_n")).first()[0]
-    gcounts = cells.groupBy(group_col).agg(F.sum("_n").alias("_rows"))
-    n_groups = gcounts.count()
-    n_valid = math.ceil((target_rows / n_rows) * n_groups)
-    seeded = gcounts.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    seeded = seeded.withColumn("_h", _hash_unit(F.col("seed").cast("string"), F.col(group_col).cast("string")))
-    seeded = seeded.withColumn("_hk", _hash_prefix("_h"))
-    # Every seed ranks each group exactly once: balanced windows of n_groups
-    # rows (use hash buckets of groups as the unit when groups are very many).
-    w = Window.partitionBy("seed").orderBy("_hk", "_h")
-    ranked = seeded.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_valid)
-    # (seed, group) picks: read by two branches, so materialized once
-    chosen = cut_lineage(ranked.select("seed", group_col, "_rows"))
-    size = chosen.groupBy("seed").agg(F.sum("_rows").alias("valid_rows"))
-    gdv = None
-    for d in dims:
-        part = cells.groupBy(group_col, F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) \
-            .agg(F.sum("_n").alias("_n"))
-        gdv = part if gdv is None else gdv.unionByName(part)
-    whole = gdv.groupBy("dimension", "value").agg(F.sum("_n").alias("_n"))
-    whole = whole.withColumn("p", F.col("_n") / F.sum("_n").over(Window.partitionBy("dimension"))).drop("_n")
-    cand = (chosen.join(gdv, group_col).groupBy("seed", "dimension", "value").agg(F.sum("_n").alias("_n"))
-            .join(size, "seed").withColumn("p", F.col("_n") / F.col("valid_rows")).drop("_n", "valid_rows"))
+    keys = cells.select(F.lit("").alias("_cat"), F.col(group_col).cast("string").alias("_k")).distinct()
+    n_valid = math.ceil((target_rows / n_rows) * keys.count())
+    one = keys.sparkSession.createDataFrame([("", n_valid)], "_cat string, _m bigint")
+    limits = draw_thresholds(keys, one, seeds).first()["limits"]  # one hash per seed
+    table = F.array(*[F.lit(x) for x in limits])
+    drawn = cells.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).filter(
+        draw_hash(F.col("seed"), F.col(group_col).cast("string"), None) <= F.get(table, F.col("seed")))
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims],
+                    F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("string").alias("value")))
+    counts = cut_lineage(drawn.select("seed", "_n", F.explode(pairs).alias("x")).groupBy(
+        "seed", "x.dimension", "x.value").agg(F.sum("_n").alias("_n")))
+    size = counts.filter(F.col("dimension").isNull()).select("seed", F.col("_n").alias("valid_rows"))
+    whole = marginals_of(cells, dims)
+    cand = (counts.filter(F.col("dimension").isNotNull() & F.col("value").isNotNull()).join(size, "seed")
+            .withColumn("p", F.col("_n") / F.col("valid_rows")).drop("_n", "valid_rows"))
     grid = whole.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     tv = total_variation(cand, grid, ["seed", "dimension"]).groupBy("seed").agg(F.sum("tv").alias("tv"))
     scored = (size.join(tv, "seed")
@@ -183,11 +209,12 @@ def _perm_partials(n_perm: int):
                 m[0] += x[held].sum(axis=0)
                 m[1] += x.sum(axis=0)
                 lists = g["perms"].to_numpy()
-                rows = np.concatenate([np.full(len(p), i) for i, p in enumerate(lists) if p is not None and len(p)]
-                                      or [np.zeros(0, int)]).astype(int)
-                perms = np.concatenate([np.asarray(p, dtype=int) for p in lists if p is not None and len(p)]
-                                       or [np.zeros(0, int)])
-                np.add.at(m, perms + 2, x[rows])
+                for lo in range(0, len(x), 1024):  # permutations x rows, as a 0/1 matrix
+                    drawn = np.zeros((n_perm, len(x[lo:lo + 1024])))
+                    for j, p in enumerate(lists[lo:lo + 1024]):
+                        if p is not None and len(p):
+                            drawn[np.asarray(p, dtype=int), j] = 1.0
+                    m[2:] += drawn @ x[lo:lo + 1024]
         out = [(c, i - 2, m[i].tolist()) for c, m in acc.items() for i in range(m.shape[0])]
         yield pd.DataFrame(out, columns=["_cat", "perm", "s"])
     return run
@@ -203,35 +230,33 @@ def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_p
     the mean vectors of held-out and other rows; each permutation picks, per
     category, as many rows as are held out (smallest seeded hashes).
 
-    Draws use key hashes alone (two-stage per-group limit); each row then
-    carries the list of permutations that drew it, and every partition adds
-    its vectors into per-(category, permutation) sums, emitting only those
-    partial sums. Means matter only up to scale, so sums are compared:
-    selected against total minus selected.
+    One hash limit per (category, permutation) decides what a permutation draws
+    (``draw_thresholds``); every row lists the permutations that draw it, in place,
+    and every partition adds its vectors into per-(category, permutation) sums,
+    emitting only those partial sums. Means matter only up to scale, so sums are
+    compared: selected against total minus selected.
     """
-    from weft.session import cut_lineage
-    # read by three passes (sizes, thresholds, sums): materialized once
+    # read by three passes (sizes, limits, sums): materialized once
     d = cut_lineage(df.select(F.col(cat).cast("string").alias("_cat"), F.col(key).cast("string").alias("_k"),
                               as_double(vec).alias("_v"), F.col(held).cast("boolean").alias("_held")))
-    sizes = d.groupBy("_cat").agg(F.count_if("_held").alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    lim = sizes.agg(F.max("_m").alias("m"), F.max("_rows").alias("rows")).first()  # two scalars
-    max_m, max_rows = lim["m"] or 0, lim["rows"] or 0
-    perm = d.select("_cat", "_k").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    perm = perm.withColumn("_h", _hash_unit(F.lit(str(seed)), F.col("perm").cast("string"), F.col("_k"))) \
-        .withColumn("_hk", _hash_prefix("_h")).join(F.broadcast(sizes.select("_cat", "_m")), "_cat")
-    # a (permutation, category) group holds exactly the category's rows
-    chosen = first_n_per_group(perm, ["perm", "_cat"], ["_hk", "_h"], F.col("_m"), max_n=max(int(max_m), 1),
-                               max_group_rows=int(max_rows))
-    # per row, the permutations that select it (at most n_perm values)
-    picks = chosen.groupBy("_cat", "_k").agg(F.collect_list("perm").alias("perms"))
-    rows = d.join(picks, ["_cat", "_k"], "left")
+    sizes = d.groupBy("_cat").agg(F.count_if("_held").alias("_m"))
+    limits = draw_thresholds(d.select("_cat", "_k"), sizes, n_perm, str(seed))
+    few = limits.count() * n_perm <= MAX_BROADCAST_DRAWS
+    picks = F.filter(F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: F.coalesce(
+        draw_hash(p, F.col("_k"), str(seed)) <= F.get("limits", p), F.lit(False)))
+    rows = d.join(F.broadcast(limits) if few else limits, "_cat", "left").withColumn("perms", picks).drop("limits")
 
     def red(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["_cat"].iloc[0], int(pdf["perm"].iloc[0]),
-                              np.stack(pdf["s"].to_numpy()).sum(axis=0).tolist())], columns=list(pdf.columns))
+        perm, at = np.unique(pdf["perm"].to_numpy(), return_inverse=True)
+        v = np.stack(pdf["s"].to_numpy())
+        total = np.zeros((len(perm), v.shape[1]))
+        np.add.at(total, at, v)
+        return pd.DataFrame({"_cat": pdf["_cat"].iloc[0], "perm": perm, "s": list(total)})
 
+    # a group holds 256 permutations of a category: one short vector for each and partition
     sums = (rows.mapInPandas(_perm_partials(n_perm), _PERM_SCHEMA)
-            .groupBy("_cat", "perm").applyInPandas(red, _PERM_SCHEMA))
+            .groupBy("_cat", F.floor(F.col("perm") / 256)).applyInPandas(lambda pdf: red(pdf), _PERM_SCHEMA))
+    sums = cut_lineage(sums)  # read by three branches
     tot = sums.filter(F.col("perm") == -1).select("_cat", F.col("s").alias("_t"))
     sel = sums.filter(F.col("perm") != -1).join(tot, "_cat")
     rest = F.zip_with("_t", "s", lambda t, x: t - x)

@@ -22,7 +22,7 @@ from weft.session import table
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-N_PERM = 200
+N_PERM = 2000
 
 
 def _emb(spark, sf):
@@ -205,7 +205,7 @@ ORACLE["split_invariants"] = """SELECT 'x' AS "check", 'x' AS detail FROM embedd
 
 
 def permutation_test(spark, sf):
-    """Held-out shift against 200 size-matched random hold-outs per category."""
+    """Held-out shift against 2,000 size-matched random hold-outs per category."""
     e = _emb(spark, sf)
     h = _holdout(spark, sf).select("cat", "label", F.lit(True).alias("held"))
     e = e.join(F.broadcast(h), ["cat", "label"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
