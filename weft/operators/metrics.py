@@ -77,7 +77,7 @@ def local_rank(scores: Column) -> Column:
     """1 + number of negatives scoring strictly above the positive
     (scores[0] is the positive)."""
     pos = F.element_at(scores, 1)
-    return (F.size(F.filter(F.slice(scores, 2, 1 << 20), lambda x: x > pos)) + 1).cast("bigint")
+    return (F.size(F.filter(scores, lambda x, i: (i > 0) & (x > pos))) + 1).cast("bigint")
 
 
 def local_rank_summary(df: DataFrame, rank_col: str = "rank", margin_col: str = "margin") -> DataFrame:

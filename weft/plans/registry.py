@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "audit", "ordering", "relational", "vectors", "text", "sources", "tokens", "batchmap", "splits")
+MODULES = ("corpus", "audit", "ordering", "relational", "vectors", "text", "sources", "tokens", "batchmap", "splits", "retrieval")
 
 
 def _load():
