@@ -50,7 +50,9 @@ def test_validate_manifest_detects_differences(spark):
     m = IO.corpus_manifest(c)
     assert IO.validate_manifest(m, c, 2).count() == 0
     bad = IO.validate_manifest(m, c.filter("source = 's1'"), 3)
-    assert {r["check"] for r in bad.collect()} == {"row_count", "source_count:s2"}
+    assert {r["check"] for r in bad.collect()} == {"row_count", "source_count:s2", "split_count:validation", "fingerprint"}
+    other = c.withColumn("id", F.reverse(F.concat(F.col("id"), F.lit("c"))))
+    assert [r["check"] for r in IO.validate_manifest(m, other, 2).collect()] == ["fingerprint"]
 
 
 def test_discover_layout_unknown_raises(spark):

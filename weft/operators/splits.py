@@ -170,10 +170,11 @@ def assign_split(df: DataFrame, test_flag: Column, valid_flag: Column) -> Column
 
 
 def split_invariants(df: DataFrame, split_col: str, dims: Sequence[str], expected: DataFrame,
-                     test_ok: Column) -> DataFrame:
+                     test_ok: Column, held: Column | None = None) -> DataFrame:
     """Violations (empty = pass): split counts differing from
     ``expected`` (split, rows); dimension values missing from a split; test
-    rows outside the held-out clusters."""
+    rows outside the held-out clusters (``test_ok``); rows of other splits inside
+    them (``held``)."""
     counts = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("rows"))
     bad_counts = (expected.join(counts, split_col, "full_outer")
                   .filter(~F.col("expected").eqNullSafe(F.col("rows")))
@@ -190,7 +191,11 @@ def split_invariants(df: DataFrame, split_col: str, dims: Sequence[str], expecte
         missing = miss if missing is None else missing.unionByName(miss)
     bad_test = (df.filter((F.col(split_col) == "test") & ~test_ok)
                 .select(F.lit("test_outside_holdout").alias("check"), F.lit("row").alias("detail")))
-    return bad_counts.unionByName(missing).unionByName(bad_test)
+    out = bad_counts.unionByName(missing).unionByName(bad_test)
+    if held is not None:
+        out = out.unionByName(df.filter((F.col(split_col) != "test") & held).select(
+            F.lit("holdout_outside_test").alias("check"), F.col(split_col).alias("detail")))
+    return out
 
 
 def _perm_partials(n_perm: int):

@@ -190,18 +190,29 @@ ORACLE["assign_split"] = f"WITH {_ASSIGN_SQL} SELECT vec_id, split FROM assigned
 
 
 def split_invariants(spark, sf):
-    """Violations of the J6 split (empty = pass): counts, every
-    category in every split, test rows only in held-out clusters."""
+    """Violations of a damaged J6 split, in which the test rows of category 0
+    went to train: counts, the category missing from test, held-out rows in train. Expected counts come from the sizes
+    of the held-out clusters."""
     out, target = _assigned(spark, sf)
-    n_test = out.filter("_test").count()
+    held = _holdout(spark, sf).agg(F.sum("rows").cast("bigint").alias("h")).first()["h"]
     n = out.count()
     expected = spark.createDataFrame(
-        [("test", n_test), ("valid", target), ("train", n - n_test - target)], "split string, expected bigint")
-    return J.split_invariants(out, "split", ["cat"], expected, F.col("_test"))
+        [("test", held), ("valid", target), ("train", n - held - target)], "split string, expected bigint")
+    moved = (F.col("cat") == 0) & (F.col("split") == "test")
+    damaged = out.withColumn("split", F.when(moved, "train").otherwise(F.col("split")))
+    bad = J.split_invariants(damaged, "split", ["cat"], expected, F.col("_test"), F.col("_test"))
+    return bad.groupBy("check", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES["split_invariants"] = split_invariants
-ORACLE["split_invariants"] = """SELECT 'x' AS "check", 'x' AS detail FROM embeddings WHERE false"""
+ORACLE["split_invariants"] = f"""
+WITH {_ASSIGN_SQL},
+m AS (SELECT count(*) AS m FROM assigned WHERE split = 'test' AND cat = 0)
+SELECT "check", detail, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'split_count' AS "check", unnest(['test', 'train']) AS detail, 1 AS n FROM m WHERE m > 0
+  UNION ALL SELECT 'missing_cat', 'test=0', 1 FROM m WHERE m > 0
+  UNION ALL SELECT 'holdout_outside_test', 'train', m FROM m WHERE m > 0)
+"""
 
 
 def permutation_test(spark, sf):

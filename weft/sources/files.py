@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from weft.operators.ordering import global_index
 from weft.operators.profile import fingerprint
-from weft.session import ensure_checkpoint_dir
+from weft.session import cut_lineage, ensure_checkpoint_dir
 
 CORRUPT = "_corrupt_record"
 
@@ -125,14 +125,19 @@ def load_split(spark: SparkSession, path: str, schema: T.StructType | str | None
 def corpus_manifest(corpus: DataFrame, id_col: str = "id") -> DataFrame:
     """One row: row count, counts per split and per source, order-free
     fingerprint, and the id / split algorithms."""
-    split_counts = corpus.groupBy("split").agg(F.count(F.lit(1)).alias("n")) \
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("split_counts"))
-    source_counts = corpus.groupBy("source").agg(F.count(F.lit(1)).alias("n")) \
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("source_counts"))
+    # both maps from one aggregate of the corpus: a row per (split, source)
+    cells = cut_lineage(corpus.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n")))
+
+    def counts(by: str) -> DataFrame:
+        return cells.groupBy(by).agg(F.sum("n").alias("n")).agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "n")))).alias(f"{by}_counts"))
+
+    split_counts, source_counts = counts("split"), counts("source")
     fp = fingerprint(corpus, id_col)
     return (fp.crossJoin(split_counts).crossJoin(source_counts)  # one-row tables
             .select(F.lit(2).alias("format_version"), F.col("rows").alias("row_count"),
                     "split_counts", "source_counts", "fingerprint",
+                    # fixed values: readers of a manifest compare them
                     F.lit("sha256(source\\0text)").alias("id_algorithm"),
                     F.lit("first-64-bits(id) modulo 100; validation < 2").alias("split_algorithm")))
 
@@ -142,10 +147,10 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def validate_manifest(manifest: DataFrame, corpus: DataFrame, expected_total: int,
-                      expected_quotas: DataFrame | None = None) -> DataFrame:
+                      expected_quotas: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """Differences between a manifest and the data (empty = valid):
-    version, total, per-split and per-source counts (full outer join of the
-    count tables), and optional per-source quotas."""
+    version, total, fingerprint of the ids, per-split and per-source counts (full
+    outer join of the count tables), and optional per-source quotas."""
     m = manifest.first()  # one row
     issues = []
     spark = corpus.sparkSession
@@ -153,18 +158,22 @@ def validate_manifest(manifest: DataFrame, corpus: DataFrame, expected_total: in
         issues.append(("format_version", "2", str(m["format_version"])))
     if m["row_count"] != expected_total:
         issues.append(("row_count", str(expected_total), str(m["row_count"])))
-    fixed = spark.createDataFrame(issues, "check string, expected string, actual string")
-    counts = m["source_counts"]  # a map, or a struct when read back from JSON
-    counts = counts.asDict() if hasattr(counts, "asDict") else counts
-    want = spark.createDataFrame([(k, int(v)) for k, v in counts.items()],
-                                 "source string, expected bigint")
-    got = corpus.groupBy("source").agg(F.count(F.lit(1)).alias("actual"))
-    diff = (want.join(got, "source", "full_outer")
-            .filter(~F.col("expected").eqNullSafe(F.col("actual")))
-            .select(F.concat(F.lit("source_count:"), F.col("source")).alias("check"),
-                    F.col("expected").cast("string"), F.col("actual").cast("string")))
-    out = fixed.unionByName(diff)
+    print_ = fingerprint(corpus, id_col).first()["fingerprint"]
+    if m["fingerprint"] != print_:
+        issues.append(("fingerprint", m["fingerprint"], print_))
+    out = spark.createDataFrame(issues, "check string, expected string, actual string")
+    cells = cut_lineage(corpus.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n")))
+    for by in ("split", "source"):
+        counts = m[f"{by}_counts"]  # a map, or a struct when read back from JSON
+        counts = counts.asDict() if hasattr(counts, "asDict") else counts
+        want = spark.createDataFrame([(k, int(v)) for k, v in counts.items() if v is not None], f"{by} string, expected bigint")
+        got = cells.groupBy(by).agg(F.sum("n").alias("actual"))
+        out = out.unionByName(want.join(got, by, "full_outer")
+                              .filter(~F.col("expected").eqNullSafe(F.col("actual")))
+                              .select(F.concat(F.lit(f"{by}_count:"), F.col(by)).alias("check"),
+                                      F.col("expected").cast("string"), F.col("actual").cast("string")))
     if expected_quotas is not None:
+        got = cells.groupBy("source").agg(F.sum("n").alias("actual"))
         q = (expected_quotas.join(got, "source", "full_outer")
              .filter(~F.col("quota").eqNullSafe(F.col("actual")))
              .select(F.concat(F.lit("quota:"), F.col("source")).alias("check"),
