@@ -17,6 +17,7 @@ them back as binary rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import partitions, scratch, starts
+from weft.llm.common import kept, partitions, scratch, starts
 
 MAGIC = b"WTB1"
 HEAD = 20
 END = b"\n"
 #: a block is closed at this many ids (a document is never split)
 BLOCK_IDS = 1 << 18
+_MARK = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])[ \n]")
 FILE_ROWS = "file string, block_at long, doc_id long, ids_in_file_before long, n_tokens long, ids_crc32 long"
 
 
@@ -83,12 +85,17 @@ class LibraryEncoder:
     word encoded once per worker.
 
     Valid for tokenizers that drop white space and never join what an ASCII
-    space parts (``word_bpe_49k.json``). Words of ASCII letters need no
-    normalisation but lower case, so they go to a copy of the tokenizer without
-    the normaliser; all other strings go to the tokenizer as it is. The memory
-    is emptied at ``limit`` words.
+    space parts (``word_bpe_49k.json``). A word of Latin letters needs no
+    normalisation but lower case, and punctuation after it is a pre-token of its
+    own; so such words go to a copy of the tokenizer without the normaliser, each
+    lower-cased form once. All other strings go to the tokenizer as it is. The
+    memory is emptied at ``limit`` words.
     """
 
+    #: letters below this code point are their own composed form
+    _COMPOSED = "\u0180"
+    _PUNCTUATION = ".,;:!?$%&*#|"
+
     def __init__(self, path: str, limit: int = 1 << 21):
         self.path, self.limit, self._memo = path, limit, None
 
@@ -109,42 +116,45 @@ class LibraryEncoder:
                  "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
                                    "use_regex": False}}
         self._plain = Tokenizer.from_str(json.dumps(spec))
-        self._memo, self._letters = {b"": b""}, {}
+        self._memo, self._letters = {"": b""}, {"": b""}
+
+    def _ids(self, tokenizer, words: list[str]) -> list[bytes]:
+        got = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _learn(self, words: set) -> None:
-        memo, letters = self._memo, self._letters
-        if len(memo) + len(words) > self.limit:
-            memo.clear()
-            letters.clear()
-            memo[b""] = b""
-        plain, full = {}, []
+        memo, letters, marks = self._memo, self._letters, self._PUNCTUATION
+        parts, other = [], []
         for w in words:
-            body, mark = w, b""
-            if w[-1:] in (b".", b",") and w[:-1].isalpha():
-                body, mark = w[:-1], w[-1:]
-            if body.isalpha():
-                plain[w] = (body.lower(), mark)
+            body = w.rstrip(marks)
+            if body.isalpha() and (body.isascii() or max(body) < self._COMPOSED and "\u0130" not in body):
+                parts.append((w, body.lower(), w[len(body):]))
             else:
-                full.append(w)
-        new = list({b for b, _ in plain.values()} - letters.keys() | ({b".", b","} - letters.keys()))
-        for w, e in zip(new, self._plain.encode_batch_fast([w.decode() for w in new]), strict=True):
-            letters[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (b, mark) in plain.items():
-            memo[w] = letters[b] + letters[mark] if mark else letters[b]
-        texts = [w.decode("utf-8", "replace") for w in full]
-        for w, e in zip(full, self._full.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+                other.append(w)
+        new = list({b for _, b, _ in parts}.difference(letters))
+        letters.update(zip(new, self._ids(self._plain, new), strict=True))
+        tails = list({t for _, _, t in parts}.difference(letters))
+        letters.update(zip(tails, self._ids(self._full, tails), strict=True))
+        for w, b, t in parts:
+            memo[w] = letters[b] + letters[t] if t else letters[b]
+        memo.update(zip(other, self._ids(self._full, other), strict=True))
+
+    def _plainer(self, text: str) -> str:
+        """The text in lower case, and with a space before a comma or full stop that
+        stands alone between a letter and a space, where neither changes its ids."""
+        if "<|" in text or not text or not text.isascii() and (max(text) >= self._COMPOSED or "\u0130" in text):
+            return text
+        return _MARK.sub(r" \1 ", text.lower())
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if self._memo is None:
             self._load()
-        split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        known = self._memo.keys()
-        unknown = set().union(*split) - known if split else set()
+        if len(self._memo) > self.limit:
+            self._memo, self._letters = {"": b""}, {"": b""}
+        split = [self._plainer(t.decode("utf-8", "replace")).replace("\n", " ").split(" ") for t in texts]
+        unknown = set().union(*split).difference(self._memo)  # not `- keys()`, which goes over the memory
         if unknown:
             self._learn(unknown)
-            if unknown and not (self._memo.keys() >= set().union(*split)):  # the memory was emptied
-                self._learn(set().union(*split) - self._memo.keys())
         get = self._memo.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
 
@@ -158,8 +168,8 @@ def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | No
             return pa.RecordBatch.from_arrays([pa.array([write_block(doc_ids, per_doc, bits)], pa.binary())], ["value"])
         doc_ids, per_doc, held = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 got = encoder(part.column(1).to_pylist())
                 for i, ids in zip(part.column(0).to_pylist(), got, strict=True):
                     doc_ids.append(-1 if i is None else i)
@@ -233,6 +243,6 @@ def packed_ids(docs: DataFrame, encoder: Callable[[list[bytes]], list[np.ndarray
     return (id, start, n_tokens, ids_crc32, file, block_at) read back from them."""
     spark = docs.sparkSession
     path = write_ids(docs, path or scratch(spark, "ids"), encoder, vocab_size, end_id, id_col, text_col)
-    rows = global_starts(read_ids(spark, path))
+    rows = global_starts(kept(read_ids(spark, path), "ids-read"))
     return rows.select(F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias(id_col), "start", "n_tokens", "ids_crc32",
                        "file", "block_at")
