@@ -276,7 +276,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float, branch: floa
 
 
 def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text",
-               recall: float = 0.9999, branch: float = 1.6, depth: int = 3, limit: int = 256,
+               recall: float = 0.9999, branch: float = 1.6, depth: int = 3, limit: int = 1024,
                slack: float = 0.2) -> DataFrame:
     """(id, class_id, n_links, component_id, row, group, text_hash) of every document;
     ``group`` numbers the components, ``row`` and ``text_hash`` tell rows apart.
