@@ -337,18 +337,14 @@ def _by_document(found: DataFrame, what: str) -> DataFrame:
     return found.groupBy("id", "th").agg(F.collect_list("what").alias(what))
 
 
-def _with_texts(docs: DataFrame, found: DataFrame, how: str, bound: int) -> DataFrame:
-    """Join rows per (id, th) to the documents; broadcast if they take at most ``bound`` bytes."""
-    what = found.columns[-1]
-    size = found.agg(F.sum(F.aggregate(what, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x))
-                           + 40)).first()[0] or 0
+def _with_texts(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join rows per (id, th) to the documents, the same way at every size."""
     side = found.withColumnRenamed("id", "fid").withColumnRenamed("th", "fth")
-    return docs.join(F.broadcast(side) if size <= bound else side,
-                     (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid")), how)
+    return docs.join(side, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid")), how)
 
 
 def remove_repeated(docs: DataFrame, length: int = 35, k: int = GRAM, id_col: str = "doc_id",
-                    text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
+                    text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept) for every document: ``kept`` (binary) are the
     words that stay, joined by one space.
 
@@ -369,13 +365,13 @@ def remove_repeated(docs: DataFrame, length: int = 35, k: int = GRAM, id_col: st
     shared = anchored.groupBy("shard").applyInPandas(_shared_anchors, block).groupBy("block").applyInPandas(
         _gather(U), document)
     shared = kept(_by_document(shared, "anchors"), "anchors")
-    some = _with_texts(view, shared, "inner", broadcast_bytes).select(
+    some = _with_texts(view, shared, "inner").select(
         "id", "text", F.struct("th", "anchors").alias("found"))
     segments = some.mapInArrow(_segment_rows(length, k, n), routed)
     found = segments.groupBy("shard").applyInPandas(_match(length), block).groupBy("block").applyInPandas(
         _gather(np.uint32), document)
     found = kept(_by_document(found, "windows"), "windows")
-    rows = _with_texts(view, found, "left", broadcast_bytes).select("id", "windows", "text")
+    rows = _with_texts(view, found, "left").select("id", "windows", "text")
     out = rows.mapInArrow(_remove(length), "id long, n_words long, n_removed long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
