@@ -117,7 +117,7 @@ class Pieces:
     def word_ids(self, words: list[str]) -> bytes:
         """Ids (as bytes) of words, each of which stands for itself with a space before."""
         memo = self.words
-        new = set(words) - memo.keys()
+        new = set(words).difference(memo)  # not `- memo.keys()`, which goes over the memory
         if new:
             if len(memo) > _MEMO:
                 memo.clear()
