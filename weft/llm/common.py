@@ -12,6 +12,7 @@ pass a scan, a checkpoint or a sorted frame.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -63,6 +64,15 @@ def documents_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: workers live on from task to
+    task, and what their allocators keep adds up beside the executor's heap."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Block:
     """Consecutive documents of one task."""
 
@@ -90,8 +100,11 @@ def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = BLOCK_BYTES,
                 yield block
                 number += 1
                 block, size = Block(number), 0
+                trim()
     if block.ids:
         yield block
+    del block
+    trim()
 
 
 class Ids(dict):

@@ -36,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import elias_fano as EF
-from weft.llm.common import Hashes, Ids, blocks, kept, pack, shards_for, starts, unpack
-
-END = np.uint64(0x9E3779B97F4A7C15)    # the end of a text, as a word
-START = np.uint64(0xD1B54A32D192ED03)  # the padding before a text
+from weft.llm.common import Hashes, Ids, blocks, kept, pack, shards_for, starts, trim, unpack
+
+#: words are known by 48 bits of their hash; two words are only ever compared within a shard
+HASH_BITS = 48
+END = np.uint64(0x9E3779B97F4A)    # the end of a text, as a word
+START = np.uint64(0xD1B54A32D192)  # the padding before a text
+#: shards for each task that reads input: a shard's arrays must fit beside another's in an executor
+SHARDS_PER_TASK = 4
 _ROUTED = "shard int, payload binary"
 _PARTIAL = "block long, sums binary"
-_SUMS = (np.uint16, np.uint32, np.uint32, np.float64, np.float64, np.int64, np.uint8, np.uint8)
+_SUMS = (np.uint16, np.uint32, np.float64, np.float32, np.int64, np.uint8, np.uint8, np.uint32)
 _SCORED = "id long, train boolean, n_tokens long, n_known long, base double, score double, vocabulary long"
 
 
@@ -51,6 +55,18 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def narrow(hashes: np.ndarray) -> np.ndarray:
+    """48-bit hashes as bytes, their low 32 bits first."""
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint16)
+    return np.concatenate([low.view(np.uint8), high.view(np.uint8)])
+
+
+def widen(data: np.ndarray) -> np.ndarray:
+    n = len(data) // 6
+    return data[:4 * n].view(np.uint32).astype(np.uint64) | (
+        data[4 * n:].view(np.uint16).astype(np.uint64) << np.uint64(32))
+
+
 # ---- quantised levels ------------------------------------------------------
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +96,7 @@ class Trie:
             return pack(code, means)
         n_ctx = max(1, len(contexts))
         sizes = [len(words), *map(len, levels)]
-        parts = [EF.encode(contexts, 1 << 64), EF.encode(words, 1 << 64)]
+        parts = [EF.encode(contexts, 1 << HASH_BITS), EF.encode(words, 1 << HASH_BITS)]
         parts += [EF.encode(x, max(1, sizes[k]) * n_ctx) for k, x in enumerate(levels)]
         parts += [book(prob_words), book(prob_top), book(total)]
         parts = [p + bytes(-len(p) % 8) for p in parts]
@@ -114,33 +130,35 @@ def _route(n_shards: int, order: int):
             for t in b.texts:
                 words.append(list(map(ids.__getitem__, tokens(t))))
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            uid = np.full(int(sizes.sum()), end, np.int64)
+            uid = np.full(int(sizes.sum()), end, np.int32)
             cut = starts(sizes)
             for w, a in zip(words, cut.tolist(), strict=False):
                 uid[a:a + len(w)] = w
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(uid)) - cut[doc]
+            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            pos = (np.arange(len(uid)) - cut[doc]).astype(np.int32)
             key = np.empty(len(ids), np.uint64)
             key[0], key[1] = START, END
-            key[2:] = hashes.array(list(ids)[2:])
-            rank = np.empty(len(ids), np.int64)  # words in order of shard
+            key[2:] = hashes.array(list(ids)[2:]) >> np.uint64(64 - HASH_BITS)
+            del words
+            rank = np.empty(len(ids), np.int32)  # words in order of shard
             by_shard = np.argsort(key % np.uint64(n_shards), kind="stable")
             rank[by_shard] = np.arange(len(ids))
             key = key[by_shard]
             cols = [rank[uid]]
             for k in range(1, order):
-                before = np.full(len(uid), rank[start], np.int64)
+                before = np.full(len(uid), rank[start], np.int32)
                 before[k:] = cols[0][:-k]
                 before[pos < k] = rank[start]
                 cols.append(before)
-            node = cols[0]
+            del pos, uid
+            node = cols[0].astype(np.int64)
             for c in cols[1:]:  # a number for each distinct n-gram, in order of its words
                 _, node = np.unique(node * len(ids) + c, return_inverse=True)
             by_node = np.argsort(node, kind="stable")
             first = np.flatnonzero(np.diff(node[by_node], prepend=-1))
             cols = [c[by_node][first] for c in cols]
             holders = np.diff(np.append(first, len(node)))
-            doc = doc[by_node].astype(np.uint16)
+            doc = doc[by_node]
             bounds = np.searchsorted(key[cols[0]] % np.uint64(n_shards), np.arange(n_shards + 1).astype(np.uint64))
             at = starts(holders)
             train = np.packbits(np.array([bool(f) for f in b.flags], np.uint8))
@@ -156,10 +174,10 @@ def _route(n_shards: int, order: int):
                 near, place = np.unique(np.concatenate([c[lo:hi] for c in cols[1:]] or [w[:0]]), return_inverse=True)
                 small = np.uint16 if len(near) < 1 << 16 else np.uint32
                 payloads.append(pack(
-                    np.array([b.number, len(sizes)], np.int64), train, key[w], per.astype(np.uint32),
+                    np.array([b.number, len(sizes)], np.int64), train, narrow(key[w]), per.astype(np.uint32),
                     holders[lo:hi].astype(np.uint32), doc[at[lo]:at[hi]],
                     np.array([x or 0 for x in meta], np.int64), np.array([x is None for x in meta], np.uint8),
-                    key[near], place.astype(small).view(np.uint8)))
+                    sizes.astype(np.uint32) if s == home else np.zeros(0, np.uint32), narrow(key[near]), place.astype(small).view(np.uint8)))
                 shards.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(payloads, pa.binary())],
                                              ["shard", "payload"])
@@ -169,24 +187,28 @@ def _route(n_shards: int, order: int):
 
 def _score(order: int, n_train: int, strength: float, discount: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = (np.int64, np.uint8, np.uint64, np.uint32, np.uint32, np.uint16, np.int64, np.uint8, np.uint64,
-                 np.uint8)
+        trim()  # what the group before left
+        kinds = (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.uint16, np.int64, np.uint8, np.uint32,
+                 np.uint8, np.uint8)
         got = [unpack(p, *kinds) for p in rows["payload"]]
+        for g in got:
+            g[2], g[9] = widen(g[2]), widen(g[9])
         flags = [np.unpackbits(g[1], count=int(g[0][1])).astype(bool) for g in got]
         seen, leaf_word = np.unique(np.concatenate([np.repeat(g[2], g[3]) for g in got]), return_inverse=True)
-        holders = np.concatenate([g[4] for g in got]).astype(np.int64)
-        at = starts(holders)
+        at = starts(np.concatenate([g[4] for g in got]))
         trained = np.concatenate([f[g[5]] for g, f in zip(got, flags, strict=True)])
         n_leaf = np.diff(np.concatenate([[0], np.cumsum(trained)])[at])  # training occurrences of each entry
+        del trained, at
 
-        contexts = np.unique(np.concatenate([g[8] for g in got]))
+        contexts = np.unique(np.concatenate([g[9] for g in got]))
         n_ctx = max(1, len(contexts))
         before = [[] for _ in range(order - 1)]
         for g in got:
-            place = g[9].view(np.uint16 if len(g[8]) < 1 << 16 else np.uint32)
-            number = np.searchsorted(contexts, g[8])[place]
+            place = g[10].view(np.uint16 if len(g[9]) < 1 << 16 else np.uint32)
+            number = np.searchsorted(contexts, g[9]).astype(np.int32)[place]
             for k in range(order - 1):
                 before[k].append(number[k * len(g[4]):(k + 1) * len(g[4])])
+            g[9] = g[10] = place = None
         before = [np.concatenate(x) for x in before]
         # nodes seen here, trained or not: their ids are the queries, those trained make the trie
         queries, counts, of_leaf, parent = [seen], [np.bincount(leaf_word, n_leaf, len(seen))], [leaf_word], leaf_word
@@ -194,7 +216,7 @@ def _score(order: int, n_train: int, strength: float, discount: float):
             q, parent = np.unique(parent * n_ctx + c, return_inverse=True)
             queries.append(q)
             counts.append(np.bincount(parent, n_leaf, len(q)))
-            of_leaf.append(parent)
+            of_leaf.append(parent.astype(np.int32))
 
         # trie of the trained nodes: a node's id is made of its parent's place in the trie
         has = [c > 0 for c in counts]
@@ -245,10 +267,10 @@ def _score(order: int, n_train: int, strength: float, discount: float):
             doc, per = g[5], g[4]
             n = np.bincount(doc)
             slot = np.flatnonzero(n)
-            known, bases, parts = (np.bincount(doc, np.repeat(x[lo:hi], per)) for x in (is_known, base, part))
+            unknown, bases, parts = (np.bincount(doc, np.repeat(x[lo:hi], per)) for x in (~is_known, base, part))
             home = f.astype(np.uint8) if len(g[6]) else np.zeros(0, np.uint8)
-            out.append((int(g[0][0]), pack(slot.astype(np.uint16), n[slot].astype(np.uint32),
-                                           known[slot].astype(np.uint32), bases[slot], parts[slot], g[6], g[7], home)))
+            out.append((int(g[0][0]), pack(slot.astype(np.uint16), unknown[slot].astype(np.uint32), bases[slot],
+                                           parts[slot].astype(np.float32), g[6], g[7], home, g[8])))
             lo = hi
         # one more row: the shard's distinct training words
         out.append((-1, np.array([has[0].sum()], np.int64).tobytes()))
@@ -264,14 +286,14 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": pd.array([None], "Int64"), "train": [False], "n_tokens": [0], "n_known": [0],
                              "base": [0.0], "score": [0.0], "vocabulary": pd.array([v], "Int64")})
     got = [unpack(p, *_SUMS) for p in rows["sums"]]
-    ids, null, train = next((g[5:] for g in got if len(g[5])), got[0][5:])
-    sums = [np.zeros(len(ids), k) for k in (np.int64, np.int64, np.float64, np.float64)]
-    for slot, *values, _i, _n, _t in got:
+    ids, null, train, size = next((g[4:] for g in got if len(g[4])), got[0][4:])
+    sums = [np.zeros(len(ids), k) for k in (np.int64, np.float64, np.float64)]
+    for slot, *values, _i, _n, _t, _s in got:
         for total, v in zip(sums, values, strict=True):
             total[slot] += v
     return pd.DataFrame({"id": pd.array([None if x else i for i, x in zip(ids.tolist(), null, strict=True)], "Int64"),
-                         "train": train > 0, "n_tokens": sums[0], "n_known": sums[1], "base": sums[2],
-                         "score": sums[3], "vocabulary": pd.array([None] * len(ids), "Int64")})
+                         "train": train > 0, "n_tokens": size.astype(np.int64), "n_known": size - sums[0],
+                         "base": sums[1], "score": sums[2], "vocabulary": pd.array([None] * len(ids), "Int64")})
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +325,7 @@ def ngram_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     size = view.where("flag").select("text").mapInArrow(_count, "n long, docs long").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")).first()
     n_train, n_docs = size["n"] or 0, size["docs"] or 0
-    shards = n_shards or shards_for(view)
+    shards = n_shards or SHARDS_PER_TASK * shards_for(view)
     partial = view.mapInArrow(_route(shards, order), _ROUTED).groupBy("shard").applyInPandas(
         _score(order, n_train, strength, discount), _PARTIAL)
     sums = kept(partial.groupBy("block").applyInPandas(_gather, _SCORED), "ngram")
