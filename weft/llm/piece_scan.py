@@ -29,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept
+from weft.llm.common import kept, trim
 
 CHUNK = 1 << 15
 SPACE = "▁"
 NONE = -np.inf
 _WORDS = re.compile(rf"{SPACE}+[^{SPACE}]*")
-_MEMO = 1 << 21
+#: words and pairs of tokens a worker remembers (some 200 bytes each)
+_MEMO = 1 << 19
+#: rows encoded or decoded at once
+_ROWS = 1024
 
 
 class Pieces:
@@ -314,9 +317,17 @@ def _trace(m: Pieces):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, few at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, _ROWS):
+            yield b.slice(lo, _ROWS)
+    trim()
+
+
 def _short(m: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ids = [m.encode(t).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())],
                                              [*b.schema.names[:-1], "_ids"])
@@ -371,7 +382,7 @@ def decode_ids(docs: DataFrame, path: str, ids_col: str = "piece_ids", text_col:
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             got = [None if x is None else m.decode(np.frombuffer(x, "<i4").tolist()).decode("utf-8", "replace")
                    for x in b.column("_x").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.string())],
