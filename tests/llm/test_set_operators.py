@@ -98,6 +98,36 @@ def test_importance_held_out_accuracy(spark):
     assert {r["doc_id"] for r in select_documents(docs, labels).collect()} == {i for i, s in got.items() if s}
 
 
+def test_importance_keeps_long_clean_documents(spark):
+    """Joins of clean documents stay as their parts do; one insult in a long text still counts."""
+    from weft.llm.importance import importance_sample
+    rnd = np.random.default_rng(8)
+    odd = ["".join(rnd.choice(list("abcdefgh"), 3)) for _ in range(40)]  # rarer in clean text than in junk
+    words = ["".join(rnd.choice(list("ijklmnop"), 5)) for _ in range(300)]
+    good = [" ".join([*rnd.choice(words, 60), *([rnd.choice(odd)] if i % 10 == 0 else [])]) for i in range(600)]
+    bad = [" ".join(rnd.permutation([*rnd.choice(words, 40), *rnd.choice(odd, 2), *["x$$$y"] * 3])) for _ in range(200)]
+    rude = [" ".join([*rnd.choice(words, 60), "zzqqxxwwyyvv"]) for _ in range(100)]
+    joins = [" ".join(rnd.choice(good, 100)) for _ in range(40)]
+    mixed = [" ".join([*rnd.choice(good, 50), rude[i], *rnd.choice(good, 50)]) for i in range(40)]
+    texts = good + bad + rude + joins + mixed
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 600), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["selected"] for r in importance_sample(docs, labels).collect()}
+    assert sum(got[i] for i in range(600)) >= 0.97 * 600
+    assert sum(got[i] for i in range(900, 940)) >= 38
+    assert sum(got[i] for i in range(940, 980)) <= 4
+
+
+def test_importance_windows():
+    from weft.llm.importance import EDGE, SHARED, WINDOW, windows
+    assert windows(b"") == [b""] and windows(b"a" * WINDOW) == [b"a" * WINDOW]
+    for text in (b"a" * 9001, b"word " * 5000, b"x" * (WINDOW + 1)):
+        parts = windows(text)
+        assert all(len(p) <= WINDOW + 2 * EDGE for p in parts)
+        assert parts[0] == text[:len(parts[0])] and text.endswith(parts[-1])
+        assert sum(map(len, parts)) >= len(text) + SHARED * (len(parts) - 1) - len(parts)
+
+
 def test_importance_edges(spark, docs, empty):
     from weft.llm.importance import importance_sample
     shape = "doc_id long, quality int, toxic int, text string"

@@ -4,13 +4,21 @@ Two generative models are fitted: one to target text (labelled rows worth
 keeping), one to raw text (all documents). A document is modelled by the set of
 its hashed n-grams: byte n-grams of its text (digits made one digit) and n-grams
 over the marks "same word as before / another word", which show repetition. The
-log-weight of a document is the sum, over its n-grams, of
+weight of a window of bounded length is the sum, over its n-grams, of
 
     min(0, margin + log p_target(n-gram) - log p_raw(n-gram))
 
-so an n-gram that raw text has far more often than target text counts against a
-document, and the noise of n-grams that both have (within ``margin``) does not
-add up with a document's length. Documents are drawn without replacement in
+so an n-gram that raw text has far more often than target text counts against it.
+N-grams just outside the margin still add up, so a document is not judged by the
+sum over its length but by its worst window, held against what the worst of as
+many clean windows would be: weights of clean windows have an exponential tail,
+the least of m of them lies scale * log(m) lower than that of one, and
+
+    log-weight = min(0, worst window + scale * log(windows))
+
+with the scale fitted to the windows of held-out target rows. Clean documents of
+any length so fall below a cut about as often as those of one window. Documents
+are drawn without replacement in
 proportion to exp(log-weight / temperature): the top k of log-weight /
 temperature plus Gumbel noise keyed by the id.
 
@@ -42,6 +50,10 @@ BROADCAST_ROWS = 1 << 20
 _ONE_DIGIT = bytes.maketrans(b"0123456789\r\n\t", b"0000000000   ")
 #: texts hashed together; a longer text is hashed alone
 _GROUP_BYTES = 1 << 21
+#: bytes of a window, those it shares with the next, and how far an edge moves to white space
+WINDOW, SHARED, EDGE = 2048, 128, 64
+#: window weights below -TAIL are the tail that the scale is fitted to
+TAIL = 1.0
 
 
 def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +78,21 @@ def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return both // buckets, both % buckets
 
 
+def windows(text: bytes) -> list[bytes]:
+    """A text in windows of about equal length that overlap; edges lie at white space if any is near."""
+    if len(text) <= WINDOW:
+        return [text]
+    n = -(-(len(text) - SHARED) // (WINDOW - SHARED))
+    step, out = (len(text) - SHARED) / n, []
+    for j in range(n):
+        a, z = int(j * step), len(text) if j == n - 1 else int((j + 1) * step) + SHARED
+        space = text.rfind(b" ", max(0, a - EDGE), a) if j else -1
+        a = space + 1 if space >= 0 else a
+        space = text.find(b" ", z, z + EDGE)
+        out.append(text[a:space if space >= 0 else z])
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch]):
     """Rows of the task in groups of bounded size: lists of columns."""
     held, size = [], 0
@@ -138,17 +165,32 @@ def log_ratio(counts: np.ndarray, docs: np.ndarray, margin: float, prior: float
     return np.minimum(0.0, margin + target - raw)
 
 
+_WEIGHED = ["id", "text_hash", "worst", "windows", "tail", "excess"]
+
+
 def _weigh(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, ids, hashes in _groups(batches):
-            doc, bucket = features(texts)
-            w = np.bincount(doc, ratio[bucket], len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(w)],
-                                             ["id", "text_hash", "log_weight"])
+            parts = [windows(t) for t in texts]
+            n = np.array([len(x) for x in parts], np.int64)
+            doc, bucket = features([w for x in parts for w in x])
+            w = np.bincount(doc, ratio[bucket], int(n.sum()))
+            first, beyond = np.cumsum(n) - n, np.maximum(0.0, -TAIL - w)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.minimum.reduceat(w, first)),
+                 pa.array(n), pa.array(np.add.reduceat((beyond > 0).astype(np.int64), first)),
+                 pa.array(np.add.reduceat(beyond, first))], _WEIGHED)
 
     return run
 
 
+def tail_scale(rows: DataFrame) -> float:
+    """Mean excess beyond ``TAIL`` of the windows of held-out target rows: the scale
+    of an exponential tail. One window with an excess of 1 is taken as seen before."""
+    n, excess = rows.where("holdout AND good").agg(F.sum("tail"), F.sum("excess")).first()
+    return ((excess or 0.0) + 1.0) / ((n or 0) + 1)
+
+
 def _noise(seed: int):
     """Standard Gumbel noise from the id."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11).cast("double") + 0.5) / float(1 << 53)
@@ -222,11 +264,14 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     rows = view.join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts, n = fit(rows, max(tasks, 1))
     weighed = view.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _weigh(log_ratio(counts, n, margin)), "id long, text_hash long, log_weight double")
+        _weigh(log_ratio(counts, n, margin)),
+        "id long, text_hash long, worst double, windows long, tail long, excess double")
     checked = label.select("id", "good", (F.col("holdout") | ~F.col("good")).alias("holdout"))
     weighed = weighed.join(checked, "id", "left").select(
-        "id", "text_hash", "good", F.coalesce("holdout", F.lit(False)).alias("holdout"), "log_weight")
-    weighed = kept(weighed.withColumn("key", F.col("log_weight") / temperature + _noise(seed)), "weights")
+        "id", "text_hash", "good", F.coalesce("holdout", F.lit(False)).alias("holdout"), *_WEIGHED[2:])
+    weighed = kept(weighed, "weights")
+    weight = F.least(F.lit(0.0), F.col("worst") + tail_scale(weighed) * F.log("windows"))
+    weighed = weighed.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") / temperature + _noise(seed))
     if k is None:
         k = weighed.where(F.col("log_weight") >= best_cut(weighed)).count()
     total = weighed.count()
