@@ -114,6 +114,44 @@ def test_repeated_spans(docs, length, k):
     assert sort(tuple(r) for r in got) == brute_spans(rows(), length)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeated_spans_hot_anchors(docs, hot):
+    """Anchors divided by whole windows give the same spans."""
+    from weft.llm.repeated_spans import digest, remove_repeated
+    for length, k in ((5, 2), (12, 8)):
+        got = digest(remove_repeated(docs, length, k, hot=hot)).collect()
+        assert sort(tuple(r) for r in got) == brute_spans(rows(), length)
+
+
+def test_hot_anchor_is_divided():
+    """A passage in 5,000 documents, with other words around it: no shard holds the most of it."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from weft.llm import repeated_spans as R
+    from weft.llm.common import Hashes
+    rnd, hashes, n = random.Random(4), Hashes(), 8
+    phrase = min((["%06x" % rnd.randrange(1 << 24) for _ in range(8)] for _ in range(3000)),
+                 key=lambda w: int(R.gram_hashes(hashes.array([x.encode() for x in w]), 8)[0]))
+    word = lambda: "%06x" % rnd.randrange(1 << 24)
+    texts = [" ".join([word() for _ in range(30)] + phrase + [word() for _ in range(30)]).encode() for _ in range(5000)]
+    ids = pa.array(range(5000), pa.int64())
+    first = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), ids], ["id", "text", "th"])
+    sent = pd.concat([b.to_pandas() for b in R._anchor_rows(35, 8, n)(iter([first]))])
+    shared = pd.concat([R._shared_anchors(g) for _, g in sent.groupby("shard")])
+    found = R._gather(np.uint64)(shared)
+    what = {i: w for i, w in zip(found["id"], found["what"], strict=True)}
+    assert len(what) == 5000
+    flags = pa.array([{"th": i, "anchors": [what[i]]} for i in range(5000)])
+    second = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), flags], ["id", "text", "found"])
+    size = [0] * n
+    for b in R._segment_rows(35, 8, n)(iter([second])):
+        for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            size[s] += len(p)
+    # the home shard of the one block also holds its places; the others share the windows
+    assert sum(sorted(size)[:-1]) > 0.5 * sum(size) and sorted(size)[-2] < 2 * sorted(size)[0]
+
+
 def test_repeated_spans_empty(empty):
     from weft.llm.repeated_spans import remove_repeated
     assert remove_repeated(empty).collect() == []

@@ -13,6 +13,12 @@ each state how often its strings occur, and streams the segments through it: the
 matching statistic at a word is the longest string that ends there and occurs at
 least twice. Where it is at least ``length``, the window that ends there occurs
 elsewhere too. Maximal spans of such windows go back to their documents.
+
+Hot anchors. A passage that very many documents share, with other words around it,
+would put a segment per document into one shard. The windows of an anchor that
+occurs more than ``hot`` times are sent on by a 128-bit hash of the whole window
+instead, one entry per block and distinct window: equal windows still meet, and the
+group is divided among all shards. Their places stay with the block.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ U = np.uint64
 GRAM = 8
 #: shards for each task that reads input: an automaton takes some hundred bytes a word
 SHARDS_PER_TASK = 4
+#: an anchor that occurs more often is divided by whole windows
+HOT = 1 << 12
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -67,6 +75,11 @@ def anchors(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndar
     return first, np.diff(np.append(first, n)), h[best[first]]
 
 
+def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit hashes of every window of ``length`` words."""
+    return np.stack([gram_hashes(words, length), gram_hashes(mix(words ^ U(0xD1B54A32D192ED03)), length)], 1)
+
+
 class Automaton:
     """Suffix automaton over several strings of integers, with occurrence counts."""
 
@@ -162,6 +175,8 @@ def repeated(segments: list[list[int]], times: list[int], length: int) -> list[l
 
 
 _META = (np.int64, np.uint8, np.int64)
+#: numbers, hashes and counts of a block's distinct windows of hot anchors; slots, places and numbers of all of them
+_WHOLE = (np.uint32, U, np.uint32, np.uint16, np.uint32, np.uint32)
 
 
 def _meta(b: Block, shard: int, n_shards: int) -> list[np.ndarray]:
@@ -196,23 +211,25 @@ def _anchor_rows(length: int, k: int, n_shards: int):
     return run
 
 
-def _shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """Anchors that occur more than once, for each block."""
+def _shared_anchors(rows: pd.DataFrame, hot: int = HOT) -> pd.DataFrame:
+    """(anchor, whether it is hot) of those that occur more than once, for each block."""
     got = [unpack(p, np.int64, U, np.uint32, np.uint16, *_META) for p in rows["payload"]]
     value, inverse = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
-    shared = value[np.bincount(inverse, np.concatenate([g[2] for g in got]), len(value)) > 1]
+    times = np.bincount(inverse, np.concatenate([g[2] for g in got]), len(value))
+    shared, divided = value[times > 1], value[times > hot]
     out = []
     for number, key, n, slot, *meta in got:
         hit = np.repeat(np.isin(key, shared), n)
         if hit.any() or len(meta[0]):
-            out.append((int(number[0]), pack(slot[hit], np.repeat(key, n)[hit], *meta)))
+            each = np.repeat(key, n)[hit]
+            out.append((int(number[0]), pack(slot[hit], np.stack([each, np.isin(each, divided)], 1), *meta)))
     return pd.DataFrame(out, columns=["block", "payload"])
 
 
-def _gather(kind):
+def _gather(kind, more=()):
     """(id, th, what) of the documents of one block that have any: values of ``kind`` put together."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = [unpack(p, np.uint16, kind, *_META) for p in rows["payload"]]
+        got = [unpack(p, np.uint16, kind, *_META) for p in rows["payload"]] + [*more]
         ids, null, th = next((g[2:] for g in got if len(g[2])), got[0][2:])
         slot = np.concatenate([g[0] for g in got])
         value = np.concatenate([g[1].reshape(len(g[0]), -1) if len(g[0]) else g[1].reshape(0, 1) for g in got
@@ -229,29 +246,59 @@ def _gather(kind):
     return run
 
 
+def _gather_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """As ``_gather`` for spans of windows; windows of hot anchors that some shard found
+    to be repeated come from the block's own list of places."""
+    got = [unpack(p, np.uint32, np.uint16, np.uint32, np.uint32) for p in rows["hot"]]
+    again = np.concatenate([g[0] for g in got])
+    slot, start, which = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
+    hit = np.isin(which, again)
+    slot, start = slot[hit], start[hit]
+    order = np.lexsort((start, slot))
+    slot, start = slot[order], start[order]
+    first = np.flatnonzero((np.diff(slot.astype(np.int64), prepend=-1) != 0) | (np.diff(start.astype(np.int64), prepend=-1) != 1))
+    last = np.append(first[1:], len(slot))[:len(first)] - 1
+    none = [np.zeros(0, k) for k in _META]
+    return _gather(np.uint32, [[slot[first], np.stack([start[first], start[last]], 1).ravel(), *none]])(rows)
+
+
 def _segment_rows(length: int, k: int, n_shards: int):
-    """Segments of the runs whose anchor is shared, per block and shard. Input: id,
-    text and (text hash, shared anchors)."""
+    """Segments of the runs whose anchor is shared, per block and shard; of hot anchors
+    the distinct windows, and for the block's home shard their places. Input: id, text
+    and (text hash, shared anchors)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in blocks(batches):
             by_shard: dict[int, list] = {}
+            places, wholes = [], [np.zeros((0, 2), U)]
             shared_of = [x["anchors"] for x in b.flags]
             b.flags = [x["th"] for x in b.flags]
             for slot, (text, shared) in enumerate(zip(b.texts, shared_of, strict=True)):
-                shared = np.unique(np.frombuffer(b"".join(shared), U))
+                shared, divided = np.unique(np.frombuffer(b"".join(shared), U).reshape(-1, 2), axis=0).T
                 words = hashes.array(text.split())
                 first, n, key = anchors(words, length, k)
                 at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-                for j in np.flatnonzero(shared[at] == key).tolist():
+                match, hot = shared[at] == key, divided[at] > 0
+                if (match & hot).any():
+                    runs = np.repeat(match & hot, n)
+                    begin = np.flatnonzero(runs)  # runs follow each other from window 0
+                    wholes.append(window_hashes(words, length)[begin])
+                    places.append((slot, begin))
+                for j in np.flatnonzero(match & ~hot).tolist():
                     a = int(first[j])
                     by_shard.setdefault(int(key[j] % U(n_shards)), []).append(
                         (slot, a, words[a:a + int(n[j]) + length - 1]))
+            whole, at, many = np.unique(np.concatenate(wholes), axis=0, return_inverse=True, return_counts=True)
+            owner = whole[:, 0] % U(n_shards)
+            spot = np.repeat(np.array([p[0] for p in places], np.uint16), [len(p[1]) for p in places])
+            begin = np.concatenate([p[1] for p in places] or [np.zeros(0)]).astype(np.uint32)
             shards, out = [], []
             for s in range(n_shards):
                 found, meta = by_shard.get(s, []), _meta(b, s, n_shards)
-                if not found and not len(meta[0]):
+                mine = np.flatnonzero(owner == U(s))
+                if not found and not len(mine) and not len(meta[0]):
                     continue
+                own = slice(None) if len(meta[0]) else slice(0)
                 distinct: dict[bytes, int] = {}
                 which = [distinct.setdefault(f[2].tobytes(), len(distinct)) for f in found]
                 # words as places in the list of those this row needs
@@ -261,7 +308,9 @@ def _segment_rows(length: int, k: int, n_shards: int):
                 out.append(pack(
                     np.array([b.number], np.int64), near, np.array([len(x) // 8 for x in distinct], np.uint32),
                     place.astype(small).view(np.uint8), np.array(which, np.uint32),
-                    np.array([f[0] for f in found], np.uint16), np.array([f[1] for f in found], np.uint32), *meta))
+                    np.array([f[0] for f in found], np.uint16), np.array([f[1] for f in found], np.uint32), *meta,
+                    mine.astype(np.uint32), whole[mine], many[mine].astype(np.uint32),
+                    spot[own], begin[own], at.ravel()[own].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out, pa.binary())],
                                              ["shard", "payload"])
 
@@ -271,8 +320,15 @@ def _segment_rows(length: int, k: int, n_shards: int):
 def _match(length: int):
     """Spans of repeated windows (first and last window), for each block."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = [unpack(p, np.int64, U, np.uint32, np.uint8, np.uint32, np.uint16, np.uint32, *_META)
+        got = [unpack(p, np.int64, U, np.uint32, np.uint8, np.uint32, np.uint16, np.uint32, *_META, *_WHOLE)
                for p in rows["payload"]]
+        hot = [(g[10], g[11].reshape(-1, 2), *g[12:]) for g in got]
+        got = [g[:10] for g in got]
+        _, of = np.unique(np.concatenate([h[1] for h in hot]), axis=0, return_inverse=True)
+        of = of.ravel()
+        again = np.bincount(of, np.concatenate([h[2] for h in hot]))[of] > 1 if len(of) else np.zeros(0, bool)
+        at = starts([len(h[0]) for h in hot]).tolist()
+        hot = [(h[0][again[a:z]], *h[3:]) for h, a, z in zip(hot, at[:-1], at[1:], strict=True)]
         words = np.unique(np.concatenate([g[1] for g in got]))
         number: dict[bytes, int] = {}
         times: list[int] = []
@@ -297,14 +353,14 @@ def _match(length: int):
             spans.append(np.stack([w[np.concatenate([[0], edge + 1])], w[np.concatenate([edge, [len(w) - 1]])]], 1)
                          if len(w) else np.zeros((0, 2), np.int64))
         out = []
-        for (block, _n, _s, _p, which, slot, start, *meta), own in zip(got, maps, strict=True):
+        for (block, _n, _s, _p, which, slot, start, *meta), own, whole in zip(got, maps, hot, strict=True):
             which = [own[j] for j in which.tolist()]
             n = np.array([len(spans[j]) for j in which], np.int64)
-            if n.sum() or len(meta[0]):
+            if n.sum() or len(whole[0]) or len(meta[0]):
                 at = (np.concatenate([spans[j] for j in which]) + np.repeat(start.astype(np.int64), n)[:, None]
                       if len(which) else np.zeros((0, 2)))
-                out.append((int(block[0]), pack(np.repeat(slot, n), at.astype(np.uint32).ravel(), *meta)))
-        return pd.DataFrame(out, columns=["block", "payload"])
+                out.append((int(block[0]), pack(np.repeat(slot, n), at.astype(np.uint32).ravel(), *meta), pack(*whole)))
+        return pd.DataFrame(out, columns=["block", "payload", "hot"])
 
     return run
 
@@ -344,7 +400,7 @@ def _with_texts(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, length: int = 35, k: int = GRAM, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, n_words, n_removed, kept) for every document: ``kept`` (binary) are the
     words that stay, joined by one space.
 
@@ -353,7 +409,9 @@ def remove_repeated(docs: DataFrame, length: int = 35, k: int = GRAM, id_col: st
     too, in the same document or another; windows are judged on the input. A null
     text is empty; a text of fewer than ``length`` words stays whole. A repeated
     row repeats all its windows, so both go. A null id stays null. Other columns are
-    ignored; an empty table gives no rows. Words are compared by 64-bit hashes.
+    ignored; an empty table gives no rows. Words are compared by 64-bit hashes,
+    and windows of anchors that occur more than ``hot`` times by 128-bit hashes; the
+    result does not depend on ``hot``.
     """
     if not 1 <= k <= length:
         raise ValueError("1 <= k <= length")
@@ -362,14 +420,14 @@ def remove_repeated(docs: DataFrame, length: int = 35, k: int = GRAM, id_col: st
     n = SHARDS_PER_TASK * shards_for(view)
     routed, block, document = "shard int, payload binary", "block long, payload binary", "id long, th long, what binary"
     anchored = view.select("id", "text", "th").mapInArrow(_anchor_rows(length, k, n), routed)
-    shared = anchored.groupBy("shard").applyInPandas(_shared_anchors, block).groupBy("block").applyInPandas(
+    shared = anchored.groupBy("shard").applyInPandas(lambda r: _shared_anchors(r, hot), block).groupBy("block").applyInPandas(
         _gather(U), document)
     shared = kept(_by_document(shared, "anchors"), "anchors")
     some = _with_texts(view, shared, "inner").select(
         "id", "text", F.struct("th", "anchors").alias("found"))
     segments = some.mapInArrow(_segment_rows(length, k, n), routed)
-    found = segments.groupBy("shard").applyInPandas(_match(length), block).groupBy("block").applyInPandas(
-        _gather(np.uint32), document)
+    found = segments.groupBy("shard").applyInPandas(_match(length), f"{block}, hot binary").groupBy("block").applyInPandas(
+        _gather_windows, document)
     found = kept(_by_document(found, "windows"), "windows")
     rows = _with_texts(view, found, "left").select("id", "windows", "text")
     out = rows.mapInArrow(_remove(length), "id long, n_words long, n_removed long, kept binary")
