@@ -150,6 +150,29 @@ def test_grouped_kmeans_on_planted_clusters(spark):
     assert inert.count() == 9
 
 
+def test_grouped_kmeans_converges_on_group_means(spark):
+    """Rows of a group share a cluster, each group mean is nearest its cluster's mean, and the best of the starts is returned."""
+    rng = np.random.default_rng(7)
+    rows = [(c, int(g), (rng.normal(size=3) * 3 + np.array([g % 7, c, 1])).tolist())
+            for c in range(2) for g in np.repeat(np.arange(150), 2)]
+    df = spark.createDataFrame(rows, "cat int, g long, v array<double>")
+    out, inert = J.grouped_kmeans(df, "cat", "g", "v", k=5, restarts=4, group="g")
+    got = out.select("cat", "g", "v", "cluster").collect()
+    assert len(got) == len(rows) and inert.count() == 8
+    for c in range(2):
+        own = [r for r in got if r["cat"] == c]
+        label = dict({(r["g"], r["cluster"]) for r in own})
+        assert len({(r["g"], r["cluster"]) for r in own}) == len(label) == 150
+        x = np.array([np.mean([r["v"] for r in own if r["g"] == g], axis=0) for g in sorted(label)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        lab = np.array([label[g] for g in sorted(label)])
+        centres = np.array([x[lab == j].mean(axis=0) for j in range(5)])
+        d2 = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        assert (d2.argmin(axis=1) == lab).all()
+        best = min(r["inertia"] for r in inert.collect() if r["cat"] == str(c))
+        assert d2.min(axis=1).sum() == pytest.approx(best)
+
+
 def test_split_invariants_report_violations(spark):
     df = spark.createDataFrame([(1, "a", "train"), (2, "b", "train"), (3, "a", "test"), (4, "c", "valid")],
                                "k long, d string, split string")

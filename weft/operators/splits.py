@@ -289,9 +289,9 @@ def _kmeans_partials(cents: dict):
                 if cc is None:
                     continue
                 x = np.stack(g["_v"].to_numpy())  # rows of this category in this batch
-                restarts, k, _ = cc.shape
-                for r in range(restarts):
-                    d2 = ((x[:, None, :] - cc[r][None, :, :]) ** 2).sum(axis=2)
+                for r, centroids in cc.items():
+                    k = len(centroids)
+                    d2 = ((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
                     lab = d2.argmin(axis=1)
                     best = d2[np.arange(len(x)), lab]
                     for j in range(k):
@@ -387,34 +387,62 @@ def _kmeanspp_seed(d: DataFrame, k: int, restarts: int, seed: int) -> dict:
     return cents
 
 
+def _unit_means(df: DataFrame, cat: str, group: str, vec: str) -> DataFrame:
+    """(_cat, _group, _v): the mean vector of each group, at unit length."""
+    parts = df.select(F.col(cat).cast("string").alias("_cat"), F.col(group).alias("_group"),
+                      F.posexplode(as_double(vec)).alias("_pos", "_x"))
+    mean = parts.groupBy("_cat", "_group", "_pos").agg(F.avg("_x").alias("_x"))
+    whole = mean.groupBy("_cat", "_group").agg(F.sort_array(F.collect_list(F.struct("_pos", "_x")))["_x"].alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    whole = whole.withColumn("_n", norm)
+    return whole.select("_cat", "_group", F.when(
+        F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(F.col("_v")).alias("_v"))
+
+
 def grouped_kmeans(df: DataFrame, cat: str, key: str, vec: str, k: int = 5, restarts: int = 20,
-                   iters: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+                   iters: int = 300, seed: int = 0, group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """K-means inside every category at once, ``restarts`` k-means++
-    seeded starts, a fixed number of Lloyd rounds; the restart with the lowest
-    inertia wins per category. Returns (rows with ``cluster``, per
-    (category, restart) inertia).
+    seeded starts, Lloyd rounds until the centroids of a (category, restart) no
+    longer move (``iters`` rounds at most, 300 as in the reference's library); the
+    restart with the lowest inertia wins per category. With ``group``, the unit
+    means of the rows of each group are clustered and rows inherit their group's
+    cluster. Returns (rows with ``cluster``, per (category, restart) inertia).
 
     Each round: centroids (categories x restarts x k, size-checked) are
     broadcast; every partition emits partial sums per (category, restart,
     cluster); a keyed reduce gives the new centroids. Rows never move.
     """
     spark = df.sparkSession
+    if group is not None:
+        means = cut_lineage(_unit_means(df, cat, group, vec))
+        found, inert = grouped_kmeans(means, "_cat", "_group", "_v", k, restarts, iters, seed)
+        of = found.select(F.col("_cat").alias("_of_cat"), F.col("_group").alias("_of_group"), "cluster")
+        same = F.col(cat).cast("string").eqNullSafe(F.col("_of_cat")) & F.col(group).eqNullSafe(F.col("_of_group"))
+        return df.join(of, same, "left").drop("_of_cat", "_of_group"), inert.withColumnRenamed("_cat", cat)
     d = df.select(F.col(cat).cast("string").alias("_cat"), F.col(key).alias("_key"),
                   as_double(vec).alias("_v"))
     cents = _kmeanspp_seed(d, k, restarts, seed)
-    inertia = None
+    inertia: dict = {}
+    moving = {(c, r) for c in cents for r in range(restarts)}
     for _ in range(iters):
-        bc = spark.sparkContext.broadcast(cents)
+        if not moving:
+            break
+        active: dict = {}
+        for c, r in sorted(moving):
+            active.setdefault(c, {})[r] = cents[c][r]
+        bc = spark.sparkContext.broadcast(active)
         parts = _reduce_partials(d.mapInPandas(_kmeans_partials(bc.value), _PART_SCHEMA))
         got = parts.collect()  # categories x restarts x k rows
         new = {c: v.copy() for c, v in cents.items()}
-        inertia = {}
+        inertia |= dict.fromkeys(moving, 0.0)
         for r in got:
             new[r["_cat"]][r["restart"], r["cluster"]] = np.asarray(r["s"]) / r["n"]
-            inertia[(r["_cat"], r["restart"])] = inertia.get((r["_cat"], r["restart"]), 0.0) + r["inertia"]
+            inertia[(r["_cat"], r["restart"])] += r["inertia"]
+        # sums of another order differ in their last bits
+        moving = {(c, r) for c, r in moving if not np.allclose(new[c][r], cents[c][r], rtol=1e-9, atol=1e-12)}
         cents = new
         bc.unpersist()
-    inert = spark.createDataFrame([(c, int(r), float(v)) for (c, r), v in (inertia or {}).items()],
+    inert = spark.createDataFrame([(c, int(r), float(v)) for (c, r), v in inertia.items()],
                                   "_cat string, restart int, inertia double")
     best = inert.withColumn("_rk", F.row_number().over(
         Window.partitionBy("_cat").orderBy("inertia", "restart"))).filter("_rk = 1")

@@ -252,9 +252,10 @@ FROM per, obs
 
 
 def grouped_kmeans(spark, sf):
-    """K-means (k=5, 4 restarts, 8 rounds) inside every category at once."""
+    """K-means (k=5, 20 restarts to convergence) of the unit means of each
+    vec_id's rows (the group key of this table), inside every category at once."""
     e = _emb(spark, sf)
-    labelled, _inertia = J.grouped_kmeans(e, "cat", "vec_id", "embedding", k=5, restarts=4, iters=8, seed=0)
+    labelled, _inertia = J.grouped_kmeans(e, "cat", "vec_id", "embedding", k=5, restarts=20, seed=0, group="vec_id")
     return labelled.select("vec_id", "cat", "cluster")
 
 
