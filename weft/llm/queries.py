@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import contamination
+from weft.llm import contamination, divergence
 from weft.llm.common import prepare
 from weft.session import table
 
@@ -104,3 +104,11 @@ def op9_packed_ids(spark, sf_dir):
 def op10_chosen_path(spark, sf_dir):
     from weft.llm.chosen_path import ngram_join
     return ngram_join(_table(spark, sf_dir, "documents")).drop("row", "group", "text_hash")
+
+
+@register
+def op11_divergence(spark, sf_dir):
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_divergence"] = divergence.ORACLE_SQL
