@@ -112,3 +112,10 @@ def op11_divergence(spark, sf_dir):
 
 
 ORACLE["op11_divergence"] = divergence.ORACLE_SQL
+
+
+@register
+def op12_turn_repair(spark, sf_dir):
+    from weft.llm.turn_repair import damage, digest, repair_turns
+    conversations = _table(spark, sf_dir, "conversations")
+    return digest(repair_turns(damage(conversations)), conversations)
