@@ -119,3 +119,9 @@ def op12_turn_repair(spark, sf_dir):
     from weft.llm.turn_repair import damage, digest, repair_turns
     conversations = _table(spark, sf_dir, "conversations")
     return digest(repair_turns(damage(conversations)), conversations)
+
+
+@register
+def op13_main_text(spark, sf_dir):
+    from weft.llm.main_text import extract_pages
+    return extract_pages(_table(spark, sf_dir, "pages"))
