@@ -46,7 +46,8 @@ START = np.uint64(0xD1B54A32D192)  # the padding before a text
 SHARDS_PER_TASK = 4
 _ROUTED = "shard int, payload binary"
 _PARTIAL = "block long, sums binary"
-_SUMS = (np.uint16, np.uint32, np.float64, np.float32, np.int64, np.uint8, np.uint8, np.uint32)
+_SUMS = (np.uint8, np.uint16, np.float64, np.float64, np.uint32, np.uint32, np.int64, np.uint8, np.uint8, np.uint32)
+_MANY = 0xFFFF  # numbers from this on are kept apart from the 16-bit ones
 _SCORED = "id long, train boolean, n_tokens long, n_known long, base double, score double, vocabulary long"
 
 
@@ -269,8 +270,11 @@ def _score(order: int, n_train: int, strength: float, discount: float):
             slot = np.flatnonzero(n)
             unknown, bases, parts = (np.bincount(doc, np.repeat(x[lo:hi], per)) for x in (~is_known, base, part))
             home = f.astype(np.uint8) if len(g[6]) else np.zeros(0, np.uint8)
-            out.append((int(g[0][0]), pack(slot.astype(np.uint16), unknown[slot].astype(np.uint32), bases[slot],
-                                           parts[slot].astype(np.float32), g[6], g[7], home, g[8])))
+            # most documents of a block have tokens in most shards: which ones is a bit each
+            few = unknown[slot].astype(np.uint32)
+            many = np.flatnonzero(few >= _MANY)
+            out.append((int(g[0][0]), pack(np.packbits(n > 0), np.minimum(few, _MANY).astype(np.uint16), bases[slot],
+                                           parts[slot], many.astype(np.uint32), few[many], g[6], g[7], home, g[8])))
             lo = hi
         # one more row: the shard's distinct training words
         out.append((-1, np.array([has[0].sum()], np.int64).tobytes()))
@@ -286,10 +290,13 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": pd.array([None], "Int64"), "train": [False], "n_tokens": [0], "n_known": [0],
                              "base": [0.0], "score": [0.0], "vocabulary": pd.array([v], "Int64")})
     got = [unpack(p, *_SUMS) for p in rows["sums"]]
-    ids, null, train, size = next((g[4:] for g in got if len(g[4])), got[0][4:])
+    ids, null, train, size = next((g[6:] for g in got if len(g[6])), got[0][6:])
     sums = [np.zeros(len(ids), k) for k in (np.int64, np.float64, np.float64)]
-    for slot, *values, _i, _n, _t, _s in got:
-        for total, v in zip(sums, values, strict=True):
+    for some, few, base, score, many, true, *_meta in got:
+        slot = np.flatnonzero(np.unpackbits(some)[:len(ids)])
+        few = few.astype(np.int64)
+        few[many] = true
+        for total, v in zip(sums, (few, base, score), strict=True):
             total[slot] += v
     return pd.DataFrame({"id": pd.array([None if x else i for i, x in zip(ids.tolist(), null, strict=True)], "Int64"),
                          "train": train > 0, "n_tokens": size.astype(np.int64), "n_known": size - sums[0],
