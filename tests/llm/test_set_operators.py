@@ -220,6 +220,18 @@ def test_containment(spark, docs, empty, broadcast_rows):
     assert decontaminate(docs, spark.createDataFrame([], shape)).count() == len(rows())
 
 
+def test_items_without_or_with_one_id(spark, docs):
+    """A null item id is kept, and texts under one id are items of their own."""
+    from weft.llm.contamination import containment, decontaminate
+    texts = ["one two three four five six seven eight nine", "red green blue black white brown grey pink teal"]
+    docs = spark.createDataFrame([(k, f"before it {t} and after") for k, t in enumerate(texts)], "doc_id long, text string")
+    for ids in ([7, 7], [None, None], [None, 7], [7, None]):
+        items = spark.createDataFrame(list(zip(ids, texts, strict=True)) * 2, "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"], r["containment"]) for r in containment(docs, items).collect()}
+        assert got == {(0, ids[0], 1.0), (1, ids[1], 1.0)}
+        assert decontaminate(docs, items).count() == 0
+
+
 # ---- vectors ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("tile", [7, 1024])
@@ -246,6 +258,16 @@ def test_vector_links(spark, tile):
     assert vector_links(df.where("false")).collect() == []
 
 
+def test_vectors_that_share_an_id_and_extreme_lengths(spark):
+    from weft.llm.vector_links import vector_links
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 1), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 1), (0, [0.0, 1.0, 0.01], 1),
+            (10, [1e-200, 0.0, 0.0], 5), (11, [5e-324, 0.0, 0.0], 5), (12, [1e300, 1e298, 0.0], 5), (13, [0.0, 1e-250, 0.0], 5)]
+    got = sorted(tuple(r) for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 0, False), (3, 2, 0, False), (0, 2, 0, True),
+                          (10, 2, 10, True), (11, 2, 10, False), (12, 2, 10, False), (13, 0, 13, True)])
+
+
 def test_components(spark):
     from weft.llm.components import components
     rnd = np.random.default_rng(8)

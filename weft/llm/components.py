@@ -31,7 +31,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b: long); the component
+    """(node, component) for every node of ``links`` (a and b of one type); the component
     is the least node that can be reached. Links of a node with itself and
     repeated links change nothing; null ends are left out."""
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(

@@ -92,7 +92,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def _tile_pair(threshold: float, m: int, miss: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", kind="stable")
+        rows = rows.sort_values("key", kind="stable")
         two = rows["side"].to_numpy()
         groups = [rows[two == 0], rows[two == 1]] if (two == 1).any() else [rows]
         if int(rows["tiles"].iloc[0]) == 2 and len(groups) == 1:
@@ -120,14 +120,14 @@ def _tile_pair(threshold: float, m: int, miss: float):
             np.add.at(links_q, i, x["copies"].to_numpy()[j])
             np.add.at(links_q if same else links_x, j, q["copies"].to_numpy()[i])
             off = 0 if same else len(q)
-            both = np.concatenate([q["rep"].to_numpy(), x["rep"].to_numpy()])
+            both = np.concatenate([q["key"].to_numpy(), x["key"].to_numpy()])
             edges = [(both[s], both[t]) for s, t in spanning(len(q) + len(x), i, j + off)]
-        reps = q["rep"].to_numpy() if same else np.concatenate([q["rep"].to_numpy(), x["rep"].to_numpy()])
+        keys = q["key"].to_numpy() if same else np.concatenate([q["key"].to_numpy(), x["key"].to_numpy()])
         links = links_q if same else np.concatenate([links_q, links_x])
         some = links > 0
         return pd.DataFrame({
-            "a": np.concatenate([reps[some], np.array([e[0] for e in edges], np.int64)]).astype(np.int64),
-            "b": np.concatenate([np.full(some.sum(), -1), np.array([e[1] for e in edges], np.int64)]).astype(np.int64),
+            "a": pd.Series([*keys[some], *(e[0] for e in edges)], dtype=object),
+            "b": pd.Series([*[None] * int(some.sum()), *(e[1] for e in edges)], dtype=object),
             "links": np.concatenate([links[some], np.zeros(len(edges), np.int64)]).astype(np.int64)})
 
     return run
@@ -140,8 +140,9 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
 
     A vector that is null, empty, zero or holds a null or non-finite component
     links with nothing, as does one without a label; vectors of different lengths
-    are never linked. Repeated rows of one id count as separate vectors. Rows with
-    a null id are returned as they are, unlinked. Other columns are ignored. An
+    are never linked. Repeated rows of one id count as separate vectors, with a row
+    each. Vectors are scaled before they are squared, so none is too small or too
+    large. Rows with a null id are returned as they are, unlinked. Other columns are ignored. An
     empty table gives no rows.
     """
     v = F.col("v")
@@ -151,9 +152,13 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"),
                           F.col(label_col).alias("label")).withColumn("good", F.coalesce(good, F.lit(False)))
     usable = rows.where("good").withColumn("v", F.transform("v", lambda e: e + F.lit(0.0)))
-    # class = equal vectors; members keep only a 128-bit key of the vector
+    # class = equal vectors of a label, named by a 128-bit key (an id may stand for several vectors)
     bits = F.concat_ws(",", F.transform("v", lambda e: e.cast("string")))
     usable = usable.withColumn("key", F.md5(F.concat_ws("|", F.size("v"), F.to_json(F.struct("label")), bits)))
+    # powers of two keep every digit and bring squares that would over- or underflow into range
+    most = F.array_max(F.transform("v", lambda e: F.abs(e)))
+    factor = F.when(most < 2.0 ** -400, 2.0 ** 600).when(most > 2.0 ** 400, 2.0 ** -600).otherwise(1.0)
+    usable = usable.withColumn("factor", factor).withColumn("v", F.transform("v", lambda e: e * F.col("factor")))
     members = kept(usable.select("id", "label", "key", "v"), "vector-members")
     classes = members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
                                          F.first("label").alias("label"), F.first("v").alias("v"))
@@ -186,17 +191,18 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
                            F.struct(F.col("two").alias("tile"), F.lit(1).alias("side"))))).alias("s"))
     sides = sides.select("label", "dim", "one", "two", "s.tile", "s.side",
                          (F.when(F.col("one") == F.col("two"), 1).otherwise(2)).alias("tiles"))
-    work = tiled.join(sides, ["label", "dim", "tile"]).select("label", "dim", "one", "two", "side", "tiles", "rep",
+    work = tiled.join(sides, ["label", "dim", "tile"]).select("label", "dim", "one", "two", "side", "tiles", "key",
                                                               "copies", "v")
     found = work.groupBy("label", "dim", "one", "two").applyInPandas(
-        _tile_pair(threshold, m, miss), "a long, b long, links long")
+        _tile_pair(threshold, m, miss), "a string, b string, links long")
     found = kept(found, "vector-links")
-    degree = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    comp = components(found.where("b <> -1").select("a", "b"))
-    of_class = classes.select("key", "rep", "copies").join(degree, "rep", "left").join(
-        comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                               F.coalesce("component", "rep").alias("component_id"))
+    degree = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    comp = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
+    of_class = classes.select("key", "rep", "copies").join(degree, "key", "left").join(comp, "key", "left")
+    of_class = of_class.select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                               F.coalesce("component", "key").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = of_class.join(least, "component").select("key", "n_links", "component_id")
     linked = members.select("id", "key").join(of_class, "key").select("id", "n_links", "component_id")
     alone = rows.where("NOT good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
@@ -214,7 +220,7 @@ def tiles(classes: DataFrame, tile: int) -> DataFrame:
     counts = bins.groupBy("label", "dim", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("label", "dim").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    inside = Window.partitionBy("label", "dim", "bin").orderBy("p", "rep")
+    inside = Window.partitionBy("label", "dim", "bin").orderBy("p", "key")
     ranked = bins.withColumn("r", F.row_number().over(inside) - 1).join(counts, ["label", "dim", "bin"])
     return ranked.withColumn("tile", F.floor((F.col("before") + F.col("r")) / tile).cast("long")).drop(
         "bin", "n", "before", "r")
