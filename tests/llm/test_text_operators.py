@@ -200,9 +200,11 @@ def test_bit_packing(bits):
     assert len(data) == -(-1001 * bits // 8)
     assert (unpack_ids(data, 1001, bits) == ids).all()
     two = write_block([5, 6], [ids[:10], ids[:0]], bits) + write_block([7], [ids], bits)
-    doc_ids, counts, got, after = read_block(two)
-    assert (list(doc_ids), list(counts), (got == ids[:10]).all()) == ([5, 6], [10, 0], True)
-    assert (read_block(two, after)[2] == ids).all()
+    doc_ids, null, counts, got, after = read_block(two)
+    assert (list(doc_ids), list(null), list(counts), (got == ids[:10]).all()) == ([5, 6], [False, False], [10, 0], True)
+    assert (read_block(two, after)[3] == ids).all()
+    marked = read_block(write_block([None, -1, 0], [ids[:1]] * 3, bits))
+    assert (list(marked[0]), list(marked[1])) == ([0, -1, 0], [True, False, False])
 
 
 def test_packed_ids(docs, empty):
@@ -219,6 +221,24 @@ def test_packed_ids(docs, empty):
     assert packed_ids(empty, encoder, 49408, 1).collect() == []
 
 
+@pytest.mark.parametrize("vocab", [100, 49408])
+def test_negative_and_null_ids_and_single_documents(spark, tmp_path, vocab):
+    """Ids below 0 are ids; one document is reached through the block table."""
+    from weft.llm.packed_ids import packed_ids, read_document
+    ids = [-5, -1, None, 3, 3, 0, None, 7 * 10 ** 12, *range(100, 160)]
+    table = spark.createDataFrame([(i, "x" * n) for n, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "ids")
+    got = packed_ids(table, lambda texts: [np.arange(len(t), dtype="<u4") for t in texts], vocab, 99, path=path).collect()
+    want, start = [], 0
+    for i, n in sorted(((i, n) for n, i in enumerate(ids)), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want.append((i, start, n + 1, zlib.crc32(np.array([*range(n), 99], "<u4").tobytes())))
+        start += n + 1
+    assert sort(tuple(r)[:4] for r in got) == sort(want)
+    assert [x.tolist() for x in read_document(spark, path, -5)] == [[99]]
+    assert sorted(len(x) for x in read_document(spark, path, 3)) == [4, 5]
+    assert read_document(spark, path, 5) == []
+
+
 # ---- pieces ----------------------------------------------------------------------
 
 def test_piece_scan_chunks():

@@ -2,17 +2,18 @@
 
 File format (little-endian). A file is a run of blocks; a block is
 
-    4 bytes   b"WTB1"
+    4 bytes   b"WTB2"
     4 x u32   bits per id, documents, bytes of the id part, bytes of the block
     documents x i64   document ids
     documents x u32   ids of each document
+    documents, a bit each: 1 marks a document without an id (its i64 is 0)
     ids, ``bits`` bits each, least significant bit first, padded to a byte
     1 byte    0x0A
 
-Block and file offsets stand in an index table, so any document is reached by
-one seek, and a block is unpacked with vectorised bit operations. Spark writes
-the files (one per task, through whatever file system the path names) and reads
-them back as binary rows.
+``write_index`` leaves a table of block offsets and their least and largest document
+id beside the files, so ``read_document`` reaches a document by one seek; a block is
+unpacked with vectorised bit operations. Spark writes the files (one per task, through
+whatever file system the path names) and reads them back as binary rows.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import kept, partitions, scratch, starts
 
-MAGIC = b"WTB1"
+MAGIC = b"WTB2"
 HEAD = 20
 END = b"\n"
 #: a block is closed at this many ids (a document is never split)
 BLOCK_IDS = 1 << 18
 _MARK = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])[ \n]")
-FILE_ROWS = "file string, block_at long, doc_id long, ids_in_file_before long, n_tokens long, ids_crc32 long"
+FILE_ROWS = "file string, block_at long, block_bytes long, doc_id long, ids_in_file_before long, n_tokens long, ids_crc32 long"
 
 
 def bits_for(vocab_size: int) -> int:
@@ -61,23 +62,27 @@ def unpack_ids(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 def write_block(doc_ids: list, per_doc: list[np.ndarray], bits: int) -> bytes:
+    """One block; a document id may be None."""
     ids = np.concatenate(per_doc) if per_doc else np.zeros(0, np.uint32)
     body = pack_ids(ids, bits)
-    size = HEAD + 12 * len(doc_ids) + len(body) + len(END)
+    null = np.packbits([i is None for i in doc_ids], bitorder="little").tobytes()
+    size = HEAD + 12 * len(doc_ids) + len(null) + len(body) + len(END)
     return b"".join([MAGIC, np.array([bits, len(doc_ids), len(body), size], "<u4").tobytes(),
-                     np.array(doc_ids, "<i8").tobytes(), np.array([len(x) for x in per_doc], "<u4").tobytes(),
-                     body, END])
+                     np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
+                     np.array([len(x) for x in per_doc], "<u4").tobytes(), null, body, END])
 
 
 def read_block(data: bytes, at: int = 0):
-    """(document ids, ids per document, all ids, offset of the next block)."""
+    """(document ids, which of them are null, ids per document, all ids, offset of the next block)."""
     if data[at:at + 4] != MAGIC:
         raise ValueError(f"no block at byte {at}")
     bits, n, body, size = np.frombuffer(data, "<u4", 4, at + 4).tolist()
     doc_ids = np.frombuffer(data, "<i8", n, at + HEAD)
     counts = np.frombuffer(data, "<u4", n, at + HEAD + 8 * n).astype(np.int64)
-    first = at + HEAD + 12 * n
-    return doc_ids, counts, unpack_ids(data[first:first + body], int(counts.sum()), bits), at + size
+    marks = at + HEAD + 12 * n
+    first = marks + -(-n // 8)
+    null = np.unpackbits(np.frombuffer(data, np.uint8, first - marks, marks), count=n, bitorder="little").astype(bool)
+    return doc_ids, null, counts, unpack_ids(data[first:first + body], int(counts.sum()), bits), at + size
 
 
 class LibraryEncoder:
@@ -172,7 +177,7 @@ def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | No
                 part = batch.slice(lo, 1024)
                 got = encoder(part.column(1).to_pylist())
                 for i, ids in zip(part.column(0).to_pylist(), got, strict=True):
-                    doc_ids.append(-1 if i is None else i)
+                    doc_ids.append(i)
                     per_doc.append(np.concatenate([ids, tail]))
                     held += len(ids) + len(tail)
                     if held >= BLOCK_IDS:
@@ -190,7 +195,7 @@ def write_ids(docs: DataFrame, path: str, encoder: Callable[[list[bytes]], list[
 
     The rows are dealt out by ranges of the id, so files follow each other in id
     order and no task holds more than its range. A null text is empty (its end
-    id alone is written). A null id is written first, as -1. Rows with the same
+    id alone is written). Null ids come first and stay null. Rows with the same
     id follow each other in text order. An empty table gives no blocks. Ids must
     be below ``vocab_size``. Returns ``path``.
     """
@@ -209,30 +214,65 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             at, before = 0, 0
             while at < len(data):
-                doc_ids, counts, ids, after = read_block(data, at)
+                doc_ids, null, counts, ids, after = read_block(data, at)
                 cut = starts(counts)
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a:4 * z]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(doc_ids)), pa.array([at] * len(doc_ids), pa.int64()), pa.array(doc_ids),
+                    [pa.array([file] * len(doc_ids)), pa.array([at] * len(doc_ids), pa.int64()),
+                     pa.array([after - at] * len(doc_ids), pa.int64()), pa.array(doc_ids, mask=null),
                      pa.array(before + cut[:-1]), pa.array(counts), pa.array(crc, pa.int64())],
-                    ["file", "block_at", "doc_id", "ids_in_file_before", "n_tokens", "ids_crc32"])
+                    ["file", "block_at", "block_bytes", "doc_id", "ids_in_file_before", "n_tokens", "ids_crc32"])
                 at, before = after, before + int(counts.sum())
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files below ``path``, read back from them:
-    file, byte offset of its block, id, ids before it in the file, its number of
+    """One row per document of the files below ``path``, read back from them: file,
+    byte offset and bytes of its block, id, ids before it in the file, its number of
     ids and the CRC-32 of them as little-endian unsigned 32-bit integers."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(_documents, FILE_ROWS)
 
 
+def write_index(rows: DataFrame, path: str) -> str:
+    """Write the block table of the files below ``path`` beside them (``_index``): file,
+    block_at, block_bytes, least and largest document id of each block. ``rows`` is what
+    ``read_ids`` gives. Returns the table's path."""
+    index = f"{path.rstrip('/')}/_index"
+    blocks = rows.groupBy("file", "block_at", "block_bytes").agg(F.min("doc_id").alias("least"),
+                                                                 F.max("doc_id").alias("most"))
+    blocks.sort("least", "file", "block_at").write.mode("overwrite").parquet(index)
+    return index
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents named ``doc_id`` (none, one, or repeated rows): only the
+    blocks whose range holds the id are read, each by one seek."""
+    index = spark.read.parquet(f"{path.rstrip('/')}/_index")
+    held = index.where(F.lit(doc_id).between(F.col("least"), F.col("most"))).sort("file", "block_at").collect()
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for block in held:
+        at = jvm.org.apache.hadoop.fs.Path(block["file"])
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            stream.seek(block["block_at"])
+            data = bytes(stream.readNBytes(block["block_bytes"]))
+        finally:
+            stream.close()
+        doc_ids, null, counts, ids, _ = read_block(data)
+        cut = starts(counts)
+        found += [ids[cut[i]:cut[i + 1]] for i in np.flatnonzero((doc_ids == doc_id) & ~null).tolist()]
+    return found
+
+
 def global_starts(rows: DataFrame) -> DataFrame:
     """Add ``start``, the ids of all files and documents before. Files follow each
-    other by their first id; the running sum is over one row per file."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("first"))
-    w = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
+    other by their first id, null before any; the running sum is over one row per file."""
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("first"),
+                                     F.max(F.col("doc_id").isNull()).alias("null"))
+    w = Window.orderBy(F.desc("null"), "first", "file").rowsBetween(Window.unboundedPreceding, -1)
     before = files.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     return rows.join(before, "file").withColumn("start", F.col("before") + F.col("ids_in_file_before"))
 
@@ -243,6 +283,8 @@ def packed_ids(docs: DataFrame, encoder: Callable[[list[bytes]], list[np.ndarray
     return (id, start, n_tokens, ids_crc32, file, block_at) read back from them."""
     spark = docs.sparkSession
     path = write_ids(docs, path or scratch(spark, "ids"), encoder, vocab_size, end_id, id_col, text_col)
-    rows = global_starts(kept(read_ids(spark, path), "ids-read"))
-    return rows.select(F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias(id_col), "start", "n_tokens", "ids_crc32",
+    found = kept(read_ids(spark, path), "ids-read")
+    write_index(found, path)
+    rows = global_starts(found)
+    return rows.select(F.col("doc_id").alias(id_col), "start", "n_tokens", "ids_crc32",
                        "file", "block_at")
