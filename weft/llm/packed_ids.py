@@ -97,8 +97,8 @@ class LibraryEncoder:
     memory is emptied at ``limit`` words.
     """
 
-    #: letters below this code point are their own composed form
-    _COMPOSED = "\u0180"
+    #: letters beyond these are not their own composed form
+    _OTHER = re.compile("[\u0130\u0180-\U0010ffff]")
     _PUNCTUATION = ".,;:!?$%&*#|"
 
     def __init__(self, path: str, limit: int = 1 << 21):
@@ -113,6 +113,7 @@ class LibraryEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._full = Tokenizer.from_file(self.path)
+        self._kind = "<u2" if self._full.get_vocab_size() <= 1 << 16 else "<u4"
         self._full.no_truncation()
         self._full.no_padding()
         with open(self.path, encoding="utf-8") as f:
@@ -125,14 +126,14 @@ class LibraryEncoder:
 
     def _ids(self, tokenizer, words: list[str]) -> list[bytes]:
         got = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        return [np.array(e.ids, self._kind).tobytes() for e in got]
 
     def _learn(self, words: set) -> None:
-        memo, letters, marks = self._memo, self._letters, self._PUNCTUATION
+        memo, letters, marks, other_letter = self._memo, self._letters, self._PUNCTUATION, self._OTHER.search
         parts, other = [], []
         for w in words:
             body = w.rstrip(marks)
-            if body.isalpha() and (body.isascii() or max(body) < self._COMPOSED and "\u0130" not in body):
+            if body.isalpha() and (body.isascii() or other_letter(body) is None):
                 parts.append((w, body.lower(), w[len(body):]))
             else:
                 other.append(w)
@@ -147,7 +148,7 @@ class LibraryEncoder:
     def _plainer(self, text: str) -> str:
         """The text in lower case, and with a space before a comma or full stop that
         stands alone between a letter and a space, where neither changes its ids."""
-        if "<|" in text or not text or not text.isascii() and (max(text) >= self._COMPOSED or "\u0130" in text):
+        if "<|" in text or not text or not text.isascii() and self._OTHER.search(text):
             return text
         return _MARK.sub(r" \1 ", text.lower())
 
@@ -161,12 +162,12 @@ class LibraryEncoder:
         if unknown:
             self._learn(unknown)
         get = self._memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), self._kind) for s in split]
 
 
 def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | None, bits: int):
     """Rows (one block each) of the documents of a task, in their order."""
-    tail = np.array([] if end_id is None else [end_id], np.uint32)
+    tail = np.array([] if end_id is None else [end_id], "<u2" if bits <= 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(doc_ids, per_doc):
