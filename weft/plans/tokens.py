@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.text import clean_text
+from weft.operators import bpe as B
 from weft.operators import profile as P
 from weft.operators import tokens as K
 from weft.operators.ordering import global_index
 from weft.plans import sqlfrag as S
-from weft.session import table
+from weft.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -163,10 +164,109 @@ WHERE q <> '' AND d <> ''
 """
 
 
+def _piece_counts(spark, sf):
+    return K.pretoken_counts(table(spark, sf, "documents").select(clean_text("text").alias("text")), "text")
+
+
 def bpe_vocab(spark, sf):
-    """K2: 20 byte-pair merges learned from the pre-token counts of all documents."""
-    d = table(spark, sf, "documents").select(clean_text("text").alias("text"))
-    return K.bpe_merges(K.pretoken_counts(d, "text"), 20)
+    """K2: the vocabulary of 42,000 tokens learned from the pieces of all documents."""
+    return B.learn_bpe(_piece_counts(spark, sf), 42_000)
+
+
+QUERIES["bpe_vocab"] = bpe_vocab  # 40,000 rounds in SQL: rows-only; tests compare with a plain loop
+SQL_MERGES = 200
+
+
+def bpe_merges(spark, sf):
+    """K2, first 200 merges of the same learner (as many as SQL can follow)."""
+    vocab = B.learn_bpe(_piece_counts(spark, sf), num_merges=SQL_MERGES)
+    first = vocab.where("kind = 'merge'")
+    least = first.agg(F.min("token_id").alias("least"))
+    return first.crossJoin(F.broadcast(least)).select((F.col("token_id") - F.col("least") + 1).alias("rank"), "left",
+                                                      "right", "count")
+
+
+QUERIES["bpe_merges"] = bpe_merges
+_BPE_SQL = f"""RECURSIVE {_PC_SQL},
+learn AS (
+  SELECT 0 AS r, piece, n, string_split(piece, '') AS w, NULL::VARCHAR AS a1, NULL::VARCHAR AS b1, NULL::BIGINT AS c1
+  FROM pc WHERE piece <> ''
+  UNION ALL
+  (WITH pairs AS (SELECT a, b, sum(n)::BIGINT AS c
+                  FROM (SELECT n, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM learn WHERE len(w) > 1) GROUP BY a, b),
+   best AS (SELECT a, b, c, chr(1) || a || chr(2) || chr(1) || b || chr(2) AS two, chr(1) || a || b || chr(2) AS one
+            FROM pairs WHERE c >= 2 ORDER BY c DESC, a, b LIMIT 1),
+   done AS (SELECT r, piece, n, a, b, c, replace(chr(1) || array_to_string(w, chr(2) || chr(1)) || chr(2), two, one) AS s
+            FROM learn, best WHERE r < {SQL_MERGES})
+   SELECT r + 1, piece, n, string_split(s[2:-2], chr(2) || chr(1)), a, b, c FROM done)),
+merges AS (SELECT DISTINCT r AS rank, a1 AS "left", b1 AS "right", c1 AS "count" FROM learn WHERE r > 0)"""
+ORACLE["bpe_merges"] = f'WITH {_BPE_SQL} SELECT rank, "left", "right", "count" FROM merges'
+
+
+def bpe_encode(spark, sf):
+    """K3: ids of all documents by the first 200 merges, <bos> first, cut at 4096."""
+    d = _docs(spark, sf)
+    return B.encode(d, "doc_id", "text", B.learn_bpe(_piece_counts(spark, sf), num_merges=SQL_MERGES), MAX_LEN)
+
+
+QUERIES["bpe_encode"] = bpe_encode
+ORACLE["bpe_encode"] = f"""
+WITH {_BPE_SQL},
+alphabet AS (SELECT c, row_number() OVER (ORDER BY c) - 1 + {K.FIRST_PIECE_ID} AS i
+             FROM (SELECT DISTINCT unnest(string_split(piece, '')) AS c FROM pc WHERE piece <> '')),
+ids AS (SELECT c AS token, i FROM alphabet
+        UNION ALL SELECT "left" || "right", rank - 1 + {K.FIRST_PIECE_ID} + (SELECT count(*) FROM alphabet) FROM merges),
+last AS (SELECT piece, w FROM learn WHERE r = (SELECT max(r) FROM learn)),
+coded AS (SELECT piece, list(CAST(i AS INTEGER) ORDER BY k) AS ids
+          FROM (SELECT piece, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS k FROM last) JOIN ids USING (token)
+          GROUP BY piece),
+dd AS (SELECT doc_id, {_PIECES_SQL.format(t=S.clean('text'))} AS ps FROM documents WHERE {S.clean('text')} <> ''),
+ex AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS pos FROM dd)
+SELECT doc_id, list_concat([{K.BOS}], flatten(list(ids ORDER BY pos)))[1:{MAX_LEN}] AS input_ids
+FROM ex JOIN coded USING (piece) GROUP BY doc_id
+"""
+
+
+def _bpe_encoded(spark, sf, max_len=MAX_LEN):
+    vocab = cut_lineage(bpe_vocab(spark, sf))
+    return B.encode(_docs(spark, sf), "doc_id", "text", vocab, max_len), vocab
+
+
+def bpe_decode(spark, sf):
+    """K3 there and back: whole texts encoded by the 42,000 tokens and decoded again."""
+    encoded, vocab = _bpe_encoded(spark, sf, None)
+    return B.decode(encoded, "doc_id", "input_ids", vocab)
+
+
+QUERIES["bpe_decode"] = bpe_decode
+ORACLE["bpe_decode"] = f"""
+SELECT doc_id, replace({S.clean('text')}, '▁', ' ') AS text FROM documents WHERE {S.clean('text')} <> ''
+"""
+
+
+def _bpe_blocks(spark, sf):
+    encoded, _ = _bpe_encoded(spark, sf)
+    idx = global_index(table(spark, sf, "documents").select("doc_id"), ["doc_id"], "idx")
+    return K.pack_blocks(encoded.join(idx, "doc_id"), "idx", BLOCK_LEN, BATCH_DOCS)
+
+
+def bpe_pack_blocks(spark, sf):
+    """K4 on the 42,000 tokens."""
+    return _bpe_blocks(spark, sf)
+
+
+def bpe_mask_tokens(spark, sf):
+    """K5 on the 42,000 tokens."""
+    b = _bpe_blocks(spark, sf).withColumn("block_key", F.col("batch") * 1_000_000 + F.col("block"))
+    return K.mask_tokens(b, "block_key", 42_000, 0.30, MASK_SEED).select("batch", "block", "input_ids", "labels")
+
+
+def bpe_masked_accuracy(spark, sf):
+    """D14 on the 42,000 tokens."""
+    m = bpe_mask_tokens(spark, sf).withColumn("pred", K.previous_token_predictions("input_ids"))
+    return P.masked_accuracy(m, "pred", "labels")
 
 
-QUERIES["bpe_vocab"] = bpe_vocab  # iterative: rows-only; tests compare with a Python loop
+QUERIES["bpe_pack_blocks"] = bpe_pack_blocks
+QUERIES["bpe_mask_tokens"] = bpe_mask_tokens
+QUERIES["bpe_masked_accuracy"] = bpe_masked_accuracy
