@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,11 @@ from weft.llm.common import kept, partitions, scratch, starts
 MAGIC = b"WTB2"
 HEAD = 20
 END = b"\n"
+#: rows encoded together: the more, the fewer times a frequent word is looked up
+ROWS = 4096
 #: a block is closed at this many ids (a document is never split)
 BLOCK_IDS = 1 << 18
-_MARK = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])[ \n]")
+_MARK = re.compile(r"([.,])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff][.,])[ \n]")
 FILE_ROWS = "file string, block_at long, block_bytes long, doc_id long, ids_in_file_before long, n_tokens long, ids_crc32 long"
 
 
@@ -101,7 +104,7 @@ class LibraryEncoder:
     _OTHER = re.compile("[\u0130\u0180-\U0010ffff]")
     _PUNCTUATION = ".,;:!?$%&*#|"
 
-    def __init__(self, path: str, limit: int = 1 << 21):
+    def __init__(self, path: str, limit: int = 1 << 20):
         self.path, self.limit, self._memo = path, limit, None
 
     def __getstate__(self):
@@ -122,28 +125,29 @@ class LibraryEncoder:
                  "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
                                    "use_regex": False}}
         self._plain = Tokenizer.from_str(json.dumps(spec))
-        self._memo, self._letters = {"": b""}, {"": b""}
+        self._memo = {"": b""}
 
     def _ids(self, tokenizer, words: list[str]) -> list[bytes]:
         got = tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self._kind).tobytes() for e in got]
 
-    def _learn(self, words: set) -> None:
-        memo, letters, marks, other_letter = self._memo, self._letters, self._PUNCTUATION, self._OTHER.search
-        parts, other = [], []
+    def _learn(self, words: list[str]) -> None:
+        memo, marks, other_letter = self._memo, self._PUNCTUATION, self._OTHER.search
+        letters, parts, other = [], [], []
         for w in words:
-            body = w.rstrip(marks)
-            if body.isalpha() and (body.isascii() or other_letter(body) is None):
-                parts.append((w, body.lower(), w[len(body):]))
-            else:
+            body = w if w.isalpha() else w.rstrip(marks)
+            if not body.isalpha() or not body.isascii() and other_letter(body) is not None:
                 other.append(w)
-        new = list({b for _, b, _ in parts}.difference(letters))
-        letters.update(zip(new, self._ids(self._plain, new), strict=True))
-        tails = list({t for _, _, t in parts}.difference(letters))
-        letters.update(zip(tails, self._ids(self._full, tails), strict=True))
-        for w, b, t in parts:
-            memo[w] = letters[b] + letters[t] if t else letters[b]
+            elif body is w:
+                letters.append(w)
+            else:
+                parts.append((w, body.lower(), w[len(body):]))
+        memo.update(zip(letters, self._ids(self._plain, [w.lower() for w in letters]), strict=True))
+        new = list({b for _, b, _ in parts}.difference(memo))
+        memo.update(zip(new, self._ids(self._plain, new), strict=True))
+        other += {t for _, _, t in parts}.difference(memo, other)
         memo.update(zip(other, self._ids(self._full, other), strict=True))
+        memo.update((w, memo[b] + memo[t]) for w, b, t in parts)
 
     def _plainer(self, text: str) -> str:
         """The text in lower case, and with a space before a comma or full stop that
@@ -156,13 +160,24 @@ class LibraryEncoder:
         if self._memo is None:
             self._load()
         if len(self._memo) > self.limit:
-            self._memo, self._letters = {"": b""}, {"": b""}
-        split = [self._plainer(t.decode("utf-8", "replace")).replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*split).difference(self._memo)  # not `- keys()`, which goes over the memory
+            self._memo = {"": b""}
+        lines = pa.array([self._plainer(t.decode("utf-8", "replace")).replace("\n", " ") for t in texts], pa.large_string())
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        unknown = [w for w in words if w not in self._memo]
         if unknown:
             self._learn(unknown)
-        get = self._memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), self._kind) for s in split]
+        # ids of the distinct words one after the other, and from them those of all words
+        held = list(map(self._memo.__getitem__, words))
+        flat = np.frombuffer(b"".join(held), self._kind)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // flat.itemsize
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts(sizes)[:-1][word] - (ends - n), n) + np.arange(int(n.sum()))]
+        cut = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | None, bits: int):
@@ -174,8 +189,8 @@ def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | No
             return pa.RecordBatch.from_arrays([pa.array([write_block(doc_ids, per_doc, bits)], pa.binary())], ["value"])
         doc_ids, per_doc, held = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
                 got = encoder(part.column(1).to_pylist())
                 for i, ids in zip(part.column(0).to_pylist(), got, strict=True):
                     doc_ids.append(i)
