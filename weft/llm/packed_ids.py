@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept, partitions, scratch, starts
+from weft.llm.common import kept, partitions, scratch, starts, trim
 
 MAGIC = b"WTB2"
 HEAD = 20
 END = b"\n"
 #: rows encoded together: the more, the fewer times a frequent word is looked up
-ROWS = 4096
+ROWS = 2048
 #: a block is closed at this many ids (a document is never split)
 BLOCK_IDS = 1 << 18
 _MARK = re.compile(r"([.,])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff][.,])[ \n]")
@@ -104,7 +104,7 @@ class LibraryEncoder:
     _OTHER = re.compile("[\u0130\u0180-\U0010ffff]")
     _PUNCTUATION = ".,;:!?$%&*#|"
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 19):
         self.path, self.limit, self._memo = path, limit, None
 
     def __getstate__(self):
@@ -127,6 +127,9 @@ class LibraryEncoder:
         self._plain = Tokenizer.from_str(json.dumps(spec))
         self._memo = {"": b""}
 
+    def forget(self) -> None:
+        self._memo = {"": b""}
+
     def _ids(self, tokenizer, words: list[str]) -> list[bytes]:
         got = tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self._kind).tobytes() for e in got]
@@ -187,6 +190,7 @@ def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(doc_ids, per_doc):
             return pa.RecordBatch.from_arrays([pa.array([write_block(doc_ids, per_doc, bits)], pa.binary())], ["value"])
+        trim()  # what the task before left
         doc_ids, per_doc, held = [], [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -201,6 +205,8 @@ def _encode(encoder: Callable[[list[bytes]], list[np.ndarray]], end_id: int | No
                         doc_ids, per_doc, held = [], [], 0
         if doc_ids:
             yield row(doc_ids, per_doc)
+        getattr(encoder, "forget", int)()
+        trim()
 
     return run
 
