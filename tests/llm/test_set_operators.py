@@ -118,6 +118,55 @@ def test_importance_keeps_long_clean_documents(spark):
     assert sum(got[i] for i in range(940, 980)) <= 4
 
 
+def test_importance_weights_against_a_plain_count(spark):
+    """Log-weights of one-window documents are mean log ratios of the two models, from plain counts."""
+    from math import log
+
+    from weft.llm.importance import BUCKETS, GRAMS, importance_sample
+    good, bad = corpus(spark)
+    table = [r[:2] for r in good[:100] + bad[:40] + bad[60:80]]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in good[:60] + bad[:20]], "doc_id long, quality int, toxic int")
+    rows = importance_sample(docs, labels, k=100, holdout=1 << 30).collect()
+    back = 0.01 * log(1.5)  # no held-out window: a scale of 0.01 and a share of a half
+
+    def grams(t):
+        words = t.encode().split()
+        same = bytes(2 if a == b else 3 for a, b in zip(words, words[1:])).replace(b"\x02", b"\x01")
+        p = b" " + t.encode().translate(bytes.maketrans(b"123456789\n\t\r", b"000000000   ")) + b" \x02" + same + b"\x02"
+        code = [int.from_bytes(p[i:i + 4], "little") * 0x9E3779B97F4A7C15 % 2 ** 64 for i in range(len(p) - 3)]
+        return {c >> (64 - (BUCKETS - 1).bit_length()) for c in code}
+
+    raw, target = Counter(), Counter()
+    for i, t in table:
+        raw.update(grams(t))
+        if i < 60:
+            target.update(grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    for r in rows:
+        text = dict(table)[r.doc_id]
+        want = [log((target[g] + 0.1) / (raw[g] * m / n + 0.1)) for g in grams(text)]
+        assert len(text) > 512 or abs(r.log_weight - GRAMS * (sum(want) / len(want) + back)) < 1e-6
+
+
+def test_importance_draw(spark):
+    """The draw decides near the cut: seeds differ there, and the share drawn follows the weights."""
+    from weft.llm.importance import importance_sample
+    good, bad = corpus(spark)
+    mixed = [(1000 + i, " ".join([*good[i % 300][1].split()[:60 - i % 30], *bad[i % 60][1].split()[:i % 30]]), 1, 0)
+             for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in good + bad + mixed], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in good + bad], "doc_id long, quality int, toxic int")
+    draws = [{r.doc_id: (r.log_weight, r.selected) for r in importance_sample(docs, labels, k=500, grams=5, seed=s).collect()}
+             for s in range(4)]
+    differ = [i for i in draws[0] if len({d[i][1] for d in draws}) > 1]
+    assert len(differ) > 50
+    order = sorted((w, i) for i, (w, _) in draws[0].items())
+    parts = [order[k * len(order) // 4:(k + 1) * len(order) // 4] for k in range(4)]
+    share = [sum(d[i][1] for d in draws for _, i in part) for part in parts]
+    assert share == sorted(share) and share[0] < share[-1] / 3
+
+
 def test_importance_windows():
     from weft.llm.importance import EDGE, SHARED, WINDOW, windows
     assert windows(b"") == [b""] and windows(b"a" * WINDOW) == [b"a" * WINDOW]

@@ -1,26 +1,23 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two generative models are fitted: one to target text (labelled rows worth
-keeping), one to raw text (all documents). A document is modelled by the set of
-its hashed n-grams: byte n-grams of its text (digits made one digit) and n-grams
-over the marks "same word as before / another word", which show repetition. The
-weight of a window of bounded length is the sum, over its n-grams, of
+keeping), one to raw text (all documents). Text is modelled by its hashed n-grams:
+byte n-grams (digits made one digit) and n-grams over the marks "same word as before /
+another word", which show repetition. The evidence of a window of text is the mean, over
+its n-grams, of
 
-    min(0, margin + log p_target(n-gram) - log p_raw(n-gram))
+    log p_target(n-gram) - log p_raw(n-gram)
 
-so an n-gram that raw text has far more often than target text counts against it.
-N-grams just outside the margin still add up, so a document is not judged by the
-sum over its length but by its worst window, held against what the worst of as
-many clean windows would be: weights of clean windows have an exponential tail,
-the least of m of them lies scale * log(m) lower than that of one, and
+for and against alike. A document is as good as its worst window. The worst of m clean
+windows lies lower than that of one: a share f of them has an exponential tail of some
+scale, so about scale * log(1 + f * m) is given back, with both fitted to the windows of
+held-out target rows. So neither length nor the number of windows counts. The importance
+weight takes every document for as many n-grams (``GRAMS``):
 
-    log-weight = min(0, worst window + scale * log(windows))
+    log-weight = GRAMS * (worst window + scale * log(1 + f * windows))
 
-with the scale fitted to the windows of held-out target rows. Clean documents of
-any length so fall below a cut about as often as those of one window. Documents
-are drawn without replacement in
-proportion to exp(log-weight / temperature): the top k of log-weight /
-temperature plus Gumbel noise keyed by the id.
+Documents are drawn without replacement in proportion to exp(log-weight): the top k of
+log-weight plus Gumbel noise keyed by the id.
 
 Models are fixed-size count vectors, added up in a tree of tasks; the only rows
 the driver sees are those vectors and histograms of fixed size.
@@ -38,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept, pack, unpack, without
+from weft.llm.common import kept, pack, trim, unpack, without
 
 BUCKETS = 1 << 18
 N = 4
@@ -49,11 +46,13 @@ BINS = 1024
 BROADCAST_ROWS = 1 << 20
 _ONE_DIGIT = bytes.maketrans(b"0123456789\r\n\t", b"0000000000   ")
 #: texts hashed together; a longer text is hashed alone
-_GROUP_BYTES = 1 << 21
+_GROUP_BYTES = 1 << 19
 #: bytes of a window, those it shares with the next, and how far an edge moves to white space
-WINDOW, SHARED, EDGE = 2048, 128, 64
-#: window weights below -TAIL are the tail that the scale is fitted to
-TAIL = 1.0
+WINDOW, SHARED, EDGE = 512, 16, 32
+#: window means below -TAIL are the tail that the scale is fitted to, with one excess seen before
+TAIL, EXCESS = 0.01, 0.01
+#: n-grams that every document is taken for
+GRAMS = 100
 
 
 def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +104,8 @@ def _groups(batches: Iterator[pa.RecordBatch]):
                 held, size = [], 0
     if held:
         yield [list(c) for c in zip(*held, strict=True)]
+    held = None
+    trim()
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +158,13 @@ def fit(rows: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     return counts, docs
 
 
-def log_ratio(counts: np.ndarray, docs: np.ndarray, margin: float, prior: float = 0.5) -> np.ndarray:
-    """min(0, margin + log p_target - log p_raw) of every bucket."""
-    if docs[1] == 0:
-        return np.zeros(counts.shape[1])
-    raw, target = (np.log((c + prior) / (n + 2 * prior)) for c, n in zip(counts, docs, strict=True))
-    return np.minimum(0.0, margin + target - raw)
+def log_ratio(counts: np.ndarray, prior: float = 0.1) -> np.ndarray:
+    """log p_target - log p_raw of every bucket, the target model smoothed by ``prior``
+    occurrences. Zero without target text."""
+    raw, target = counts.astype(np.float64)
+    if not target.sum():
+        return np.zeros(len(raw))
+    return np.log((target + prior) / (raw * (target.sum() / raw.sum()) + prior))
 
 
 _WEIGHED = ["id", "text_hash", "worst", "windows", "tail", "excess"]
@@ -174,7 +176,8 @@ def _weigh(ratio: np.ndarray):
             parts = [windows(t) for t in texts]
             n = np.array([len(x) for x in parts], np.int64)
             doc, bucket = features([w for x in parts for w in x])
-            w = np.bincount(doc, ratio[bucket], int(n.sum()))
+            m = int(n.sum())
+            w = np.bincount(doc, ratio[bucket], m) / np.maximum(1, np.bincount(doc, minlength=m))
             first, beyond = np.cumsum(n) - n, np.maximum(0.0, -TAIL - w)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.minimum.reduceat(w, first)),
@@ -184,11 +187,12 @@ def _weigh(ratio: np.ndarray):
     return run
 
 
-def tail_scale(rows: DataFrame) -> float:
-    """Mean excess beyond ``TAIL`` of the windows of held-out target rows: the scale
-    of an exponential tail. One window with an excess of 1 is taken as seen before."""
-    n, excess = rows.where("holdout AND good").agg(F.sum("tail"), F.sum("excess")).first()
-    return ((excess or 0.0) + 1.0) / ((n or 0) + 1)
+def tail_scale(rows: DataFrame) -> tuple[float, float]:
+    """(scale, share): mean excess beyond ``TAIL`` of the windows of held-out target rows,
+    the scale of an exponential tail, and the share of windows in it. One window with an
+    excess of ``EXCESS`` is taken as seen before."""
+    n, excess, m = rows.where("holdout AND good").agg(F.sum("tail"), F.sum("excess"), F.sum("windows")).first()
+    return ((excess or 0.0) + EXCESS) / ((n or 0) + 1), ((n or 0) + 1) / ((m or 0) + 2)
 
 
 def _noise(seed: int):
@@ -198,8 +202,9 @@ def _noise(seed: int):
 
 
 def best_cut(rows: DataFrame) -> float:
-    """The log-weight at or above which held-out labelled rows are best told
-    apart (mean of both classes' shares that are right), from a histogram."""
+    """The log-weight at or above which held-out labelled rows are best told apart (mean
+    of both classes' shares that are right), from a histogram: half-way between the
+    labelled rows on either side."""
     binned = rows.where("holdout AND good IS NOT NULL").groupBy(
         F.greatest(F.floor(F.col("log_weight") * 8), F.lit(-8 * BINS)).cast("long").alias("bin")).agg(
         F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
@@ -207,12 +212,12 @@ def best_cut(rows: DataFrame) -> float:
     good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
     if not good or not bad:
         return -math.inf
-    best, cut, below_good, below_bad = -1.0, -math.inf, 0, 0
+    best, cut, below_good, below_bad, last = -1.0, -math.inf, 0, 0, -math.inf
     for b, g, x in bins:
         score = below_bad / bad + (good - below_good) / good
         if score > best:
-            best, cut = score, b / 8
-        below_good, below_bad = below_good + g, below_bad + x
+            best, cut = score, (b + last) / 16
+        below_good, below_bad, last = below_good + g, below_bad + x, b + 1
     return cut
 
 
@@ -237,7 +242,7 @@ def cut_of_top(rows: DataFrame, key: str, k: int) -> tuple[float, int]:
 
 
 def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id",
-                      text_col: str = "text", margin: float = 2.0, temperature: float = 0.02, holdout: int = 5,
+                      text_col: str = "text", grams: float = GRAMS, holdout: int = 5,
                       seed: int = 11) -> DataFrame:
     """(id, text_hash, log_weight, key, selected) for every row of ``docs``.
 
@@ -262,16 +267,17 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     if target.count() <= BROADCAST_ROWS:
         target = F.broadcast(target)
     rows = view.join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts, n = fit(rows, max(tasks, 1))
+    counts, _ = fit(rows, max(tasks, 1))
     weighed = view.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _weigh(log_ratio(counts, n, margin)),
+        _weigh(log_ratio(counts)),
         "id long, text_hash long, worst double, windows long, tail long, excess double")
     checked = label.select("id", "good", (F.col("holdout") | ~F.col("good")).alias("holdout"))
     weighed = weighed.join(checked, "id", "left").select(
         "id", "text_hash", "good", F.coalesce("holdout", F.lit(False)).alias("holdout"), *_WEIGHED[2:])
     weighed = kept(weighed, "weights")
-    weight = F.least(F.lit(0.0), F.col("worst") + tail_scale(weighed) * F.log("windows"))
-    weighed = weighed.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") / temperature + _noise(seed))
+    scale, share = tail_scale(weighed)
+    weight = F.lit(float(grams)) * (F.col("worst") + scale * F.log1p(F.col("windows") * share))
+    weighed = weighed.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + _noise(seed))
     if k is None:
         k = weighed.where(F.col("log_weight") >= best_cut(weighed)).count()
     total = weighed.count()
