@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Hashes, kept, mix, text_hash, without
+from weft.llm.common import Hashes, kept, mix, text_hash, trim, without
 from weft.llm.components import components
 from weft.llm.vector_links import spanning
 
 U = np.uint64
 COORDINATES = 64
+#: words whose hashes a task remembers, some 150 bytes each
+WORDS = 1 << 17
 _KEYS = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -75,12 +77,19 @@ def min_hashes(values: np.ndarray) -> np.ndarray:
     return (out & U(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds the results of few."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 512):
+            yield b.slice(lo, 512)
+
+
 def _class_keys(n: int):
     """(who, key of the set, MinHash values) of each document; the sets themselves are not kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
-        hashes = Hashes()
-        for b in batches:
+        hashes = Hashes(WORDS)
+        for b in _slices(batches):
             keys, sigs = [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(hashes.array(t.lower().split()), n)
@@ -88,6 +97,8 @@ def _class_keys(n: int):
                 sigs.append(min_hashes(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
                                              ["who", "key", "sig"])
+        hashes.clear()
+        trim()
 
     return run
 
@@ -95,10 +106,12 @@ def _class_keys(n: int):
 def _sets(n: int):
     """(rep, set) of (rep, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in batches:
+        hashes = Hashes(WORDS)
+        for b in _slices(batches):
             sets = [shingle_set(hashes.array(t.lower().split()), n).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
+        hashes.clear()
+        trim()
 
     return run
 
