@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.vectors import as_double, cosine, mean_vector
-from weft.session import cut_lineage
+from weft.session import cut_lineage, spread
 
 # Centroid tables are collected and broadcast each k-means round; refuse
 # sizes beyond this many floats (categories x restarts x k x dim).
@@ -83,39 +84,132 @@ def total_variation(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("d
     return j.groupBy(*k).agg((0.5 * F.sum(F.abs(F.col("_p") - F.col("_q")))).alias("tv"))
 
 
-def draw_thresholds(keys: DataFrame, sizes: DataFrame, draws: int, seed: str | None = None) -> DataFrame:
-    """(_cat, limits): for every category and draw the hash of the ``_m``-th key in
-    the draw's hash order, so a key is drawn if its hash is not above the limit
-    (NULL: nothing is drawn). ``keys`` (_cat, _k), ``sizes`` (_cat, _m).
-
-    Keys are only counted per (category, draw, first byte of the hash); the byte
-    that holds the limit is ranked exactly, which is one key in 256. Neither keys
-    nor draws are sorted as a whole.
-    """
-    h = F.col("_h")
-    drawn = keys.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
-        "_h", draw_hash(F.col("_d"), F.col("_k"), seed)).withColumn("_b", F.substring(h, 1, 2))
-    counts = drawn.groupBy("_cat", "_d", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("_cat", "_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_c", F.sum("_n").over(upto)).join(sizes.select("_cat", "_m"), "_cat")
-    cross = counts.filter((F.col("_c") >= F.col("_m")) & (F.col("_c") - F.col("_n") < F.col("_m")))
-    cross = cut_lineage(cross.select("_cat", "_d", "_b", (F.col("_m") - F.col("_c") + F.col("_n")).alias("_r")))
-    few = cross.count() <= MAX_BROADCAST_DRAWS
-    near = drawn.join(F.broadcast(cross) if few else cross, ["_cat", "_d", "_b"])
-    w = Window.partitionBy("_cat", "_d").orderBy("_h")
-    limit = near.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") == F.col("_r")).select("_cat", "_d", "_h")
-    pairs = limit.groupBy("_cat").agg(F.map_from_entries(F.collect_list(F.struct("_d", "_h"))).alias("_map"))
-    return cut_lineage(pairs.select("_cat", F.transform(
-        F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.try_element_at("_map", d)).alias("limits")))
-
-
-#: (category, draw, byte, rank) rows, some 40 bytes each, sent to every executor at most
+#: hash values are the first 60 bits of SHA-256
+_BITS = 60
+#: (category, draw) limits, some 20 bytes each, sent to every executor at most
 MAX_BROADCAST_DRAWS = 1 << 20
 
 
-def draw_hash(draw: Column, key: Column, seed: str | None) -> Column:
-    parts = [] if seed is None else [F.lit(seed)]
-    return _hash_unit(*parts, draw.cast("string"), key)
+def _draw_bits(draws: int, seed: str | None):
+    """For each key the draws that take it for sure (a bit each) and, as (draw, hash), those
+    whose hash lies in the bracket of its category. A hash is made once per key and draw."""
+    lead = "" if seed is None else f"{seed}:"
+    heads = [f"{lead}{d}:".encode() for d in range(draws)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha256
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys, low, high = (part.column(c).to_pylist() for c in ("_k", "_lo", "_hi"))
+                sure, near = [], []
+                for k, lo, hi in zip(keys, low, high, strict=True):
+                    if k is None or lo is None:
+                        sure.append(None)
+                        near.append([])
+                        continue
+                    k = k.encode()
+                    h = np.frombuffer(b"".join([sha(x + k).digest()[:8] for x in heads]), ">u8") >> np.uint64(64 - _BITS)
+                    h = h.astype(np.int64)
+                    sure.append(np.packbits(h < lo).tobytes())
+                    some = np.flatnonzero((h >= lo) & (h <= hi))
+                    near.append([{"d": d, "h": x} for d, x in zip(some.tolist(), h[some].tolist(), strict=True)])
+                rest = [part.column(c) for c in part.schema.names if c not in ("_lo", "_hi")]
+                names = [c for c in part.schema.names if c not in ("_lo", "_hi")]
+                yield pa.RecordBatch.from_arrays(
+                    [*rest, pa.array(sure, pa.binary()),
+                     pa.array(near, pa.list_(pa.struct([("d", pa.int32()), ("h", pa.int64())])))],
+                    [*names, "_sure", "_near"])
+
+    return run
+
+
+def _sure_counts(draws: int):
+    """Per partition and category: for each draw the keys that it takes for sure."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            for c, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bits is not None:
+                    n = total.setdefault(c, np.zeros(draws, np.int64))
+                    n += np.unpackbits(np.frombuffer(bits, np.uint8), count=draws)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()),
+                                          pa.array([n.tolist() for n in total.values()], pa.list_(pa.int64()))],
+                                         ["_cat", "_sure"])
+
+    return run
+
+
+def _draw_lists(draws: int):
+    """The draws of each key: the sure ones, and those of the bracket up to the limit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for bits, near, limits in zip(*(part.column(c).to_pylist() for c in ("_sure", "_near", "_limits")),
+                                              strict=True):
+                    if bits is None or limits is None:
+                        out.append([])
+                        continue
+                    took = np.unpackbits(np.frombuffer(bits, np.uint8), count=draws).astype(bool)
+                    for x in near:
+                        limit = limits[x["d"]]
+                        if limit is not None and x["h"] <= limit:
+                            took[x["d"]] = True
+                    out.append(np.flatnonzero(took).tolist())
+                names = [c for c in part.schema.names if c not in ("_sure", "_near", "_limits")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.list_(pa.int32()))],
+                                                 [*names, "drawn"])
+
+    return run
+
+
+def draw_keys(rows: DataFrame, sizes: DataFrame, draws: int, seed: str | None = None, spread_sd: float = 6.0) -> DataFrame:
+    """``rows`` (_cat, _k and any others) with ``drawn``: the draws that take the row. A draw
+    takes, in each category, the ``_m`` keys (``sizes``: _cat, _m) that come first by the
+    SHA-256 of ``draw:key`` (``seed:draw:key``).
+
+    The hashes of a draw are uniform, so its m-th of N lies within some deviations of
+    m / N. Keys below that bracket are drawn, one bit each, keys above it are not; only
+    those inside are ranked, a share of the keys that falls with the square root of N. If
+    the limit of a draw lies outside after all, the bracket is widened, so the draws are
+    exact. Each hash is made once. A key that is null is never drawn.
+    """
+    n = rows.where("_k IS NOT NULL").groupBy("_cat").agg(F.count(F.lit(1)).alias("_size"))
+    sized = cut_lineage(n.join(sizes.select("_cat", F.least("_m", F.lit(1 << 62)).alias("_m")), "_cat"))
+    kind = [f for f in rows.schema.fields]
+    while True:
+        q, big = F.col("_m") / F.col("_size"), F.lit(float(1 << _BITS))
+        margin = spread_sd * F.sqrt(F.greatest(q * (1 - q), F.lit(0.0)) / F.col("_size")) + spread_sd ** 2 / F.col("_size")
+        bounds = sized.select("_cat", "_m", F.floor(F.greatest(q - margin, F.lit(0.0)) * big).cast("long").alias("_lo"),
+                              F.floor(F.least(q + margin, F.lit(1.0)) * big).cast("long").alias("_hi"))
+        bounds = bounds.withColumn("_hi", F.when(F.col("_m") > 0, F.col("_hi")).otherwise(F.lit(-1)))
+        few = sized.count() <= MAX_BROADCAST_DRAWS
+        marked = rows.join(F.broadcast(bounds) if few else bounds, "_cat", "left").select(*rows.columns, "_lo", "_hi")
+        out = T.StructType([*kind, T.StructField("_sure", T.BinaryType()), T.StructField("_near", T.ArrayType(
+            T.StructType([T.StructField("d", T.IntegerType()), T.StructField("h", T.LongType())])))])
+        marked = cut_lineage(spread(marked).mapInArrow(_draw_bits(draws, seed), out))
+        partial = marked.select("_cat", "_sure").mapInArrow(_sure_counts(draws), "_cat string, _sure array<long>")
+        sure = (partial.select("_cat", F.posexplode("_sure").alias("_d", "_n")).groupBy("_cat", "_d")
+                .agg(F.sum("_n").alias("_n")))
+        # how many of each draw's bracket are drawn
+        wants = sized.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).join(
+            sure, ["_cat", "_d"], "left").select("_cat", "_d", (F.col("_m") - F.coalesce("_n", F.lit(0))).alias("_r"))
+        inside = marked.select("_cat", F.explode("_near").alias("x")).select("_cat", F.col("x.d").alias("_d"), "x.h")
+        place = F.row_number().over(Window.partitionBy("_cat", "_d").orderBy("h"))
+        at = (inside.withColumn("_i", place).join(wants.withColumnRenamed("_r", "_w"), ["_cat", "_d"])
+              .where(F.col("_i") == F.col("_w")).select("_cat", "_d", "h"))
+        limits = cut_lineage(wants.join(at, ["_cat", "_d"], "left"))
+        if limits.where("_r < 0 OR (_r > 0 AND h IS NULL)").isEmpty():
+            break
+        spread_sd *= 4
+    lists = limits.groupBy("_cat").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "h"))),
+                                                   lambda x: x["h"]).alias("_limits"))
+    lists = lists.withColumnRenamed("_cat", "_c")
+    few = limits.count() <= MAX_BROADCAST_DRAWS
+    both = marked.join(F.broadcast(lists) if few else lists, F.col("_cat").eqNullSafe(F.col("_c")), "left").drop("_c")
+    return both.mapInArrow(_draw_lists(draws), T.StructType([*kind, T.StructField("drawn", T.ArrayType(T.IntegerType()))]))
 
 
 def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], target_rows: int,
@@ -127,18 +221,16 @@ def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], tar
     shuffle split.
 
     The rows are aggregated once into (group, dimension values) cells and
-    checkpointed. One hash limit per seed (``draw_thresholds``) decides what a seed
-    draws, and one pass over the cells adds counts per (seed, dimension, value).
+    checkpointed. Every group is listed with the seeds that draw it (``draw_keys``), and
+    one pass over the drawn cells adds counts per (seed, dimension, value).
     """
     cells = cut_lineage(df.groupBy(group_col, *dims).agg(F.count(F.lit(1)).alias("_n")))
     n_rows = cells.agg(F.sum("_n")).first()[0]
     keys = cells.select(F.lit("").alias("_cat"), F.col(group_col).cast("string").alias("_k")).distinct()
     n_valid = math.ceil((target_rows / n_rows) * keys.count())
     one = keys.sparkSession.createDataFrame([("", n_valid)], "_cat string, _m bigint")
-    limits = draw_thresholds(keys, one, seeds).first()["limits"]  # one hash per seed
-    table = F.array(*[F.lit(x) for x in limits])
-    drawn = cells.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).filter(
-        draw_hash(F.col("seed"), F.col(group_col).cast("string"), None) <= F.get(table, F.col("seed")))
+    took = draw_keys(keys, one, seeds).select(F.col("_k"), F.explode("drawn").alias("seed"))
+    drawn = cells.join(took, F.col(group_col).cast("string") == F.col("_k")).drop("_k")
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims],
                     F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("string").alias("value")))
     counts = cut_lineage(drawn.select("seed", "_n", F.explode(pairs).alias("x")).groupBy(
@@ -155,15 +247,6 @@ def grouped_split_search(df: DataFrame, group_col: str, dims: Sequence[str], tar
     return scored.orderBy("score", "size_error", "seed").limit(1)
 
 
-def chosen_groups(df: DataFrame, group_col: str, seed: int, n_valid: int) -> DataFrame:
-    """The groups one seed picks (see ``grouped_split_search``): positions in
-    seeded hash order from ``global_index``, no global window."""
-    from weft.operators.ordering import global_index
-    g = df.select(group_col).distinct().withColumn(
-        "_h", _hash_unit(F.lit(str(seed)), F.col(group_col).cast("string")))
-    return global_index(g, ["_h"], "_r").filter(F.col("_r") < n_valid).select(group_col)
-
-
 def assign_split(df: DataFrame, test_flag: Column, valid_flag: Column) -> Column:
     """Test, then valid, else train."""
     return F.when(test_flag, "test").when(valid_flag, "valid").otherwise("train")
@@ -235,9 +318,8 @@ def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_p
     the mean vectors of held-out and other rows; each permutation picks, per
     category, as many rows as are held out (smallest seeded hashes).
 
-    One hash limit per (category, permutation) decides what a permutation draws
-    (``draw_thresholds``); every row lists the permutations that draw it, in place,
-    and every partition adds its vectors into per-(category, permutation) sums,
+    Every row lists the permutations that draw it (``draw_keys``), in place, and every
+    partition adds its vectors into per-(category, permutation) sums,
     emitting only those partial sums. Means matter only up to scale, so sums are
     compared: selected against total minus selected.
     """
@@ -245,11 +327,7 @@ def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_p
     d = cut_lineage(df.select(F.col(cat).cast("string").alias("_cat"), F.col(key).cast("string").alias("_k"),
                               as_double(vec).alias("_v"), F.col(held).cast("boolean").alias("_held")))
     sizes = d.groupBy("_cat").agg(F.count_if("_held").alias("_m"))
-    limits = draw_thresholds(d.select("_cat", "_k"), sizes, n_perm, str(seed))
-    few = limits.count() * n_perm <= MAX_BROADCAST_DRAWS
-    picks = F.filter(F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: F.coalesce(
-        draw_hash(p, F.col("_k"), str(seed)) <= F.get("limits", p), F.lit(False)))
-    rows = d.join(F.broadcast(limits) if few else limits, "_cat", "left").withColumn("perms", picks).drop("limits")
+    rows = draw_keys(d, sizes, n_perm, str(seed)).withColumnRenamed("drawn", "perms")
 
     def red(pdf: pd.DataFrame) -> pd.DataFrame:
         perm, at = np.unique(pdf["perm"].to_numpy(), return_inverse=True)
