@@ -142,11 +142,14 @@ _NON_WORD = rf"[^\p{{L}}\p{{N}}_{PY_WHITESPACE}]"
 def normalize_query(col: str | Column, unicode_fold: bool = True) -> Column:
     """NFKC, casefold, non-word characters to space, squeeze, strip.
 
-    ``unicode_fold=False`` replaces the Python NFKC + casefold step by the
-    built-in ``lower`` (all JVM-side; exact for text where NFKC is the
-    identity and casefold equals lower, e.g. ASCII).
+    ASCII text stays in the JVM, where ``lower`` is the same; only other text goes
+    through Python. ``unicode_fold=False`` takes ``lower`` for all text.
     """
-    base = _nfkc_casefold(_c(col)) if unicode_fold else F.lower(_c(col))
+    c = _c(col)
+    base = F.lower(c)
+    if unicode_fold:
+        ascii_only = ~c.rlike(r"[^\x00-\x7F]")
+        base = F.when(ascii_only, base).otherwise(_nfkc_casefold(F.when(~ascii_only, c)))
     spaced = F.regexp_replace(base, _NON_WORD, " ")
     squeezed = F.regexp_replace(spaced, SPLIT_RE, " ")
     return py_strip(squeezed)

@@ -14,20 +14,25 @@ from weft.session import table
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-# Normalized query key, SQL side (lower-case fold; see normalize_query).
-NORM_SQL = (f"regexp_replace(regexp_replace(regexp_replace(lower(query), "
+# Normalized query, SQL side: SQL has no casefold; of the letters that occur only the
+# sharp s folds to something else than its lower case.
+NORM_SQL = (f"regexp_replace(regexp_replace(regexp_replace(replace(lower(query), 'ß', 'ss'), "
             f"'[^\\p{{L}}\\p{{N}}_{S.SPLIT_SQL[1:-2]}]', ' ', 'g'), '{S.SPLIT_SQL}', ' ', 'g'), "
             f"'{S.STRIP_SQL}', '', 'g')")
 
 
-def _norm(col="query"):
-    return normalize_query(col, unicode_fold=False)
+KEY_SQL = f"sha256({NORM_SQL})"
+
+
+def query_key(col="query"):
+    """The hash of the whole normalized text: keys of bounded size, whatever the texts."""
+    return F.sha2(normalize_query(col), 256)
 
 
 def dup_summary(spark, sf):
     qa = qa_rows(spark, sf)
-    exact = Q.dup_summary(qa, "query", "exact_")
-    norm = Q.dup_summary(qa, _norm(), "norm_")
+    exact = Q.dup_summary(qa, F.sha2("query", 256), "exact_")
+    norm = Q.dup_summary(qa, query_key(), "norm_")
     return exact.crossJoin(norm)  # two one-row tables
 
 
@@ -35,7 +40,7 @@ QUERIES["dup_summary"] = dup_summary
 ORACLE["dup_summary"] = f"""
 WITH {QA_ROWS_SQL},
 e AS (SELECT query AS k, count(*) AS n FROM qa_rows GROUP BY 1),
-m AS (SELECT {NORM_SQL} AS k, count(*) AS n FROM qa_rows GROUP BY 1)
+m AS (SELECT {KEY_SQL} AS k, count(*) AS n FROM qa_rows GROUP BY 1)
 SELECT CAST((SELECT sum(n) FROM e) AS BIGINT) AS exact_rows, (SELECT count(*) FROM e) AS exact_distinct,
        CAST((SELECT sum(n) - count(*) FROM e) AS BIGINT) AS exact_duplicate_rows,
        (SELECT count(*) FROM e WHERE n > 1) AS exact_duplicate_groups,
@@ -46,13 +51,14 @@ SELECT CAST((SELECT sum(n) FROM e) AS BIGINT) AS exact_rows, (SELECT count(*) FR
 
 
 def dup_details(spark, sf):
-    return Q.dup_details(qa_rows(spark, sf), _norm(), "category", "document")
+    qa = qa_rows(spark, sf).select("query", "category", F.sha2("document", 256).alias("document"))
+    return Q.dup_details(qa, query_key(), "category", "document")
 
 
 QUERIES["dup_details"] = dup_details
 ORACLE["dup_details"] = f"""
 WITH {QA_ROWS_SQL},
-k AS (SELECT {NORM_SQL} AS key, * FROM qa_rows)
+k AS (SELECT {KEY_SQL} AS key, * FROM qa_rows)
 SELECT key, count(*) AS occurrences, list_sort(list_distinct(list(category))) AS categories,
        count(DISTINCT document) AS distinct_positives
 FROM k GROUP BY key HAVING count(*) > 1
@@ -60,13 +66,13 @@ FROM k GROUP BY key HAVING count(*) > 1
 
 
 def dup_members(spark, sf):
-    return Q.dup_members(qa_rows(spark, sf), _norm(), "row_id")
+    return Q.dup_members(qa_rows(spark, sf), query_key(), "row_id")
 
 
 QUERIES["dup_members"] = dup_members
 ORACLE["dup_members"] = f"""
 WITH {QA_ROWS_SQL},
-k AS (SELECT {NORM_SQL} AS key, row_id FROM qa_rows)
+k AS (SELECT {KEY_SQL} AS key, row_id FROM qa_rows)
 SELECT key, row_id FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1)
 """
 

@@ -1,8 +1,8 @@
 """Role tables derived by Spark from the driver tables (FIXTURES.md section 3).
 
 ``qa_rows`` stands in for a retrieval dataset (query, document, three
-negatives, category, language): every document is a row; its query is the
-first line of its cleaned text; its negatives are the documents 1, 2 and 3
+negatives, category, language): every document is a row; its query is its
+whole cleaned text, so copies are repeated queries; its negatives are the documents 1, 2 and 3
 places after it in SHA-256 order of the id (cyclic). All rows, every scale.
 """
 
@@ -20,7 +20,7 @@ def qa_rows(spark, sf):
     d = table(spark, sf, "documents")
     base = d.select(F.col("doc_id").alias("row_id"), clean_text("text").alias("document"),
                     F.col("source").alias("category"), F.col("lang").alias("language"))
-    base = base.withColumn("query", F.substring_index("document", "\n", 1))
+    base = base.withColumn("query", F.col("document"))
     ranked = global_index(base.withColumn("_h", F.sha2(F.col("row_id").cast("string"), 256)),
                           ["_h"], "rk").drop("_h")
     n = base.agg(F.count(F.lit(1)).alias("_n"))
@@ -35,7 +35,7 @@ def qa_rows(spark, sf):
 QA_ROWS_SQL = f"""
 qa_base AS (SELECT doc_id AS row_id, {S.clean('text')} AS document, source AS category,
                    lang AS language FROM documents),
-qa_rk AS (SELECT *, split_part(document, chr(10), 1) AS query,
+qa_rk AS (SELECT *, document AS query,
                  row_number() OVER (ORDER BY sha256(CAST(row_id AS VARCHAR))) - 1 AS rk,
                  count(*) OVER () AS n FROM qa_base),
 qa_rows AS (

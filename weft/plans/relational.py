@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import cache_key, stable_row_id, text_hash_bucket
-from weft.functions.text import normalize_query, word_count
+from weft.functions.text import word_count
 from weft.operators import profile as P
 from weft.operators import relational as R
 from weft.operators.ordering import split_three_way
 from weft.plans import sqlfrag as S
-from weft.plans.audit import NORM_SQL, candidate_dictionary
+from weft.plans.audit import KEY_SQL, candidate_dictionary, query_key
 from weft.plans.fixtures import CORPUS_SPLIT_SQL, QA_ROWS_SQL, corpus_with_split, qa_rows
 from weft.session import table
 
@@ -114,7 +114,7 @@ SELECT doc_id, id FROM w WHERE id NOT IN (SELECT id FROM done)
 
 
 def relevance_sets(spark, sf):
-    qa = qa_rows(spark, sf).withColumn("qkey", normalize_query("query", unicode_fold=False)) \
+    qa = qa_rows(spark, sf).withColumn("qkey", query_key()) \
         .withColumn("doc_hash", F.sha2("document", 256))
     return R.relevance_sets(qa, "qkey", "doc_hash")
 
@@ -122,7 +122,7 @@ def relevance_sets(spark, sf):
 QUERIES["relevance_sets"] = relevance_sets
 ORACLE["relevance_sets"] = f"""
 WITH {QA_ROWS_SQL}
-SELECT DISTINCT {NORM_SQL} AS query_key, sha256(document) AS positive FROM qa_rows
+SELECT DISTINCT {KEY_SQL} AS query_key, sha256(document) AS positive FROM qa_rows
 """
 
 
@@ -180,16 +180,16 @@ SELECT doc_id FROM r WHERE i >= CAST(ceil(0.2 * n) AS BIGINT)
 
 
 def intersect_keys(spark, sf):
-    """Normalized first-line keys present in both corpus splits."""
+    """Keys of whole normalized texts present in both corpus splits."""
     c = corpus_with_split(spark, sf).withColumn(
-        "key", normalize_query(F.substring_index("text", "\n", 1), unicode_fold=False))
+        "key", query_key("text"))
     a = c.filter(F.col("split") == "train").select("key")
     b = c.filter(F.col("split") == "validation").select("key")
     return R.intersect_keys(a, b)
 
 
 QUERIES["intersect_keys"] = intersect_keys
-_KEY_SQL = NORM_SQL.replace("lower(query)", "lower(split_part(text, chr(10), 1))")
+_KEY_SQL = KEY_SQL.replace("lower(query)", "lower(text)")
 ORACLE["intersect_keys"] = f"""
 WITH {CORPUS_SPLIT_SQL}
 SELECT {_KEY_SQL} AS key FROM corpus_split WHERE split = 'train'

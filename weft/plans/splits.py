@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import hex64_mod
-from weft.functions.text import clean_text, normalize_query
+from weft.functions.text import clean_text
 from weft.operators import splits as J
 from weft.operators.ordering import global_index
 from weft.plans import sqlfrag as S
-from weft.plans.audit import NORM_SQL
+from weft.plans.audit import KEY_SQL, query_key
 from weft.plans.vectors import _cos
 from weft.session import table
 
@@ -122,8 +122,7 @@ FROM a FULL OUTER JOIN b ON a.dimension = b.dimension AND a.value = b.value GROU
 
 def _grouped_docs(spark, sf):
     d = table(spark, sf, "documents")
-    key = normalize_query(F.substring_index(clean_text("text"), "\n", 1), unicode_fold=False)
-    return d.select("doc_id", "lang", "source", key.alias("grp"))
+    return d.select("doc_id", "lang", "source", query_key(clean_text("text")).alias("grp"))
 
 
 def grouped_split_search(spark, sf):
@@ -137,7 +136,7 @@ def grouped_split_search(spark, sf):
 
 
 QUERIES["grouped_split_search"] = grouped_split_search
-_GRP_SQL = NORM_SQL.replace("lower(query)", f"lower(split_part({S.clean('text')}, chr(10), 1))")
+_GRP_SQL = KEY_SQL.replace("lower(query)", f"lower({S.clean('text')})")
 ORACLE["grouped_split_search"] = f"""
 WITH d AS (SELECT doc_id, lang, source, {_GRP_SQL} AS grp FROM documents),
 k AS (SELECT count(*) AS n, CAST(round(0.10 * count(*)) AS BIGINT) AS target, count(DISTINCT grp) AS g FROM d),

@@ -84,7 +84,8 @@ def normalize_query(spark, sf):
     return b.select("item_id", X.normalize_query("text").alias("key"))
 
 
-QUERIES["normalize_query"] = normalize_query  # rows-only; tests compare with Python
+QUERIES["normalize_query"] = normalize_query
+ORACLE["normalize_query"] = "SELECT item_id, " + NORM_SQL.replace("lower(query)", "lower(text)") + " AS key FROM benchmark"
 
 
 def normalize_query_builtin(spark, sf):
@@ -94,7 +95,7 @@ def normalize_query_builtin(spark, sf):
 
 
 QUERIES["normalize_query_builtin"] = normalize_query_builtin
-ORACLE["normalize_query_builtin"] = "SELECT item_id, " + NORM_SQL.replace("lower(query)", "lower(text)") + \
+ORACLE["normalize_query_builtin"] = "SELECT item_id, " + NORM_SQL.replace("replace(lower(query), 'ß', 'ss')", "lower(text)") + \
     " AS key FROM benchmark"
 
 _SCRIPT_SQL = """CASE WHEN regexp_matches({t}, '[\\x{{0900}}-\\x{{097F}}]') AND regexp_matches({t}, '[A-Za-z]') THEN 'Devanagari + Latin'
