@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import hex64_mod
+from weft.operators import ivf as IVF
 from weft.operators import metrics as M
 from weft.operators import vectors as V
 from weft.operators.ordering import global_index
@@ -197,6 +198,44 @@ def global_rank(spark, sf):
 QUERIES["global_rank"] = global_rank
 ORACLE["global_rank"] = f"WITH {GR_SQL} SELECT qid, CAST(rank AS BIGINT) AS rank FROM gr"
 
+def global_rank_pruned(spark, sf):
+    """I4 by the inverted file: the best relevant vector is sought within its label, and only
+    blocks that the triangle inequality leaves open are multiplied."""
+    e = _vecs(spark, sf)
+    with_label = [F.col("label").alias("lab"), F.col("embedding").alias("vec")]
+    best = V.top_k(e.select(F.col("vec_id").alias("qid"), *with_label), e.select(F.col("vec_id").alias("did"), *with_label),
+                   1, ["lab"], exclude_self=True)
+    best = best.select("qid", F.col("score").alias("best_relevant"))
+    return IVF.global_rank(IVF.Index(_d(e)), _q(e), best, exclude_self=True).select("qid", F.col("rank").cast("bigint"))
+
+
+QUERIES["global_rank_pruned"] = global_rank_pruned
+ORACLE["global_rank_pruned"] = ORACLE["global_rank"]
+
+
+def knn_recall(spark, sf):
+    """H9, approximate: the share of the exact 5 nearest that the probed cells hold, for the
+    queries with an id divisible by 100; probes calibrated on at most 1,000 other queries."""
+    e = _vecs(spark, sf)
+    queries, corpus = _q(e), _d(e)
+    index = IVF.Index(corpus)
+    sample = queries.where("qid % 100 <> 0").orderBy(F.xxhash64("qid")).limit(1000)
+    probes, _ = IVF.calibrate(index, sample, corpus, 5, recall=0.97, exclude_self=True)
+    asked = queries.where("qid % 100 = 0")
+    near = IVF.knn(index, asked, 5, probes, exclude_self=True).select("qid", "did")
+    exact = V.top_k(asked, corpus, 5, exclude_self=True).select("qid", "did")
+    found = exact.join(near.withColumn("hit", F.lit(1)), ["qid", "did"], "left")
+    return found.agg(F.countDistinct("qid").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+                     (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
+QUERIES["knn_recall"] = knn_recall
+ORACLE["knn_recall"] = f"""
+WITH {PAIRS_SQL},
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM pairs WHERE qid % 100 = 0)
+SELECT count(DISTINCT qid) AS queries, count(*) AS neighbours, true AS reached FROM r WHERE rank <= 5
+"""
+
 _RM_SQL = """count(*) AS rows, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS "recall@1",
   round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS "recall@5",
   round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS "recall@10",
