@@ -235,7 +235,9 @@ SELECT lang, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) A
 
 def _stream_source(spark, sf):
     src = IO.scratch_path(spark, "stream-src")
-    table(spark, sf, "documents").repartition(4, "doc_id").write.parquet(src)
+    # some files, so that the stream has several batches; a real source brings its own
+    docs = table(spark, sf, "documents")
+    docs.repartition(max(4, docs.rdd.getNumPartitions()), "doc_id").write.parquet(src)
     return src
 
 
