@@ -45,6 +45,24 @@ def hashed_embedding(df: DataFrame, key: str, text_col: str, dim: int = 64, prom
     return out
 
 
+def word_hash_encoder(dim: int) -> EncoderFactory:
+    """A factory of the default encoder for use batch by batch: signed hashing of words."""
+    def factory():
+        import zlib
+
+        def encode(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim), np.float32)
+            for i, t in enumerate(texts):
+                for w in t.lower().split():
+                    h = zlib.crc32(w.encode())
+                    out[i, h % dim] += 1.0 if h >> 31 else -1.0
+            return out
+
+        return encode
+
+    return factory
+
+
 def encoder_embedding(df: DataFrame, key: str, text_col: str, factory: EncoderFactory, dim: int,
                       prompt: str = "", normalize: bool = False) -> DataFrame:
     """Caller encoder: ``factory()`` -> ``encode(list[str]) -> (n, dim)``,

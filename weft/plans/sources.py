@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.hashing import hex64_mod
+from weft.operators.corpus import prepare_corpus_rows
 from weft.operators.profile import share_by_group
 from weft.plans import sqlfrag as S
 from weft.plans.fixtures import CORPUS_SPLIT_SQL, corpus_with_split
 from weft.session import table
 from weft.sources import files as IO
+from weft.sources import shards as SH
 from weft.streaming import corpus as ST
 
 QUERIES: dict = {}
@@ -110,12 +112,17 @@ WITH {CORPUS_SPLIT_SQL} SELECT doc_id, id FROM corpus_split WHERE lang = 'en' AN
 """
 
 
+def _shards(spark, sf, name):
+    path = IO.scratch_path(spark, name)
+    c = corpus_with_split(spark, sf).select("doc_id", "id", "text", "lang", "source", "split")
+    SH.write_shards(c, path, ["doc_id"], shard_rows=100)
+    return path
+
+
 def write_shards(spark, sf):
-    """Corpus shards of at most 100 rows per split, read back."""
-    path = IO.scratch_path(spark, "shards")
-    c = corpus_with_split(spark, sf).select("id", "text", "lang", "source", "split")
-    IO.write_layout(c, path, ("split",), max_records=100)
-    return spark.read.parquet(path).select("id", "split", F.sha2("text", 256).alias("text"))
+    """Committed corpus shards of at most 100 rows per split, read back."""
+    path = _shards(spark, sf, "shards")
+    return SH.open_corpus(spark, path).select("id", "split", F.sha2("text", 256).alias("text"))
 
 
 QUERIES["write_shards"] = write_shards
@@ -176,6 +183,87 @@ UNION ALL SELECT 'fingerprint', (SELECT f FROM p WHERE NOT kept), (SELECT f FROM
 """
 
 
+def shard_list(spark, sf):
+    """The shards that a committed corpus lists, with their rows."""
+    return SH.shard_table(spark, _shards(spark, sf, "list")).select("split", "shard", "start", "stop", "rows")
+
+
+QUERIES["shard_list"] = shard_list
+ORACLE["shard_list"] = f"""
+WITH {CORPUS_SPLIT_SQL},
+p AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS k FROM corpus_split)
+SELECT split, CAST(k // 100 AS INTEGER) AS shard, CAST(min(k) AS BIGINT) AS start, CAST(max(k) + 1 AS BIGINT) AS stop,
+       count(*) AS rows FROM p GROUP BY split, k // 100
+"""
+
+
+def check_shards(spark, sf):
+    """A committed corpus whose first train file is gone: the file, and the total."""
+    path = _shards(spark, sf, "check")
+    gone = SH.shard_table(spark, path).where("split = 'train' AND shard = 0").first()["file"]
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+    return SH.check_corpus(spark, path)
+
+
+QUERIES["check_shards"] = check_shards
+ORACLE["check_shards"] = f"""
+WITH {CORPUS_SPLIT_SQL},
+n AS (SELECT count(*) AS n, least(100, count(*) FILTER (WHERE split = 'train')) AS first FROM corpus_split)
+SELECT 'missing:train/0' AS "check", CAST(first AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS actual FROM n
+UNION ALL SELECT 'row_count', CAST(n AS VARCHAR), CAST(n - first AS VARCHAR) FROM n
+"""
+
+
+def corpus_build(spark, sf):
+    """F2-F4 with A6-A9 in one call: the largest corpus in shares of 60, 20 and 20 that the
+    sources allow, built, then opened again from its shards; rows per source and split."""
+    docs = table(spark, sf, "documents")
+    sizes = {r[0]: r[1] for r in prepare_corpus_rows(docs).groupBy("source").agg(F.count(F.lit(1))).collect()}
+    first, second, *rest = sorted(sizes)
+    total = min(sizes[first] * 10 // 6, sizes[second] * 5, sum(sizes[s] for s in rest) * 5)
+    path = IO.scratch_path(spark, "build")
+    SH.build_or_open_corpus(docs, path, total, shard_rows=100)
+    rows, _ = SH.build_or_open_corpus(docs, path, total, shard_rows=100)
+    return rows.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+QUERIES["corpus_build"] = corpus_build
+ORACLE["corpus_build"] = f"""
+WITH {CORPUS_SPLIT_SQL},
+n AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS i FROM corpus_split GROUP BY source),
+t AS (SELECT least(max(n * 10 // 6) FILTER (WHERE i = 1), max(n * 5) FILTER (WHERE i = 2), sum(n) FILTER (WHERE i > 2) * 5) AS t FROM n),
+w AS (SELECT tier, t * w // 100 AS base, t * w % 100 AS rem, t FROM t, (VALUES (1, 60), (2, 20), (3, 20)) v(tier, w)),
+q AS (SELECT tier, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, tier) <= any_value(t) OVER () - sum(base) OVER ()
+                               THEN 1 ELSE 0 END AS q FROM w),
+r AS (SELECT c.*, i, row_number() OVER (PARTITION BY c.source ORDER BY doc_id) AS k FROM corpus_split c JOIN n USING (source)),
+s AS (SELECT *, row_number() OVER (PARTITION BY least(i, 3) ORDER BY CASE WHEN i > 2 THEN k ELSE 0 END,
+                                   CASE WHEN i > 2 THEN i ELSE 0 END, k) AS place FROM r)
+SELECT source, split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids
+FROM s JOIN q ON q.tier = least(s.i, 3) WHERE place <= q GROUP BY source, split
+"""
+
+
+def resume_embedding(spark, sf):
+    """E5 with H1: shards embedded, the same again (all found), then with a prompt (all anew)."""
+    from weft.operators.embed import word_hash_encoder
+    path, out = _shards(spark, sf, "embed"), IO.scratch_path(spark, "vectors")
+    runs = []
+    for step, prompt in (("first", ""), ("again", ""), ("prompt", "query: ")):
+        vectors, done = SH.embed_corpus(spark, path, out, word_hash_encoder(32), 32, "word-hash", prompt)
+        runs.append((step, done["computed"], done["skipped"], vectors.count()))
+    return spark.createDataFrame(runs, "run string, computed long, skipped long, vectors long")
+
+
+QUERIES["resume_embedding"] = resume_embedding
+ORACLE["resume_embedding"] = f"""
+WITH {CORPUS_SPLIT_SQL},
+s AS (SELECT CAST(sum((n + 99) // 100) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM corpus_split GROUP BY split))
+SELECT 'first' AS run, s AS computed, CAST(0 AS BIGINT) AS skipped, n AS vectors FROM s
+UNION ALL SELECT 'again', 0, s, n FROM s UNION ALL SELECT 'prompt', s, 0, n FROM s
+"""
+
+
 def read_corpus(spark, sf):
     """The validation split of the layout, read with the declared schema."""
     path = _layout(spark, sf, "read")
