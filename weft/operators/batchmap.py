@@ -87,11 +87,12 @@ def _number(batch_size: int, max_chars: int):
         pdf = pdf.sort_values("_i")
         own = int(pdf["_own"].sum())
         nxt = _next_start(pdf["_len"].to_numpy(np.int64), batch_size, max_chars)
-        batch = np.full(own, int(pdf["base"].iloc[0]) - 1, np.int64)
+        begins = np.zeros(own, np.int64)
         i = int(pdf["entry"].iloc[0])
         while i < own:
-            batch[i:] += 1
+            begins[i] = 1
             i = int(nxt[i])
+        batch = int(pdf["base"].iloc[0]) - 1 + np.cumsum(begins)
         mine = pdf.iloc[:own]
         return pd.DataFrame({"_g": mine["_g"], "_i": mine["_i"], "batch": batch})
 

@@ -13,6 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.ordering import null_safe_join
+from weft.operators.quantiles import exact_quantiles
+from weft.session import cut_lineage
+
 D = 6  # output decimals
 
 
@@ -91,12 +95,14 @@ def local_rank_summary(df: DataFrame, rank_col: str = "rank", margin_col: str =
 
 def rank_metrics(ranks: DataFrame, group: Sequence[str] = (), rank_col: str = "rank") -> DataFrame:
     """Rows, Recall@1/5/10, MRR@10, median rank (per group)."""
-    r = F.col(rank_col)
-    return ranks.groupBy(*group).agg(
+    r, g = F.col(rank_col), list(group)
+    ranks = cut_lineage(ranks.select(*g, rank_col))  # several passes read it
+    rest = ranks.groupBy(*g).agg(
         F.count(F.lit(1)).alias("rows"),
         *[_r(F.avg((r <= k).cast("double"))).alias(f"recall@{k}") for k in (1, 5, 10)],
-        _r(F.avg(F.when(r <= 10, 1.0 / r).otherwise(0.0))).alias("mrr@10"),
-        _r(F.median(r)).alias("median_rank"))
+        _r(F.avg(F.when(r <= 10, 1.0 / r).otherwise(0.0))).alias("mrr@10"))
+    median = exact_quantiles(ranks, g, [rank_col], [0.5]).select(*g, _r(F.col(rank_col)[0]).alias("median_rank"))
+    return null_safe_join(rest, median, g, "left") if g else rest.join(median, how="left")  # one row each
 
 
 def triplet_accuracy(pos_score: Column, neg_score: Column, margin: float = 0.1) -> Column:

@@ -23,10 +23,22 @@ from weft.session import cut_lineage
 TOPK_LIMIT = 10_000
 
 
+#: bytes of a range, and the estimate from which on Catalyst does not know
+RANGE_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 55
+
+
 def _ord(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Ranges to cut ``df`` into: ``spark.sql.shuffle.partitions``, and more where Catalyst's
+    estimate of its size asks for it, so the ranges grow with the data."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // RANGE_BYTES) if size < UNKNOWN_BYTES else least
+
+
 def running_total(df: DataFrame, order: Sequence[str | Column], value: str | Column,
                   out_col: str, num_partitions: int | None = None,
                   materialize: bool = True) -> DataFrame:
@@ -35,8 +47,7 @@ def running_total(df: DataFrame, order: Sequence[str | Column], value: str | Col
     Two levels: a window per range partition, plus the exclusive prefix of
     partition totals (a table with one row per partition).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     oc = _ord(order)
     val = F.col(value) if isinstance(value, str) else value
     ranged = (df.withColumn("_v", val.cast("bigint"))
@@ -66,8 +77,7 @@ def global_index(df: DataFrame, order: Sequence[str | Column], index_col: str =
     and no second shuffle of the rows is needed; only the one-row-per-
     partition counts are aggregated and broadcast back as offsets.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     oc = _ord(order)
     ranged = (df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
               .withColumn("_pid", F.spark_partition_id())
@@ -208,6 +218,10 @@ def oversample(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
 
 
+#: draws of one row that are made where the row is
+DRAWS = 1 << 16
+
+
 def weighted_interleave(df: DataFrame, source_col: str, order: Sequence[str],
                         weights: DataFrame, stopping: str = "all_exhausted") -> DataFrame:
     """mix sources with probabilities p_i = w_i / sum(w) (``weights``:
@@ -239,8 +253,19 @@ def weighted_interleave(df: DataFrame, source_col: str, order: Sequence[str],
                      source_col)
             .withColumn("_k", F.col("_g") - F.col("_start"))
             .filter(F.col("_k") < F.col("_m")))
-    reps = F.sequence(F.lit(0), F.floor((F.col("_m") - 1 - F.col("_k")) / F.col("_n")).cast("bigint"))
-    return (rows.withColumn("_r", F.explode(reps))
+    # a row of a small source is drawn many times: its draws are cut into intervals, the
+    # intervals are dealt over the cluster without the row, and meet it again there
+    copies = F.floor((F.col("_m") - 1 - F.col("_k")) / F.col("_n")).cast("bigint") + 1
+    rows = rows.withColumn("_copies", copies)
+    once = rows.filter(F.col("_copies") <= DRAWS).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1))).drop("_copies")
+    often = rows.filter(F.col("_copies") > DRAWS)
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / DRAWS))
+    spans = often.select("_g", "_copies", F.explode(parts).alias("_part"))
+    spans = spans.repartition("_g", "_part").withColumn("_r", F.explode(F.sequence(
+        F.col("_part") * DRAWS, F.least((F.col("_part") + 1) * DRAWS, F.col("_copies")) - 1)))
+    many = spans.select("_g", "_r").join(often.drop("_copies"), "_g")
+    return (once.unionByName(many.select(*once.columns))
             .withColumn("draw", (F.col("_k") + F.col("_r") * F.col("_n")).cast("bigint"))
             .withColumn("mix_key", F.round((F.col("draw") + 1) * F.col("_wsum") / F.col("_w"), 6))
             .drop("_g", "_n", "_m", "_start", "_w", "_wsum", "_k", "_r"))

@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.ordering import null_safe_join
+from weft.operators.quantiles import exact_quantiles
+from weft.session import cut_lineage
+
 
 def share_by_group(df: DataFrame, group: Sequence[str], decimals: int = 2) -> DataFrame:
     """Count and percent of total per group."""
@@ -55,25 +59,24 @@ def stack_fields(df: DataFrame, fields: Sequence[str], id_col: str | None = None
 
 def length_summary(lengths: DataFrame, decimals: int = 6) -> DataFrame:
     """Per field: min, median, mean, max words; median and mean chars
-    (exact ``median``, which interpolates like pandas)."""
-    return lengths.groupBy("field").agg(
-        F.min("words").alias("min_words"),
-        F.round(F.median("words"), decimals).alias("median_words"),
-        F.round(F.avg("words"), decimals).alias("mean_words"),
-        F.max("words").alias("max_words"),
-        F.round(F.median("chars"), decimals).alias("median_chars"),
-        F.round(F.avg("chars"), decimals).alias("mean_chars"))
+    (exact medians, interpolated like pandas)."""
+    lengths = cut_lineage(lengths.select("field", "words", "chars"))  # several passes read it
+    rest = lengths.groupBy("field").agg(
+        F.min("words").alias("min_words"), F.round(F.avg("words"), decimals).alias("mean_words"),
+        F.max("words").alias("max_words"), F.round(F.avg("chars"), decimals).alias("mean_chars"))
+    q = exact_quantiles(lengths, ["field"], ["words", "chars"], [0.5])
+    return null_safe_join(rest, q, ["field"], "left").select(
+        "field", "min_words", F.round(F.col("words")[0], decimals).alias("median_words"), "mean_words", "max_words",
+        F.round(F.col("chars")[0], decimals).alias("median_chars"), "mean_chars")
 
 
 def box_stats(lengths: DataFrame, value: str = "words", decimals: int = 6) -> DataFrame:
     """Quartiles per field (interpolated, like pandas)."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (lengths.groupBy("field").agg(q.alias("_q"), F.min(value).alias("lo"),
-                                         F.max(value).alias("hi"))
-            .select("field", "lo",
-                    F.round(F.col("_q")[0], decimals).alias("q1"),
-                    F.round(F.col("_q")[1], decimals).alias("q2"),
-                    F.round(F.col("_q")[2], decimals).alias("q3"), "hi"))
+    lengths = cut_lineage(lengths.select("field", value))  # several passes read it
+    rest = lengths.groupBy("field").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    q = exact_quantiles(lengths, ["field"], [value], [0.25, 0.5, 0.75]).withColumnRenamed(value, "_q")
+    return null_safe_join(rest, q, ["field"], "left").select(
+        "field", "lo", *[F.round(F.col("_q")[i], decimals).alias(f"q{i + 1}") for i in range(3)], "hi")
 
 
 def confounding(df: DataFrame, a: str, b: str) -> DataFrame:
