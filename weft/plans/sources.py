@@ -17,6 +17,7 @@ from weft.plans import sqlfrag as S
 from weft.plans.fixtures import CORPUS_SPLIT_SQL, corpus_with_split
 from weft.session import table
 from weft.sources import files as IO
+from weft.sources import loader as L
 from weft.sources import shards as SH
 from weft.streaming import corpus as ST
 
@@ -45,6 +46,19 @@ def _bucket():
                                      F.col("turn").cast("string")), 256), 100)
 
 
+def pluggable_loader(spark, sf):
+    """Conversations written by the sink and read back by a loader, a partition a file."""
+    L.register_sink(spark)
+    L.register_loader(spark, "ndjson_loader", L.NdjsonLoader(), CONV_SCHEMA)
+    path = IO.scratch_path(spark, "loader")
+    table(spark, sf, "conversations").repartition(3).write.format("ndjson_sink").mode("append").save(path)
+    return spark.read.format("ndjson_loader").option("path", path).load()
+
+
+QUERIES["pluggable_loader"] = pluggable_loader
+ORACLE["pluggable_loader"] = "SELECT conv_id, turn, role, text FROM conversations"
+
+
 def scan_ndjson_audit(spark, sf):
     """A2: NDJSON where about 5 % of lines are cut short; good and bad counts."""
     path = IO.scratch_path(spark, "ndjson-audit")
