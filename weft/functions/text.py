@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,14 +119,17 @@ def config_name(col: str | Column) -> Column:
     """A model id -> a stable configuration name.
 
     Lower-case every path part, collapse other characters to ``-``, strip
-    ``-`` and ``.`` at both ends, drop empty parts and join by ``--``.
+    ``-`` and ``.`` at both ends, drop empty parts and join by ``--``. An id of which
+    nothing is left is an error; a null one stays null.
     """
     parts = F.split(py_strip(col), "/")
     cleaned = F.transform(
         parts,
         lambda p: F.regexp_replace(F.regexp_replace(F.lower(p), r"[^a-z0-9._-]+", "-"),
                                    r"^[-.]+|[-.]+$", ""))
-    return F.array_join(F.filter(cleaned, lambda p: p != ""), "--")
+    name = F.array_join(F.filter(cleaned, lambda p: p != ""), "--")
+    nothing = F.raise_error(F.concat(F.lit("no configuration name is left of "), _c(col)))
+    return F.when(name == "", nothing.cast("string")).otherwise(name)
 
 
 @F.pandas_udf(T.StringType())
@@ -155,6 +158,25 @@ def normalize_query(col: str | Column, unicode_fold: bool = True) -> Column:
     return py_strip(squeezed)
 
 
+def column_views(views: Sequence[tuple[str, DataFrame, dict[str, str | Column]]],
+                 columns: Sequence[str] = ("anchor", "positive", "negative", "score")) -> DataFrame:
+    """Training views in one long table (task, columns..): each view names its task, its
+    frame and where its columns come from (a column's name or an expression); columns that a
+    view has not are null. Scores are doubles, all others strings."""
+    kinds = {c: "double" if c == "score" else "string" for c in columns}
+    out = None
+    for task, df, taken in views:
+        unknown = set(taken) - set(columns)
+        if unknown:
+            raise ValueError(f"view {task!r} gives columns that are not asked for: {sorted(unknown)}")
+        part = df.select(F.lit(task).alias("task"), *[
+            (_c(taken[c]) if c in taken else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no view is asked for")
+    return out
+
+
 def pad_list(values: Column, n: int) -> Column:
     """Exactly ``n`` elements: the last is repeated when there are fewer, the
     rest cut when there are more. An empty or NULL list is a data error."""

@@ -138,6 +138,13 @@ def first_by_hash(df: DataFrame, seed: int | str, key: Sequence[str], n: int) ->
     return limit_rows(keyed, ["_h"], n).drop("_h")
 
 
+def cap_split(df: DataFrame, split_col: str, split: str, max_rows: int, seed: int | str, key: Sequence[str]) -> DataFrame:
+    """at most ``max_rows`` rows of one split, the first of its seeded shuffle (by a key
+    that tells its rows apart); the other splits, and rows without one, stay whole."""
+    of_split = F.coalesce(F.col(split_col) == split, F.lit(False))
+    return first_by_hash(df.where(of_split), seed, key, max_rows).unionByName(df.where(~of_split))
+
+
 def split_three_way(df: DataFrame, seed: int | str, key: Sequence[str],
                     test_size: float = 0.2, inner_test_size: float = 0.2,
                     exact: bool = True, names=("train", "valid", "test"), copy_below: int = 0) -> DataFrame:

@@ -124,6 +124,60 @@ def split_leakage(df: DataFrame, key: str | Column, split_col: str = "split") ->
             .filter(F.col("splits") > 1))
 
 
+#: the checks of ``integrity_checks``, in order
+INTEGRITY_CHECKS = ("parse_errors", "missing_columns", "null_values", "empty_strings", "duplicate_row_ids",
+                    "missing_row_ids", "duplicate_query_rows", "duplicate_query_groups", "normalized_duplicate_query_rows",
+                    "collision_rows", "unique_candidates")
+
+
+def integrity_checks(rows: DataFrame, bad_lines: DataFrame, required: Sequence[str], id_col: str, query_col: str,
+                     positive_col: str, negative_cols: Sequence[str], normalized: Column) -> DataFrame:
+    """(check, count) of a retrieval table as it was read: lines that did not parse,
+    required columns that are missing, null values, blank texts, repeated ids and ids missing
+    inside their range, rows and groups of repeated queries (as written, and by ``normalized``),
+    rows whose positive is among the negatives, and distinct candidate texts.
+
+    Distinct counts of texts are of their hashes; each is one aggregate. A column that is
+    missing counts once, and checks that need it give 0."""
+    missing = [c for c in required if c not in rows.columns]
+    df = rows.select(*rows.columns, *[F.lit(None).cast("string").alias(c) for c in missing])
+    texts = [c for c in required if c not in missing and df.schema[c].dataType.simpleString() == "string"]
+    there = [c for c in required if c not in missing]
+    nulls = [F.count_if(F.col(c).isNull()) for c in there]
+    blanks = [F.count_if(py_strip(c) == "") for c in texts]
+
+    def total(parts: list[Column]) -> Column:
+        out = F.lit(0).cast("bigint")
+        for p in parts:
+            out = out + p
+        return out
+
+    has = {query_col: query_col not in missing, id_col: id_col not in missing}
+    collide = label_collision(df, positive_col, negative_cols) if positive_col not in missing else F.lit(False)
+    one = df.agg(total(nulls).alias("null_values"), total(blanks).alias("empty_strings"),
+                 F.count_if(collide).alias("collision_rows"), F.count(F.lit(1)).alias("_rows"))
+    ids = df.select(F.col(id_col).alias("_k")).where("_k IS NOT NULL").groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_row_ids"),
+        F.coalesce(F.max("_k").cast("bigint") - F.min("_k").cast("bigint") + 1 - F.count(F.lit(1)), F.lit(0)).alias("missing_row_ids"))
+
+    def repeats(key: Column, name: str) -> DataFrame:
+        groups = df.select(key.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+        return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias(f"{name}_rows"),
+                          F.count_if(F.col("_n") > 1).alias(f"{name}_groups"))
+
+    exact = repeats(F.sha2(query_col, 256) if has[query_col] else F.lit(None), "duplicate_query")
+    folded = repeats(normalized if has[query_col] else F.lit(None), "normalized_duplicate_query")
+    candidates = df.select(F.explode(F.array(positive_col, *negative_cols)).alias("_t")).where("_t IS NOT NULL").select(
+        F.sha2("_t", 256).alias("_t")).distinct().agg(F.count(F.lit(1)).alias("unique_candidates"))
+    bad = bad_lines.agg(F.count(F.lit(1)).alias("parse_errors"))
+    # one-row tables
+    row = one.crossJoin(ids).crossJoin(exact).crossJoin(folded).crossJoin(candidates).crossJoin(bad).withColumn(
+        "missing_columns", F.lit(len(missing)))
+    if not has[query_col]:
+        row = row.withColumns({c: F.lit(0) for c in INTEGRITY_CHECKS if "query" in c})
+    return stack_checks(row, INTEGRITY_CHECKS)
+
+
 def stack_checks(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
     """A one-row frame of check counts -> long (check, count)."""
     pairs = ", ".join(f"'{n}', CAST(`{n}` AS BIGINT)" for n in names)

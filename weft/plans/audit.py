@@ -10,6 +10,7 @@ from weft.operators import quality as Q
 from weft.plans import sqlfrag as S
 from weft.plans.fixtures import CORPUS_SPLIT_SQL, QA_ROWS_SQL, corpus_with_split, qa_rows
 from weft.session import table
+from weft.sources import files as IO
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -201,6 +202,47 @@ UNION ALL SELECT 'duplicate_row_ids', duplicate_row_ids FROM r
 """
 
 
+QA_SCHEMA = ("row_id bigint, query string, document string, negative1 string, negative2 string, negative3 string, "
+             "category string, language string")
+
+
+def integrity_checks(spark, sf):
+    """C9, all checks, on the retrieval rows read from NDJSON in which every 40th line is cut
+    short; ``title`` is required and not there."""
+    qa = qa_rows(spark, sf)
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("row_id") % 40 == 0, F.substring(line, 1, 30)).otherwise(line)
+    path = IO.scratch_path(spark, "integrity")
+    qa.select(cut.alias("value")).write.text(path)
+    good, bad = IO.scan_ndjson_audit(spark, path, QA_SCHEMA)
+    negatives = ["negative1", "negative2", "negative3"]
+    return Q.integrity_checks(good, bad, ["row_id", "query", "document", *negatives, "category", "language", "title"],
+                              "row_id", "query", "document", negatives, query_key())
+
+
+QUERIES["integrity_checks"] = integrity_checks
+ORACLE["integrity_checks"] = f"""
+WITH {QA_ROWS_SQL},
+good AS (SELECT * FROM qa_rows WHERE row_id % 40 <> 0),
+e AS (SELECT query AS k, count(*) AS n FROM good GROUP BY 1),
+m AS (SELECT {KEY_SQL} AS k, count(*) AS n FROM good GROUP BY 1),
+c AS (SELECT document AS t FROM good UNION SELECT negative1 FROM good UNION SELECT negative2 FROM good
+      UNION SELECT negative3 FROM good),
+texts AS (SELECT unnest([query, document, negative1, negative2, negative3, category, language]) AS t FROM good)
+SELECT 'parse_errors' AS "check", CAST(count(*) AS BIGINT) AS count FROM qa_rows WHERE row_id % 40 = 0
+UNION ALL SELECT 'missing_columns', 1
+UNION ALL SELECT 'null_values', CAST(count_if(t IS NULL) AS BIGINT) FROM texts
+UNION ALL SELECT 'empty_strings', CAST(count_if({S.strip('t')} = '') AS BIGINT) FROM texts
+UNION ALL SELECT 'duplicate_row_ids', count(*) - count(DISTINCT row_id) FROM good
+UNION ALL SELECT 'missing_row_ids', max(row_id) - min(row_id) + 1 - count(DISTINCT row_id) FROM good
+UNION ALL SELECT 'duplicate_query_rows', CAST(sum(n - 1) AS BIGINT) FROM e
+UNION ALL SELECT 'duplicate_query_groups', CAST(count_if(n > 1) AS BIGINT) FROM e
+UNION ALL SELECT 'normalized_duplicate_query_rows', CAST(sum(n - 1) AS BIGINT) FROM m
+UNION ALL SELECT 'collision_rows', CAST(count_if(document IN (negative1, negative2, negative3)) AS BIGINT) FROM good
+UNION ALL SELECT 'unique_candidates', count(*) FROM c
+"""
+
+
 # ---- D: composition ----
 
 def share_by_group(spark, sf):

@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 from weft.functions import text as X
 from weft.functions.jsonio import parse_response as parse_reply
 from weft.functions.jsonio import request_items
-from weft.operators.ordering import global_index
+from weft.operators.ordering import global_index, positions_in_group
 from weft.plans import sqlfrag as S
 from weft.plans.audit import NORM_SQL
 from weft.plans.fixtures import QA_ROWS_SQL, qa_rows
-from weft.session import table
+from weft.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -281,6 +281,45 @@ UNION ALL SELECT 'title_body', sha256(split_part(text, chr(10), 1)), sha256(text
 """
 
 
+def pair_views_all(spark, sf):
+    """B16, every kind: pairs both ways within a language and across (a document and the next
+    longer one of another language), a document's twin (the same number in its language),
+    triplets, and scored pairs both ways."""
+    qa = qa_rows(spark, sf)
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    at = cut_lineage(positions_in_group(d.select("doc_id", "lang"), ["lang"], ["doc_id"], "at"))
+    named = d.join(at.select("doc_id", "at"), "doc_id")
+
+    def of(lang, text):
+        return named.where(F.col("lang") == lang).select("at", F.col("text").alias(text))
+
+    twins = of("en", "en").join(of("fr", "fr"), "at")
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    scored = twins.join(named.where("lang = 'en'").select("at", "doc_id").join(labels, "doc_id"), "at")
+    views = [("qa", qa, {"anchor": "query", "positive": "document"}),
+             ("en_fr", twins, {"anchor": "en", "positive": "fr"}), ("fr_en", twins, {"anchor": "fr", "positive": "en"}),
+             ("triplet", qa, {"anchor": "query", "positive": "document", "negative": "negative1"}),
+             ("scored_en_fr", scored, {"anchor": "en", "positive": "fr", "score": "quality"}),
+             ("scored_fr_en", scored, {"anchor": "fr", "positive": "en", "score": "quality"})]
+    out = X.column_views(views)
+    return out.select("task", *[F.sha2(c, 256).alias(c) for c in ("anchor", "positive", "negative")], "score")
+
+
+QUERIES["pair_views_all"] = pair_views_all
+ORACLE["pair_views_all"] = f"""
+WITH {QA_ROWS_SQL},
+n AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+t AS (SELECT a.doc_id, a.text AS en, b.text AS fr FROM n a JOIN n b USING (k) WHERE a.lang = 'en' AND b.lang = 'fr'),
+s AS (SELECT t.*, CAST(quality AS DOUBLE) AS score FROM t JOIN labels USING (doc_id)),
+v AS (
+  SELECT 'qa' AS task, query AS anchor, document AS positive, NULL AS negative, NULL::DOUBLE AS score FROM qa_rows
+  UNION ALL SELECT 'en_fr', en, fr, NULL, NULL FROM t UNION ALL SELECT 'fr_en', fr, en, NULL, NULL FROM t
+  UNION ALL SELECT 'triplet', query, document, negative1, NULL FROM qa_rows
+  UNION ALL SELECT 'scored_en_fr', en, fr, NULL, score FROM s UNION ALL SELECT 'scored_fr_en', fr, en, NULL, score FROM s)
+SELECT task, sha256(anchor) AS anchor, sha256(positive) AS positive, sha256(negative) AS negative, score FROM v
+"""
+
+
 def text_lengths(spark, sf):
     """Whitespace words and characters per document."""
     d = table(spark, sf, "documents")

@@ -113,7 +113,9 @@ def register_loader(spark: SparkSession, format_name: str, loader, schema: T.Str
 
 def _open(path: str):
     from pyarrow import fs
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri(f"file://{path}")
+    if path.startswith("file:/") and not path.startswith("file://"):  # Hadoop's way to write a local path
+        path = path[len("file:"):]
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
 class NdjsonLoader:
