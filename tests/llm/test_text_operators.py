@@ -192,6 +192,21 @@ def test_token_counts(docs, empty):
     assert token_counts(empty, library_counter(path)).collect() == []
 
 
+def test_hot_parts_are_dealt_over_the_shards():
+    """The postings of a part that all documents hold spread over the shards, block by block."""
+    import pyarrow as pa
+
+    from weft.llm import token_counts as T
+    text = b"the " * 3 + b"cat"
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(1 << 15)), pa.array([text] * (1 << 15))], ["id", "text"])] * 12
+    sent = {}
+    for b in T._route(8)(iter(batches)):
+        for shard, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            doc = T.unpack(payload, np.int64, np.uint32, np.uint8, np.uint32, np.uint16, np.uint16, np.int64, np.uint8, np.int64)[4]
+            sent[shard] = sent.get(shard, 0) + len(doc)
+    assert sum(sent.values()) == 12 * 3 * (1 << 15) and max(sent.values()) < sum(sent.values()) / 2
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17])
 def test_bit_packing(bits):
     from weft.llm.packed_ids import pack_ids, read_block, unpack_ids, write_block

@@ -7,7 +7,9 @@ so the pieces of the parts add up to the pieces of the text, special strings
 included (they hold no space). Each block of documents sends a shard its
 distinct parts with the documents that hold them (``common``); the shard has the
 library count every distinct part once and returns, for each block, the sums of
-the documents that hold any of its parts.
+the documents that hold any of its parts. A part that many documents of a block hold
+goes to a shard chosen by part and block, so no shard gets all postings of a frequent
+part; each block's postings of a part stay together.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ _PARTIAL = "block long, sums binary"
 #: a space that another white space precedes or follows, or that ends the text
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
+#: a part is hot in a block if more than one in HOT of its documents hold it
+HOT = 64
 #: (pre-token, document) entries hold at most this many occurrences each
 _MOST = 65535
 
@@ -79,8 +83,12 @@ def _route(n_shards: int):
                         n -= _MOST
             parts = [p.encode("utf-8", "surrogatepass") for p in ids]
             crc = np.fromiter((zlib.crc32(p) for p in parts), np.int64, len(parts))
-            shard_of = crc % n_shards
             part, doc, times = np.array(part, np.int64), np.array(doc, np.uint16), np.array(times, np.uint16)
+            # a part that many documents hold is dealt by block too: its postings spread over all
+            # shards, each of which counts it once
+            hot = np.bincount(part, minlength=len(parts)) * HOT > len(b.texts)
+            salt = zlib.crc32(b.number.to_bytes(8, "little"))
+            shard_of = (crc + np.where(hot, salt, 0)) % n_shards
             order = np.argsort(shard_of, kind="stable")
             rank = np.empty(len(parts), np.int64)
             rank[order] = np.arange(len(parts))
