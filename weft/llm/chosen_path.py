@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Hashes, kept, mix, text_hash, trim, without
+from weft.llm.common import Hashes, distinct, kept, mix, text_hash, trim, without
 from weft.llm.components import components
 from weft.llm.vector_links import spanning
 
@@ -64,7 +64,7 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     h = np.full(m, k, U)
     for j in range(k):
         h = mix(h * U(0x9E3779B97F4A7C15) + words[j:j + m])
-    return np.unique(h)
+    return distinct(h)
 
 
 def min_hashes(values: np.ndarray) -> np.ndarray:

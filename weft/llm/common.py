@@ -143,6 +143,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort of numbers is several times faster than numpy's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def starts(sizes) -> np.ndarray:
     """Offsets of groups laid out one after the other, with the end."""
     out = np.zeros(len(sizes) + 1, np.int64)

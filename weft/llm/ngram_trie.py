@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import elias_fano as EF
-from weft.llm.common import Hashes, Ids, blocks, kept, pack, shards_for, starts, trim, unpack
+from weft.llm.common import Hashes, Ids, blocks, distinct, kept, pack, shards_for, starts, trim, unpack
 
 #: words are known by 48 bits of their hash; two words are only ever compared within a shard
 HASH_BITS = 48
@@ -74,12 +74,12 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one byte per value, code book of at most 256 means)."""
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1)
-    distinct = np.unique(values)
-    if len(distinct) <= 256:
-        return np.searchsorted(distinct, values).astype(np.uint8), distinct
+    kinds = distinct(values)
+    if len(kinds) <= 256:
+        return np.searchsorted(kinds, values).astype(np.uint8), kinds
     # half the edges by rank, half by value: rare extremes get fine bins too
     edges = np.unique(np.concatenate([np.quantile(values, np.linspace(0, 1, 129)[1:-1]),
-                                      np.linspace(distinct[0], distinct[-1], 130)[1:-1]]))
+                                      np.linspace(kinds[0], kinds[-1], 130)[1:-1]]))
     code = np.searchsorted(edges, values, side="right")
     total = np.bincount(code, values, minlength=len(edges) + 1)
     n = np.bincount(code, minlength=len(edges) + 1)
@@ -201,7 +201,7 @@ def _score(order: int, n_train: int, strength: float, discount: float):
         n_leaf = np.diff(np.concatenate([[0], np.cumsum(trained)])[at])  # training occurrences of each entry
         del trained, at
 
-        contexts = np.unique(np.concatenate([g[9] for g in got]))
+        contexts = distinct(np.concatenate([g[9] for g in got]))
         n_ctx = max(1, len(contexts))
         before = [[] for _ in range(order - 1)]
         for g in got:

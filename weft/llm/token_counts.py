@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Ids, blocks, documents_view, pack, shards_for, starts, unpack
+from weft.llm.common import Ids, blocks, distinct, documents_view, pack, shards_for, starts, unpack
 
 _ROUTED = "shard int, payload binary"
 _PARTIAL = "block long, sums binary"
@@ -135,7 +135,7 @@ def _count(count: Callable[[list[str]], list[int]]):
         out = []
         for (number, _s, _r, holders, doc, times, meta, null, n_bytes), mine in zip(blocks_in, index, strict=True):
             worth = np.bincount(doc, np.repeat(pieces[mine], holders) * times.astype(np.int64))
-            slot = np.unique(doc)
+            slot = distinct(doc)
             out.append((int(number[0]), pack(slot, worth[slot].astype(np.uint32), meta, null, n_bytes)))
         return pd.DataFrame(out, columns=["block", "sums"])
 
