@@ -27,6 +27,7 @@ from weft.session import cut_lineage, spread
 # Centroid tables are collected and broadcast each k-means round; refuse
 # sizes beyond this many floats (categories x restarts x k x dim).
 MAX_CENTROID_FLOATS = 50_000_000
+MAX_CENTROIDS = 100_000
 
 
 def _hash_unit(*parts: Column | str) -> Column:
@@ -358,8 +359,15 @@ def permutation_test(df: DataFrame, cat: str, key: str, vec: str, held: str, n_p
 
 # ------------------------------------------------------------------ k-means
 
-def _kmeans_partials(cents: dict):
+def _squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centroids; one product, as no difference is kept per pair."""
+    d2 = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centroids.T) + (centroids * centroids).sum(axis=1)[None, :]
+    return np.maximum(d2, 0.0)
+
+
+def _kmeans_partials(shared):
     def run(it):
+        cents = shared.value
         for pdf in it:
             rows = []
             for c, g in pdf.groupby("_cat", sort=False):
@@ -369,9 +377,8 @@ def _kmeans_partials(cents: dict):
                 x = np.stack(g["_v"].to_numpy())  # rows of this category in this batch
                 for r, centroids in cc.items():
                     k = len(centroids)
-                    d2 = ((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-                    lab = d2.argmin(axis=1)
-                    best = d2[np.arange(len(x)), lab]
+                    lab = _squares(x, centroids).argmin(axis=1)
+                    best = ((x - centroids[lab]) ** 2).sum(axis=1)
                     for j in range(k):
                         m = lab == j
                         if m.any():
@@ -412,11 +419,12 @@ _SEED_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType()), T.StructField("_v", T.ArrayType(T.DoubleType()))])
 
 
-def _seed_round(chosen: dict, restarts: int, rnd: int, seed: int):
+def _seed_round(shared, restarts: int, rnd: int, seed: int):
     """One k-means++ draw per (category, restart): weighted reservoir key
     log(u) / D^2 (D = distance to the nearest chosen centroid, 1 when none),
     best key per partition; a later max picks the global draw."""
     def run(it):
+        chosen = shared.value
         for pdf in it:
             rows = []
             for c, g in pdf.groupby("_cat", sort=False):
@@ -445,7 +453,7 @@ def _kmeanspp_seed(d: DataFrame, k: int, restarts: int, seed: int) -> dict:
     chosen: dict = {}
     for rnd in range(k):
         bc = spark.sparkContext.broadcast(chosen)
-        cand = dk.mapInPandas(_seed_round(bc.value, restarts, rnd, seed), _SEED_SCHEMA)
+        cand = dk.mapInPandas(_seed_round(bc, restarts, rnd, seed), _SEED_SCHEMA)
         best = cand.groupBy("_cat", "restart").agg(F.max_by("_v", "score").alias("_v")).collect()
         bc.unpersist()
         if best:
@@ -465,6 +473,22 @@ def _kmeanspp_seed(d: DataFrame, k: int, restarts: int, seed: int) -> dict:
     return cents
 
 
+def lloyd_step(df: DataFrame, cat: str, vec: str, centroids: DataFrame) -> DataFrame:
+    """H10, one round on its own: (_cat, restart, cluster, n, inertia, s) from given
+    ``centroids`` (cat, cluster, vec): every row goes to the nearest (ties to the lower
+    cluster); ``s`` are the sums of the rows, ``inertia`` their squared distances."""
+    rows = centroids.select(F.col(cat).cast("string").alias("c"), "cluster", as_double(vec).alias("v")).sort("c", "cluster")
+    found = rows.limit(MAX_CENTROIDS + 1).collect()
+    if len(found) > MAX_CENTROIDS:
+        raise ValueError("centroid table too large to send to every executor")
+    table: dict = {}
+    for r in found:
+        table.setdefault(r.c, []).append(r.v)
+    shared = df.sparkSession.sparkContext.broadcast({c: {0: np.array(v)} for c, v in table.items()})
+    d = df.select(F.col(cat).cast("string").alias("_cat"), as_double(vec).alias("_v"))
+    return _reduce_partials(d.mapInPandas(_kmeans_partials(shared), _PART_SCHEMA))
+
+
 def _unit_means(df: DataFrame, cat: str, group: str, vec: str) -> DataFrame:
     """(_cat, _group, _v): the mean vector of each group, at unit length."""
     parts = df.select(F.col(cat).cast("string").alias("_cat"), F.col(group).alias("_group"),
@@ -509,7 +533,7 @@ def grouped_kmeans(df: DataFrame, cat: str, key: str, vec: str, k: int = 5, rest
         for c, r in sorted(moving):
             active.setdefault(c, {})[r] = cents[c][r]
         bc = spark.sparkContext.broadcast(active)
-        parts = _reduce_partials(d.mapInPandas(_kmeans_partials(bc.value), _PART_SCHEMA))
+        parts = _reduce_partials(d.mapInPandas(_kmeans_partials(bc), _PART_SCHEMA))
         got = parts.collect()  # categories x restarts x k rows
         new = {c: v.copy() for c, v in cents.items()}
         inertia |= dict.fromkeys(moving, 0.0)
@@ -530,11 +554,10 @@ def grouped_kmeans(df: DataFrame, cat: str, key: str, vec: str, k: int = 5, rest
 
     @F.pandas_udf(T.IntegerType())
     def assign(c: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for ci, vi in zip(c, v):
-            cc = bc.value[ci]
-            out.append(int(((cc - np.asarray(vi)) ** 2).sum(axis=1).argmin()))
-        return pd.Series(out, dtype="int32")
+        out = np.zeros(len(c), np.int32)
+        for ci, at in c.groupby(c, sort=False).indices.items():  # one product per category of the batch
+            out[at] = _squares(np.stack(v.iloc[at].to_numpy()), bc.value[ci]).argmin(axis=1)
+        return pd.Series(out)
 
     labelled = df.withColumn("cluster", assign(F.col(cat).cast("string"), as_double(vec)))
     return labelled, inert.withColumnRenamed("_cat", cat)

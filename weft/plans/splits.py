@@ -3,21 +3,23 @@
 On ``embeddings``: category = SHA-256 bucket (4) of vec_id, cluster = label
 (the given cluster column of J1); the held-out cluster of each category is
 the test split. On ``documents`` the grouped split search uses the
-normalized first line as the group and (lang, source) as dimensions.
+hash of the whole normalized text as the group and (lang, source) as dimensions.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import hex64_mod
 from weft.functions.text import clean_text
 from weft.operators import splits as J
+from weft.operators.embed import hashed_embedding
 from weft.operators.ordering import global_index
 from weft.plans import sqlfrag as S
 from weft.plans.audit import KEY_SQL, query_key
 from weft.plans.vectors import _cos
-from weft.session import table
+from weft.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -251,11 +253,35 @@ FROM per, obs
 
 
 def grouped_kmeans(spark, sf):
-    """K-means (k=5, 20 restarts to convergence) of the unit means of each
-    vec_id's rows (the group key of this table), inside every category at once."""
-    e = _emb(spark, sf)
-    labelled, _inertia = J.grouped_kmeans(e, "cat", "vec_id", "embedding", k=5, restarts=20, seed=0, group="vec_id")
-    return labelled.select("vec_id", "cat", "cluster")
+    """K-means (k=5, 20 restarts to convergence) of the documents' word vectors inside
+    each language; copies of a text (equal query keys) are one group and share a cluster."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", clean_text("text").alias("text"))
+    keys = cut_lineage(d.select("doc_id", "lang", query_key("text").alias("grp")))
+    v = cut_lineage(hashed_embedding(d, "doc_id", "text", dim=32).join(keys, "doc_id"))
+    labelled, _inertia = J.grouped_kmeans(v, "lang", "doc_id", "embedding", k=5, restarts=20, seed=0, group="grp")
+    return labelled.select("doc_id", "lang", "grp", "cluster")
+
+
+def lloyd_step(spark, sf):
+    """H10, one round: clusters around the five least vec_ids of each category."""
+    e = _emb(spark, sf).select("vec_id", "cat", "embedding")
+    first = e.withColumn("cluster", F.row_number().over(Window.partitionBy("cat").orderBy("vec_id")) - 1).where("cluster < 5")
+    step = J.lloyd_step(e, "cat", "embedding", first)
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    return step.select(F.col("_cat").alias("cat"), "cluster", "n", F.round("inertia", 6).alias("inertia"),
+                       F.round(total, 6).alias("total"))
+
+
+QUERIES["lloyd_step"] = lloyd_step
+ORACLE["lloyd_step"] = f"""
+WITH {_EMB_SQL},
+v AS (SELECT vec_id, CAST(cat AS VARCHAR) AS cat, CAST(embedding AS DOUBLE[]) AS e FROM emb),
+c AS (SELECT cat, CAST(row_number() OVER (PARTITION BY cat ORDER BY vec_id) - 1 AS INTEGER) AS cluster, e FROM v),
+d AS (SELECT v.vec_id, v.cat, v.e, c.cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+      FROM v JOIN c ON c.cat = v.cat WHERE c.cluster < 5),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, cat ORDER BY d2, cluster) AS k FROM d) WHERE k = 1)
+SELECT cat, cluster, count(*) AS n, round(sum(d2), 6) AS inertia, round(sum(list_sum(e)), 6) AS total FROM b GROUP BY cat, cluster
+"""
 
 
 QUERIES["grouped_kmeans"] = grouped_kmeans  # iterative: rows-only; tests check the invariants
