@@ -421,7 +421,7 @@ def parse_response(spark, sf):
     good = F.to_json(F.struct(F.col("tr").alias("translations")))
     resp = (F.when(kind == 0, good)
             .when(kind == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-            .when(kind == 2, F.to_json(F.struct(F.slice("tr", 2, 1 << 20).alias("translations"))))
+            .when(kind == 2, F.to_json(F.struct(F.slice(F.col("tr"), F.lit(2), F.size("tr")).alias("translations"))))
             .when(kind == 3, F.to_json(F.struct(F.transform("tr", lambda t: F.struct(
                 F.concat(t["id"], F.lit("x")).alias("id"), t["translation"].alias("translation")))
                 .alias("translations"))))
@@ -434,4 +434,12 @@ def parse_response(spark, sf):
                     F.size("r.translations").alias("items"))
 
 
-QUERIES["parse_response"] = parse_response  # rows-only; tests check each reason
+QUERIES["parse_response"] = parse_response
+ORACLE["parse_response"] = f"""
+WITH i AS (SELECT text, (row_number() OVER (ORDER BY item_id) - 1) // 8 AS batch FROM benchmark),
+b AS (SELECT batch, count(*) AS n, bool_or({S.strip('text')} = '') AS blank FROM i GROUP BY batch),
+r AS (SELECT batch, n, CASE WHEN batch % 6 IN (0, 1) THEN CASE WHEN blank THEN 'blank' END WHEN batch % 6 = 2 THEN 'count'
+                            WHEN batch % 6 = 3 THEN 'ids' WHEN batch % 6 = 4 THEN 'blank' ELSE 'shape' END AS reason FROM b)
+SELECT CAST(batch AS BIGINT) AS batch, CASE WHEN reason IS NULL THEN 'ok' ELSE 'error' END AS status, reason,
+       CASE WHEN reason IS NULL THEN CAST(n AS INTEGER) END AS items FROM r
+"""
