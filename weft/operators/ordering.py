@@ -256,8 +256,7 @@ def weighted_interleave(df: DataFrame, source_col: str, order: Sequence[str],
     # Position inside the source = global position - rows of earlier sources
     # (offsets from the small per-source table, no per-source window).
     idx = global_index(df, [F.col(source_col), *_ord(order)], "_g")
-    rows = (idx.join(F.broadcast(plan.select(source_col, "_n", "_m", "_start", "_w", "_wsum")),
-                     source_col)
+    rows = (idx.join(plan.select(source_col, "_n", "_m", "_start", "_w", "_wsum"), source_col)
             .withColumn("_k", F.col("_g") - F.col("_start"))
             .filter(F.col("_k") < F.col("_m")))
     # a row of a small source is drawn many times: its draws are cut into intervals, the

@@ -26,8 +26,8 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> Da
 
 
 def join_metrics(coverage: DataFrame, metrics: DataFrame, on: str = "split") -> DataFrame:
-    """Per-split coverage next to per-split metrics (both small)."""
-    return coverage.join(F.broadcast(metrics), on, "inner")
+    """Per-split coverage next to per-split metrics; AQE broadcasts what is small."""
+    return coverage.join(metrics, on, "inner")
 
 
 def cache_lookup(df: DataFrame, cache: DataFrame, key_col: str = "cache_key",

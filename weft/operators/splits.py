@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.vectors import as_double, cosine, mean_vector
+from weft.operators.vectors import as_double, cosine, mean_vector, top_k
 from weft.session import cut_lineage, spread
 
 # Centroid tables are collected and broadcast each k-means round; refuse
@@ -34,18 +34,22 @@ def _hash_unit(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
+def isolation(centroids: DataFrame, group: Sequence[str], cluster: str) -> DataFrame:
+    """H8: (group.., cluster, isolation): 1 - the largest cosine of a centroid (``mean``) to
+    another one of its group; by blocks, so the centroids may be many."""
+    side = centroids.select(*group, F.col(cluster).cast("bigint").alias("qid"), F.col("mean").alias("vec"))
+    best = top_k(side, side.withColumnRenamed("qid", "did"), 1, group, exclude_self=True)
+    kind = centroids.schema[cluster].dataType
+    return best.select(*group, F.col("qid").cast(kind).alias(cluster), (1 - F.col("score")).alias("isolation"))
+
+
 def cluster_summary(df: DataFrame, cat: str, cluster: str, vec: str) -> DataFrame:
     """Rows, share of the category, and isolation (1 - max cosine to
     another centroid of the same category) per (category, cluster)."""
     sizes = df.groupBy(cat, cluster).agg(F.count(F.lit(1)).alias("rows"))
     share = sizes.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(cat)))
     cents = mean_vector(df, [cat, cluster], vec)
-    a = cents.select(cat, cluster, F.col("mean").alias("_ca"))
-    b = cents.select(F.col(cat).alias("_cat2"), F.col(cluster).alias("_other"), F.col("mean").alias("_cb"))
-    # centroid table: one row per (category, cluster), bounded by design
-    pairs = a.join(F.broadcast(b), (F.col(cat) == F.col("_cat2")) & (F.col(cluster) != F.col("_other")))
-    iso = pairs.groupBy(cat, cluster).agg((1 - F.max(cosine("_ca", "_cb"))).alias("isolation"))
-    return share.join(iso, [cat, cluster], "left")
+    return share.join(isolation(cents, [cat], cluster), [cat, cluster], "left")
 
 
 def cluster_holdout(summary: DataFrame, cat: str, cluster: str, lo: float = 0.10,

@@ -101,10 +101,10 @@ def encode_ids(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
 
 def encode_ids_sql(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
                    max_len: int = 4096, add_bos: bool = True) -> DataFrame:
-    """K3 in built-in SQL: pieces exploded, broadcast join to the
+    """K3 in built-in SQL: pieces exploded, joined to the
     vocabulary, ids gathered back per document in piece order."""
     ex = df.select(key, F.posexplode(pieces(text_col)).alias("pos", "piece"))
-    joined = ex.join(F.broadcast(vocab), "piece", "left")
+    joined = ex.join(vocab, "piece", "left")
     ids = F.when(F.col("token_id").isNotNull(), F.array(F.col("token_id"))).otherwise(byte_ids(F.col("piece")))
     per = joined.select(key, "pos", ids.alias("ids"))
     packed = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_s"))

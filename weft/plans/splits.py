@@ -165,7 +165,7 @@ FROM sc ORDER BY score, size_error, seed LIMIT 1
 def _assigned(spark, sf):
     e = _emb(spark, sf)
     h = _holdout(spark, sf).select("cat", "label", F.lit(True).alias("_test"))
-    e = e.join(F.broadcast(h), ["cat", "label"], "left").withColumn("_test", F.coalesce("_test", F.lit(False)))
+    e = e.join(h, ["cat", "label"], "left").withColumn("_test", F.coalesce("_test", F.lit(False)))
     n = e.count()
     target = round(0.10 * n)
     rest = e.filter(~F.col("_test")).withColumn("_h", J._hash_unit(F.lit("0"), F.col("vec_id").cast("string")))
@@ -220,7 +220,7 @@ def permutation_test(spark, sf):
     """Held-out shift against 2,000 size-matched random hold-outs per category."""
     e = _emb(spark, sf)
     h = _holdout(spark, sf).select("cat", "label", F.lit(True).alias("held"))
-    e = e.join(F.broadcast(h), ["cat", "label"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    e = e.join(h, ["cat", "label"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     r = J.permutation_test(e, "cat", "vec_id", "embedding", "held", N_PERM, seed=0)
     return r.select(*[F.round(c, 6).alias(c) for c in ("observed_shift", "random_mean", "effect_ratio", "p_value")],
                     "permutations")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weft.functions.hashing import hex64_mod
 from weft.operators import ivf as IVF
 from weft.operators import metrics as M
+from weft.operators import splits as J
 from weft.operators import vectors as V
 from weft.operators.ordering import global_index
 from weft.session import table
@@ -360,14 +361,9 @@ SELECT label, list_transform(c, lambda x: round(x, 6)) AS mean FROM cent
 def centroid_isolation(spark, sf):
     """H8: 1 - max cosine of a label centroid to any other label centroid.
 
-    The centroid table has one row per label (bounded by the number of
-    groups), so its self-join is a small broadcast."""
+    Centroids meet in blocks, so labels may be many."""
     m = V.mean_vector(table(spark, sf, "embeddings"), ["label"], "embedding")
-    a = m.select(F.col("label"), F.col("mean").alias("ca"))
-    b = m.select(F.col("label").alias("other"), F.col("mean").alias("cb"))
-    pairs = a.join(F.broadcast(b), F.col("label") != F.col("other"))
-    return pairs.groupBy("label").agg(
-        F.round(1 - F.max(V.cosine("ca", "cb")), 6).alias("isolation"))
+    return J.isolation(m, [], "label").withColumn("isolation", F.round("isolation", 6))
 
 
 QUERIES["centroid_isolation"] = centroid_isolation
