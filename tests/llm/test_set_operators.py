@@ -241,6 +241,38 @@ def test_surrogates_stay_apart(spark):
     assert len(got) == 3000 and len(set(forms)) == 3000 and real.isdisjoint(forms) and any(r["attempt"] for r in got)
 
 
+def test_checked_numbers_and_addresses(spark):
+    """Cards and accounts count by their check digits, and their surrogates have valid ones."""
+    from weft.llm.surrogates import replace_entities
+    texts = ["card 4012888888881881 end", "order 4012888888881882 end", "pay 4012 8888 8888 1881 now", "17 digits 12345678901234567 x",
+             "to DE89 3704 0044 0532 0130 00, thanks", "to DE89370400440532013000.", "code DE88 3704 0044 0532 0130 00 x",
+             "host 2001:db8:0:1:aa:0:42:8329 up", "host 2001:DB8::8a2e:370:7334 up", "at 12:30:45 or a::b, 10:20", "GB82 WEST 1234 5698 7654 32"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in replace_entities(df, "k").collect()}
+    assert [got[i].n_entities for i in range(len(texts))] == [1, 0, 1, 0, 1, 1, 0, 1, 1, 0, 1]
+    for i in (1, 3, 6, 9):
+        assert got[i].text == texts[i]
+
+    def luhn(d):
+        d = [int(c) for c in d][::-1]
+        return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(d)) % 10 == 0
+
+    def iban(a):
+        a = a[4:] + a[:4]
+        return int("".join(str(int(c, 36)) for c in a)) % 97 == 1
+
+    one = re.search(r"\d{16}", got[0].text).group()
+    assert one != "4012888888881881" and one[0] == "4" and luhn(one)
+    assert got[2].text == f"pay {one[:4]} {one[4:8]} {one[8:12]} {one[12:]} now"
+    account = re.search(r"DE\d{20}", got[5].text).group()
+    assert account != "DE89370400440532013000" and iban(account)
+    assert got[4].text == f"to {' '.join(account[k:k + 4] for k in range(0, 22, 4))}, thanks"
+    gb = re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", got[10].text)
+    assert gb and iban(got[10].text.replace(" ", "")) and got[10].text != texts[10]
+    for i in (7, 8):
+        assert got[i].text != texts[i] and re.sub("[0-9A-Fa-f]", "x", got[i].text[5:-3]) == re.sub("[0-9A-Fa-f]", "x", texts[i][5:-3])
+
+
 # ---- decontamination ------------------------------------------------------------------
 
 @pytest.mark.parametrize("broadcast_rows", [0, 1 << 20])

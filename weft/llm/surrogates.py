@@ -6,8 +6,9 @@ of one entity get one surrogate. The surrogate's characters come from a keyed
 hash of (type, canonical form, attempt): a letter gives a letter of its script and
 case, a digit a digit, and everything else stays, so the format is that of the
 mention. Payment card numbers keep their first digit and a valid check digit,
-addresses keep four octets, and names are drawn from a list of the same gender
-and script.
+account numbers their country and valid check digits, addresses their octets or
+groups, and names are drawn from a list of the same gender and script. A long number
+whose check digits are wrong is no card or account and stays as it is.
 
 Collision checks. Over the distinct entities of all documents, a surrogate may
 neither be an entity that occurs nor the surrogate of another entity; those that
@@ -48,6 +49,9 @@ PATTERNS = {
               r" ?[=:] ?(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"',;]{6,}+)",
     "cloud_key": r"(?<![\p{L}\p{N}])A(?:KIA|SIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+           r"|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\p{L}\p{N}:]|\.\d)",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}])"
@@ -60,13 +64,33 @@ _HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key) ?[=:]|(?:{_TITLE})\.
 MAX_ROUNDS = 64
 
 
+#: types whose surrogate takes the mention's spaces and marks
+_DIGITS = ("card", "phone", "ssn", "iban")
+
+
+def _mod97(code: Column) -> Column:
+    """The remainder by 97 of an account number as ISO 13616 reads it: A is 10, B is 11, ..."""
+    return F.aggregate(F.split(code, ""), F.lit(0), lambda a, c: F.when(
+        c.rlike("[0-9]"), F.pmod(a * 10 + c.try_cast("int"), F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))))
+
+
+def _turned(code: Column) -> Column:
+    """The country and check digits behind the rest."""
+    return F.concat(F.substr(code, F.lit(5)), F.substr(code, F.lit(1), F.lit(4)))
+
+
 def _kind(m: Column) -> Column:
-    """Type of an entity from its text."""
-    digits = F.length(F.regexp_replace(m, r"\D", ""))
+    """Type of an entity from its text; ``number`` is a number that is none."""
+    plain = F.regexp_replace(m, r"\D", "")
+    digits = F.length(plain)
     return (F.when(m.rlike(r"(?i)^[a-z_-]+ ?[=:]"), "secret").when(m.contains("@"), "email")
             .when(m.rlike(r"^A[KS]IA"), "cloud_key").when(m.rlike(r"^\d+(\.\d+){3}$"), "ip")
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\p{L}"), "name")
-            .when((digits >= 13) & m.rlike(r"^\d"), "card").otherwise("phone"))
+            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^[0-9A-Fa-f:]+:[0-9A-Fa-f:]+$"), "ip6")
+            .when(m.rlike(r"^[A-Z]{2}\d{2} ?[A-Z0-9]{4}"),
+                  F.when(_mod97(_turned(F.replace(m, F.lit(" "), F.lit("")))) == 1, "iban").otherwise("number"))
+            .when(m.rlike(r"^\p{L}"), "name")
+            .when((digits >= 13) & m.rlike(r"^\d"), F.when(F.call_function("luhn_check", plain), "card").otherwise("number"))
+            .otherwise("phone"))
 
 
 def _lead(m: Column, kind: Column) -> Column:
@@ -83,7 +107,7 @@ def _gender(lead: Column) -> Column:
 def _canonical(m: Column, kind: Column, lead: Column) -> Column:
     rest = F.substr(m, F.length(lead) + 1)
     return (F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(m, r"\D", ""))
-            .when(kind == "email", F.lower(m))
+            .when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind.isin("email", "ip6"), F.lower(m))
             .when(kind == "secret", F.regexp_replace(rest, r"[\"']$", ""))
             .when(kind == "name", F.concat(_gender(lead), F.lit(":"), rest)).otherwise(rest))
 
@@ -158,9 +182,15 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     host = F.substr(canon, at + 1, F.length(canon) - at - F.length(domain_end))
     mail = F.concat(_reshape(F.substr(canon, F.lit(1), at - 1), s, F.lit(0)), more, F.lit("@"),
                     _reshape(host, F.reverse(s), F.lit(0)), domain_end)
+    account = _reshape(F.substr(canon, F.lit(5)), s, F.lit(0))
+    country = F.substr(canon, F.lit(1), F.lit(2))
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
     n = F.length(canon)
     keep = F.when(n > 10, n - 10).otherwise(0)  # a country code stays
     return (F.when(kind == "ip", octets).when(kind == "card", F.concat(card, _luhn_digit(card)))
+            .when(kind == "iban", F.concat(country, check, account))
+            .when(kind == "ip6", F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(
+                F.lower(F.conv((F.pmod(_byte(s, i), F.lit(15)) + 1).cast("string"), 10, 16)))), ""))
             .when(kind == "email", mail).when(kind == "phone", _reshape(canon, s, keep))
             .when(kind == "cloud_key", _reshape(canon, s, F.lit(4)))
             .when(kind == "name", _pick_name(canon, s))
@@ -171,12 +201,14 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
 def _render(m: Column, kind: Column, lead: Column, form: Column) -> Column:
     """A surrogate in the format of the mention ``m``."""
+    kept_marks = F.when(kind == "iban", r" ").otherwise(r"\D")
     digits = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(
-        c.rlike("[0-9]"), F.substr(form, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), r"\D", "")), F.lit(1)))
+        c.rlike("[0-9]") | (kind == "iban") & (c != " "),
+        F.substr(form, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), kept_marks, F.lit(""))), F.lit(1)))
         .otherwise(c)), "")
     cased = F.when(m == F.upper(m), F.upper(form)).otherwise(form)
     quote = F.when(kind == "secret", F.regexp_extract(F.substr(m, F.length(lead) + 1), r"[\"']$", 0)).otherwise("")
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "email", cased).otherwise(
+    return F.when(kind == "number", m).when(kind.isin(*_DIGITS), digits).when(kind.isin("email", "ip6"), cased).otherwise(
         F.concat(lead, form, quote))
 
 
@@ -232,6 +264,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     none = F.expr("cast(array() as array<struct<m:string,kind:string,lead:string,canon:string>>)")
     rows = rows.withColumn("_e", F.when(has, _mentions(text)).otherwise(none))
     found = docs.select(F.explode(F.when(has, _mentions(text)).otherwise(none)).alias("e")).select("e.kind", "e.canon")
+    found = found.where(F.col("kind") != "number")
     later = kept(assign(found, key).where("attempt > 0"), "later")
     if later.isEmpty():
         rows = rows.withColumn("_later", F.expr("cast(map() as map<string,string>)"))
@@ -251,4 +284,4 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     parts = F.split(text, ENTITY, -1)
     made = F.array_join(F.zip_with(parts, F.transform("_e", new), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     return rows.withColumn(text_col, F.when(F.size("_e") > 0, made).otherwise(text)).withColumn(
-        "n_entities", F.size("_e")).select(*[c for c in docs.columns if c != "n_entities"], "n_entities")
+        "n_entities", F.size(F.filter("_e", lambda e: e["kind"] != "number"))).select(*[c for c in docs.columns if c != "n_entities"], "n_entities")
