@@ -84,15 +84,16 @@ def merge_text_fields(df_columns: Sequence[str], fields: Sequence[str] = TEXT_FI
     return F.array_join(F.array_distinct(kept), "\n")
 
 
-def script_class(col: str | Column) -> Column:
-    """Which scripts a text uses."""
-    c = _c(col)
-    dev = c.rlike(f"[{DEVANAGARI}]")
-    lat = c.rlike(f"[{LATIN}]")
-    return (F.when(dev & lat, "Devanagari + Latin")
-            .when(dev, "Devanagari only")
-            .when(lat, "Latin only")
-            .otherwise("Other"))
+#: fixed values: the scripts that are told apart by default, and their characters
+SCRIPTS = {"Devanagari": DEVANAGARI, "Latin": LATIN}
+
+
+def script_class(col: str | Column, scripts: dict[str, str] = SCRIPTS) -> Column:
+    """Which of ``scripts`` (name: character class) a text uses: their names joined by
+    `` + ``, a single one with `` only``, none ``Other``."""
+    used = F.array_compact(F.array(*[F.when(_c(col).rlike(f"[{chars}]"), name) for name, chars in scripts.items()]))
+    return (F.when(F.size(used) == 0, "Other").when(F.size(used) == 1, F.concat(used[0], F.lit(" only")))
+            .otherwise(F.array_join(used, " + ")))
 
 
 def contains_script(col: str | Column, char_class: str = DEVANAGARI) -> Column:

@@ -85,22 +85,26 @@ def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
 def id_gaps(df: DataFrame, id_col: str, bucket: int = GAP_BUCKET) -> DataFrame:
     """Missing integer ids between min and max, as ranges [start, stop].
 
-    Distinct ids are grouped into fixed-width buckets (at most ``bucket`` ids
-    each); ``lead`` finds gaps inside a bucket, and a second ``lead`` over the
-    small per-bucket (min, max) table finds gaps across bucket edges. No
-    global sort, no driver-side set.
+    Distinct ids are grouped into buckets of ``bucket`` numbers, where ``lead`` finds the
+    gaps; what is left of a bucket is its least and largest id, and these are grouped into
+    buckets of ``bucket`` buckets, and so on. A group holds at most ``bucket`` rows at every
+    level, however sparse the ids, and a handful are left at the top.
     """
-    ids = df.select(F.col(id_col).cast("bigint").alias("_id")).distinct() \
-        .withColumn("_b", F.floor(F.col("_id") / bucket))
-    inner = (ids.withColumn("_next", F.lead("_id").over(Window.partitionBy("_b").orderBy("_id")))
-             .filter(F.col("_next") > F.col("_id") + 1)
-             .select((F.col("_id") + 1).alias("start"), (F.col("_next") - 1).alias("stop")))
-    edges = ids.groupBy("_b").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
-    across = (edges.withColumn("_nlo", F.lead("_lo").over(Window.orderBy("_b")))
-              .filter(F.col("_nlo") > F.col("_hi") + 1)
-              .select((F.col("_hi") + 1).alias("start"), (F.col("_nlo") - 1).alias("stop")))
-    gaps = inner.unionByName(across)
-    return gaps.withColumn("missing", (F.col("stop") - F.col("start") + 1).cast("bigint"))
+    spans = df.select(F.col(id_col).cast("bigint").alias("_lo")).where("_lo IS NOT NULL").distinct().withColumn("_hi", F.col("_lo"))
+    found, width = None, 1
+    while True:
+        top = width > (1 << 62) // bucket
+        width = width if top else width * bucket
+        at = F.lit(0) if top else F.call_function("div", F.col("_lo") - F.pmod("_lo", F.lit(width)), F.lit(width))
+        keyed = spans.withColumn("_b", at)
+        inner = (keyed.withColumn("_next", F.lead("_lo").over(Window.partitionBy("_b").orderBy("_lo")))
+                 .filter(F.col("_next") > F.col("_hi") + 1)
+                 .select((F.col("_hi") + 1).alias("start"), (F.col("_next") - 1).alias("stop")))
+        found = inner if found is None else found.unionByName(inner)
+        if top:
+            break
+        spans = keyed.groupBy("_b").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_b")
+    return found.withColumn("missing", (F.col("stop") - F.col("start") + 1).cast("bigint"))
 
 
 def label_collision(df: DataFrame, positive_col: str, negative_cols: Sequence[str]) -> Column:

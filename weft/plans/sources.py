@@ -17,6 +17,7 @@ from weft.plans import sqlfrag as S
 from weft.plans.fixtures import CORPUS_SPLIT_SQL, corpus_with_split
 from weft.session import table
 from weft.sources import files as IO
+from weft.sources.datasets import parquet_datasets
 from weft.sources import loader as L
 from weft.sources import shards as SH
 from weft.streaming import corpus as ST
@@ -46,6 +47,22 @@ def _bucket():
                                      F.col("turn").cast("string")), 256), 100)
 
 
+def named_datasets(spark, sf):
+    """Rows of each text table, loaded by name, one of them through SQL."""
+    data = parquet_datasets(spark, sf)
+    out = None
+    for name in ("documents", "benchmark", "conversations"):
+        data.get(name)
+        one = spark.sql(f"SELECT '{name}' AS name, count(*) AS rows, count(text) AS texts FROM {name}")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES["named_datasets"] = named_datasets
+ORACLE["named_datasets"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(*) AS rows, count(text) AS texts FROM {n}" for n in ("documents", "benchmark", "conversations"))
+
+
 def pluggable_loader(spark, sf):
     """Conversations written by the sink and read back by a loader, a partition a file."""
     L.register_sink(spark)
@@ -95,7 +112,7 @@ def scan_glob(spark, sf):
     order with one running sample id."""
     path = IO.scratch_path(spark, "glob")
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    (d.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    (d.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
      .write.option("maxRecordsPerFile", 100).partitionBy("lang").json(path))
     return IO.scan_glob(spark, path, "doc_id bigint, source string")
 

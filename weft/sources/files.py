@@ -217,8 +217,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: rows of a table that is written as one CSV file
+MAX_CSV_ROWS = 1_000_000
+
+
 def write_metrics_csv(df: DataFrame, path: str) -> None:
-    """One CSV with a header."""
+    """One CSV with a header. For tables of metrics: more than ``MAX_CSV_ROWS`` rows
+    are an error, as one task writes them."""
+    if df.limit(MAX_CSV_ROWS + 1).count() > MAX_CSV_ROWS:
+        raise DataError(f"more than {MAX_CSV_ROWS} rows are no table of metrics")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
