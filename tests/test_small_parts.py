@@ -46,3 +46,24 @@ def test_a_large_table_is_no_metrics_file(spark, tmp_path, monkeypatch):
     files.write_metrics_csv(spark.range(10), str(tmp_path / "a"))
     with pytest.raises(files.DataError, match="metrics"):
         files.write_metrics_csv(spark.range(11), str(tmp_path / "b"))
+
+
+def test_means_of_groups(spark):
+    """Partial sums of tasks against a plain mean: nulls, shorter vectors, null groups, no group."""
+    import numpy as np
+
+    from weft.operators.vectors import mean_vector
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 7 == 0 else f"g{i % 5}", int(i % 3), rng.normal(size=4 if i % 4 else 6).tolist()) for i in range(400)]
+    rows += [("g1", 0, None), ("g1", 0, []), ("g2", 1, [None, 2.0, None])]
+    df = spark.createDataFrame(rows, "g string, h int, v array<double>").repartition(5)
+    for group in (["g"], ["g", "h"], []):
+        got = {tuple(r[c] for c in group): r["mean"] for r in mean_vector(df, group, "v", normalize=False).collect()}
+        want = {}
+        for g, h, v in rows:
+            for i, x in enumerate(v or []):
+                if x is not None:
+                    want.setdefault(tuple({"g": g, "h": h}[c] for c in group), {}).setdefault(i, []).append(x)
+        assert got.keys() == want.keys()
+        for k, cells in want.items():
+            assert np.allclose(got[k], [np.mean(cells[i]) for i in sorted(cells)], rtol=1e-12)

@@ -12,10 +12,11 @@ follows. Memory per task is block_q x block_d scores whatever the data size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,15 +73,82 @@ def check_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
         F.count_if(F.size(vec) <= 0).alias("empty_vectors"))
 
 
+#: numbers that a task holds before it sends its sums on
+_HELD = 1 << 22
+
+
+def _partial_sums(n_keys: int):
+    """(key.., position, sum, count) of the vectors of each key in this task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        kinds: list = []
+        size = 0
+
+        def rows():
+            keys = list(held)
+            dims = [len(held[k][0]) for k in keys]
+            at = np.repeat(np.arange(len(keys)), dims)
+            columns = [pa.array([k[c] for k in keys], kinds[c]).take(pa.array(at)) for c in range(n_keys)]
+            sums, counts = (np.concatenate([held[k][i] for k in keys]) for i in (0, 1))
+            some = pa.array(counts > 0)
+            columns += [pa.array(np.concatenate([np.arange(d) for d in dims]), pa.int32()), pa.array(sums),
+                        pa.array(counts, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, [*names, "_pos", "_s", "_n"]).filter(some)
+
+        for b in batches:
+            names, kinds = b.schema.names[:n_keys], [b.schema.types[c] for c in range(n_keys)]
+            vectors = b.column(n_keys)
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:n_keys]), strict=True)) if n_keys else [()] * b.num_rows
+            kinds_of = list(dict.fromkeys(keys))
+            number = {k: i for i, k in enumerate(kinds_of)}
+            code = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+            x = vectors.flatten()
+            length = np.diff(vectors.offsets.to_numpy())
+            x, there = x.fill_null(0.0).to_numpy(), x.is_valid().to_numpy(zero_copy_only=False)
+            first = np.cumsum(length) - length
+            for d in np.unique(length).tolist():  # all rows of a length at once
+                if not d:
+                    continue
+                mine = np.flatnonzero(length == d)
+                order = mine[np.argsort(code[mine], kind="stable")]
+                cells = first[order][:, None] + np.arange(d)
+                begins = np.flatnonzero(np.diff(code[order], prepend=-1))
+                sums, counts = np.add.reduceat(x[cells], begins), np.add.reduceat(there[cells].astype(np.int64), begins)
+                for c, s, n in zip(code[order][begins].tolist(), sums, counts, strict=True):
+                    old = held.get(kinds_of[c])
+                    if old is None:
+                        held[kinds_of[c]] = [s.copy(), n.copy()]
+                        size += 2 * d
+                        continue
+                    if len(old[0]) < d:
+                        size += 2 * (d - len(old[0]))
+                        old[0], old[1] = (np.concatenate([o, np.zeros(d - len(o), o.dtype)]) for o in old)
+                    old[0][:d] += s
+                    old[1][:d] += n
+            if size >= _HELD:
+                yield rows()
+                held.clear()
+                size = 0
+        if held:
+            yield rows()
+
+    return run
+
+
 def mean_vector(df: DataFrame, group: Sequence[str], vec: str, normalize: bool = True,
                 out_col: str = "mean") -> DataFrame:
     """H7: per-group component-wise mean (then unit length).
 
-    ``posexplode`` + ``avg`` by (group, position) is a partial aggregate, so
-    a hot group is combined map-side; the result has one small array per group.
+    Every task adds up the vectors of each of its groups and sends one row per group and
+    component, so neither rows nor a hot group's vectors are exploded or gathered. Null
+    vectors and components are left out; shorter vectors count where they reach.
     """
-    ex = df.select(*group, F.posexplode(as_double(vec)).alias("_pos", "_x"))
-    comp = ex.groupBy(*group, "_pos").agg(F.avg("_x").alias("_m"))
+    keys = df.select(*group).schema.fields
+    rows = df.select(*group, as_double(vec).alias("_v")).where(F.col("_v").isNotNull())
+    out = T.StructType([*keys, T.StructField("_pos", T.IntegerType()), T.StructField("_s", T.DoubleType()),
+                        T.StructField("_n", T.LongType())])
+    parts = rows.mapInArrow(_partial_sums(len(keys)), out)
+    comp = parts.groupBy(*group, "_pos").agg((F.sum("_s") / F.sum("_n")).alias("_m"))
     packed = comp.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s"))
     mean = F.transform("_s", lambda s: s["_m"])
