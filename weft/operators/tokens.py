@@ -2,16 +2,17 @@
 
 Pre-tokenization is one regex over the metaspace-normalized text; the
 vocabulary is the top pieces by count (a bounded table, broadcast); unknown
-pieces fall back to byte tokens. Packing never explodes single tokens: each
-document contributes one slice per block it overlaps, and a block gathers at
-most ``block_len`` tokens.
+pieces fall back to byte tokens. Packing moves each token array
+once, to its batch of documents.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,58 +119,66 @@ def encode_ids_sql(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
     return out.unionByName(empty)
 
 
+def _packed(block_len: int):
+    """Blocks of one batch of documents: their tokens in order, an <eos> after each."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        ids = rows.column("input_ids").combine_chunks()
+        n = np.diff(ids.offsets.to_numpy())
+        flat = np.empty(int(n.sum()) + len(n), np.int32)
+        ends = np.cumsum(n + 1) - 1
+        own = np.ones(len(flat), bool)
+        own[ends] = False
+        flat[ends] = EOS
+        flat[own] = ids.flatten().to_numpy()
+        blocks = len(flat) // block_len
+        cut = np.arange(0, (blocks + 1) * block_len, block_len, dtype=np.int32)
+        return pa.table({"batch": pa.array([key[0].as_py()] * blocks, pa.int64()), "block": pa.array(range(blocks), pa.int64()),
+                         "input_ids": pa.ListArray.from_arrays(cut, pa.array(flat[:blocks * block_len]))})
+
+    return run
+
+
 def pack_blocks(encoded: DataFrame, order_idx: str, block_len: int, batch_docs: int = 1000) -> DataFrame:
     """K4: inside batches of ``batch_docs`` documents (by ``order_idx``),
     join documents with <eos>, cut into blocks of ``block_len`` and drop the
-    tail. Output (batch, block, input_ids, attention_mask)."""
-    L = block_len
-    d = (encoded.withColumn("batch", F.floor(F.col(order_idx) / batch_docs))
-         .withColumn("toks", F.concat("input_ids", F.array(F.lit(EOS))))
-         .withColumn("len", F.size("toks")))
-    w = Window.partitionBy("batch").orderBy(order_idx)  # at most batch_docs rows
-    d = (d.withColumn("start", F.sum("len").over(w) - F.col("len"))
-         .withColumn("usable", F.sum("len").over(Window.partitionBy("batch")))
-         .withColumn("usable", F.col("usable") - F.col("usable") % L))
-    d = d.filter(F.col("start") < F.col("usable"))
-    first_b = F.floor(F.col("start") / L)
-    last_b = F.floor((F.least(F.col("start") + F.col("len"), F.col("usable")) - 1) / L)
-    parts = d.withColumn("block", F.explode(F.sequence(first_b, last_b)))
-    lo = F.greatest(F.col("block") * L, F.col("start"))
-    hi = F.least((F.col("block") + 1) * L, F.col("start") + F.col("len"))
-    parts = parts.select("batch", "block", "start",
-                         F.slice("toks", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
-    blocks = parts.groupBy("batch", "block").agg(
-        F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("_s"))
-    ids = F.flatten(F.transform("_s", lambda s: s["piece"]))
-    return blocks.select(F.col("batch").cast("bigint"), F.col("block").cast("bigint"),
-                         ids.alias("input_ids"), F.array_repeat(F.lit(1), L).alias("attention_mask"))
-
-
-def _u(seed, block_key: Column, pos: Column, start: int) -> Column:
-    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), block_key.cast("string"), pos.cast("string")), 256)
-    return F.conv(F.substring(h, start, 8), 16, 10).cast("double") / float(16 ** 8)
+    tail. Output (batch, block, input_ids, attention_mask).
+
+    The tokens move once, to their batch, which is one group: at most ``batch_docs``
+    documents of the length that the encoder cuts them to.
+    """
+    d = encoded.select(F.floor(F.col(order_idx) / batch_docs).cast("bigint").alias("batch"),
+                       F.col(order_idx).cast("bigint").alias("_at"),
+                       F.coalesce("input_ids", F.array().cast("array<int>")).alias("input_ids"))
+    blocks = d.groupBy("batch").applyInArrow(_packed(block_len), "batch bigint, block bigint, input_ids array<int>")
+    return blocks.withColumn("attention_mask", F.array_repeat(F.lit(1), block_len))
+
+
+def _unit(digest: Column, start: int) -> Column:
+    """A number in [0, 1) from eight hexadecimal digits of a digest."""
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / float(16 ** 8)
 
 
 def mask_tokens(blocks: DataFrame, block_key: str, vocab_size: int, prob: float = 0.30,
                 seed: int = 0) -> DataFrame:
     """K5: choose ``prob`` of the positions by a hash of (seed, block, pos);
     labels keep the chosen ids and are -100 elsewhere; chosen inputs become
-    <mask> (80 %), a hashed random id (10 %) or stay (10 %)."""
-    k = F.col(block_key)
-    idx = F.sequence(F.lit(0), F.size("input_ids") - 1)
-    z = F.arrays_zip(F.col("input_ids").alias("t"), idx.alias("i"))
-
-    def label(s):
-        return F.when(_u(seed, k, s["i"], 1) < prob, s["t"]).otherwise(F.lit(-100))
-
-    def inp(s):
-        chosen = _u(seed, k, s["i"], 1) < prob
-        r = _u(seed, k, s["i"], 9)
-        rnd = (F.floor(_u(seed, k, s["i"], 17) * vocab_size)).cast("int")
-        return (F.when(chosen & (r < 0.8), F.lit(MASK)).when(chosen & (r < 0.9), rnd)
-                .otherwise(s["t"]))
-    return blocks.withColumn("labels", F.transform(z, label)).withColumn(
-        "input_ids", F.transform(z, inp))
+    <mask> (80 %), a hashed random id (10 %) or stay (10 %). A position has one digest,
+    of which three parts decide."""
+    key = F.col(block_key).cast("string")
+    made = F.transform("input_ids", lambda t, i: F.struct(
+        t.alias("t"), F.sha2(F.concat_ws(":", F.lit(str(seed)), key, i.cast("string")), 256).alias("h")))
+
+    def drawn(z):
+        how = _unit(z["h"], 9)
+        other = F.floor(_unit(z["h"], 17) * vocab_size).cast("int")
+        chosen = _unit(z["h"], 1) < prob
+        return F.struct(F.when(chosen, z["t"]).otherwise(F.lit(-100)).alias("label"), F.when(
+            chosen, F.when(how < 0.8, F.lit(MASK)).when(how < 0.9, other).otherwise(z["t"])).otherwise(z["t"]).alias("id"))
+
+    with_draw = blocks.withColumn("_z", F.transform(made, drawn))
+    return with_draw.withColumn("labels", F.transform("_z", lambda z: z["label"])).withColumn(
+        "input_ids", F.transform("_z", lambda z: z["id"])).drop("_z")
 
 
 def previous_token_predictions(ids: str | Column) -> Column:
