@@ -203,9 +203,11 @@ def round_robin_quota(rows: DataFrame, group: str, order: Sequence[str], total:
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
                                     *([F.min(group_index).alias(group_index)] if group_index else []))
     quotas = cut_lineage(round_robin_quotas(sizes, group, total, group_index))
-    placed = null_safe_join(positions_in_group(rows, [group], list(order), "_pos"), quotas, [group])
-    return (placed.filter(F.col("_pos") < F.col("quota"))
-            .withColumn("round", F.col("_pos") + 1).drop("_pos", "quota"))
+    # only (group, order) is indexed; of the rows those that are taken move, once
+    keys = positions_in_group(rows.select(group, *order), [group], list(order), "_pos")
+    taken = null_safe_join(keys, quotas, [group]).filter(F.col("_pos") < F.col("quota")).select(
+        group, *order, (F.col("_pos") + 1).alias("round"))
+    return null_safe_join(rows, taken, [group, *order])
 
 
 def prepare_corpus_rows(docs: DataFrame, text_col: str = "text", source_col: str = "source",
