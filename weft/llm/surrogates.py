@@ -169,26 +169,34 @@ def _pick_name(canon: Column, stream: Column) -> Column:
     return F.when(rest.rlike("[ -]"), F.concat(first, F.regexp_extract(rest, "[ -]", 0), of(61))).otherwise(first)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value written and computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of the surrogate."""
-    s = _stream(kind, canon, attempt, key)
+    return _let(_stream(kind, canon, attempt, key), lambda s: _form(kind, canon, attempt, s))
+
+
+def _form(kind: Column, canon: Column, attempt: Column, s: Column) -> Column:
     more = F.when(attempt >= 8, F.substr(s, F.lit(300), F.least(attempt - 7, F.lit(40)))).otherwise("")  # small spaces
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
         F.pmod(_byte(s, i) * 256 + _byte(s, i + 8), F.lit(254)) + 1).cast("string")), ".")
     body = F.substr(canon, F.lit(1), F.length(canon) - 1)
-    card = _reshape(body, s, F.lit(1))
+    card = _let(_reshape(body, s, F.lit(1)), lambda x: F.concat(x, _luhn_digit(x)))
     at = F.instr(canon, "@")
     domain_end = F.regexp_extract(canon, r"\.[^.]+$", 0)
     host = F.substr(canon, at + 1, F.length(canon) - at - F.length(domain_end))
     mail = F.concat(_reshape(F.substr(canon, F.lit(1), at - 1), s, F.lit(0)), more, F.lit("@"),
                     _reshape(host, F.reverse(s), F.lit(0)), domain_end)
-    account = _reshape(F.substr(canon, F.lit(5)), s, F.lit(0))
     country = F.substr(canon, F.lit(1), F.lit(2))
-    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    account = _let(_reshape(F.substr(canon, F.lit(5)), s, F.lit(0)), lambda x: F.concat(
+        country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
     n = F.length(canon)
     keep = F.when(n > 10, n - 10).otherwise(0)  # a country code stays
-    return (F.when(kind == "ip", octets).when(kind == "card", F.concat(card, _luhn_digit(card)))
-            .when(kind == "iban", F.concat(country, check, account))
+    return (F.when(kind == "ip", octets).when(kind == "card", card)
+            .when(kind == "iban", account)
             .when(kind == "ip6", F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(
                 F.lower(F.conv((F.pmod(_byte(s, i), F.lit(15)) + 1).cast("string"), 10, 16)))), ""))
             .when(kind == "email", mail).when(kind == "phone", _reshape(canon, s, keep))
@@ -214,11 +222,14 @@ def _render(m: Column, kind: Column, lead: Column, form: Column) -> Column:
 
 def _mentions(text: Column) -> Column:
     """Entities of a text in order, as structs (m, kind, lead, canon)."""
-    def describe(m):
-        kind = _kind(m)
-        lead = _lead(m, kind)
-        return F.struct(m.alias("m"), kind.alias("kind"), lead.alias("lead"), _canonical(m, kind, lead).alias("canon"))
-    return F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), describe)
+    # a step for each part, so that each is written once in the plan and computed once per mention
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    found = F.transform(found, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    found = F.transform(found, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"),
+                                                  _lead(e["m"], e["kind"]).alias("lead")))
+    return F.transform(found, lambda e: F.struct(
+        e["m"].alias("m"), e["kind"].alias("kind"), e["lead"].alias("lead"),
+        _canonical(e["m"], e["kind"], e["lead"]).alias("canon")))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -279,7 +290,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     def new(e):
         form = F.coalesce(F.get(F.map_values(F.map_filter("_later", lambda k, _: k == F.concat_ws("|", e["kind"], e["canon"]))), F.lit(0)),
                           surrogate(e["kind"], e["canon"], F.lit(0), key))
-        return _render(e["m"], e["kind"], e["lead"], form)
+        return _let(form, lambda f: _render(e["m"], e["kind"], e["lead"], f))
 
     parts = F.split(text, ENTITY, -1)
     made = F.array_join(F.zip_with(parts, F.transform("_e", new), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
