@@ -111,6 +111,16 @@ def test_apply_batches_retry_halving_and_fallback(spark):
     assert all(r["translated_text"] == r["cache_key"].replace("k", "T") for r in flaky.values())
 
 
+def test_apply_batches_keeps_many_batches_of_a_task_apart(spark):
+    rows = [(f"k{i:04d}", f"t{i}", g, i // 3) for g in ("a", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "cache_key string, text string, g string, batch long").repartition(3)
+    out = L.apply_batches(df, [lambda texts: [f"{','.join(texts)}" for _ in texts]], group=["g"], retries=0)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()  # a Python group per batch took milliseconds each
+    got = sorted((r["cache_key"], r["translated_text"]) for r in out.collect())
+    want = {i: ",".join(f"t{j}" for j in range(i - i % 3, min(500, i - i % 3 + 3))) for i in range(500)}
+    assert got == sorted((f"k{i:04d}", want[i]) for i in range(500) for _ in "ab")
+
+
 def test_cache_upsert_newest_wins(spark):
     old = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0)], "cache_key string, translated_text string, created_at double")
     new = spark.createDataFrame([("a", "x2", 2.0), ("c", "z", 2.0)], "cache_key string, translated_text string, created_at double")

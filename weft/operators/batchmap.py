@@ -3,7 +3,7 @@
 The reference ran threads, queues and an HTTP client; here concurrency is
 the partition count. Texts are de-duplicated and looked up in a cache table
 first; only misses are batched (greedy, in order, by row and character
-limits) and sent, one ``applyInPandas`` group per batch, to a plain Python
+limits) and sent, batch by batch in the tasks, to a plain Python
 callable. A failing batch is halved until single rows; a failing row moves
 to the next client; errors become rows, never job failures. Results are
 upserted into the cache (newest wins), so a re-run only fills misses.
@@ -12,10 +12,11 @@ upserted into the cache (newest wins), so a re-run only fills misses.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,17 +174,38 @@ RESULT_SCHEMA = T.StructType([
 def apply_batches(batches: DataFrame, clients: Sequence[Client], batch_col: str = "batch",
                   key_col: str = "cache_key", text_col: str = "text", retries: int = 2,
                   backoff: float = 0.05, group: Sequence[str] = ()) -> DataFrame:
-    """L2: run every batch through the clients (fallback order); one task group
-    per (``group`` columns, batch), so a batch is bounded by the batching limits
-    and batches of different groups never meet."""
+    """L2: run every batch through the clients (fallback order), the rows of a batch in key
+    order. The rows of a (``group`` columns, batch) lie one after the other in a task, which
+    holds one batch at a time, bounded by the batching limits; batches of different groups
+    never meet."""
     clients = list(clients)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key_col)
-        rows = _translate(clients, pdf[key_col].tolist(), pdf[text_col].tolist(), retries, backoff)
-        return pd.DataFrame(rows, columns=["cache_key", "translated_text", "client", "error"])
-
-    return batches.groupBy(*group, batch_col).applyInPandas(run, RESULT_SCHEMA)
+    names = [*group, batch_col]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        kind = None
+
+        def sent() -> list[tuple]:
+            return _translate(clients, [k for k, _ in held], [t for _, t in held], retries, backoff) if held else []
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                columns, (pa.string(), pa.string(), pa.int32(), pa.string()))], RESULT_SCHEMA.names)
+
+        for part in parts:
+            done = []
+            kinds = zip(*(part.column(i).to_pylist() for i in range(len(names))))
+            for this, *row in zip(kinds, *(part.column(i).to_pylist() for i in (-2, -1))):
+                if this != kind:
+                    done += sent()
+                    held, kind = [], this
+                held.append(tuple(row))
+            yield table(done)
+        yield table(sent())
+
+    rows = batches.select(*names, F.col(key_col).alias("_key"), F.col(text_col).alias("_text")).repartition(*names)
+    return rows.sortWithinPartitions(*names, F.asc_nulls_last("_key")).mapInArrow(run, RESULT_SCHEMA)
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, key_col: str = "cache_key",
