@@ -38,10 +38,12 @@ BLOCK, QUERIES = 4096, 1024
 
 def _rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Vectors of a column as unit rows; one that is null or of another length is zero."""
-    out = np.zeros((len(column), dim))
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim:
-            out[i] = v
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    out = np.zeros((len(lists), dim))
+    fits = lists.value_lengths().fill_null(-1).to_numpy() == dim
+    if fits.any():
+        flat = lists.filter(pa.array(fits)).flatten().fill_null(np.nan)
+        out[fits] = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
     return V._unit(out)
 
 
@@ -217,50 +219,68 @@ def calibrate(index: Index, queries: DataFrame, corpus: DataFrame, k: int, recal
     return max(1, len(index.centroids)), 1.0
 
 
-def _undecided(shared, blocks: pd.DataFrame, dim: int):
-    """For every query the vectors that lie above its threshold for sure (block -1, ``n``),
-    and the blocks whose bounds do not tell."""
-    cell = blocks["cell"].to_numpy()
-    lo, hi, n, name = (blocks[c].to_numpy() for c in ("lo", "hi", "n", "block"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                u = _rows(part.column("vec"), dim)
-                t = np.arccos(np.clip(u @ centroids.T, -1, 1))[:, cell]
-                bar = part.column("thr").to_numpy(zero_copy_only=False)[:, None]
-                least = np.maximum(np.maximum(t - hi, lo - t), 0)  # angles of the ring, from
-                most = np.minimum(t + hi, np.pi)                   # and to
-                eps = 1e-9  # angles lose digits near 0 and pi
-                zero = (np.linalg.norm(u, axis=1) == 0)[:, None]
-                above = (np.cos(most) > bar + eps) & ~zero
-                open_ = ((np.cos(least) >= bar - eps) | zero) & ~above
-                i, j = np.nonzero(open_)
-                out = part.take(pa.array(i))
-                sure = (above * n).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([part.column("qid"), out.column("qid")]),
-                     pa.concat_arrays([pa.nulls(part.num_rows, part.column("vec").type), out.column("vec")]),
-                     pa.concat_arrays([part.column("thr"), out.column("thr")]),
-                     pa.array(np.concatenate([np.full(part.num_rows, -1), name[j]]).astype(np.int64)),
-                     pa.array(np.concatenate([sure, np.zeros(len(i))]).astype(np.int64))],
-                    ["qid", "vec", "thr", "block", "n"])
+def _packed(dim: int):
+    """The vectors of one block as one row."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        did = t.column("did")
+        return pa.table({"d_block": pa.array([key[0].as_py()], pa.int64()),
+                         "d_ids": pa.array([did.fill_null(0).to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                         "d_known": pa.array([did.is_valid().to_numpy().tobytes()], pa.binary()),
+                         "d_vecs": pa.array([_rows(t.column("vec"), dim).tobytes()], pa.binary())})
 
     return run
 
 
-def _above(dim: int, exclude_self: bool):
-    def run(q: pa.Table, d: pa.Table) -> pa.Table:
-        qid, did = q.column("qid").to_numpy(), d.column("did").to_numpy()
-        if not len(qid) or not len(did):
-            return pa.table({"qid": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        s = _rows(q.column("vec"), dim) @ _rows(d.column("vec"), dim).T
-        if exclude_self:
-            s[qid[:, None] == did[None, :]] = -np.inf
-        n = (s > q.column("thr").to_numpy()[:, None] + V.TIE_EPS).sum(axis=1)
-        return pa.table({"qid": qid, "n": n.astype(np.int64)})
+def _above(shared, blocks: pd.DataFrame, dim: int, exclude_self: bool):
+    """For every query of a task the vectors above its threshold: those of a block whose bounds
+    tell count wholly or not at all, the others are multiplied. A query's own vector is
+    taken out of a block that counts wholly."""
+    of = blocks.set_index("block")[["cell", "lo", "hi", "n"]].to_dict("index")
+    eps = 1e-9  # angles lose digits near 0 and pi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, held = shared.value, {}
+
+        def done():
+            for q, _, found in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(q["id"], mask=~q["known"]), *map(pa.array, found)],
+                                                 ["qid", "n", "pairs", "products"])
+            held.clear()
+
+        for b in batches:
+            for i in range(b.num_rows):
+                x = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
+                u = np.frombuffer(x["q_vecs"].as_buffer(), np.float64).reshape(-1, dim)
+                name = x["q_block"].as_py()
+                if name not in held:
+                    if sum(len(q) for q, _, _ in held.values()) >= 2 * V.HELD_QUERIES:
+                        yield from done()
+                    q = np.frombuffer(x["q_rows"].as_buffer(), V._ROW).copy()
+                    held[name] = q, ~u.any(axis=1), np.zeros((3, len(q)), np.int64)
+                q, zero, (n, pairs, products) = held[name]
+                block = of[x["d_block"].as_py()]
+                t = np.arccos(np.clip(u @ centroids[block["cell"]], -1, 1))
+                least = np.maximum(np.maximum(t - block["hi"], block["lo"] - t), 0)  # angles of the ring, from
+                most = np.minimum(t + block["hi"], np.pi)                            # and to
+                above = (np.cos(most) > q["thr"] + eps) & ~zero
+                open_ = np.flatnonzero(((np.cos(least) >= q["thr"] - eps) | zero) & ~above)
+                pairs += 1
+                products[open_] += 1
+                n[above] += int(block["n"])
+                if not len(open_) and not (exclude_self and above.any()):
+                    continue
+                did, known = np.frombuffer(x["d_ids"].as_buffer(), np.int64), np.frombuffer(x["d_known"].as_buffer(), "?")
+                own = np.flatnonzero(np.isin(q["id"], did[known]) & q["known"]) if exclude_self else np.zeros(0, np.int64)
+                for r in own[above[own]].tolist():
+                    n[r] -= ((did == q["id"][r]) & known).sum()
+                v = np.frombuffer(x["d_vecs"].as_buffer(), np.float64).reshape(-1, dim)
+                for at in range(0, len(open_), 512):
+                    part = open_[at:at + 512]
+                    s = u[part] @ v.T
+                    for r in np.flatnonzero(np.isin(part, own)).tolist():
+                        s[r, (did == q["id"][part[r]]) & known] = -np.inf
+                    n[part] += (s > q["thr"][part][:, None] + V.TIE_EPS).sum(axis=1)
+        yield from done()
 
     return run
 
@@ -268,26 +288,24 @@ def _above(dim: int, exclude_self: bool):
 def count_above(index: Index, queries: DataFrame, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """((qid, above), (pairs, products)): how many vectors score strictly above ``thr``, and
     how many pairs of a query and a block there were and had to be multiplied. With
-    ``exclude_self`` a query's own vector is taken out of what its block counts for sure."""
-    q = queries.select(F.col("qid").cast("long").alias("qid"), V.as_double("vec").alias("vec"),
-                       F.col("thr").cast("double").alias("thr"))
-    seen = cut_lineage(q.mapInArrow(_undecided(index.shared, index.blocks, index.dim),
-                                    "qid long, vec array<double>, thr double, block long, n long"))
-    left, right = _pair_rows(index, seen.where("block >= 0").select("qid", "vec", "thr", "block"))
-    part = left.cogroup(right).applyInArrow(_above(index.dim, exclude_self), "qid long, n long")
-    sure = seen.where("block < 0").select("qid", "n")
-    counted = sure.unionByName(part)
-    if exclude_self:
-        # a query found in the corpus scores 1 with itself: it is in a block that counts for sure, or was left out
-        own = (seen.where("block >= 0").select("qid", "block").join(
-            index.rows.select(F.col("did").alias("qid"), "block"), ["qid", "block"]).select("qid").distinct())
-        held = q.join(index.rows.select(F.col("did").alias("qid")), "qid", "left_semi").where(F.col("thr") < 1 - 1e-9)
-        counted = counted.unionByName(held.join(own, "qid", "left_anti").where(
-            F.exists("vec", lambda x: x != 0)).select("qid", F.lit(-1).cast("long").alias("n")))
-    above = counted.groupBy("qid").agg(F.sum("n").alias("above"))
-    work = seen.agg((F.count_if(F.col("block") < 0) * len(index.blocks)).alias("pairs"),
-                    F.count_if(F.col("block") >= 0).alias("products"))
-    return above, work
+    ``exclude_self`` a query's own vector does not count. Queries and blocks are packed and
+    checkpointed; a task reads the blocks one after the other for its queries, so neither is
+    copied through a shuffle."""
+    size = queries.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(size / V.HELD_QUERIES), min(3 * cores, math.ceil(size / QUERIES)))
+    reads = max(1, math.ceil(index.size * index.dim / V.CORPUS_NUMBERS))
+    # a vector of another length counts as zero, as it does in the index
+    fit = F.when(F.size("vec") == index.dim, V.as_double("vec"))
+    qs = V._blocks(queries.select("qid", fit.alias("vec"), "thr"), "qid", (), tasks, QUERIES, index.dim, "q")
+    ds = index.rows.groupBy("block").applyInArrow(
+        _packed(index.dim), "d_block long, d_ids binary, d_known binary, d_vecs binary")
+    ds = cut_lineage(ds.repartition(reads))
+    pairs = qs.select("q_block", "q_rows", "q_vecs").join(ds.hint("shuffle_replicate_nl")).coalesce(tasks)
+    seen = cut_lineage(pairs.mapInArrow(_above(index.shared, index.blocks, index.dim, exclude_self),
+                                        "qid long, n long, pairs long, products long"))
+    return seen.groupBy("qid").agg(F.sum("n").alias("above")), seen.agg(F.sum("pairs").alias("pairs"),
+                                                                        F.sum("products").alias("products"))
 
 
 def global_rank(index: Index, queries: DataFrame, best: DataFrame, exclude_self: bool = False) -> DataFrame:
