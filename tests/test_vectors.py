@@ -181,3 +181,26 @@ def test_split_invariants_report_violations(spark):
     assert got == {("missing_d", "test=b"), ("missing_d", "test=c"), ("missing_d", "train=c"),
                    ("missing_d", "valid=a"), ("missing_d", "valid=b"), ("split_count", "test"),
                    ("test_outside_holdout", "row")}
+
+
+def test_block_pairs_move_rows_once_with_groups_nulls_and_ties(spark):
+    rows = [(g, i, [float((i * 7 + j) % 5) for j in range(3)] if i % 11 else None, i % 3)
+            for g in ("a", None) for i in range(70)]
+    df = spark.createDataFrame(rows, "g string, i long, vec array<double>, lab long")
+    q, d = df.withColumnRenamed("i", "qid"), df.withColumnRenamed("i", "did")
+    out = V.block_pairs(q, d, "topk", 4, ["g"], True, block_q=16, block_d=9)
+    assert "Generate" not in out._jdf.queryExecution().toString()  # rows were copied once per block of the other side
+    got = {(r["g"], r["qid"], r["rank"]): r["did"] for r in V.top_k(q, d, 4, ["g"], True, block_q=16, block_d=9).collect()}
+    x = np.array([v or [0.0] * 3 for _, _, v, _ in rows[:70]])
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    s = np.round(x @ x.T, 12)
+    for i in range(70):
+        order = [j for j in np.lexsort((np.arange(70), -s[i])).tolist() if j != i][:4]
+        for g in ("a", None):
+            assert [got[g, i, r] for r in range(1, 5)] == order
+    best = {(r["g"], r["qid"]): r["value"] for r in V.block_pairs(q, d, "best_relevant", 0, ["g"], True, 16, 9)
+            .groupBy("g", "qid").agg(F.max("value").alias("value")).collect()}
+    assert len(best) == 140
+    assert all(abs(best[g, i] - max(s[i, j] for j in range(70) if j != i and j % 3 == i % 3)) < 1e-9
+               for g in ("a", None) for i in range(70))
