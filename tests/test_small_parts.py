@@ -67,3 +67,20 @@ def test_means_of_groups(spark):
         assert got.keys() == want.keys()
         for k, cells in want.items():
             assert np.allclose(got[k], [np.mean(cells[i]) for i in sorted(cells)], rtol=1e-12)
+
+
+def test_mask_tokens_by_one_digest_in_python(spark):
+    import hashlib
+
+    from weft.operators import tokens as K
+    rows = [("a", [7, 8, 9] * 40), (None, [1, None, 3]), ("n", None), ("e", [])]
+    out = K.mask_tokens(spark.createDataFrame(rows, "k string, input_ids array<int>"), "k", 50, 0.3, 4)
+    assert "sha2" not in out._jdf.queryExecution().toString()  # a lambda over every position in SQL took microseconds
+    got = {r["k"]: (r["input_ids"], r["labels"]) for r in out.collect()}
+    assert got["n"] == (None, None) and got["e"] == ([], [])
+    for key, ids in rows[:2]:
+        for i, t in enumerate(ids):
+            h = hashlib.sha256(f"4:{key}:{i}".encode() if key else f"4:{i}".encode()).hexdigest()
+            u, how, r = (int(h[x:x + 8], 16) / 2 ** 32 for x in (0, 8, 16))
+            want = (t, -100) if u >= 0.3 else (K.MASK if how < 0.8 else int(r * 50) if how < 0.9 else t, t)
+            assert (got[key][0][i], got[key][1][i]) == want

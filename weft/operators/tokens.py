@@ -8,7 +8,9 @@ once, to its batch of documents.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,9 +156,35 @@ def pack_blocks(encoded: DataFrame, order_idx: str, block_len: int, batch_docs:
     return blocks.withColumn("attention_mask", F.array_repeat(F.lit(1), block_len))
 
 
-def _unit(digest: Column, start: int) -> Column:
-    """A number in [0, 1) from eight hexadecimal digits of a digest."""
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / float(16 ** 8)
+def _drawn(vocab_size: int, prob: float, seed: int):
+    """Blocks with their masked ``input_ids`` and ``labels``; the last column is the key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, tails = hashlib.sha256, []
+        for b in batches:
+            names = b.schema.names[:-1]
+            at = names.index("input_ids")
+            ids = b.column(at)
+            sizes = ids.value_lengths().fill_null(0).to_numpy()
+            flat = ids.flatten()
+            t, known = flat.fill_null(0).to_numpy(), flat.is_valid().to_numpy(zero_copy_only=False)
+            tails += [str(i).encode() for i in range(len(tails), int(sizes.max(initial=0)))]
+            digests = []
+            for key, n in zip(b.column(b.num_columns - 1).to_pylist(), sizes.tolist(), strict=True):
+                head = (f"{seed}:" if key is None else f"{seed}:{key}:").encode()
+                digests += [sha(head + x).digest() for x in tails[:n]]
+            u = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 8)[:, :3] / float(16 ** 8)
+            chosen = u[:, 0] < prob
+            other = np.floor(u[:, 2] * vocab_size).astype(np.int32)
+            new = np.where(u[:, 1] < 0.8, MASK, np.where(u[:, 1] < 0.9, other, t))
+            # a position without an id gets one where it is chosen and replaced
+            made = pa.array(np.where(chosen, new, t).astype(np.int32), mask=~known & ~(chosen & (u[:, 1] < 0.9)))
+            labels = pa.array(np.where(chosen, t, -100).astype(np.int32), mask=~known & chosen)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x, mask=ids.is_null()) for x in (made, labels)]
+            columns = [lists[0] if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, lists[1]], [*names, "labels"])
+
+    return run
 
 
 def mask_tokens(blocks: DataFrame, block_key: str, vocab_size: int, prob: float = 0.30,
@@ -164,21 +192,11 @@ def mask_tokens(blocks: DataFrame, block_key: str, vocab_size: int, prob: float
     """K5: choose ``prob`` of the positions by a hash of (seed, block, pos);
     labels keep the chosen ids and are -100 elsewhere; chosen inputs become
     <mask> (80 %), a hashed random id (10 %) or stay (10 %). A position has one digest,
-    of which three parts decide."""
-    key = F.col(block_key).cast("string")
-    made = F.transform("input_ids", lambda t, i: F.struct(
-        t.alias("t"), F.sha2(F.concat_ws(":", F.lit(str(seed)), key, i.cast("string")), 256).alias("h")))
-
-    def drawn(z):
-        how = _unit(z["h"], 9)
-        other = F.floor(_unit(z["h"], 17) * vocab_size).cast("int")
-        chosen = _unit(z["h"], 1) < prob
-        return F.struct(F.when(chosen, z["t"]).otherwise(F.lit(-100)).alias("label"), F.when(
-            chosen, F.when(how < 0.8, F.lit(MASK)).when(how < 0.9, other).otherwise(z["t"])).otherwise(z["t"]).alias("id"))
-
-    with_draw = blocks.withColumn("_z", F.transform(made, drawn))
-    return with_draw.withColumn("labels", F.transform("_z", lambda z: z["label"])).withColumn(
-        "input_ids", F.transform("_z", lambda z: z["id"])).drop("_z")
+    of which the first three numbers of 32 bits decide."""
+    ints = T.ArrayType(T.IntegerType())
+    kinds = [T.StructField(f.name, ints if f.name == "input_ids" else f.dataType) for f in blocks.schema.fields]
+    rows = blocks.withColumn("input_ids", F.col("input_ids").cast(ints)).withColumn("_key", F.col(block_key).cast("string"))
+    return rows.mapInArrow(_drawn(vocab_size, prob, seed), T.StructType([*kinds, T.StructField("labels", ints)]))
 
 
 def previous_token_predictions(ids: str | Column) -> Column:
