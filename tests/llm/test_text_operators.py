@@ -286,3 +286,21 @@ def test_piece_scan_table(docs, empty, chunk):
     want = [(i, len(e), zlib.crc32(np.array(e, "<i4").tobytes()), True) for i, t, *_ in rows() for e in [sp.encode(t or "")]]
     assert sort(tuple(r) for r in got) == sort(want)
     assert S.encode_ids(empty, path).collect() == []
+
+
+def test_trie_levels_are_built_and_searched_in_parts():
+    import tracemalloc
+
+    from weft.llm import elias_fano as EF
+    values = np.arange(1 << 20, dtype=np.uint64) * np.uint64(37)
+    tracemalloc.start()
+    try:
+        made = EF.encode(values, 1 << 27)
+        encoded = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        found = EF.Sequence(made).find(values)
+        searched = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (found == np.arange(1 << 20)).all()
+    assert max(encoded, searched) < 48 << 20  # six numbers a value; there were some twenty

@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: values that a step works on at once: its temporary arrays do not grow with the sequence
+AT_ONCE = 1 << 17
 
 
 def pack_low(values: np.ndarray, bits: int) -> np.ndarray:
@@ -20,12 +22,14 @@ def pack_low(values: np.ndarray, bits: int) -> np.ndarray:
     words = np.zeros(n * bits // 64 + 2, U)
     if n == 0 or bits == 0:
         return words
-    at = np.arange(n, dtype=np.int64) * bits
-    word, shift = at >> 6, (at & 63).astype(U)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-    over = np.where(shift > 0, values >> ((U(64) - shift) & U(63)), U(0))
-    words[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+    for lo in range(0, n, AT_ONCE):  # starts on a word's first bit
+        part = values[lo:lo + AT_ONCE]
+        at = np.arange(lo, lo + len(part), dtype=np.int64) * bits
+        word, shift = at >> 6, (at & 63).astype(U)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[first]] |= np.bitwise_or.reduceat(part << shift, first)
+        over = np.where(shift > 0, part >> ((U(64) - shift) & U(63)), U(0))
+        words[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
     return words
 
 
@@ -43,10 +47,11 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     n = len(values)
     bits = max(0, (universe // n).bit_length() - 1) if n else 0
     low = pack_low(values & U((1 << bits) - 1), bits)
-    high = (values >> U(bits)).astype(np.int64)
-    length = n + (int(high[-1]) if n else 0) + 1
+    length = n + (int(values[-1] >> U(bits)) if n else 0) + 1
     marks = np.zeros((length + 127) // 64 * 64, np.uint8)
-    marks[high + np.arange(n)] = 1
+    for lo in range(0, n, AT_ONCE):
+        part = values[lo:lo + AT_ONCE]
+        marks[(part >> U(bits)).astype(np.int64) + np.arange(lo, lo + len(part))] = 1
     vector = np.packbits(marks, bitorder="little").view(U)
     head = np.array([n, bits, len(low), len(vector)], np.int64)
     return head.tobytes() + low.tobytes() + vector.tobytes()
@@ -114,7 +119,11 @@ class Sequence:
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Position of each of ``values``, -1 where it isn't there."""
-        at = self.successor(values)
-        ok = at < self.n
-        ok[ok] = self.get(at[ok]) == values[ok]
-        return np.where(ok, at, -1)
+        out = np.full(len(values), -1, np.int64)
+        for lo in range(0, len(values), AT_ONCE):
+            part = values[lo:lo + AT_ONCE]
+            at = self.successor(part)
+            ok = np.flatnonzero(at < self.n)
+            ok = ok[self.get(at[ok]) == part[ok]]
+            out[lo + ok] = at[ok]
+        return out

@@ -186,89 +186,120 @@ def _route(n_shards: int, order: int):
     return run
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each value among them, in 32 bits."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+    kinds, number = x[new], np.cumsum(new, dtype=np.int32)
+    del x, new
+    number -= 1
+    place = np.empty(len(order), np.int32)
+    place[order] = number
+    return kinds, place
+
+
 def _score(order: int, n_train: int, strength: float, discount: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         trim()  # what the group before left
         kinds = (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.uint16, np.int64, np.uint8, np.uint32,
                  np.uint8, np.uint8)
-        got = [unpack(p, *kinds) for p in rows["payload"]]
+        # views of the payloads; what grows with the shard is held in few bytes an entry, and steps that
+        # need more go block by block
+        got = [unpack(x.as_buffer(), *kinds) for part in rows.column("payload").chunks for x in part]
         for g in got:
             g[2], g[9] = widen(g[2]), widen(g[9])
         flags = [np.unpackbits(g[1], count=int(g[0][1])).astype(bool) for g in got]
-        seen, leaf_word = np.unique(np.concatenate([np.repeat(g[2], g[3]) for g in got]), return_inverse=True)
-        at = starts(np.concatenate([g[4] for g in got]))
-        trained = np.concatenate([f[g[5]] for g, f in zip(got, flags, strict=True)])
-        n_leaf = np.diff(np.concatenate([[0], np.cumsum(trained)])[at])  # training occurrences of each entry
-        del trained, at
+        seen, leaf_word = _numbered(np.concatenate([g[2] for g in got]))
+        leaf_word = np.repeat(leaf_word, np.concatenate([g[3] for g in got]))
+        # training occurrences of each entry; an entry has a holder at least
+        n_leaf = np.concatenate([np.add.reduceat(f[g[5]], starts(g[4])[:-1], dtype=np.int32) if len(g[4]) else
+                                 np.zeros(0, np.int32) for g, f in zip(got, flags, strict=True)])
 
         contexts = distinct(np.concatenate([g[9] for g in got]))
         n_ctx = max(1, len(contexts))
-        before = [[] for _ in range(order - 1)]
+        before = [np.empty(len(leaf_word), np.int32) for _ in range(order - 1)]
+        lo = 0
         for g in got:
+            n = len(g[4])
             place = g[10].view(np.uint16 if len(g[9]) < 1 << 16 else np.uint32)
-            number = np.searchsorted(contexts, g[9]).astype(np.int32)[place]
+            number = np.searchsorted(contexts, g[9]).astype(np.int32)
             for k in range(order - 1):
-                before[k].append(number[k * len(g[4]):(k + 1) * len(g[4])])
+                before[k][lo:lo + n] = number[place[k * n:(k + 1) * n]]
+            lo += n
             g[9] = g[10] = place = None
-        before = [np.concatenate(x) for x in before]
         # nodes seen here, trained or not: their ids are the queries, those trained make the trie
         queries, counts, of_leaf, parent = [seen], [np.bincount(leaf_word, n_leaf, len(seen))], [leaf_word], leaf_word
-        for c in before:
-            q, parent = np.unique(parent * n_ctx + c, return_inverse=True)
+        while before:
+            node = parent.astype(np.int64)
+            node *= n_ctx
+            node += before.pop(0)
+            q, parent = _numbered(node)
+            del node
             queries.append(q)
             counts.append(np.bincount(parent, n_leaf, len(q)))
-            of_leaf.append(parent.astype(np.int32))
+            of_leaf.append(parent)
+        del n_leaf, parent
 
         # trie of the trained nodes: a node's id is made of its parent's place in the trie
         has = [c > 0 for c in counts]
-        place = [np.cumsum(h) - 1 for h in has]
         levels = []
         for k in range(1, order):
             q = queries[k][has[k]]
-            levels.append((place[k - 1][q // n_ctx] * n_ctx + q % n_ctx).astype(np.uint64))
+            place = np.cumsum(has[k - 1], dtype=np.int32) - 1
+            levels.append((place[q // n_ctx] * np.int64(n_ctx) + q % n_ctx).astype(np.uint64))
+            del q, place
         known = counts[0][has[0]]
         p_word = (known - discount) / max(1, n_train)
-        top_count = counts[-1][has[-1]]
         if order > 1:  # word of each node of the last level
-            word = np.zeros(len(queries[-1]), np.int64)
+            word = np.zeros(len(queries[-1]), np.int32)
             word[of_leaf[-1]] = leaf_word
-            top = np.log10(top_count + strength * p_word[place[0][word[has[-1]]]])
+            place = np.cumsum(has[0], dtype=np.int32) - 1
+            top = np.log10(counts[-1][has[-1]] + strength * p_word[place[word[has[-1]]]])
             total = np.log10(counts[order - 2][has[order - 2]] + strength)
+            del word, place
         else:
             top, total = np.log10(p_word), np.zeros(0)
+        base = np.log10(counts[0] + 0.1)
+        del counts
         trie = Trie(contexts, seen[has[0]], levels, np.log10(p_word), top, total)
+        is_known = has[0]
+        del levels, top, total, has
+        trim()
 
         # queries: every n-gram seen here, known or not
         node = trie.words.find(seen)
         word_node = node
-        chain = [node]
+        chain = [node.astype(np.int32)]
         context = trie.contexts.find(contexts)
         for k in range(1, order):
             q = queries[k]
-            up, c = node[q // n_ctx], context[q % n_ctx]
-            ok = (up >= 0) & (c >= 0)
-            node = np.full(len(q), -1, np.int64)
-            node[ok] = trie.levels[k - 1].find((up[ok] * trie.n_ctx + c[ok]).astype(np.uint64))
-            chain.append(node)
+            queries[k] = None
+            up = np.full(len(q), -1, np.int32)
+            for at in range(0, len(q), EF.AT_ONCE):
+                x = q[at:at + EF.AT_ONCE]
+                parent, c = chain[-1][x // n_ctx], context[x % n_ctx]
+                ok = np.flatnonzero((parent >= 0) & (c >= 0))
+                up[at + ok] = trie.levels[k - 1].find((parent[ok] * np.int64(trie.n_ctx) + c[ok]).astype(np.uint64))
+            chain.append(up)
+            del q
         unseen_word = np.log10(discount / max(1, n_train))  # log10(V) is added where V is known
         lower = np.where(word_node >= 0, Trie.value(trie.prob_words, word_node), unseen_word)
-        part = lower[leaf_word] + (np.log10(strength) if order > 1 else 0.0)
-        if order > 1:
-            last = chain[-1][of_leaf[-1]]
-            part = np.where(last >= 0, Trie.value(trie.prob_top, last), part)
-            mid = chain[order - 2][of_leaf[order - 2]]
-            owed = np.where(mid >= 0, Trie.value(trie.total, mid), np.log10(strength))
-            part = part - np.where(seen[leaf_word] == END, 0.0, owed)  # as the next token's context
-        base = np.log10(counts[0] + 0.1)[leaf_word]
-        is_known = has[0][leaf_word]
 
         out, lo = [], 0
         for g, f in zip(got, flags, strict=True):
             hi = lo + len(g[4])
-            doc, per = g[5], g[4]
+            doc, per, leaf = g[5], g[4], leaf_word[lo:hi]
+            part = lower[leaf] + (np.log10(strength) if order > 1 else 0.0)
+            if order > 1:
+                last = chain[-1][of_leaf[-1][lo:hi]]
+                part = np.where(last >= 0, Trie.value(trie.prob_top, last), part)
+                mid = chain[order - 2][of_leaf[order - 2][lo:hi]]
+                owed = np.where(mid >= 0, Trie.value(trie.total, mid), np.log10(strength))
+                part = part - np.where(seen[leaf] == END, 0.0, owed)  # as the next token's context
             n = np.bincount(doc)
             slot = np.flatnonzero(n)
-            unknown, bases, parts = (np.bincount(doc, np.repeat(x[lo:hi], per)) for x in (~is_known, base, part))
+            unknown, bases, parts = (np.bincount(doc, np.repeat(x, per)) for x in (~is_known[leaf], base[leaf], part))
             home = f.astype(np.uint8) if len(g[6]) else np.zeros(0, np.uint8)
             # most documents of a block have tokens in most shards: which ones is a bit each
             few = unknown[slot].astype(np.uint32)
@@ -277,8 +308,9 @@ def _score(order: int, n_train: int, strength: float, discount: float):
                                            parts[slot], many.astype(np.uint32), few[many], g[6], g[7], home, g[8])))
             lo = hi
         # one more row: the shard's distinct training words
-        out.append((-1, np.array([has[0].sum()], np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["block", "sums"])
+        out.append((-1, np.array([is_known.sum()], np.int64).tobytes()))
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()),
+                         "sums": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
@@ -333,7 +365,7 @@ def ngram_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
         F.sum("n").alias("n"), F.sum("docs").alias("docs")).first()
     n_train, n_docs = size["n"] or 0, size["docs"] or 0
     shards = n_shards or SHARDS_PER_TASK * shards_for(view)
-    partial = view.mapInArrow(_route(shards, order), _ROUTED).groupBy("shard").applyInPandas(
+    partial = view.mapInArrow(_route(shards, order), _ROUTED).groupBy("shard").applyInArrow(
         _score(order, n_train, strength, discount), _PARTIAL)
     sums = kept(partial.groupBy("block").applyInPandas(_gather, _SCORED), "ngram")
     vocabulary = sums.agg(F.sum("vocabulary")).first()[0] or 0
