@@ -132,3 +132,25 @@ def test_embedding_goes_on_where_it_stopped(spark, tmp_path):
     with pytest.raises(Exception, match="shape"):
         S.embed_corpus(spark, path, out, encoder(log), 3, "m", "q: ")
     assert texts
+
+
+def test_small_shards_share_tasks_and_a_wave_takes_few_jobs(spark, tmp_path):
+    path, sc = str(tmp_path / "c"), spark.sparkContext
+    rows = spark.range(1200).select(F.format_string("id%04d", "id").alias("id"), F.col("id").alias("at"), F.lit("t").alias("text"),
+                                    F.lit("train").alias("split"), F.lit("a").alias("source"))
+    S.write_shards(rows, path, ["at"], shard_rows=2)
+    jobs = {}
+    for wave in (100, 600):
+        sc.setJobGroup(f"wave {wave}", "")
+        try:
+            vectors, done = S.embed_corpus(spark, path, str(tmp_path / str(wave)), encoder(str(tmp_path / "log")), 2, "m", wave=wave)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert done["computed"] == 600 and vectors.count() == vectors.select("split", "shard", "id").distinct().count() == 1200
+        status = sc.statusTracker()
+        jobs[wave] = len(status.getJobIdsForGroup(f"wave {wave}"))
+    files = glob.glob(f"{tmp_path}/100/*/wave*/*/*/*.parquet")
+    assert len(files) == 600  # one a shard; its task's number follows "part-"
+    tasks = {(f.split("/wave")[1].split("/")[0], os.path.basename(f)[:10]) for f in files}
+    assert len(tasks) <= 6 * min(100, 3 * sc.defaultParallelism)
+    assert (jobs[100] - jobs[600]) / 5 < 9

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.operators import corpus as C
 from weft.operators.embed import EncoderFactory, encoder_embedding
@@ -32,6 +33,10 @@ FORMAT_VERSION = 2
 SHARD_ROWS = 10_000
 #: rows of a shard list read by the driver for one wave of embeddings
 WAVE = 256
+#: rows of small shards that one task takes at least
+TASK_ROWS = 10_000
+_VECTOR_FIELDS = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("split", T.StringType()),
+                  T.StructField("shard", T.IntegerType())]
 
 
 # ---- the file system of the session ----
@@ -73,6 +78,13 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 # ---- shards ----
 
+def _tasks(spark: SparkSession, shards: int, rows: int) -> int:
+    """Tasks for ``shards`` of ``rows`` rows in all: one a shard, fewer where shards are small
+    and all cores are busy."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(shards, max(3 * cores, -(-rows // TASK_ROWS))))
+
+
 def write_shards(corpus: DataFrame, path: str, order: Sequence[str], settings: dict | None = None,
                  split_col: str = "split", id_col: str = "id", shard_rows: int = SHARD_ROWS) -> dict:
     """Write ``corpus`` as shards of at most ``shard_rows`` rows per split, in ``order``
@@ -95,8 +107,8 @@ def write_shards(corpus: DataFrame, path: str, order: Sequence[str], settings: d
     placed = null_safe_join(corpus, place, [split_col, *order])
     sharded = placed.withColumn("shard", F.floor(F.col("_at") / shard_rows).cast("int"))
     rows = sharded.select(F.count(F.lit(1))).first()[0]
-    shards = max(1, -(-rows // shard_rows))
-    dealt = sharded.repartition(int(shards), split_col, "shard").sortWithinPartitions(split_col, "shard", "_at").drop("_at")
+    dealt = sharded.repartition(_tasks(spark, -(-rows // shard_rows), rows), split_col, "shard").sortWithinPartitions(
+        split_col, "shard", "_at").drop("_at")
     dealt.write.partitionBy(split_col, "shard").parquet(f"{base}/rows")
     files = (spark.read.parquet(f"{base}/rows") if rows else spark.createDataFrame([], sharded.drop("_at").schema))
     listed = _listed(files, split_col) if rows else spark.createDataFrame([], f"{split_col} string, shard int, file string, rows long")
@@ -261,8 +273,8 @@ def embed_corpus(spark: SparkSession, path: str, out: str, factory: EncoderFacto
     are committed there for the same configuration are not computed again.
 
     The configuration is the model's name, prompt, dimension, and the corpus fingerprint.
-    Shards are computed in waves of ``wave``, one task a shard; a wave is visible once its
-    commit rows are. Returns the vectors (id, embedding, split, shard) and what was done.
+    Shards are computed in waves of ``wave``, small ones several in a task; a wave is visible once
+    its commit rows are. Returns the vectors (id, embedding, split, shard) and what was done.
     """
     marker = _marker(spark, path)
     split, key = marker["split_col"], marker["id_col"]
@@ -273,25 +285,30 @@ def embed_corpus(spark: SparkSession, path: str, out: str, factory: EncoderFacto
         _write_text(spark, f"{base}/config.json", json.dumps(config, sort_keys=True, ensure_ascii=False))
     listed = shard_table(spark, path).select(F.col(split).cast("string").alias("split"), "shard", "rows")
     todo = cut_lineage(listed.join(_commits(spark, base).select("split", "shard"), ["split", "shard"], "left_anti"))
-    skipped, computed = listed.count() - todo.count(), 0
+    waiting = todo.count()
+    skipped, computed = listed.count() - waiting, 0
     rows = open_corpus(spark, path)
-    while True:
-        done = _commits(spark, base).select("split", "shard")
-        now = todo.join(done, ["split", "shard"], "left_anti").sort("split", "shard").limit(wave).collect()
+    here = T.StructType([rows.schema[key], *_VECTOR_FIELDS])
+    last = None
+    while computed < waiting:
+        rest = todo if last is None else todo.where((F.col("split") > last.split) | (F.col("split") == last.split)
+                                                    & (F.col("shard") > last.shard))
+        now = rest.sort("split", "shard").limit(wave).collect()
         if not now:
-            break
-        folder = f"wave-{uuid.uuid4().hex}"
-        # literal folders, so that only theirs are listed and read
+            raise DataError("a shard without a split can't be embedded")
+        last = now[-1]
+        folder = f"wave={uuid.uuid4().hex}"
+        # literal folders, so that only theirs are read
         these = F.lit(False)
         for s in sorted({r.split for r in now}):
             these = these | ((F.col(split) == s) & F.col("shard").isin([r.shard for r in now if r.split == s]))
         part = rows.where(these).withColumn("_key", F.struct(F.col(key), F.col(split).cast("string").alias("split"), "shard"))
-        part = part.repartition(len(now), split, "shard")
+        part = part.repartition(_tasks(spark, len(now), sum(r.rows for r in now)), split, "shard")
         made = encoder_embedding(part, "_key", text_col, factory, dim, prompt)
         made.select(f"_key.{key}", "embedding", "_key.split", "_key.shard").write.partitionBy("split", "shard").parquet(
             f"{base}/{folder}")
-        got = {(r.split, r.shard): r.n for r in spark.read.parquet(f"{base}/{folder}").groupBy(
-            F.col("split").cast("string").alias("split"), "shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        got = {(r.split, r.shard): r.n for r in spark.read.schema(here).parquet(f"{base}/{folder}").groupBy(
+            "split", "shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         wrong = [(r.split, r.shard) for r in now if got.get((r.split, r.shard)) != r.rows]
         if wrong:
             raise DataError(f"shards with another number of vectors than rows: {wrong[:5]}")
@@ -302,8 +319,12 @@ def embed_corpus(spark: SparkSession, path: str, out: str, factory: EncoderFacto
     folders = sorted(r[0] for r in _commits(spark, base).select("folder").distinct().collect())  # one per wave
     if not folders:
         raise DataError("the corpus has no rows to embed")
-    vectors = None
-    for f in folders:
-        one = spark.read.parquet(f"{base}/{f}")
-        vectors = one if vectors is None else vectors.unionByName(one)
+    # the folders of all waves are listed at once; those named "wave-" are of an older layout
+    parts = [spark.read.parquet(f"{base}/{f}") for f in folders if "=" not in f]
+    new = [f"{base}/{f}" for f in folders if "=" in f]
+    if new:
+        parts.append(spark.read.schema(here).option("basePath", base).parquet(*new))
+    vectors = parts[0].select(key, "embedding", "split", "shard")
+    for one in parts[1:]:
+        vectors = vectors.unionByName(one.select(key, "embedding", "split", "shard"))
     return vectors, {"config": config, "folder": base, "skipped": skipped, "computed": computed}
