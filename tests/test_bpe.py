@@ -117,3 +117,11 @@ def test_encode_and_decode(spark):
     cut = {r.k: r.input_ids for r in B.encode(docs, "k", "text", vocab, 7).collect()}
     assert all(cut[k] == got[k][:7] for k in got)
     assert {r.k: r.input_ids for r in B.encode(docs, "k", "text", vocab, None, add_bos=False).collect()} == {k: v[1:] for k, v in got.items()}
+
+
+def test_an_encoder_remembers_pieces_by_their_length():
+    encoder = B.Encoder([])
+    for i in range(300):  # distinct pieces of 20,000 characters
+        assert len(encoder.piece(f"{i:05}" * 4000)) == 20_000
+    assert sum(map(len, encoder.memory)) <= 1 << 21
+    assert list(encoder.piece("ab")) == list(encoder.piece("ab")) and "ab" in encoder.memory

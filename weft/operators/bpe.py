@@ -23,10 +23,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +41,10 @@ from weft.session import cut_lineage, spread
 MAX_RUNS = 200_000
 #: vocabulary rows sent to every executor at most
 MAX_VOCAB = 5_000_000
-#: pieces a worker remembers the ids of
-_MEMORY = 1 << 19
+#: characters of the pieces that a worker remembers the ids of
+_MEMORY = 1 << 21
+#: texts that are encoded at once
+_TEXTS = 256
 
 VOCAB_SCHEMA = "token_id int, token string, kind string, left string, right string, count long"
 
@@ -221,23 +226,27 @@ class Encoder:
         self.ids = {token: i for i, token, _, _ in vocab if i >= FIRST_PIECE_ID}
         merges = sorted((i, a, b) for i, _, a, b in vocab if a is not None)
         self.ranks = {(a, b): i for i, a, b in merges}
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, array] = {}
+        self._held = 0
         self._pieces = re.compile(PY_PIECE_RE)
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> array:
         found = self.memory.get(piece)
         if found is None:
-            if len(self.memory) >= _MEMORY:
-                self.memory.clear()
-            found = []
+            found = array("i")
             for s in apply_merges(list(piece), self.ranks):
                 i = self.ids.get(s)
                 found.extend([i] if i is not None else (BYTE_BASE + b for b in s.encode("utf-8", "surrogatepass")))
-            self.memory[piece] = found
+            if len(piece) <= _MEMORY >> 6:
+                self._held += len(piece) + 1
+                if self._held > _MEMORY:
+                    self.memory.clear()
+                    self._held = len(piece) + 1
+                self.memory[piece] = found
         return found
 
-    def text(self, text: str, max_len: int | None, add_bos: bool) -> list[int]:
-        ids = [BOS] if add_bos else []
+    def text(self, text: str, max_len: int | None, add_bos: bool) -> array:
+        ids = array("i", [BOS] if add_bos else [])
         for m in self._pieces.finditer(text.replace(" ", METASPACE)):
             ids += self.piece(m.group())
             if max_len is not None and len(ids) >= max_len:
@@ -257,15 +266,21 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: in
     """K3: (key, input_ids) by ranked merges with byte fallback, ``<bos>`` first, cut at
     ``max_len`` ids (None: whole). A null text is empty; repeated rows are kept."""
     shared = df.sparkSession.sparkContext.broadcast(_vocab_rows(vocab, "token_id", "token", "left", "right"))
-    held: list[Encoder] = []
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Encoder(shared.value))
-        return pd.Series([held[0].text(t, max_len, add_bos) for t in texts])
-
-    return spread(df.select(key, text_col)).select(key, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("input_ids"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for b in batches:
+            encoder = encoder or Encoder(shared.value)
+            for lo in range(0, b.num_rows, _TEXTS):
+                part = b.slice(lo, _TEXTS)
+                ids = [encoder.text(t, max_len, add_bos) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))],
+                                                 [key, "input_ids"])
+
+    texts = spread(df.select(key, text_col)).select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return texts.mapInArrow(run, T.StructType([df.schema[key], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame) -> DataFrame:
