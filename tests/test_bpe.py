@@ -78,6 +78,28 @@ def test_rounds_are_few(spark):
     assert 1 < len(jobs) <= 12
 
 
+def test_a_round_writes_the_packed_pieces_once(spark):
+    """One frame of few rows per round: neither pairs nor pieces are written one by one, nor after the last round."""
+    counts = random_counts(11, 1500)
+    counts |= {"ab" * 3000: 3, "x": 7, "😀😀😀é": 5}
+    table = spark.createDataFrame(list(counts.items()), "piece string, n long").repartition(3)
+    rounds, written = [], []
+    learn, cut = B.merge_runs, B.cut_lineage
+
+    def kept(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    try:
+        B.merge_runs, B.cut_lineage = lambda *a: rounds.append(a[1]) or learn(*a), kept
+        got = B.learn_bpe(table, num_merges=150, max_runs=300)
+    finally:
+        B.merge_runs, B.cut_lineage = learn, cut
+    assert [(r.left, r.right, r["count"]) for r in got.collect() if r.kind == "merge"] == plain_learn(counts, 150, 2)
+    assert len(rounds) > 1 and len(written) == len(rounds) and max(written) <= 8
+
+
 def test_vocabulary_size_ends_the_learning(spark):
     table = spark.createDataFrame(list(random_counts(9).items()), "piece string, n long")
     vocab = B.learn_bpe(table, vocab_size=300)

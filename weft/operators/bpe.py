@@ -11,7 +11,9 @@ nothing with c or more is left; all merges down to c happen inside runs of symbo
 that strong pairs join. Equal runs are added up over all pieces, and when few enough
 distinct runs are left (``max_runs``), one loop over them with an index from pairs to
 runs gives every merge down to c. The merges are then applied to all pieces, in
-parallel, and the next round takes a lower cut. The first cut that leaves few runs is
+parallel, and the next round takes a lower cut. Pieces are kept as packed blocks of
+numbered symbols, so a pass over them is array arithmetic and one lookup per run, and
+a round writes them once; those that have become one symbol are left out. The first cut that leaves few runs is
 found by the counts of the pairs; the most frequent pair alone always does.
 
 Encoding applies the merges by rank to each distinct piece once per worker, with a
@@ -127,34 +129,157 @@ def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[
     return [s for s in symbols if s is not None]
 
 
+#: symbols: code points, and from here on merges in their order
+_FIRST_MERGE = 0x110000
+#: symbols that a block of pieces is filled up to, and pairs or runs that a task holds before it sends their sums on
+_BLOCK, _HELD = 1 << 20, 1 << 18
+_BLOCK_SCHEMA = "symbols binary, sizes binary, counts binary"
+
+
+def _name(symbol: int, made: list[str]) -> str:
+    return chr(symbol) if symbol < _FIRST_MERGE else made[symbol - _FIRST_MERGE]
+
+
+def _block(symbols: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array([x.tobytes()], pa.binary()) for x in (symbols, sizes, counts)]
+    return pa.RecordBatch.from_arrays(cells, ["symbols", "sizes", "counts"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, n) as blocks: the symbols of all pieces, how many each has, and its count."""
+    texts, counts, size = [], [], 0
+
+    def block():
+        symbols = np.frombuffer("".join(texts).encode("utf-32-le"), "<i4")
+        return _block(symbols, np.fromiter(map(len, texts), np.int64, len(texts)), np.concatenate(counts))
+
+    for b in batches:
+        texts += b.column(0).to_pylist()
+        counts.append(b.column(1).to_numpy())
+        size += sum(map(len, texts[len(texts) - b.num_rows:]))
+        if size >= _BLOCK:
+            yield block()
+            texts, counts, size = [], [], 0
+    if texts:
+        yield block()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for b in batches:
+        for row in zip(*b.columns, strict=True):
+            yield tuple(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, ("<i4", "<i8", "<i8"), strict=True))
+
+
+def _pairs_of(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every symbol with the next one, as a number, and whether both are of one piece."""
+    inside = np.ones(max(0, len(symbols) - 1), bool)
+    inside[np.cumsum(sizes)[:-1] - 1] = False
+    return symbols[:-1].astype(np.int64) << 32 | symbols[1:], inside
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(_FIRST_MERGE, bool)
+    for symbols, _, _ in _unpacked(batches):
+        seen[symbols] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], ["c"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def total():
+        return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def rows(pairs, counts):
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["p", "c"])
+
+    for symbols, sizes, counts in _unpacked(batches):
+        pairs, inside = _pairs_of(symbols, sizes)
+        held.append(_summed(pairs[inside], np.repeat(counts, sizes - 1)))
+        size += len(held[-1][0])
+        if size > 16 * _HELD:
+            held = [total()]
+            size = len(held[0][0])
+            if size > 8 * _HELD:
+                yield rows(*held[0])
+                held, size = [], 0
+    if held:
+        yield rows(*total())
+
+
 def _pair_counts(words: DataFrame) -> DataFrame:
-    pairs = F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] AS a, w[i + 1] AS b))")
-    return (words.where(F.size("w") > 1).select("n", F.explode(pairs).alias("p"))
-            .groupBy("p.a", "p.b").agg(F.sum("n").alias("c")))
+    return words.mapInArrow(_count_pairs, "p long, c long").groupBy("p").agg(F.sum("c").alias("c"))
+
+
+def _strong_runs(symbols: np.ndarray, sizes: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and end of every run of symbols that strong pairs (sorted) join, and the piece it is in."""
+    pairs, inside = _pairs_of(symbols, sizes)
+    place = np.minimum(np.searchsorted(strong, pairs), len(strong) - 1)
+    step = np.diff((inside & (strong[place] == pairs)).astype(np.int8), prepend=0, append=0)
+    first = np.flatnonzero(step == 1)
+    return first, np.flatnonzero(step == -1) + 1, np.searchsorted(np.cumsum(sizes), first, side="right")
 
 
 def _runs_of(strong):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = strong.value
-        for batch in batches:
-            found: Counter = Counter()
-            for w, n in zip(batch["w"], batch["n"], strict=True):
-                w, at = list(w), 0
-                for k in range(1, len(w) + 1):
-                    if k == len(w) or (w[k - 1], w[k]) not in pairs:
-                        if k - at > 1:
-                            found[tuple(w[at:k])] += int(n)
-                        at = k
-            yield pd.DataFrame({"run": [list(r) for r in found], "n": list(found.values())})
+    def rows(found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
+                                          ["run", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, int] = {}
+        for symbols, sizes, counts in _unpacked(batches):
+            first, end, piece = _strong_runs(symbols, sizes, strong.value)
+            data = symbols.tobytes()
+            for a, b, n in zip((4 * first).tolist(), (4 * end).tolist(), counts[piece].tolist(), strict=True):
+                key = data[a:b]
+                found[key] = found.get(key, 0) + n
+            if len(found) > _HELD:
+                yield rows(found)
+                found = {}
+        if found:
+            yield rows(found)
 
     return run
 
 
-def _merged(ranks):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = ranks.value
-        for batch in batches:
-            yield pd.DataFrame({"w": [apply_merges(list(w), table) for w in batch["w"]], "n": batch["n"]})
+def _merged(shared):
+    """Blocks after the merges of a round, each distinct run merged once in a task; pieces of one
+    symbol have no more pairs and are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strong, made, ranks = shared.value
+        number = {t: _FIRST_MERGE + i for i, t in enumerate(made)}
+        known: dict[bytes, bytes] = {}
+
+        def merged(key: bytes) -> bytes:
+            names = apply_merges([_name(s, made) for s in np.frombuffer(key, "<i4").tolist()], ranks)
+            return np.array([ord(t) if len(t) == 1 else number[t] for t in names], "<i4").tobytes()
+
+        for symbols, sizes, counts in _unpacked(batches):
+            first, end, piece = _strong_runs(symbols, sizes, strong)
+            data, at, parts, less = symbols.tobytes(), 0, [], []
+            for a, b in zip((4 * first).tolist(), (4 * end).tolist(), strict=True):
+                key = data[a:b]
+                new = known.get(key)
+                if new is None:
+                    if len(known) > _HELD:
+                        known.clear()
+                    new = known[key] = merged(key)
+                parts += (data[at:a], new)
+                less.append(len(key) - len(new))
+                at = b
+            parts.append(data[at:])
+            sizes = sizes.copy()
+            np.subtract.at(sizes, piece, np.array(less, np.int64) // 4)
+            symbols, open_ = np.frombuffer(b"".join(parts), "<i4"), sizes > 1
+            if open_.any():
+                yield _block(symbols[np.repeat(open_, sizes)], sizes[open_], counts[open_])
 
     return run
 
@@ -169,50 +294,55 @@ def learn_bpe(counts: DataFrame, vocab_size: int = 42_000, min_frequency: int =
     piece add up; other columns are ignored. An empty table gives the first 261 tokens.
     """
     spark = counts.sparkSession
-    chars = F.regexp_extract_all(F.col("piece"), F.lit("(?s)."), 0)
-    words = cut_lineage(counts.where("piece IS NOT NULL AND piece <> ''").groupBy("piece")
-                        .agg(F.sum("n").cast("long").alias("n")).select(chars.alias("w"), "n"))
+    pieces = (counts.where("piece IS NOT NULL AND piece <> ''").groupBy("piece")
+              .agg(F.coalesce(F.sum("n").cast("long"), F.lit(0)).alias("n")))
+    words = cut_lineage(pieces.select(F.make_valid_utf8("piece").alias("piece"), "n").mapInArrow(_packed, _BLOCK_SCHEMA))
     sc = spark.sparkContext
     # the characters of Unicode at most
-    alphabet = [r[0] for r in words.select(F.explode("w").alias("c")).distinct().sort("c").collect()]
+    alphabet = [chr(r.c) for r in words.mapInArrow(_characters, "c int").distinct().sort("c").collect()]
     base = [*SPECIALS, *(f"<0x{b:02X}>" for b in range(256))]
     fixed = [(t, "special" if i < len(SPECIALS) else "byte") for i, t in enumerate(base)]
     fixed += [(c, "character") for c in alphabet]
     tokens = {t for t, _ in fixed}
     wanted = max(0, vocab_size - len(fixed)) if num_merges is None else num_merges
     merges: list[tuple[str, str, int]] = []
-    take = 2048
+    made: list[str] = []
+    take = 64
     while len(merges) < wanted:
-        pairs = cut_lineage(_pair_counts(words).where(F.col("c") >= min_frequency))
+        pairs = _pair_counts(words).where(F.col("c") >= min_frequency)
         while True:
-            first = pairs.sort(F.desc("c"), "a", "b").limit(take + 1).collect()
+            first = pairs.sort(F.desc("c"), "p").limit(take + 1).collect()
             whole = len(first) <= take
             # a pair whose string is a token may not merge, but it joins runs all the same
-            top = next((r.c for r in first if r.a + r.b not in tokens), None)
+            top = next((r.c for r in first
+                        if _name(r.p >> 32, made) + _name(r.p & 0xFFFFFFFF, made) not in tokens), None)
             if whole or top is not None and top > first[-1].c:
                 break
             take *= 4  # ties: as many pairs as have the highest count
         if top is None:
             break
-        k = len(first) if whole else len(first) - 1
+        k, tried = len(first) if whole else len(first) - 1, 0
         while True:
             cut = min_frequency if k == len(first) else first[k].c + 1
-            shared = sc.broadcast({(r.a, r.b) for r in first if r.c >= cut})
-            runs = words.mapInPandas(_runs_of(shared), "run array<string>, n long").groupBy("run").agg(F.sum("n").alias("n"))
+            strong = np.array(sorted(r.p for r in first if r.c >= cut), np.int64)
+            runs = words.mapInArrow(_runs_of(sc.broadcast(strong)), "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
             found = runs.limit(max_runs + 1).collect()
+            tried += 1
             if len(found) <= max_runs:
                 break
-            k = next((x for x in (k // 8, k // 64, 1) if 0 < x < k and first[x].c < top), 0)
+            k = next((x for x in (k // 4, k // 16, k // 64, 1) if 0 < x < k and first[x].c < top), 0)
             if not k:  # runs of the most frequent pairs alone are few distinct ones
                 found = runs.collect()
                 break
-        new = merge_runs([(r.run, r.n) for r in found], cut, tokens, wanted - len(merges))
-        ranks = sc.broadcast({(a, b): r for r, (a, b, _) in enumerate(new)})
+        runs = [([_name(s, made) for s in np.frombuffer(r.run, "<i4").tolist()], r.n) for r in found]
+        new = merge_runs(runs, cut, tokens, wanted - len(merges))
         merges += new
-        if cut == min_frequency:
+        if cut == min_frequency or len(merges) >= wanted:
             break
-        words = cut_lineage(words.mapInPandas(_merged(ranks), "w array<string>, n long"))
-        take = max(16, k) * (8 if len(found) < max_runs // 16 else 2)
+        made += [a + b for a, b, _ in new]
+        shared = sc.broadcast((strong, made, {(a, b): r for r, (a, b, _) in enumerate(new)}))
+        words = cut_lineage(words.mapInArrow(_merged(shared), _BLOCK_SCHEMA))
+        take = max(16, k) * (8 if tried == 1 and len(found) < max_runs // 16 else 2)
     rows = [(i, t, kind, None, None, None) for i, (t, kind) in enumerate(fixed)]
     rows += [(len(fixed) + i, a + b, "merge", a, b, c) for i, (a, b, c) in enumerate(merges)]
     return spark.createDataFrame(rows, VOCAB_SCHEMA)
