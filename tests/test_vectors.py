@@ -59,6 +59,13 @@ def test_global_rank_matches_brute_force(spark, emb):
         assert got[qi] == 1 + int((s[i] > best).sum())
 
 
+def test_global_rank_scores_the_best_relevant_once(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, vec array<double>, lab long")
+    out = V.global_rank(df.withColumnRenamed("i", "qid"), df.withColumnRenamed("i", "did"), exclude_self=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the scores above the best
+
+
 def py_ir(ranked_rel, R, k_acc=10):
     """Public definitions for one query: ranked_rel = 0/1 list by rank."""
     hits10 = sum(ranked_rel[:10])
