@@ -13,8 +13,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +33,10 @@ METASPACE = "▁"
 PIECE_RE = rf"{METASPACE}?+[^{METASPACE}\r\n]++|\r\n|[\r\n{METASPACE}]"
 PY_PIECE_RE = rf"{METASPACE}?[^{METASPACE}\r\n]+|\r\n|[\r\n{METASPACE}]"
 MAX_VOCAB_BROADCAST = 5_000_000
+#: bytes of the texts that are cut into pieces at once; a longer text goes piece by piece
+_TEXT_BYTES = 1 << 22
+#: positions that are masked at once
+_POSITIONS = 1 << 16
 
 
 def pieces(text: str | Column) -> Column:
@@ -69,37 +73,118 @@ def encode_ids(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
     first; cut at ``max_len``. Output (key, input_ids).
 
     The vocabulary (bounded by the vocabulary size, checked) is broadcast and
-    an Arrow-batched pandas UDF maps pieces to ids, so pieces are never
-    exploded into rows and no shuffle is needed. ``encode_ids_sql`` is the
+    the tasks look up the distinct pieces of some texts at a time, so pieces are
+    never exploded into rows and no shuffle is needed. ``encode_ids_sql`` is the
     same operator in built-in SQL.
     """
     rows = vocab.limit(MAX_VOCAB_BROADCAST + 1).collect()  # one job, bounded
     if len(rows) > MAX_VOCAB_BROADCAST:
         raise ValueError(f"vocabulary of more than {MAX_VOCAB_BROADCAST} pieces is too large to broadcast")
-    table = {r["piece"]: int(r["token_id"]) for r in rows}
-    bc = df.sparkSession.sparkContext.broadcast(table)
+    bc = df.sparkSession.sparkContext.broadcast({r["piece"]: int(r["token_id"]) for r in rows})
     rx = re.compile(PY_PIECE_RE)
-    start = [BOS] if add_bos else []
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def enc(texts: pd.Series) -> pd.Series:
-        v = bc.value
-        out = []
-        for t in texts:
-            ids = list(start)
-            for p in rx.findall(t.replace(" ", METASPACE)):
-                i = v.get(p)
-                if i is None:
-                    ids.extend(b + BYTE_BASE for b in p.encode("utf-8"))
+
+    def known(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        get = bc.value.get
+        ids = np.array([get(p, -1) for p in pieces.to_pylist()], np.int32)
+        sizes, data = _utf8(pieces)
+        flat = data.astype(np.int32) + BYTE_BASE
+        whole = ids >= 0
+        first = np.cumsum(sizes) - sizes
+        flat[first[whole]] = ids[whole]
+        left = np.repeat(~whole, sizes)
+        left[first[whole]] = True
+        return flat[left], np.where(whole, 1, sizes)
+
+    def long(text: str) -> list[int]:
+        ids = [BOS] if add_bos else []
+        for m in rx.finditer(text.replace(" ", METASPACE)):
+            i = bc.value.get(m.group())
+            ids.extend([i] if i is not None else (b + BYTE_BASE for b in m.group().encode("utf-8")))
+            if len(ids) >= max_len:
+                break
+        return ids[:max_len]
+
+    return encode_texts(df, key, text_col, lambda: (known, long), max_len, add_bos)
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each text, and all of them."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.diff(ends), np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.empty(0, np.uint8)
+
+
+def cut_texts(texts: pa.Array, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces of some texts, the place of each piece among them in the order of the
+    texts, and how many pieces a text has; the first ``most`` pieces of a text only."""
+    texts = pc.replace_substring(texts, " ", METASPACE)
+    sizes, data = _utf8(texts)
+    cr, lf = data == 0x0D, data == 0x0A
+    starts = cr.copy()
+    m = METASPACE.encode()
+    starts[:-2] |= (data[:-2] == m[0]) & (data[1:-1] == m[1]) & (data[2:] == m[2])
+    starts[1:] |= lf[:-1] | (cr[:-1] ^ lf[1:])  # after a line end or at one, but not inside CRLF
+    ends = np.cumsum(sizes)
+    starts[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(starts)
+    first = np.searchsorted(at, ends - sizes)
+    counts = np.searchsorted(at, ends) - first
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data))
+    if counts.max(initial=0) > most:
+        pieces = pieces.filter(pa.array(np.arange(len(at)) - np.repeat(first, counts) < most))
+        counts = np.minimum(counts, most)
+    coded = pieces.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), counts
+
+
+def joined_ids(flat: np.ndarray, sizes: np.ndarray, places: np.ndarray, counts: np.ndarray, head: list[int],
+               most: int) -> pa.ListArray:
+    """Ids of each text: ``head`` and those of its pieces (``cut_texts``), ``most`` at most."""
+    n = sizes[places]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[places] - ends[:-1], n)]
+    last = np.concatenate([[0], np.cumsum(counts)])
+    own = ends[last[1:]] - ends[last[:-1]]
+    taken = np.minimum(own, max(0, most - len(head)))
+    if (taken < own).any():
+        ids = ids[np.arange(len(ids)) - np.repeat(ends[last[:-1]], own) < np.repeat(taken, own)]
+    head = head[:most]
+    out = np.concatenate([[0], np.cumsum(taken + len(head))])
+    made = np.empty(out[-1], np.int32)
+    rest = np.ones(len(made), bool)
+    for i, x in enumerate(head):
+        made[out[:-1] + i] = x
+        rest[out[:-1] + i] = False
+    made[rest] = ids
+    return pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(made))
+
+
+def encode_texts(df: DataFrame, key: str, text_col: str, coder, max_len: int | None, add_bos: bool) -> DataFrame:
+    """(key, input_ids) of texts, null ones as empty. ``coder`` gives, once a task, two functions: the
+    ids of an array of distinct pieces, one after the other, with their sizes; and those of a long text."""
+    most, head = 1 << 62 if max_len is None else max_len, [BOS] if add_bos else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = None
+        for b in batches:
+            known, long = made = made or coder()
+            size = pc.binary_length(b.column(1)).to_numpy()
+            lo = 0
+            while lo < b.num_rows:
+                total = np.cumsum(size[lo:lo + (1 << 14)])
+                rows = max(1, int(np.searchsorted(total, _TEXT_BYTES, side="right")))
+                part = b.slice(lo, rows)
+                if size[lo] > _TEXT_BYTES:
+                    ids = pa.array([long(part.column(1)[0].as_py())], pa.list_(pa.int32()))
                 else:
-                    ids.append(i)
-                if len(ids) >= max_len:
-                    break
-            out.append(ids[:max_len])
-        return pd.Series(out)
+                    pieces, places, counts = cut_texts(part.column(1), most)
+                    ids = joined_ids(*known(pieces), places, counts, head, most)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "input_ids"])
+                lo += rows
 
-    return spread(df.select(key, text_col)).select(
-        key, enc(F.coalesce(F.col(text_col), F.lit(""))).alias("input_ids"))
+    texts = spread(df.select(key, text_col)).select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return texts.mapInArrow(run, T.StructType([df.schema[key], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def encode_ids_sql(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
@@ -156,33 +241,52 @@ def pack_blocks(encoded: DataFrame, order_idx: str, block_len: int, batch_docs:
     return blocks.withColumn("attention_mask", F.array_repeat(F.lit(1), block_len))
 
 
+def _draws(keys: list, sizes: list[int], seed: int, tails: list[bytes]) -> np.ndarray:
+    """Three numbers from 0 to 1 for every position of some blocks, from one digest each."""
+    sha, out, at = hashlib.sha256, np.empty((sum(sizes), 3)), 0
+    for key, n in zip(keys, sizes, strict=True):
+        head = (f"{seed}:" if key is None else f"{seed}:{key}:").encode()
+        for lo in range(0, n, _POSITIONS):
+            digests = b"".join([sha(head + x).digest() for x in tails[lo:min(n, lo + _POSITIONS)]])
+            drawn = np.frombuffer(digests, ">u4").reshape(-1, 8)[:, :3]
+            out[at:at + len(drawn)] = drawn
+            at += len(drawn)
+    out /= float(16 ** 8)
+    return out
+
+
 def _drawn(vocab_size: int, prob: float, seed: int):
-    """Blocks with their masked ``input_ids`` and ``labels``; the last column is the key."""
+    """Blocks with their masked ``input_ids`` and ``labels``; the last column is the key. Some
+    ``_POSITIONS`` positions at a time, a whole block at least."""
+    def masked(b: pa.RecordBatch, sizes: np.ndarray, tails: list[bytes]) -> pa.RecordBatch:
+        names = b.schema.names[:-1]
+        at = names.index("input_ids")
+        ids = b.column(at)
+        flat = ids.flatten()
+        t, known = flat.fill_null(0).to_numpy(), flat.is_valid().to_numpy(zero_copy_only=False)
+        u = _draws(b.column(b.num_columns - 1).to_pylist(), sizes.tolist(), seed, tails)
+        chosen = u[:, 0] < prob
+        other = np.floor(u[:, 2] * vocab_size).astype(np.int32)
+        new = np.where(u[:, 1] < 0.8, MASK, np.where(u[:, 1] < 0.9, other, t))
+        # a position without an id gets one where it is chosen and replaced
+        made = pa.array(np.where(chosen, new, t).astype(np.int32), mask=~known & ~(chosen & (u[:, 1] < 0.9)))
+        labels = pa.array(np.where(chosen, t, -100).astype(np.int32), mask=~known & chosen)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        none = pa.array(ids.is_null().to_numpy(zero_copy_only=False))  # of a slice, from its own start
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x, mask=none) for x in (made, labels)]
+        columns = [lists[0] if i == at else b.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, lists[1]], [*names, "labels"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha, tails = hashlib.sha256, []
+        tails: list[bytes] = []
         for b in batches:
-            names = b.schema.names[:-1]
-            at = names.index("input_ids")
-            ids = b.column(at)
-            sizes = ids.value_lengths().fill_null(0).to_numpy()
-            flat = ids.flatten()
-            t, known = flat.fill_null(0).to_numpy(), flat.is_valid().to_numpy(zero_copy_only=False)
+            sizes = b.column(b.schema.names.index("input_ids")).value_lengths().fill_null(0).to_numpy()
             tails += [str(i).encode() for i in range(len(tails), int(sizes.max(initial=0)))]
-            digests = []
-            for key, n in zip(b.column(b.num_columns - 1).to_pylist(), sizes.tolist(), strict=True):
-                head = (f"{seed}:" if key is None else f"{seed}:{key}:").encode()
-                digests += [sha(head + x).digest() for x in tails[:n]]
-            u = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 8)[:, :3] / float(16 ** 8)
-            chosen = u[:, 0] < prob
-            other = np.floor(u[:, 2] * vocab_size).astype(np.int32)
-            new = np.where(u[:, 1] < 0.8, MASK, np.where(u[:, 1] < 0.9, other, t))
-            # a position without an id gets one where it is chosen and replaced
-            made = pa.array(np.where(chosen, new, t).astype(np.int32), mask=~known & ~(chosen & (u[:, 1] < 0.9)))
-            labels = pa.array(np.where(chosen, t, -100).astype(np.int32), mask=~known & chosen)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), x, mask=ids.is_null()) for x in (made, labels)]
-            columns = [lists[0] if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, lists[1]], [*names, "labels"])
+            lo = 0
+            while lo < b.num_rows:
+                rows = max(1, int(np.searchsorted(np.cumsum(sizes[lo:lo + _POSITIONS], dtype=np.int64), _POSITIONS, side="right")))
+                yield masked(b.slice(lo, rows), sizes[lo:lo + rows], tails)
+                lo += rows
 
     return run
 

@@ -94,8 +94,13 @@ SELECT batch, block, input_ids, list_transform(range({BLOCK_LEN}), lambda x: 1)
 """
 
 
+def _keyed(blocks):
+    """Blocks with their key; their attention masks, all ones, are not sent through the masking."""
+    return blocks.drop("attention_mask").withColumn("block_key", F.col("batch") * 1_000_000 + F.col("block"))
+
+
 def _masked(spark, sf):
-    b = _blocks(spark, sf).withColumn("block_key", F.col("batch") * 1_000_000 + F.col("block"))
+    b = _keyed(_blocks(spark, sf))
     return K.mask_tokens(b, "block_key", VOCAB_SIZE, 0.30, MASK_SEED)
 
 
@@ -257,7 +262,7 @@ def bpe_pack_blocks(spark, sf):
 
 def bpe_mask_tokens(spark, sf):
     """K5 on the 42,000 tokens."""
-    b = _bpe_blocks(spark, sf).withColumn("block_key", F.col("batch") * 1_000_000 + F.col("block"))
+    b = _keyed(_bpe_blocks(spark, sf))
     return K.mask_tokens(b, "block_key", 42_000, 0.30, MASK_SEED).select("batch", "block", "input_ids", "labels")
 
 
