@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.operators import bpe as B
@@ -147,3 +149,34 @@ def test_an_encoder_remembers_pieces_by_their_length():
         assert len(encoder.piece(f"{i:05}" * 4000)) == 20_000
     assert sum(map(len, encoder.memory)) <= 1 << 21
     assert list(encoder.piece("ab")) == list(encoder.piece("ab")) and "ab" in encoder.memory
+
+
+def test_pieces_merged_together_equal_pieces_one_by_one():
+    """Also where characters, merges or tokens are missing, and where the merges are not in an order to go by."""
+    for seed, how in enumerate(["", "", "no characters", "no merges", "no tokens", "shuffled"]):
+        rnd = random.Random(seed)
+        merges = [(a, b) for a, b, _ in plain_learn(random_counts(seed), 100, 2)]
+        chars = sorted({c for p in random_counts(seed) for c in p})[3 if how == "no characters" else 0:]
+        if how == "no merges":
+            merges = [m for i, m in enumerate(merges) if i % 7]
+        if how == "shuffled":
+            rnd.shuffle(merges)
+        vocab = [(c, None, None) for c in chars] + [(a + b, a, b) for a, b in merges]
+        vocab = [(FIRST_PIECE_ID + i, "?" * i if how == "no tokens" and i % 5 == 1 else t, a, b) for i, (t, a, b) in enumerate(vocab)]
+        together, single = B.Encoder(vocab), B.Encoder(vocab)
+        for _ in range(20):
+            made = {"".join(rnd.choice(["th", "e", "a", "a", "b", "x", "é", "日", METASPACE, "ing"])
+                            for _ in range(rnd.choice([1, 3, 6, 30, 90]))) for _ in range(rnd.randint(0, 40))}
+            ids, sizes = together.pieces(pa.array(list(made), pa.string()))
+            ends = np.cumsum(sizes)
+            assert [ids[e - n:e].tolist() for e, n in zip(ends, sizes)] == [list(single.piece(p)) for p in made]
+
+
+def test_short_pieces_are_not_merged_one_by_one(spark, monkeypatch):
+    counts = random_counts(5)
+    vocab = [tuple(r) for r in B.learn_bpe(spark.createDataFrame(list(counts.items()), "piece string, n long"), num_merges=100)
+             .select("token_id", "token", "left", "right").collect()]
+    encoder, one = B.Encoder(vocab), []
+    monkeypatch.setattr(B, "apply_merges", lambda s, r, real=B.apply_merges: one.append(len(s)) or real(s, r))
+    encoder.pieces(pa.array([*counts, "th" * 200], pa.string()))
+    assert one == [400]

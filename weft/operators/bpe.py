@@ -16,7 +16,8 @@ numbered symbols, so a pass over them is array arithmetic and one lookup per run
 a round writes them once; those that have become one symbol are left out. The first cut that leaves few runs is
 found by the counts of the pairs; the most frequent pair alone always does.
 
-Encoding applies the merges by rank to each distinct piece once per worker, with a
+Encoding takes the distinct pieces of some texts together, in array arithmetic: a step merges
+in each piece all places of its pair of the least rank. Long pieces go one by one, with a
 heap and a linked list, so a piece of any length takes n log n steps; characters that
 are no tokens become the tokens of their UTF-8 bytes.
 """
@@ -32,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.tokens import BOS, BYTE_BASE, FIRST_PIECE_ID, METASPACE, PY_PIECE_RE, SPECIALS
+from weft.operators.tokens import BOS, BYTE_BASE, FIRST_PIECE_ID, METASPACE, PY_PIECE_RE, SPECIALS, _utf8, encode_texts
 from weft.session import cut_lineage, spread
 
 #: distinct runs (some symbols and a count each) that one loop goes over at most
@@ -45,8 +47,8 @@ MAX_RUNS = 200_000
 MAX_VOCAB = 5_000_000
 #: characters of the pieces that a worker remembers the ids of
 _MEMORY = 1 << 21
-#: texts that are encoded at once
-_TEXTS = 256
+#: characters of the longest piece that is encoded together with others
+_SHORT = 64
 
 VOCAB_SCHEMA = "token_id int, token string, kind string, left string, right string, count long"
 
@@ -348,6 +350,65 @@ def learn_bpe(counts: DataFrame, vocab_size: int = 42_000, min_frequency: int =
     return spark.createDataFrame(rows, VOCAB_SCHEMA)
 
 
+def _merged_together(symbols: np.ndarray, sizes: np.ndarray, n: int, pairs: np.ndarray, ranks: np.ndarray,
+                     made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (numbers below ``n``) of many pieces after all merges, and how many each piece has.
+    A step merges, in every piece that still has a pair, all places of its pair of the least rank."""
+    none = len(pairs)
+
+    def rank(at: np.ndarray) -> np.ndarray:
+        key = symbols[at].astype(np.int64) * n + symbols[at + 1]
+        place = np.minimum(np.searchsorted(pairs, key), none - 1)
+        return np.where(pairs[place] == key, ranks[place], none)
+
+    who, out, total = np.arange(len(sizes)), [], np.zeros(len(sizes), np.int64)
+    ends = np.cumsum(sizes)
+    rest = np.full(len(symbols), none, np.int32)  # the rank of a symbol with the next one
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    inside = np.flatnonzero(inside)
+    rest[inside] = rank(inside)
+    while len(who):
+        first = np.cumsum(sizes) - sizes
+        least = np.minimum.reduceat(rest, first)
+        open_ = least < none
+        if not open_.all():
+            of = np.repeat(open_, sizes)
+            out.append((who[~open_], sizes[~open_], symbols[~of]))
+            symbols, rest, who, sizes, least = symbols[of], rest[of], who[open_], sizes[open_], least[open_]
+            if not len(who):
+                break
+            first = np.cumsum(sizes) - sizes
+        hit = rest == np.repeat(least, sizes)
+        if (hit[1:] & hit[:-1]).any():  # of one symbol again and again every other pair, from the left
+            at = np.arange(len(hit))
+            start = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), at, 0))
+            hit &= (at - start) % 2 == 0
+        symbols[hit] = made[rest[hit]]
+        keep = np.concatenate([[True], ~hit[:-1]])
+        sizes = sizes - np.add.reduceat(hit, first, dtype=np.int64)
+        symbols, rest = symbols[keep], rest[keep]
+        at = np.flatnonzero(hit[keep])
+        last = np.zeros(len(symbols), bool)
+        ends = np.cumsum(sizes)
+        last[ends - 1] = True
+        rest[at[last[at]]] = none
+        at = at[~last[at]]
+        rest[at] = rank(at)
+        before = np.flatnonzero(hit[keep]) - 1
+        before = before[before >= 0]
+        before = before[~last[before]]
+        rest[before] = rank(before)
+    if out:
+        ids, sizes, symbols = (np.concatenate(x) for x in zip(*out, strict=True))
+        total[ids] = sizes
+        place = (np.cumsum(total) - total)[ids] - (np.cumsum(sizes) - sizes)
+        placed = np.empty_like(symbols)
+        placed[np.arange(len(symbols)) + np.repeat(place, sizes)] = symbols
+        symbols = placed
+    return symbols, total
+
+
 class Encoder:
     """Ids of texts by a vocabulary from ``learn_bpe``; one per worker, with the ids of
     the pieces it has met."""
@@ -359,6 +420,51 @@ class Encoder:
         self.memory: dict[str, array] = {}
         self._held = 0
         self._pieces = re.compile(PY_PIECE_RE)
+        self._together = self._numbered([(a, b) for _, a, b in merges])
+
+    def _numbered(self, merges: list[tuple[str, str]]) -> tuple[np.ndarray, ...] | None:
+        """Symbols as numbers: that of each character and the token of each, pairs (sorted) with their
+        ranks, and what a rank makes. None if a merge comes before one that makes a part of it: only
+        by the others can pieces be merged together, each by its pair of the least rank."""
+        merges = list(dict.fromkeys(reversed(merges)))[::-1]  # of equal pairs the last counts
+        last = {a + b: r for r, (a, b) in enumerate(merges)}
+        if not merges or any(last.get(s, -1) >= r for r, pair in enumerate(merges) for s in pair):
+            return None
+        number = {s: i for i, s in enumerate(dict.fromkeys([*self.ids, *(s for p in merges for s in p), *last]))}
+        of_char = np.full(0x110000, -1, np.int32)
+        for s, i in number.items():
+            if len(s) == 1:
+                of_char[ord(s)] = i
+        pairs = np.array([number[a] * len(number) + number[b] for a, b in merges], np.int64)
+        order = np.argsort(pairs)
+        return (of_char, np.array([self.ids.get(s, -1) for s in number], np.int32), pairs[order], order.astype(np.int32),
+                np.array([number[a + b] for a, b in merges], np.int32))
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        sizes = pc.utf8_length(pieces).to_numpy()
+        alone = np.ones(len(pieces), bool)
+        found, many = np.empty(0, np.int32), np.zeros(len(pieces), np.int64)
+        if self._together and len(pieces):
+            of_char, token, *merges = self._together
+            symbols = of_char[np.frombuffer(_utf8(pieces)[1].tobytes().decode("utf-8").encode("utf-32-le"), "<i4")]
+            first = np.cumsum(sizes) - sizes
+            alone = (sizes > _SHORT) | (np.minimum.reduceat(symbols, first) < 0)
+            symbols, many[~alone] = _merged_together(symbols[np.repeat(~alone, sizes)], sizes[~alone], len(token), *merges)
+            found = token[symbols]
+            if found.min(initial=0) < 0:  # a symbol that is no token
+                odd = np.zeros(len(pieces), bool)
+                odd[np.repeat(np.arange(len(pieces)), many)[found < 0]] = True
+                found = found[~np.repeat(odd, many)]
+                alone |= odd
+        if not alone.any():
+            return found, many
+        single = [self.piece(p) for p in pieces.filter(pa.array(alone)).to_pylist()]
+        many[alone] = [len(x) for x in single]
+        ids = np.empty(many.sum(), np.int32)
+        ids[np.repeat(alone, many)] = np.frombuffer(b"".join(single), np.int32)
+        ids[np.repeat(~alone, many)] = found
+        return ids, many
 
     def piece(self, piece: str) -> array:
         found = self.memory.get(piece)
@@ -397,20 +503,11 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: in
     ``max_len`` ids (None: whole). A null text is empty; repeated rows are kept."""
     shared = df.sparkSession.sparkContext.broadcast(_vocab_rows(vocab, "token_id", "token", "left", "right"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for b in batches:
-            encoder = encoder or Encoder(shared.value)
-            for lo in range(0, b.num_rows, _TEXTS):
-                part = b.slice(lo, _TEXTS)
-                ids = [encoder.text(t, max_len, add_bos) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.frombuffer(b"".join(ids), np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))],
-                                                 [key, "input_ids"])
-
-    texts = spread(df.select(key, text_col)).select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.mapInArrow(run, T.StructType([df.schema[key], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]))
+    def coder():
+        encoder = Encoder(shared.value)
+        return encoder.pieces, lambda text: encoder.text(text, max_len, add_bos)
+
+    return encode_texts(df, key, text_col, coder, max_len, add_bos)
 
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame) -> DataFrame:
