@@ -62,3 +62,9 @@ def test_the_lines_of_integrity_checks_are_written_small(spark, tmp_path, monkey
     assert (got["parse_errors"], got["missing_columns"], got["unique_candidates"]) == (2, 1, 50)
     parts = [p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-")]
     assert parts and all(p.name.endswith(".gz") for p in parts)
+
+
+def test_lengths_of_all_text_columns(spark, tmp_path):
+    documents(spark, tmp_path, range(9))
+    got = {r["field"]: (r.min_words, r.max_words, r.median_chars) for r in audit.length_summary(spark, str(tmp_path)).collect()}
+    assert got == {c: (4, 4, 11.0) for c in ("query", "document", "negative1", "negative2", "negative3")}
